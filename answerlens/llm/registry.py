@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from answerlens.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from answerlens.llm.mixing import op10_mix_sources
 
 QUERIES = {
+    "op7_exact_dedup": op7_exact_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_dedup": OP7_SQL,
+}
