@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from answerlens.llm.bpe_automaton import op5_bpe_automaton
 from answerlens.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from answerlens.llm.mixing import op10_mix_sources
 
 QUERIES = {
+    "op5_bpe_automaton": op5_bpe_automaton,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
