@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from answerlens.llm.bpe_automaton import op5_bpe_automaton
 from answerlens.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from answerlens.llm.katz import op2_katz
 from answerlens.llm.language_id import op9_language_id
 from answerlens.llm.mixing import op10_mix_sources
 from answerlens.llm.quality import op3_quality
 
 QUERIES = {
+    "op2_katz": op2_katz,
     "op3_quality": op3_quality,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op7_exact_dedup": op7_exact_dedup,
