@@ -7,12 +7,14 @@ from answerlens.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from answerlens.llm.katz import op2_katz
 from answerlens.llm.language_id import op9_language_id
 from answerlens.llm.mixing import op10_mix_sources
+from answerlens.llm.ngram_join import op6_ngram_join
 from answerlens.llm.quality import op3_quality
 
 QUERIES = {
     "op2_katz": op2_katz,
     "op3_quality": op3_quality,
     "op5_bpe_automaton": op5_bpe_automaton,
+    "op6_ngram_join": op6_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,

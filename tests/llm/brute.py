@@ -62,3 +62,37 @@ def katz(rows, train, k=5):
 
 def bucket(doc_id, n):
     return zlib.crc32(str(doc_id).encode()) % n
+
+
+def shingle_sets(rows, width=5):
+    out = []
+    for _, t in rows:
+        w = tokens(t)
+        out.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    return out
+
+
+def jaccard_components(rows, percent=80):
+    """rows (doc_id, text) -> doc_id: (set size, smallest doc_id of its component)."""
+    s = shingle_sets(rows)
+    having = defaultdict(list)
+    for i, x in enumerate(s):
+        for g in x:
+            having[g].append(i)
+    parent = list(range(len(s)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(s):
+        shared = Counter(j for g in x for j in having[g] if j < i)
+        for j, n in shared.items():
+            if 100 * n >= percent * (len(x) + len(s[j]) - n):
+                parent[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[find(i)] = min(low.get(find(i), d), d)
+    return {d: (len(s[i]), low[find(i)]) for i, (d, _) in enumerate(rows)}
