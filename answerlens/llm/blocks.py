@@ -183,11 +183,11 @@ REQUEST = "block long, part int, kind int, keys binary, counts binary"
 REPLY = "block long, part int, kind int, totals binary"
 
 
-def requests(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, n: int) -> list[tuple]:
-    """The pieces, by key range, of one block's sorted distinct keys with their counts."""
+def requests(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, n: int, packer: Callable[[np.ndarray], bytes] = pack_counts) -> list[tuple]:
+    """The pieces, by key range, of one block's sorted distinct keys with their counts (or what else packer packs)."""
     high = np.array([-(-(i << 64) // n) for i in range(1, n)], dtype=np.uint64)
     cuts = [0, *np.searchsorted(keys, high).tolist(), len(keys)]
-    return [(block, p, kind, pack_keys(keys[a:b]), pack_counts(counts[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+    return [(block, p, kind, pack_keys(keys[a:b]), packer(counts[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
 
 
 def add_up(pieces: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:

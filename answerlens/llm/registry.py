@@ -9,10 +9,12 @@ from answerlens.llm.language_id import op9_language_id
 from answerlens.llm.mixing import op10_mix_sources
 from answerlens.llm.ngram_join import op6_ngram_join
 from answerlens.llm.quality import op3_quality
+from answerlens.llm.repeated_text import op4_repeated_text
 
 QUERIES = {
     "op2_katz": op2_katz,
     "op3_quality": op3_quality,
+    "op4_repeated_text": op4_repeated_text,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_ngram_join": op6_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,

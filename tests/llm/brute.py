@@ -96,3 +96,18 @@ def jaccard_components(rows, percent=80):
     for i, (d, _) in enumerate(rows):
         low[find(i)] = min(low.get(find(i), d), d)
     return {d: (len(s[i]), low[find(i)]) for i, (d, _) in enumerate(rows)}
+
+
+def repeated(rows, length=400):
+    """rows (doc_id, text) -> list of (doc_id, n_bytes, n_removed, n_spans, kept bytes)."""
+    texts = [(t or "").encode() for _, t in rows]
+    seen = Counter(hash(x[i : i + length]) for x in texts for i in range(len(x) - length + 1))
+    out = []
+    for (d, _), x in zip(rows, texts, strict=True):
+        gone = bytearray(len(x))
+        for i in range(len(x) - length + 1):
+            if seen[hash(x[i : i + length])] > 1:
+                gone[i : i + length] = b"\1" * length
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out.append((d, len(x), sum(gone), spans, bytes(b for b, g in zip(x, gone, strict=True) if not g)))
+    return out
