@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from answerlens.llm.ann import op1_kmeans_tree
 from answerlens.llm.bpe_automaton import op5_bpe_automaton
 from answerlens.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from answerlens.llm.katz import op2_katz
@@ -12,6 +13,7 @@ from answerlens.llm.quality import op3_quality
 from answerlens.llm.repeated_text import op4_repeated_text
 
 QUERIES = {
+    "op1_kmeans_tree": op1_kmeans_tree,
     "op2_katz": op2_katz,
     "op3_quality": op3_quality,
     "op4_repeated_text": op4_repeated_text,
