@@ -11,6 +11,7 @@ from answerlens.llm.mixing import op10_mix_sources
 from answerlens.llm.ngram_join import op6_ngram_join
 from answerlens.llm.quality import op3_quality
 from answerlens.llm.repeated_text import op4_repeated_text
+from answerlens.llm.token_files import op8_token_files
 
 QUERIES = {
     "op1_kmeans_tree": op1_kmeans_tree,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_ngram_join": op6_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
 }
