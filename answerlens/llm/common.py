@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and drop the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint()
+    del df
+    # shuffle files of what led here are removed once the driver has collected the plans that refer to them
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def id_bucket(column: str, n: int) -> Column:
