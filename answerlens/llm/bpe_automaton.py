@@ -215,17 +215,20 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, ids (decimal, joined by a space), decoded."""
+def encode_documents(docs: DataFrame, path: str | None = None, decoded: bool = True) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, ids (decimal, joined by a space) and, if wanted, the decoded text."""
     path = path or word_vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
         for pdf in batches:
-            both = [e.text(t or "") for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [x for x, _ in both], "decoded": [x for _, x in both]})
+            for a in range(0, len(pdf), 500):
+                part = pdf.iloc[a : a + 500]
+                both = [e.text(t or "") for t in part["text"]]
+                out = {"doc_id": part["doc_id"].astype("Int64").to_numpy(), "ids": [x for x, _ in both]}
+                yield pd.DataFrame(out | ({"decoded": [y for _, y in both]} if decoded else {}))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids string, decoded string")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids string" + ", decoded string" * decoded)
 
 
 def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -1,11 +1,47 @@
-"""A training corpus in stages; each is written as Parquet and read again by the next."""
+"""A training corpus in stages; each is written as Parquet and read again by the next.
+
+Stages, in order: language ID drops what it rejects, exact dedup keeps one row of
+equal texts, the n-gram join keeps one document of each group of near copies, mixing
+repeats and selects documents to the sources' target weights, and BPE encoding
+turns the texts into token ids.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerlens.llm.bpe_automaton import encode_documents
+from answerlens.llm.common import shared_dir
+from answerlens.llm.exact_dedup import dedup, earlier_half, normalised, sha256
+from answerlens.llm.language_id import classify, train
 from answerlens.llm.mixing import mix
+from answerlens.llm.ngram_join import join
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; models learn from the labelled documents of the input."""
+    models = train(docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
+    return classify(docs, models, keep=docs.columns).where(~F.col("_rejected")).select(*docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text: the longest before normalisation, then the smallest id; of repeated rows one."""
+    kept = dedup(docs.select("doc_id", "text"), earlier_half(docs)).where("kept")
+    twice = kept.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
+    keys = kept.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
+    digest = sha256(normalised(F.col("text")))
+    rows = docs.withColumn("_digest", digest).join(keys, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
+    return (rows.dropDuplicates(["doc_id", "_digest"]) if twice else rows).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: the smallest id."""
+    groups = join(docs.select("doc_id", "text"))
+    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,13 +50,27 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*docs.columns)
 
 
-STAGES = [("mix", mixed)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and how many."""
+    ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
+    return encode_documents(docs, decoded=False).select("doc_id", ids.alias("ids")).withColumn("n_tokens", F.size("ids"))
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("exact dedup", without_copies),
+    ("n-gram Jaccard join", without_near_copies),
+    ("mixing to target weights", mixed),
+    ("BPE encoding", encoded),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to documents."""
+    """All stages, applied to documents; what a stage leaves is written in the shared folder for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = f"{shared_dir(spark)}/pipeline-{uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
