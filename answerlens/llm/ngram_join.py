@@ -9,9 +9,11 @@ share a prefix shingle and lie in one size band, or in it and the next, form a
 tile.
 
 Equal sets are one node.  First every tile's leader is compared with the others of
-its tile, which connects groups of near copies by a number of comparisons in
-proportion to their size.  Then, in tiles that still hold more than one component,
-all pairs across components are compared; large tiles are cut into cells.  A pair
+its tile, and in some more rounds, where a tile still holds more than one component,
+a few leaders drawn anew with the members of other components; so groups of near
+copies are connected by a number of comparisons in proportion to their size.  Then,
+in tiles that still hold more than one component, all pairs across components are
+compared; large tiles are cut into cells.  A pair
 is first bounded from above by its bitmap signatures: each bit of one that the
 other lacks is at least one shingle not shared.  What passes is decided by
 intersecting the sorted arrays.  So no pair that could add a connection is lost.
@@ -39,7 +41,9 @@ from answerlens.llm.graph import components
 
 WIDTH = 5
 PERCENT = 80
-BITS = 512
+BITS = 2048
+#: Rounds in which tiles that still hold more than one component compare all members with leaders, and leaders a round.
+ROUNDS, LEADERS = 4, 3
 #: Members of a tile that are compared in one cell.
 CELL = 1000
 _U = np.uint64
@@ -177,14 +181,33 @@ def links(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = nodes.select(F.explode("tokens").alias("token"), "node", "n", band.alias("band"))
     rows = rows.select("token", "node", "n", F.explode(F.array(F.struct(F.col("band"), F.lit(True).alias("own")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("own")))).alias("tile"))
     rows = rows.select("token", "tile.band", "tile.own", "node", "n")
-    tiles = cut(rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("members"), F.min(F.when(F.col("own"), F.struct("n", "node"))).alias("leader")).where("members > 1 AND leader IS NOT NULL"))
+    tiles = rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("members"), F.min(F.when(F.col("own"), F.struct("n", "node"))).alias("leader")).where("members > 1 AND leader IS NOT NULL")
     star = rows.join(tiles.select("token", "band", F.col("leader.node").alias("a"), F.col("leader.n").alias("_n")), ["token", "band"])
     pairs = star.where((F.col("a") != F.col("node")) & sizes_fit(F.col("n"), F.col("_n"), percent)).select("a", F.col("node").alias("b")).distinct()
-    first = _verify(pairs, nodes, percent)
-
-    label = components(first)
-    named = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("token", "band").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("own").alias("any_own")).where("low <> high AND any_own")
+    found = _verify(pairs, nodes, percent)
+    label = components(found)
+
+    def still_mixed(rows: DataFrame) -> DataFrame:
+        """The rows of tiles that hold more than one component and a member of their own band."""
+        named = rows.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = named.groupBy("token", "band").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.max("own").alias("_own")).where("_low <> _high AND _own")
+        return cut(named.join(mixed.select("token", "band"), ["token", "band"], "left_semi"))
+
+    named = still_mixed(rows)
+    for r in range(ROUNDS):
+        draws = [F.min(F.when(F.col("own"), F.struct(F.xxhash64("node", F.lit(r * LEADERS + i)).alias("h"), F.col("node"), F.col("n"), F.col("component")))).alias(f"l{i}") for i in range(LEADERS)]
+        leaders = named.groupBy("token", "band").agg(*draws).select("token", "band", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("leaders"))
+        star = named.join(leaders, ["token", "band"]).select("node", "n", "component", F.explode("leaders").alias("l"))
+        star = star.where((F.col("l.component") != F.col("component")) & sizes_fit(F.col("n"), F.col("l.n"), percent))
+        pairs = star.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+        more = _verify(pairs, nodes, percent)
+        if not more.limit(1).count():
+            break
+        found = cut(found.unionByName(more))
+        label = components(found)
+        named = still_mixed(named)
+
+    mixed = named.groupBy("token", "band").agg(F.count(F.lit(1)).alias("members"))
     cells = F.ceil(F.col("members") / F.lit(CELL)).cast("int")
     inside = named.join(mixed.select("token", "band", cells.alias("cells")), ["token", "band"]).join(nodes.select("node", "bits"), "node")
     salt = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
@@ -210,7 +233,7 @@ def links(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     crossing = left.unionByName(right).groupBy("token", "band", "i", "j").applyInPandas(across, "a long, b long").distinct()
-    return cut(first.unionByName(_verify(crossing, nodes, percent)))
+    return cut(found.unionByName(_verify(crossing, nodes, percent)))
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
