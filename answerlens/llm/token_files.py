@@ -44,7 +44,7 @@ from answerlens.llm.common import cut, parts, shared_dir
 END_ID = 0
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 24 << 20
-CACHE = 600_000
+CACHE = 1_200_000
 _PIECE = re.compile("[\t-\r \x85\xa0  -     　]*[^\t-\r \x85\xa0  -     　]+|.+", re.DOTALL)
 
 
@@ -61,6 +61,7 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.code = "H" if size <= 1 << 16 else "I"
         self.width = 2 if self.code == "H" else 4
+        self.kind = f"<u{self.width}"
         self.blank = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.cache: dict[str, bytes] = {}
 
@@ -75,12 +76,17 @@ class Encoder:
         first, *rest = text.split(" ")
         found = list(map(self.cache.get, rest))
         if None in found:
-            new = {p for p, f in zip(rest, found, strict=True) if f is None}
+            missing, i = [], -1
+            for _ in range(found.count(None)):
+                i = found.index(None, i + 1)
+                missing.append(i)
+            new = {rest[i] for i in missing}
             # white space beside a blank joins it in the pre-tokenizer, so such pieces are never kept without it
             if any(not p or p[0].isspace() or p[-1].isspace() or "<|" in p for p in new):
                 return b"".join([self._piece(p) for p in _PIECE.findall(text)])
-            self._learn(new)
-            found = list(map(self.cache.get, rest))
+            self._learn(list(new))
+            for i in missing:
+                found[i] = self.cache[rest[i]]
         if first[-1:].isspace():
             return b"".join([self._piece(p) for p in _PIECE.findall(text)])
         return self._piece("\0" + first) + b"".join(found)
@@ -92,19 +98,16 @@ class Encoder:
             found = self.cache[key] = self._ids(key[1:])
         return found
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Encode pieces with a blank before each as one text, and cut the ids where a token begins with a blank."""
-        order = sorted(pieces)
-        ids = [i for a in range(0, len(order), 200) for i in self.tokenizer.encode_batch_fast([" " + " ".join(order[a : a + 200])], add_special_tokens=False)[0].ids]
-        packed = array(self.code, ids).tobytes()
-        starts = np.flatnonzero(self.blank[ids])
-        if len(starts) != len(order):
-            for p in order:
-                self.cache[p] = self._ids(" " + p)
-            return
-        ends = [*(starts[1:] * self.width).tolist(), len(packed)]
-        for p, a, b in zip(order, (starts * self.width).tolist(), ends, strict=True):
-            self.cache[p] = packed[a:b]
+        for a in range(0, len(pieces), 200):
+            part = pieces[a : a + 200]
+            packed = array(self.code, self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids).tobytes()
+            starts = (np.flatnonzero(self.blank[np.frombuffer(packed, dtype=self.kind)]) * self.width).tolist()
+            if len(starts) == len(part):
+                self.cache.update({p: packed[x:y] for p, x, y in zip(part, starts, [*starts[1:], len(packed)], strict=True)})
+            else:
+                self.cache.update({p: self._ids(" " + p) for p in part})
 
 
 @lru_cache(maxsize=2)
