@@ -50,7 +50,6 @@ _CLOSERS = "\"'”’»)]}）】」』"
 _SHORT = frozenset("mr mrs ms dr prof st vs etc fig no approx inc ltd co e.g i.e cf".split())
 _MARK = re.compile(r"\s*\[(?:doc(?:ument)?\s*|chunk_|文档\s*)?\d+\]", re.IGNORECASE)
 _BLOCK = re.compile(r"[ \t]*(?:#{1,6} |[-*•] |\d+[.)、] ?)")
-_WORD_BEFORE = re.compile(r"[\w.]*$")
 
 
 def _code_end(text: str, i: int) -> int:
@@ -67,7 +66,10 @@ def _ends(text: str, i: int, begin: int) -> bool:
     before, after = text[i - 1 : i], text[i + 1 : i + 2]
     if before.isalnum() and after.isalnum():
         return False
-    word = _WORD_BEFORE.search(text, begin, i).group().lower().strip(".")
+    j = i
+    while j > begin and (text[j - 1].isalnum() or text[j - 1] in "._"):
+        j -= 1
+    word = text[j:i].lower().strip(".")
     line = text.rfind("\n", 0, i) + 1
     if text[line:i].strip().isdigit():  # the number of a list item
         return False
@@ -161,7 +163,7 @@ PATTERNS = [
     ("date", re.compile(rf"(?P<name>{_of(MONTHS)})\s+(?P<d>\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s+(?P<y>(?:19|20)\d{{2}}))?", re.IGNORECASE)),
     ("date", re.compile(r"(?P<m>\d{1,2})月(?P<d>\d{1,2})日")),
     ("money", re.compile(rf"(?P<n>{_N})\s*(?P<s>{_of(SCALES)})?\s*(?P<u>{_of({k: 0 for k in CURRENCIES if k not in '$€£¥'})}){_PLURAL}", re.IGNORECASE)),
-    ("money", re.compile(rf"(?P<u>[$€£¥])\s*(?P<n>\d+(?:,\d{{3}})*(?:\.\d+)?)\s*(?P<s>{_of(SCALES)})?", re.IGNORECASE)),
+    ("money", re.compile(rf"(?P<u>[$€£¥])\s*(?P<n>\d+(?:,\d{{3}})*(?:\.\d+)?)(?:\s*(?P<s>{_of(SCALES)})(?![A-Za-z]))?", re.IGNORECASE)),
     ("percent", re.compile(rf"(?P<n>{_N})\s*(?:%|percent\b|个百分点)", re.IGNORECASE)),
     ("duration", re.compile(rf"(?P<n>{_N})[\s-]*(?P<u>{_of(SECONDS)}){_PLURAL}", re.IGNORECASE)),
     ("length", re.compile(rf"(?P<n>{_N})\s*(?P<u>{_of(METRES)}){_PLURAL}", re.IGNORECASE)),
@@ -171,7 +173,8 @@ PATTERNS = [
 ]
 FACTORS = {"duration": SECONDS, "length": METRES, "weight": GRAMS}
 BASE_UNIT = {"duration": "s", "length": "m", "weight": "g", "percent": "%", "date": "day"}
-_RANGE = re.compile(r"\s*(?:-|–|—|~|～|to|至|到)\s*$")
+_RANGE_BEFORE = re.compile(r"\d\s*(?:-|–|—|~|～|to|至|到)\s*$")
+_POINT = re.compile(r"[.:/]\d")
 _RANGE_AFTER = re.compile(r"\s*(?:-|–|—|~|～|to|至|到)\s*\d")
 _NOISE_BEFORE = re.compile(r"(?:\bv|version\s*|[.:/]|第)$", re.IGNORECASE)
 _NOISE_AFTER = re.compile(r"[.:/]\d|[)、]|\.(?:\s|$)")
@@ -185,11 +188,12 @@ def find_claims(text: str) -> list[dict]:
         now = "".join(masked)
         for m in pattern.finditer(now):
             a, b = m.span()
-            line_start = now[:a].rpartition("\n")[2].strip() == ""
+            before = text[max(0, a - 16) : a]
+            line_start = now[now.rfind("\n", 0, a) + 1 : a].strip() == ""
             masked[a:b] = " " * (b - a) if kind != "number" else masked[a:b]
-            if kind != "date" and (re.search(r"\d\s*(?:-|–|—|~|～|to|至|到)\s*$", text[:a]) or _RANGE_AFTER.match(text, b)):
+            if kind != "date" and (_RANGE_BEFORE.search(before) or _RANGE_AFTER.match(text, b)):
                 continue
-            if kind == "number" and (_NOISE_BEFORE.search(text[:a]) or (_NOISE_AFTER.match(text, b) and line_start) or re.match(r"[.:/]\d", text[b:])):
+            if kind == "number" and (_NOISE_BEFORE.search(before) or (_NOISE_AFTER.match(text, b) and line_start) or _POINT.match(text, b)):
                 continue
             got = m.groupdict()
             unit, year_known = BASE_UNIT.get(kind, ""), True
@@ -242,7 +246,7 @@ def find_polarity(text: str, concepts: dict = CONCEPTS) -> list[dict]:
         for p in yes:
             at = low.find(p)
             if at >= 0:
-                out.append({"concept": concept, "polarity": -1 if _NEGATION.search(low[:at]) else 1, "phrase": p})
+                out.append({"concept": concept, "polarity": -1 if _NEGATION.search(low[max(0, at - 40) : at]) else 1, "phrase": p})
                 break
     return out
 
