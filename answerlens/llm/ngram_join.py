@@ -43,7 +43,7 @@ WIDTH = 5
 PERCENT = 80
 BITS = 2048
 #: Rounds in which tiles that still hold more than one component compare all members with leaders, and leaders a round.
-ROUNDS, LEADERS = 4, 3
+ROUNDS, LEADERS = 2, 5
 #: Members of a tile that are compared in one cell.
 CELL = 1000
 _U = np.uint64
