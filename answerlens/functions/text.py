@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]+"
+_TOKEN = re.compile(r"\w+")
 CITATION = r"\[(?i:(?:doc(?:ument)?\s*|chunk_|文档\s*)?(\d+))\]"
 #: English function words; a parameter of the functions that use it.
 STOP_WORDS = ("a an and are as at be by for from has have in is it its of on or that the this to was were will with").split()
@@ -144,8 +150,21 @@ def vector_profile(v: Column) -> Column:
 
 
 def hashed_vector(text: Column, dim: int = 64) -> Column:
-    """An offline embedding, hashed term frequencies of length 1; null for a null text."""
-    slots = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(text.isNotNull(), F.when(norm == 0, counts).otherwise(F.transform(counts, lambda x: x / norm)))
+    """An offline embedding, hashed term frequencies of length 1; null for a null text.
+
+    Counting n terms into slots with column expressions costs n x dim, so this one goes through Arrow.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        def one(t: str | None):
+            if t is None:
+                return None
+            slots = [zlib.crc32(w.encode()) % dim for w in _TOKEN.findall(t.lower())]
+            counts = np.bincount(slots, minlength=dim).astype(float) if slots else np.zeros(dim)
+            norm = np.sqrt((counts * counts).sum())
+            return counts / norm if norm else counts
+
+        return s.map(one)
+
+    return run(text)

@@ -33,7 +33,7 @@ def relations(docs: DataFrame, related: float = 0.4, duplicate: float = 0.8, voc
     by = Window.partitionBy("doc_id").orderBy("w", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
     heavy = w.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(by))).where(F.col("rest") >= related).select("doc_id", "term")
     a, b = heavy.select(F.col("doc_id").alias("a"), "term"), w.select(F.col("doc_id").alias("b"), "term")
-    near = a.join(b, "term").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = a.join(b, "term").where("a < b").select("a", "b").distinct()
     left = near.join(w.select(F.col("doc_id").alias("a"), "term", F.col("w").alias("wa")), "a")
     both = left.join(w.select(F.col("doc_id").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"])
     scored = both.groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity")).where(F.col("similarity") > related)

@@ -27,8 +27,8 @@ def keyword_gap(queries: DataFrame, vocabulary: DataFrame, patterns: DataFrame,
     """patterns(domain, pattern) that a query hits, and the vocabulary's words of the same domain that it lacks."""
     q = queries.select("query_id", "kb_id", F.explode(F.array_distinct(key_terms(F.col("query")))).alias("word"))
     small = F.broadcast(patterns)  # a parameter table of a few rows
-    hit = q.join(small, F.col("word").rlike(F.col("pattern"))).select("query_id", "kb_id", "domain").distinct()
-    words = vocabulary.join(small, F.col("term").rlike(F.col("pattern"))).select("kb_id", "domain", F.col("term").alias("word")).distinct()
+    hit = q.join(small, F.regexp_like(F.col("word"), F.col("pattern"))).select("query_id", "kb_id", "domain").distinct()
+    words = vocabulary.join(small, F.regexp_like(F.col("term"), F.col("pattern"))).select("kb_id", "domain", F.col("term").alias("word")).distinct()
     gap = hit.join(words, ["kb_id", "domain"]).join(q.select("query_id", "word"), ["query_id", "word"], "left_anti")
     return top(gap.withColumn("n", F.length("word")), shown, F.col("word"), by=["query_id", "domain"]).groupBy("query_id", "domain").agg(F.sort_array(F.collect_set("word")).alias("missing"))
 

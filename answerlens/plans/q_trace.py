@@ -178,7 +178,8 @@ def x5_health(spark, d):
 
 def x6_metrics(spark, d):
     e = _stream(spark, d, "events").select("ts", F.col("event_type").alias("endpoint"), F.col("value").alias("duration"), (F.pmod("user_id", F.lit(9)) == 0).alias("error"))
-    return live.run_once(live.metrics(e, "1 hour"), folder(spark), "complete")
+    out = live.run_once(live.metrics(e, "1 hour"), folder(spark), "complete")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 QUERIES = {f.__name__: f for f in (p2_chunks, p4_sentences, p9_typos, p13_claims, p14_polarity, p16_structure, p23_embedding, j7_similarity, j8_citations, a4_citation_coverage, a5_hallucination, a6_semantic, a13_drift, w1_rank_ratio, g6_trace, g7_contradictions, f8_what_if, u1_mode_difference, u2_keyword_gap, j16_misses, g4_diagnosis, g5_business, w5_running_ratio, x1_assembly, x2_verdicts, x4_threshold, x5_health, x6_metrics)}

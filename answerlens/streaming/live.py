@@ -163,7 +163,7 @@ def health(calls: DataFrame, make: Callable[[], Breaker] = Breaker) -> DataFrame
     A service's calls are read in order of time, batch by batch with the state
     carried along, so no service is held in memory.
     """
-    ordered = calls.select("service", "call_id", F.unix_micros("ts").alias("at"), "duration", "error").repartition("service").sortWithinPartitions("service", "at", "call_id")
+    ordered = calls.select("service", "call_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "duration", "error").repartition("service").sortWithinPartitions("service", "at", "call_id")
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, breaker = None, None
@@ -181,13 +181,13 @@ def health(calls: DataFrame, make: Callable[[], Breaker] = Breaker) -> DataFrame
 def metrics(calls: DataFrame, width: str = "1 minute", step: str | None = None, late: str = "10 minutes") -> DataFrame:
     """calls(ts, endpoint, duration, error) by window, tumbling or sliding; the watermark bounds the state."""
     w = F.window("ts", width, step) if step else F.window("ts", width)
-    g = calls.withWatermark("ts", late).groupBy(w.alias("w"), "endpoint")
+    g = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(w.alias("w"), "endpoint")
     return g.agg(F.count(F.lit(1)).alias("n"), F.count_if("error").alias("errors"), F.round(F.sum("duration"), 6).alias("total"), F.max("duration").alias("longest")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "endpoint", "n", "errors", "total", "longest")
 
 
 def sessions(calls: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of a user."""
-    g = calls.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
+    g = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
     return g.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
 
 
