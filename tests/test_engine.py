@@ -113,3 +113,20 @@ def test_registry_and_entry(spark):
     known, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(known) and all(isinstance(x, str) for x in sql.values())
     assert entry.entry(spark).count() > 0
+
+
+def test_sql_functions(spark):
+    from answerlens.operators.composite import register_functions
+
+    register_functions(spark)
+    assert [r["text"] for r in spark.sql("SELECT text FROM split_sentences('One. Two.')").collect()] == ["One.", "Two."]
+    assert spark.sql("SELECT family, value FROM extract_claims('5 km')").first()["value"] == 5000.0
+
+
+def test_ingestion_appends_chunks_and_postings(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"kb_id": "k", "doc_id": 1, "text": "one  two\nthree"}) + "\n")
+    stream = spark.readStream.schema("kb_id string, doc_id long, text string").json(str(tmp_path / "in"))
+    live.ingest(stream, str(tmp_path / "c"), str(tmp_path / "p"), str(tmp_path / "s")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "c")).first()["text"] == "one two\nthree"
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 3
