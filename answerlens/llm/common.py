@@ -27,15 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files that no plan refers to any more go once the driver has collected those plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and drop the lineage."""
     spark = df.sparkSession
     shared_dir(spark)
+    release(spark)
     out = df.checkpoint()
     del df
-    # shuffle files of what led here are removed once the driver has collected the plans that refer to them
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     return out
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlens.llm import blocks as B
-from answerlens.llm.common import cut, id_bucket
+from answerlens.llm.common import cut, id_bucket, release
 
 K = 5
 _U = np.uint64
@@ -176,6 +176,8 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     both = blocks.select("block", "payload").withColumns({"part": F.lit(None).cast("int"), "kind": F.lit(None).cast("int"), "totals": F.lit(None).cast("binary")})
     both = both.unionByName(replies.where("block >= 0").withColumn("payload", F.lit(None).cast("binary")))
     step = cut(both.groupBy("block").applyInPandas(read, "block long, part int, kind int, keys binary, counts binary, totals binary"))
+    del both, replies
+    release(docs.sparkSession)
 
     def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
         """A range of histories: back-off weights from all blocks' terms, for the blocks that ask."""

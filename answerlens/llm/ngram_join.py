@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlens.llm import blocks as B
-from answerlens.llm.common import cut
+from answerlens.llm.common import cut, release
 from answerlens.llm.graph import components
 
 WIDTH = 5
@@ -239,6 +239,7 @@ def links(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id."""
     every = sets(docs, width, percent)
+    release(docs.sparkSession)
     may = every.where("node IS NOT NULL")
     nodes = cut(may.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"), F.first("items").alias("items")))
     label = components(links(nodes, percent))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlens.llm import blocks as B
-from answerlens.llm.common import cut
+from answerlens.llm.common import cut, release
 
 LENGTH = 400
 WINDOW = 8
@@ -202,6 +202,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     first = blocks.select("block", "payload").mapInPandas(ask, B.REQUEST).groupBy("part").applyInPandas(answer, B.REPLY)
     both = text.unionByName(first.withColumn("payload", null("binary")))
     step = cut(both.groupBy("block").applyInPandas(sort_out, B.REQUEST + ", totals binary"))
+    del first, both
+    release(docs.sparkSession)
     second = step.where("kind = 3").drop("totals").groupBy("part").applyInPandas(answer, B.REPLY)
     keys = {"keys": null("binary"), "counts": null("binary")}
     states = step.where("kind = 4").withColumn("payload", null("binary"))
