@@ -43,7 +43,7 @@ WIDTH = 5
 PERCENT = 80
 BITS = 2048
 #: Rounds in which tiles that still hold more than one component compare all members with leaders, and leaders a round.
-ROUNDS, LEADERS = 2, 5
+ROUNDS, LEADERS = 3, 4
 #: Members of a tile that are compared in one cell.
 CELL = 1000
 _U = np.uint64
@@ -218,19 +218,26 @@ def links(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         """One cell of a tile: pairs of different components whose sizes and bitmaps fit."""
-        a, b = pdf[pdf["left"]], pdf[~pdf["left"]]
-        found_a, found_b = [], []
-        bits_b = np.frombuffer(b"".join(b["bits"]), dtype=np.uint64).reshape(-1, BITS // 64)
-        n_b, c_b, node_b = b["n"].to_numpy(), b["component"].to_numpy(), b["node"].to_numpy()
-        for node, n, c, bits in zip(a["node"], a["n"], a["component"], a["bits"], strict=True):
-            fit = (c_b != c) & (np.minimum(n_b, n) * 100 >= np.maximum(n_b, n) * percent)
-            at = np.flatnonzero(fit)
-            if len(at):
-                at = at[bits_fit(np.frombuffer(bits, np.uint64), bits_b[at], n, n_b[at], percent)]
-                found_a += [node] * len(at)
-                found_b += node_b[at].tolist()
-        x, y = np.array(found_a, dtype=np.int64), np.array(found_b, dtype=np.int64)
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        def side(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+            bits = np.unpackbits(np.frombuffer(b"".join(rows["bits"]), dtype=np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.float32)
+            return rows["node"].to_numpy(), rows["n"].to_numpy(), rows["component"].to_numpy(), bits
+
+        a, b = side(pdf[pdf["left"]]), side(pdf[~pdf["left"]])
+        names, sizes = np.unique(b[2], return_counts=True)
+        found = [np.zeros((2, 0), dtype=np.int64)]
+        if len(names):
+            main = names[sizes.argmax()]  # members of the cell's largest component need no comparison with one another
+            for mine, other in ((a[2] != main, np.ones(len(b[2]), bool)), (a[2] == main, b[2] != main)):
+                if not mine.any() or not other.any():
+                    continue
+                (na, sa, ca, xa), (nb, sb, cb, xb) = [v[mine] for v in a], [v[other] for v in b]
+                common = (xa @ xb.T).astype(np.int64)  # bits that both have; what one has alone is not shared
+                most = np.minimum(sa[:, None] - xa.sum(axis=1).astype(np.int64)[:, None] + common, sb - xb.sum(axis=1).astype(np.int64) + common)
+                fit = (ca[:, None] != cb) & (100 * most >= percent * (sa[:, None] + sb - most)) & (np.minimum(sa[:, None], sb) * 100 >= np.maximum(sa[:, None], sb) * percent)
+                i, j = np.nonzero(fit)
+                found.append(np.stack([np.minimum(na[i], nb[j]), np.maximum(na[i], nb[j])]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
     crossing = left.unionByName(right).groupBy("token", "band", "i", "j").applyInPandas(across, "a long, b long").distinct()
     return cut(found.unionByName(_verify(crossing, nodes, percent)))
