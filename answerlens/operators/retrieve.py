@@ -80,13 +80,13 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int | None = 10, floor: float
     q = queries.select("query_id", F.col("vec").alias("qv"))
     pairs = chunks.select("chunk_id", "vec").join(F.broadcast(q)) if q.limit(1001).count() <= 1000 else None
     if pairs is None:
-        return knn_blocks(queries, chunks, k or 10, floor)
+        return knn_blocks(queries, chunks, k, floor)
     scored = pairs.select("query_id", "chunk_id", F.round(F.greatest(cosine(F.col("qv"), F.col("vec")), F.lit(0.0)), 6).alias("vector_score")).where(F.col("vector_score") >= floor)
     return scored if k is None else top(scored, k, F.desc("vector_score"), F.col("chunk_id"))
 
 
-def knn_blocks(queries: DataFrame, chunks: DataFrame, k: int = 10, floor: float = 0.0, block: int = 4096) -> DataFrame:
-    """J2 (b): a stated query set of any size, in blocks: each block of queries passes over all chunks with a local top k."""
+def knn_blocks(queries: DataFrame, chunks: DataFrame, k: int | None = 10, floor: float = 0.0, block: int = 4096) -> DataFrame:
+    """J2 (b): a stated query set of any size, in blocks: each block of queries passes over all chunks with a local top k; all from the floor on where k is None."""
     n = max(1, -(-queries.count() // block))
     salted = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
     found = None
@@ -100,16 +100,21 @@ def knn_blocks(queries: DataFrame, chunks: DataFrame, k: int = 10, floor: float
             qn = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
             for pdf in pdfs:
                 x = np.stack(pdf["vec"]).astype(np.float64)
-                s = np.clip(qn @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 0, None).round(6)
-                keep = min(k, s.shape[1])
-                cut = np.partition(s, s.shape[1] - keep, axis=1)[:, [s.shape[1] - keep]]
-                a, b = np.nonzero((s >= cut) & (s >= floor))
-                yield pd.DataFrame({"query_id": ids[a], "chunk_id": pdf["chunk_id"].to_numpy()[b], "vector_score": s[a, b]})
+                xn = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+                step = 256 if k is None else max(len(ids), 1)  # without k a frame can hold every pair
+                for low in range(0, len(ids), step):
+                    s = np.clip(qn[low : low + step] @ xn, 0, None).round(6)
+                    passing = s >= floor
+                    if k is not None:
+                        keep = min(k, s.shape[1])
+                        passing &= s >= np.partition(s, s.shape[1] - keep, axis=1)[:, [s.shape[1] - keep]]
+                    a, b = np.nonzero(passing)
+                    yield pd.DataFrame({"query_id": ids[low + a], "chunk_id": pdf["chunk_id"].to_numpy()[b], "vector_score": s[a, b]})
 
         kind = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
         part = chunks.select("chunk_id", "vec").mapInPandas(run, f"query_id {kind[0]}, chunk_id {kind[1]}, vector_score double")
         found = part if found is None else found.unionByName(part)
-    return top(found, k, F.desc("vector_score"), F.col("chunk_id"))
+    return found if k is None else top(found, k, F.desc("vector_score"), F.col("chunk_id"))
 
 
 def fuse(bm25_rows: DataFrame, vector_rows: DataFrame, weights: DataFrame | None = None, params: Params = Params()) -> DataFrame:

@@ -130,3 +130,11 @@ def test_ingestion_appends_chunks_and_postings(spark, tmp_path):
     live.ingest(stream, str(tmp_path / "c"), str(tmp_path / "p"), str(tmp_path / "s")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "c")).first()["text"] == "one two\nthree"
     assert spark.read.parquet(str(tmp_path / "p")).count() == 3
+
+
+def test_floor_keeps_all_for_many_queries(spark):
+    v = spark.range(1005).select("id", F.array(F.lit(1.0), (F.col("id") % 3).cast("double")).alias("vec"))
+    q, c = v.withColumnRenamed("id", "query_id"), v.where("id < 30").withColumnRenamed("id", "chunk_id")
+    many, few = [{r["query_id"]: r["count"] for r in retrieve.knn(x, c, None, 0.8).groupBy("query_id").count().collect()} for x in (q, q.where("query_id < 3"))]
+    assert few == {0: 10, 1: 20, 2: 20}
+    assert many == {i: few[i % 3] for i in range(1005)}
