@@ -38,6 +38,8 @@ from answerlens.llm.common import id_bucket
 
 ORDER = 4
 SAMPLE_PER_LANGUAGE = 400
+#: Rows with letters that must remain for learning where a fifth of a language is held back.
+LEAST = 10
 #: Characters of a batch that are scored together.
 CHUNK = 4_000_000
 _U = np.uint64
@@ -230,33 +232,48 @@ def decide(models: Models, ce: np.ndarray, n: np.ndarray) -> pd.DataFrame:
 
 
 def train(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Models:
-    """labelled(doc_id, text, lang) -> models, from about so many documents of each language; a fifth of them calibrates the rejection."""
+    """labelled(doc_id, text, lang) -> models, from about so many documents of each language; a fifth of them calibrates the rejection.
+
+    A language with fewer than LEAST other rows learns from all of its rows; its limit
+    is that of a first model, which leaves out every second one.  Where nothing can be
+    left out, the highest limit of the other languages holds.
+    """
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = counts.select(F.col("lang").alias("_l"), F.least(F.lit(1.0), F.lit(float(sample_per_language)) / F.col("n")).alias("_share"))
-    rates = {r["_l"]: r["_share"] for r in share.orderBy("_l").limit(1000).collect()}  # one number a language
-    if not rates:
-        return Models([], np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros((0, 0)), 1, np.zeros(0))
+    share = counts.select(F.col("lang").alias("_l"), F.least(F.lit(1.0), F.lit(float(sample_per_language)) / F.col("n")).alias("_share"))  # one number a language
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(1_000_000)) / F.lit(1e6)
-    keep = F.lit(False)
-    for lang, rate in rates.items():
-        keep = keep | ((F.col("lang") == lang) & (h < rate))
-    sample = labelled.where(keep).withColumn("held_back", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(31)), F.lit(5)) == 0).select("lang", "text", "held_back").toPandas()
-    counted: dict[str, Counter] = defaultdict(Counter)
-    for lang, text, held in zip(sample["lang"], sample["text"], sample["held_back"], strict=True):
-        if not held or len(sample) < 50:
-            counted[lang].update((text or "").split())
-    for lang in rates:
-        counted.setdefault(lang, Counter())
-    rows = [(lang, w, n) for lang in sorted(counted) for w, n in sorted(counted[lang].items())]
-    models = fit(pd.DataFrame(rows, columns=["lang", "word", "n"]))
-    ce, n = score(models, pa.array(sample["text"], type=pa.string()))
+    fifth = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(31)), F.lit(5)) == 0
+    sample = labelled.join(F.broadcast(share), F.col("lang") == F.col("_l")).where(h < F.col("_share")).select("lang", "text", fifth.alias("held_back")).toPandas()
+    if not len(sample):
+        return Models([], np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros((0, 0)), 1, np.zeros(0))
+    sample["text"] = sample["text"].fillna("")
+    sample = sample.sort_values(["lang", "text"], ignore_index=True)
+    lettered = sample["text"].map(lambda text: any(unicodedata.category(c)[0] == "L" for c in text))
+    few = (lettered & ~sample["held_back"]).groupby(sample["lang"]).transform("sum") < LEAST
+    second = lettered & (lettered.groupby(sample["lang"]).cumsum() % 2 == 0)
+    held = sample["held_back"].where(~few, second)
+    models = fit(_counted(sample[~held]))
+    texts = sample[held]
+    ce, n = score(models, pa.array(texts["text"], type=pa.string()))
     for j, lang in enumerate(models.languages):
-        mine = ((sample["lang"] == lang) & (sample["held_back"] | (len(sample) < 50))).to_numpy() & (n > 0)
-        excess = ce[mine, j] - allowance(n[mine])
-        models.limits[j] = np.quantile(excess, 0.99) + 0.5 if mine.any() else np.inf
+        mine = (texts["lang"] == lang).to_numpy() & (n > 0)
+        if mine.any():
+            models.limits[j] = np.quantile(ce[mine, j] - allowance(n[mine]), 0.99) + 0.5
+    limits = models.limits
+    if (held & few).any():
+        models = fit(_counted(sample[~held | few]))
+    known = limits[np.isfinite(limits)]
+    models.limits = np.where(np.isfinite(limits), limits, known.max() if len(known) else np.inf)
     return models
 
 
+def _counted(rows: pd.DataFrame) -> pd.DataFrame:
+    """rows(lang, text) -> lang, word, n."""
+    counted: dict[str, Counter] = defaultdict(Counter)
+    for lang, text in zip(rows["lang"], rows["text"], strict=True):
+        counted[lang].update(text.split())
+    return pd.DataFrame([(lang, w, n) for lang in sorted(counted) for w, n in sorted(counted[lang].items())], columns=["lang", "word", "n"])
+
+
 def classify(docs: DataFrame, models: Models, keep: list[str] | None = None) -> DataFrame:
     """docs(text, ...) -> the columns in keep, with lang_pred, score, cross_entropy, rejected."""
     keep = keep or ["doc_id"]

@@ -224,6 +224,20 @@ def test_language_id(spark, none):
     assert {r["_lang_pred"] for r in language_id.classify(df.limit(5), empty).collect()} == {"und"}
 
 
+def test_no_language_is_lost_in_training(spark):
+    many = spark.range(1005).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.format_string("l%04d", "id").alias("lang"))
+    assert language_id.train(many).languages == [f"l{i:04d}" for i in range(1005)]
+    held = [r["id"] for r in spark.range(100, 1000).where(F.pmod(F.xxhash64("id", F.lit(31)), F.lit(5)) == 0).limit(3).collect()]
+    rng = random.Random(7)
+    kinds = {"en": ["the", "and", "thing", "with", "other"], "xx": ["żółw", "gęś", "jaźń", "łódź", "ćma"]}
+    text = {k: lambda k=k: " ".join(rng.choice(kinds[k]) for _ in range(20)) for k in kinds}
+    new = spark.createDataFrame([(i, text[k]()) for i, k in enumerate(["en", "xx"] * 10)], "doc_id long, text string")
+    for rare in (held[:1], held):
+        df = spark.createDataFrame([(i, text["en"](), "en") for i in range(60)] + [(i, text["xx"](), "xx") for i in rare], "doc_id long, text string, lang string")
+        out = {r["doc_id"]: (r["_lang_pred"], r["_rejected"]) for r in language_id.classify(new, language_id.train(df)).collect()}
+        assert out == {i: (["en", "xx"][i % 2], False) for i in range(20)}
+
+
 def test_character_models_are_normalised():
     words = pd.DataFrame([("x", "ab", 3), ("x", "abc", 2), ("x", "cab", 1), ("y", "ba", 4)], columns=["lang", "word", "n"])
     m = language_id.fit(words)
