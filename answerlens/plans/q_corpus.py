@@ -22,6 +22,11 @@ def j10_relations(spark, d):
     return C.relations(docs(spark, d), related=0.8, duplicate=0.95)
 
 
+def j10_relations_default(spark, d):
+    """J10 whole: pairs above 0.4, duplicates above 0.8."""
+    return C.relations(docs(spark, d))
+
+
 def j15_coverage(spark, d):
     return C.coverage(asked(spark, d), docs(spark, d))
 
@@ -186,7 +191,7 @@ def j12_scenario(spark, d):
     return H.scenario(q, k)
 
 
-QUERIES = {f.__name__: f for f in (j10_relations, j15_coverage, u3_merge, u4_distinct_pairs, u5_new_lines, g10_issues, p17_section_pairs, p18_render, g11_feedback_pairs, a15_suggestions, a15_remaining, a16_effectiveness, a16_recent, a17_histogram, a18_effectiveness, t6_top_keywords, j4_rules, a21_requests, a21_total, w4_moving_mean, f6_history, a20_statistics, s13_retention, f7_lines, a19_inventory, s4_replace, s5_scan, s6_page, s15_create_drop, j12_scenario)}
+QUERIES = {f.__name__: f for f in (j10_relations, j10_relations_default, j15_coverage, u3_merge, u4_distinct_pairs, u5_new_lines, g10_issues, p17_section_pairs, p18_render, g11_feedback_pairs, a15_suggestions, a15_remaining, a16_effectiveness, a16_recent, a17_histogram, a18_effectiveness, t6_top_keywords, j4_rules, a21_requests, a21_total, w4_moving_mean, f6_history, a20_statistics, s13_retention, f7_lines, a19_inventory, s4_replace, s5_scan, s6_page, s15_create_drop, j12_scenario)}
 
 FB = """f AS (SELECT event_id AS trace_id, CASE event_type WHEN 'view' THEN 'recall_missing' WHEN 'click' THEN 'intent_wrong' ELSE event_type END AS feedback_type, 'kb' || (user_id % 7) AS kb_id, CASE WHEN event_id % 2 = 0 THEN 'i' || (user_id % 5) END AS ic, 'question of ' || user_id AS query, event_type AS action, ts FROM events),
     k AS (SELECT *, CASE WHEN feedback_type = 'recall_missing' THEN kb_id ELSE coalesce(ic, 'other') END AS key FROM f)"""
@@ -235,3 +240,4 @@ ORACLES = {
     "s15_create_drop": "SELECT DISTINCT source AS kb_id FROM documents WHERE source <> 'src2' UNION SELECT r_name FROM region",
     "j12_scenario": "WITH k AS (SELECT source AS kb_id, min(lang) AS s FROM documents GROUP BY 1) SELECT 'src' || (user_id % 30) AS kb_id, event_id AS query_id, coalesce(CASE WHEN event_type = 'view' THEN 'asked' END, s) AS scenario_id FROM events LEFT JOIN k ON k.kb_id = 'src' || (user_id % 30)",
 }
+ORACLES["j10_relations_default"] = ORACLES["j10_relations"].replace("HAVING s > 0.8)", "HAVING s > 0.4)").replace("s > 0.95 THEN", "s > 0.8 THEN")
