@@ -64,6 +64,12 @@ def p18_render(spark, d):
     return C.render(docs(spark, d), qa).select("doc_id", "variant", F.md5("content").alias("digest"))
 
 
+def p18_render_all(spark, d):
+    """P18 with the questions of every document."""
+    qa = t(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("question"), F.col("event_type").alias("answer"))
+    return C.render(docs(spark, d), qa).select("doc_id", "variant", F.md5("content").alias("digest"))
+
+
 def feedback(spark, d):
     """Feedback rows from events."""
     return t(spark, d, "events").select(F.col("event_id").alias("trace_id"), F.when(F.col("event_type") == "view", "recall_missing").when(F.col("event_type") == "click", "intent_wrong").otherwise(F.col("event_type")).alias("feedback_type"), F.concat(F.lit("kb"), F.pmod("user_id", F.lit(7)).cast("string")).alias("kb_id"), F.lit(None).cast("string").alias("intent_type"), F.when(F.pmod("event_id", F.lit(2)) == 0, F.concat(F.lit("i"), F.pmod("user_id", F.lit(5)).cast("string"))).alias("intent_correction"), F.concat(F.lit("question of "), F.col("user_id").cast("string")).alias("query"), F.col("event_type").alias("action"), "ts")
@@ -83,6 +89,12 @@ def a15_remaining(spark, d):
     return R.remaining(f, R.suggestions(f, least=5)).select("trace_id", "feedback_type", "key")
 
 
+def a15_remaining_all(spark, d):
+    """A15 over all feedback; a suggestion needs a twenty-fifth of it."""
+    f = feedback(spark, d)
+    return R.remaining(f, R.suggestions(f, least=f.count() // 25)).select("trace_id", "feedback_type", "key")
+
+
 def rule_events(spark, d):
     return t(spark, d, "events").select("event_id", F.col("user_id").alias("rule_id"), "ts", (F.col("event_type") != "error").alias("effective"), F.when(F.col("event_type") != "view", F.col("value") / 100).alias("evaluation_score"))
 
@@ -191,7 +203,7 @@ def j12_scenario(spark, d):
     return H.scenario(q, k)
 
 
-QUERIES = {f.__name__: f for f in (j10_relations, j10_relations_default, j15_coverage, u3_merge, u4_distinct_pairs, u5_new_lines, g10_issues, p17_section_pairs, p18_render, g11_feedback_pairs, a15_suggestions, a15_remaining, a16_effectiveness, a16_recent, a17_histogram, a18_effectiveness, t6_top_keywords, j4_rules, a21_requests, a21_total, w4_moving_mean, f6_history, a20_statistics, s13_retention, f7_lines, a19_inventory, s4_replace, s5_scan, s6_page, s15_create_drop, j12_scenario)}
+QUERIES = {f.__name__: f for f in (j10_relations, j10_relations_default, j15_coverage, u3_merge, u4_distinct_pairs, u5_new_lines, g10_issues, p17_section_pairs, p18_render, p18_render_all, g11_feedback_pairs, a15_suggestions, a15_remaining, a15_remaining_all, a16_effectiveness, a16_recent, a17_histogram, a18_effectiveness, t6_top_keywords, j4_rules, a21_requests, a21_total, w4_moving_mean, f6_history, a20_statistics, s13_retention, f7_lines, a19_inventory, s4_replace, s5_scan, s6_page, s15_create_drop, j12_scenario)}
 
 FB = """f AS (SELECT event_id AS trace_id, CASE event_type WHEN 'view' THEN 'recall_missing' WHEN 'click' THEN 'intent_wrong' ELSE event_type END AS feedback_type, 'kb' || (user_id % 7) AS kb_id, CASE WHEN event_id % 2 = 0 THEN 'i' || (user_id % 5) END AS ic, 'question of ' || user_id AS query, event_type AS action, ts FROM events),
     k AS (SELECT *, CASE WHEN feedback_type = 'recall_missing' THEN kb_id ELSE coalesce(ic, 'other') END AS key FROM f)"""
@@ -241,3 +253,5 @@ ORACLES = {
     "j12_scenario": "WITH k AS (SELECT source AS kb_id, min(lang) AS s FROM documents GROUP BY 1) SELECT 'src' || (user_id % 30) AS kb_id, event_id AS query_id, coalesce(CASE WHEN event_type = 'view' THEN 'asked' END, s) AS scenario_id FROM events LEFT JOIN k ON k.kb_id = 'src' || (user_id % 30)",
 }
 ORACLES["j10_relations_default"] = ORACLES["j10_relations"].replace("HAVING s > 0.8)", "HAVING s > 0.4)").replace("s > 0.95 THEN", "s > 0.8 THEN")
+ORACLES["p18_render_all"] = ORACLES["p18_render"].replace(" WHERE user_id < 50", "")
+ORACLES["a15_remaining_all"] = f"WITH {FB} SELECT trace_id, feedback_type, key FROM k QUALIFY count(*) OVER (PARTITION BY feedback_type, key) < (SELECT count(*) // 25 FROM events)"

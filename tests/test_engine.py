@@ -159,3 +159,17 @@ def test_relations_at_the_defaults(spark):
     similar = [x for r in got for x in r if isinstance(x, float)]
     assert any(0.4 < x <= 0.8 for x in similar)
     assert {"related", "duplicate"} == {x for r in got for x in r if isinstance(x, str)}
+
+
+def test_queries_take_all_events(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    for name in ("p18_render_all", "a15_remaining_all"):
+        got, want = against_sql(spark, name)
+        assert got == want and got
+        if name == "a15_remaining_all":
+            assert max(x for r in got for x in r if isinstance(x, int)) >= 200 and len(got) < 1000
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    late = events.withColumn("event_id", F.col("event_id") + 500)  # no event has a number under 500
+    late.write.parquet(str(tmp_path / "events.parquet"))
+    both = [entry.queries()["p21_params"](spark, x).groupBy("eff_similarity_threshold", "eff_top_k").count() for x in (folder, str(tmp_path))]
+    assert set(map(tuple, both[0].collect())) == set(map(tuple, both[1].collect()))
