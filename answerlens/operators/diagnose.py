@@ -61,12 +61,12 @@ def metadata_filter(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def diagnose(parts: dict[str, DataFrame]) -> DataFrame:
-    """Parts (query_id, count) by type -> items with severity."""
+    """Parts (query_id, count, high) by type -> items with severity: high where the part says so, else medium."""
     rows = None
     for kind, df in parts.items():
-        item = df.select("query_id", F.lit(kind).alias("type"), F.col("count").cast("long").alias("count"))
+        item = df.select("query_id", F.lit(kind).alias("type"), F.col("count").cast("long").alias("count"), F.when(F.col("high"), "high").otherwise("medium").alias("severity"))
         rows = item if rows is None else rows.unionByName(item)
-    return rows.withColumn("severity", F.when(F.col("count") >= 10, "high").when(F.col("count") >= 3, "medium").otherwise("low"))
+    return rows
 
 
 def summarise(items: DataFrame, queries: DataFrame) -> DataFrame:

@@ -40,6 +40,12 @@ def u3_merge(spark, d):
     return C.merged(docs(spark, d), _pairs(spark, d)).select("a", "b", F.md5("text").alias("digest"))
 
 
+def u3_merge_duplicates(spark, d):
+    """U3 over the duplicates of J10."""
+    pairs = C.relations(docs(spark, d)).where("relation = 'duplicate'").select("a", "b")
+    return C.merged(docs(spark, d), pairs).select("a", "b", F.md5("text").alias("digest"))
+
+
 def u4_distinct_pairs(spark, d):
     e = t(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("question"), F.floor("value").cast("string").alias("answer"))
     return C.distinct_pairs(e)
@@ -203,7 +209,7 @@ def j12_scenario(spark, d):
     return H.scenario(q, k)
 
 
-QUERIES = {f.__name__: f for f in (j10_relations, j10_relations_default, j15_coverage, u3_merge, u4_distinct_pairs, u5_new_lines, g10_issues, p17_section_pairs, p18_render, p18_render_all, g11_feedback_pairs, a15_suggestions, a15_remaining, a15_remaining_all, a16_effectiveness, a16_recent, a17_histogram, a18_effectiveness, t6_top_keywords, j4_rules, a21_requests, a21_total, w4_moving_mean, f6_history, a20_statistics, s13_retention, f7_lines, a19_inventory, s4_replace, s5_scan, s6_page, s15_create_drop, j12_scenario)}
+QUERIES = {f.__name__: f for f in (j10_relations, j10_relations_default, j15_coverage, u3_merge, u3_merge_duplicates, u4_distinct_pairs, u5_new_lines, g10_issues, p17_section_pairs, p18_render, p18_render_all, g11_feedback_pairs, a15_suggestions, a15_remaining, a15_remaining_all, a16_effectiveness, a16_recent, a17_histogram, a18_effectiveness, t6_top_keywords, j4_rules, a21_requests, a21_total, w4_moving_mean, f6_history, a20_statistics, s13_retention, f7_lines, a19_inventory, s4_replace, s5_scan, s6_page, s15_create_drop, j12_scenario)}
 
 FB = """f AS (SELECT event_id AS trace_id, CASE event_type WHEN 'view' THEN 'recall_missing' WHEN 'click' THEN 'intent_wrong' ELSE event_type END AS feedback_type, 'kb' || (user_id % 7) AS kb_id, CASE WHEN event_id % 2 = 0 THEN 'i' || (user_id % 5) END AS ic, 'question of ' || user_id AS query, event_type AS action, ts FROM events),
     k AS (SELECT *, CASE WHEN feedback_type = 'recall_missing' THEN kb_id ELSE coalesce(ic, 'other') END AS key FROM f)"""
@@ -255,3 +261,4 @@ ORACLES = {
 ORACLES["j10_relations_default"] = ORACLES["j10_relations"].replace("HAVING s > 0.8)", "HAVING s > 0.4)").replace("s > 0.95 THEN", "s > 0.8 THEN")
 ORACLES["p18_render_all"] = ORACLES["p18_render"].replace(" WHERE user_id < 50", "")
 ORACLES["a15_remaining_all"] = f"WITH {FB} SELECT trace_id, feedback_type, key FROM k QUALIFY count(*) OVER (PARTITION BY feedback_type, key) < (SELECT count(*) // 25 FROM events)"
+ORACLES["u3_merge_duplicates"] = ORACLES["u3_merge"].replace("SELECT doc_id AS a, doc_id + 1 AS b FROM documents", f"SELECT a, b FROM ({ORACLES['j10_relations_default']}) WHERE relation = 'duplicate'")

@@ -133,10 +133,26 @@ def j16_misses(spark, d):
     return diagnose.misses(q, docs, got, threshold=0.2).select("query_id", "chunk_id", "similarity", F.col("overlap").cast("long").alias("overlap"), "cause")
 
 
+def _diagnosis(spark, d):
+    """G4's items: source is the base, lang the file type, and file names carry a year."""
+    f, every, v = _fused(spark, d), chunks(spark, d), vectors(spark, d)
+    q = asked(spark, d).withColumn("kb_id", F.concat(F.lit("src"), F.pmod("query_id", F.lit(20)).cast("string")))
+    got = retrieve.top(f, 5, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id")
+    files = t(spark, d, "documents").select(F.col("source").alias("kb_id"), F.col("lang").alias("file_type"), F.concat(F.lit("report "), (F.pmod("doc_id", F.lit(5)) + 2020).cast("string")).alias("file_name"))
+    patterns = spark.createDataFrame([("tion", "^th.*tion$"), ("end", "^en.*nd$")], "domain string, pattern string")
+    modes = diagnose.mode_difference(f, got, asked(spark, d), every).groupBy("query_id").agg(F.sum(F.when(F.col("kind") != "both", F.col("n")).otherwise(0)).alias("count"), (F.sum("valuable") > 0).alias("high"))
+    missed = diagnose.misses(q.join(v.withColumnRenamed("chunk_id", "query_id"), "query_id"), v.join(every.select("chunk_id", "text"), "chunk_id"), got, threshold=0.2)
+    return diagnose.diagnose({
+        "metadata_filter": diagnose.metadata_filter(q, files).groupBy("query_id").agg(F.sum("count").alias("count"), F.lit(False).alias("high")),
+        "near_threshold": diagnose.near_threshold(f).withColumn("high", F.col("count") >= 3),
+        "mode_difference": modes.where("count > 0"),
+        "keyword_gap": diagnose.keyword_gap(q, I.vocabulary(chunks(spark, d, F.col("source"))), patterns).groupBy("query_id").agg(F.sum(F.size("missing")).alias("count"), F.lit(False).alias("high")),
+        "potential_misses": missed.groupBy("query_id").agg(F.count(F.lit(1)).alias("count"), F.lit(True).alias("high")),
+    })
+
+
 def g4_diagnosis(spark, d):
-    f = _fused(spark, d)
-    items = diagnose.diagnose({"near_threshold": diagnose.near_threshold(f), "candidates": f.groupBy("query_id").agg(F.count(F.lit(1)).alias("count"))})
-    return diagnose.summarise(items, asked(spark, d))
+    return diagnose.summarise(_diagnosis(spark, d), asked(spark, d))
 
 
 def g5_business(spark, d):

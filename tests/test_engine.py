@@ -173,3 +173,24 @@ def test_queries_take_all_events(spark, tmp_path):
     late.write.parquet(str(tmp_path / "events.parquet"))
     both = [entry.queries()["p21_params"](spark, x).groupBy("eff_similarity_threshold", "eff_top_k").count() for x in (folder, str(tmp_path))]
     assert set(map(tuple, both[0].collect())) == set(map(tuple, both[1].collect()))
+
+
+def test_diagnosis_has_every_kind_of_item(spark):
+    from answerlens.plans import q_trace
+
+    kinds = {r["type"]: r["high"] for r in q_trace._diagnosis(spark, "/root/testdata/sf0.001").groupBy("type").agg(F.count_if(F.col("severity") == "high").alias("high")).collect()}
+    assert {"metadata_filter", "mode_difference", "potential_misses"} <= set(kinds) <= {"metadata_filter", "near_threshold", "mode_difference", "keyword_gap", "potential_misses"}
+    assert kinds["metadata_filter"] == 0 and kinds["potential_misses"] > 0
+
+
+def test_metadata_filter_counts_types_and_years(spark):
+    from answerlens.operators import diagnose
+
+    q = spark.createDataFrame([(1, "k", "the pdf of 2021"), (2, "k", "2019 and 2021"), (3, "k", "pdf txt")], "query_id long, kb_id string, query string")
+    c = spark.createDataFrame([("k", "pdf", "a 2021"), ("k", "txt", "b")], "kb_id string, file_type string, file_name string")
+    assert {(r["query_id"], r["type"]): r["count"] for r in diagnose.metadata_filter(q, c).collect()} == {(1, "file_type"): 1, (2, "file_type"): 2, (2, "date"): 1}
+
+
+def test_duplicates_are_merged(spark):
+    got, want = against_sql(spark, "u3_merge_duplicates")
+    assert got == want and any(b > a + 1 for a, b, _ in got)
