@@ -18,8 +18,10 @@ cut out of the raw text; then NFC, lower case; then contractions, runs of letter
 single digits and runs of other marks, white space dropped.
 
 Defined cases: a null text counts as empty; an empty text has no tokens and
-decodes to an empty text; repeated rows give repeated results; the caches of words
-are emptied when they are full, so memory does not grow with the corpus.
+decodes to an empty text; an empty table gives no rows; repeated rows give repeated
+results; columns other than doc_id and text do not matter; a vocabulary file of
+another kind is an error.  What a worker keeps of words met before is bounded in
+bytes, so memory grows with the longest text and not with the corpus.
 """
 
 from __future__ import annotations
@@ -27,16 +29,43 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words and white-space separated pieces that one Python worker keeps.
-CACHE = 400_000
+#: About the bytes of words that one Python worker keeps.
+CACHE_BYTES = 64 << 20
+#: Bytes of text whose distinct pieces are encoded together.
+CHUNK = 8 << 20
+#: Transitions that one worker keeps, of about 100 bytes each.
+TRANSITIONS = 500_000
+#: Labels are smaller than this, so a state and a label make one number.
+LABELS = 1 << 24
+
+
+class Recent(dict):
+    """What was met lately, of bounded size: when it is full, the half that came first is let go."""
+
+    size = 0
+
+    def keep(self, key, value, size: int):
+        """size: bytes that the value holds beside the key; an entry of more than a tenth of the whole isn't kept."""
+        size += len(key) + 200
+        if 10 * size <= CACHE_BYTES:
+            if self.size + size > CACHE_BYTES:
+                for old in list(islice(self, len(self) // 2)):
+                    del self[old]
+                self.size //= 2
+            self[key] = value
+            self.size += size
+        return value
 
 
 class Automaton:
@@ -46,7 +75,7 @@ class Automaton:
         self.target = dict.fromkeys(base, 0)
         self.beside: dict[int, tuple[int, int]] = dict.fromkeys(base, (-1, -1))  # label -> (label it was set beside, time)
         self.copied: list[tuple[int, int, int]] = [(-1, -1, -1)]  # state -> (state copied, label lost, time)
-        self.table: dict[tuple[int, int], int] = {}
+        self.table: dict[int, int] = {}
         for time, (a, b, c) in enumerate(merges):
             if c in self.target or a not in self.target or b not in self.target or not self._has(self.target[a], b):
                 continue
@@ -71,9 +100,11 @@ class Automaton:
 
     def step(self, state: int, label: int) -> int:
         """The next state, or -1."""
-        nxt = self.table.get((state, label))
+        nxt = self.table.get(state * LABELS + label)
         if nxt is None:
-            nxt = self.table[state, label] = self.target[label] if self._has(state, label) else -1
+            if len(self.table) >= TRANSITIONS:
+                self.table.clear()
+            nxt = self.table[state * LABELS + label] = self.target[label] if self._has(state, label) else -1
         return nxt
 
 
@@ -83,11 +114,12 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        expected_kind(spec)
         model = spec["model"]
         vocab = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs if a in vocab and b in vocab and a + b in vocab]
+        merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
         made = {c for *_, c in merges}
         self.names = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -99,24 +131,20 @@ class Encoder:
         self.longest = max(map(len, self.vocab)) - len(self.end)
         self.prefixes = {t[:k] for t in self.vocab for k in range(1, len(t) + 1)}
         self.letters = _byte_letters()
-        self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str, tuple[str, str]] = {}
+        self.words = Recent()
 
     def word(self, word: str) -> list[int]:
         """Token ids of one pre-split word."""
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            ids = self.words[word] = self._encode(word)
+            ids = self._encode(word)
+            self.words.keep(word, ids, 8 * len(ids))
         return ids
 
     def _encode(self, word: str) -> list[int]:
         s = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode("utf-8")))
         n, vocab, prefixes = len(s), self.vocab, self.prefixes
         table, step = self.automaton.table, self.automaton.step
-        if len(table) > 4 * CACHE:
-            table.clear()
         closing = n - self.longest
         dead, path, i, state = set(), [], 0, 0
         options = None
@@ -124,7 +152,7 @@ class Encoder:
             if options is None:  # labels that spell what comes next, the longest last
                 options = []
                 if i >= closing and (label := vocab.get(s[i:] + self.end)) is not None:
-                    nxt = table.get((state, label))
+                    nxt = table.get(state * LABELS + label)
                     if (step(state, label) if nxt is None else nxt) >= 0:
                         return [x[2] for x in path] + [label]
                 j = i + 1
@@ -136,7 +164,7 @@ class Encoder:
                 j, label = options.pop()
                 if j in dead:
                     continue
-                nxt = table.get((state, label))
+                nxt = table.get(state * LABELS + label)
                 if nxt is None:
                     nxt = step(state, label)
                 if nxt >= 0:
@@ -153,8 +181,10 @@ class Encoder:
         return [i for w in self.pattern.findall(text) for i in self.word(w)]
 
     def ids(self, piece: str) -> list[int]:
-        if piece.isalpha() and piece.isascii():
-            return self._encode(piece.lower())
+        if piece.isascii():
+            core = piece.rstrip(_MARKS)
+            if core.isalpha():  # a word, or a word and a run of marks
+                return self.word(core.lower()) + (self.word(piece[len(core) :]) if len(core) < len(piece) else [])
         if "<|" not in piece or not self.cut:
             return self._plain(piece)
         out = []
@@ -163,14 +193,6 @@ class Encoder:
                 out += [self.special[part]] if part in self.special else self._plain(part)
         return out
 
-    def piece(self, piece: str) -> tuple[str, str]:
-        """Ids and labels, each joined by spaces, of a stretch of text without white space."""
-        if len(self.pieces) >= CACHE:
-            self.pieces.clear()
-        ids = self.ids(piece)
-        found = self.pieces[piece] = (" ".join(map(str, ids)), self.decode(ids))
-        return found
-
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, joined by spaces, as the library decodes without a decoder."""
         return " ".join(map(self.names.__getitem__, ids))
@@ -178,16 +200,39 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         return [i for p in _split(text) for i in self.ids(p)]
 
-    def text(self, text: str) -> tuple[str, str]:
-        """Ids joined by spaces, and the decoded text."""
-        get, found = self.pieces.get, []
-        for p in _split(text):
-            found.append(get(p) or self.piece(p))
-        found = [x for x in found if x[0]]
-        return " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
+    def texts(self, texts: pa.Array, odd: bool = False) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """For each text: the number of ids, the ids joined by spaces, the decoded text.  Every distinct piece is encoded once; odd: whether a text has what only str.split takes for white space."""
+        pieces = pc.split_pattern_regex(texts, _WHITE.pattern) if odd else pc.utf8_split_whitespace(texts)
+        flat = pc.dictionary_encode(pieces.flatten())
+        at, offsets = flat.indices, pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        each = [self.ids(p) for p in flat.dictionary.to_pylist()]
+        n = np.array([len(x) for x in each], dtype=np.int64)[at.to_numpy()]
+        if not n.all():  # a piece without a token leaves no gap
+            gone = np.concatenate([[0], np.cumsum(n == 0)])
+            at, n, offsets = at.filter(pa.array(n > 0)), n[n > 0], offsets - gone[offsets]
+        upto = np.concatenate([[0], np.cumsum(n)])
+
+        def joined(strings: list[str]) -> pa.Array:
+            words = pa.array(strings, pa.large_string()).take(at)
+            return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), words), pa.scalar(" ", pa.large_string()))
+
+        return np.diff(upto[offsets]), joined([" ".join(map(str, x)) for x in each]), joined([self.decode(x) for x in each])
+
+    def batch(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array]]:
+        """texts() for a column of any size, null as empty, a chunk after the other."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        odd = pc.match_substring_regex(texts, _ODD.pattern).to_numpy(zero_copy_only=False)
+        start = 0
+        while start < len(texts):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK, side="right")))
+            yield self.texts(texts.slice(start, stop - start), bool(odd[start:stop].any()))
+            start = stop
 
 
 _ODD = regex.compile("[\x1c-\x1f]")
+#: Marks that a word may end with; no special token ends with them, and none of them begins a contraction by itself.
+_MARKS = ".,;:!?)"
 #: White space as the vocabulary's patterns know it, which is not str.split's.
 _WHITE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 
@@ -203,7 +248,24 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-@lru_cache(maxsize=2)
+def expected_kind(spec: dict) -> None:
+    """Raise unless the file asks for what this module does: NFC, lower case, this splitting, byte letters, suffixed words."""
+    model, normaliser, split = spec["model"], spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    kinds = [x["type"] for x in normaliser.get("normalizers", [normaliser])]
+    # what a vocabulary of white-space runs made one does not change here, since white space is dropped
+    kinds = [k for k in kinds if k != "Replace"]
+    steps = [x["type"] for x in split.get("pretokenizers", [])]
+    wanted = {
+        "model": model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("continuing_subword_prefix") and not model.get("dropout") and not model.get("byte_fallback") and not model.get("ignore_merges"),
+        "normalizer": kinds == ["NFC", "Lowercase"],
+        "pre_tokenizer": steps == ["Split", "ByteLevel"],
+        "decoder": spec.get("decoder") is None,
+    }
+    if wrong := [k for k, fine in wanted.items() if not fine]:
+        raise ValueError(f"this vocabulary file is of another kind: its {', '.join(wrong)} is not supported")
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One compiled automaton for each vocabulary and Python worker."""
     return Encoder(path)
@@ -215,41 +277,34 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, decoded: bool = True) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, ids (decimal, joined by a space) and, if wanted, the decoded text."""
+def _with(docs: DataFrame, path: str | None, schema: str, made: Callable[[np.ndarray, pa.Array, pa.Array], list[pa.Array]]) -> DataFrame:
+    """doc_id and what made() gives for the numbers of ids, ids and decoded texts of a chunk."""
     path = path or word_vocabulary()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for pdf in batches:
-            for a in range(0, len(pdf), 500):
-                part = pdf.iloc[a : a + 500]
-                both = [e.text(t or "") for t in part["text"]]
-                out = {"doc_id": part["doc_id"].astype("Int64").to_numpy(), "ids": [x for x, _ in both]}
-                yield pd.DataFrame(out | ({"decoded": [y for _, y in both]} if decoded else {}))
+        for batch in batches:
+            ids, start = batch.column(0), 0
+            for got in e.batch(batch.column(1)):
+                columns = [ids.slice(start, len(got[0])), *made(*got)]
+                start += len(got[0])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *[x.split()[0] for x in schema.split(", ")]])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids string" + ", decoded string" * decoded)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + schema)
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, decoded: bool = True) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, ids (decimal, joined by a space) and, if wanted, the decoded text."""
+    return _with(docs, path, "ids string" + ", decoded string" * decoded, lambda n, ids, text: [x.cast(pa.string()) for x in (ids, text)[: 1 + decoded]])
 
 
 def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    path = path or word_vocabulary()
 
-    def sha(s: str) -> str:
-        return hashlib.sha256(s.encode("utf-8")).hexdigest()
+    def sha(strings: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in strings.cast(pa.large_binary())], pa.string())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path)
-        for pdf in batches:
-            both = [e.text(t or "") for t in pdf["text"]]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"),
-                "n_tokens": [x.count(" ") + 1 if x else 0 for x, _ in both],
-                "ids_sha256": [sha(x) for x, _ in both],
-                "decoded_sha256": [sha(y) for _, y in both],
-            })
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _with(docs, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda n, ids, text: [pa.array(n, pa.int64()), sha(ids), sha(text)])
 
 
 def op5_bpe_automaton(spark, sf_dir):

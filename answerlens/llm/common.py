@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: With it, Spark deletes the shuffle files of an action when the action is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,31 +20,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new local one where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where none is set, a local master gets a new local folder, which its one process
+    can read; on a cluster that is an error.
+    """
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="answerlens-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="answerlens-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files that no plan refers to any more go once the driver has collected those plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """DataFrames made here leave no shuffle files behind their actions."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and drop the lineage."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    release(spark)
-    out = df.checkpoint()
-    del df
-    release(spark)
-    return out
+    """Materialise in the shared folder, drop the lineage and the shuffle files that led there."""
+    shared_dir(df.sparkSession)
+    with shuffles_deleted(df.sparkSession):
+        return df.select("*").checkpoint()
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete what cut() wrote, of tables from which everything wanted has been cut again."""
+    for df in frames:
+        written = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if written.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(written.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_bucket(column: str, n: int) -> Column:

@@ -17,7 +17,9 @@ shrinks with length.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and is
 rejected; with nothing to learn from, every text is ``und``; ties go to the
-language first in code-point order; repeated rows and other columns do not matter.
+language first in code-point order; an empty table gives no rows; repeated rows are
+judged alike; a long text is scored in one piece with others of its chunk; other
+columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from answerlens.llm.common import id_bucket
 
@@ -41,7 +44,8 @@ SAMPLE_PER_LANGUAGE = 400
 #: Rows with letters that must remain for learning where a fifth of a language is held back.
 LEAST = 10
 #: Characters of a batch that are scored together.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
+MADE = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 
@@ -274,31 +278,27 @@ def _counted(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(lang, w, n) for lang in sorted(counted) for w, n in sorted(counted[lang].items())], columns=["lang", "word", "n"])
 
 
-def classify(docs: DataFrame, models: Models, keep: list[str] | None = None) -> DataFrame:
-    """docs(text, ...) -> the columns in keep, with lang_pred, score, cross_entropy, rejected."""
-    keep = keep or ["doc_id"]
+def classify(docs: DataFrame, models: Models) -> DataFrame:
+    """docs(text, ...) -> row (a struct of all columns of docs, so that no names can clash), lang_pred, score, cross_entropy, rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the training sample
-    kept = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    extra = "_lang_pred string, _lang_score double, _cross_entropy double, _rejected boolean"
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep) + ", " + extra
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_string())
+            texts = batch.column(0).field(at).cast(pa.large_string())
             sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
             start = 0
             while start < len(texts):
                 before = sizes[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(sizes, before + CHUNK)))
                 d = decide(m, *(score(m, texts[start:stop]) if m.languages else (np.zeros((stop - start, 0)), np.zeros(stop - start))))
-                part = batch.slice(start, stop - start)
-                columns = [part.column(part.schema.get_field_index(c)) for c in keep]
-                columns += [pa.array(d["lang_pred"], pa.string()), pa.array(d["score"], pa.float64()), pa.array(d["cross_entropy"], pa.float64()), pa.array(d["rejected"], pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_lang_pred", "_lang_score", "_cross_entropy", "_rejected"])
+                columns = [batch.column(0).slice(start, stop - start), pa.array(d["lang_pred"], pa.string()), pa.array(d["score"], pa.float64()), pa.array(d["cross_entropy"], pa.float64()), pa.array(d["rejected"], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "lang_pred", "score", "cross_entropy", "rejected"])
                 start = stop
 
-    return kept.mapInArrow(run, out_schema)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *MADE]))
 
 
 def held_out() -> Column:
@@ -312,5 +312,5 @@ def learned(docs: DataFrame) -> Models:
 def op9_language_id(spark, sf_dir):
     """Every document's language by character models of the other two thirds."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = classify(docs.select("doc_id", "text"), learned(docs))
-    return out.select("doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"), F.col("_rejected").alias("rejected"), F.col("_cross_entropy").alias("cross_entropy"))
+    out = classify(docs.select("doc_id", "text"), learned(docs)).withColumn("doc_id", F.col("row.doc_id"))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")

@@ -14,7 +14,7 @@ key with the cut and the texts are not shuffled.
 Defined cases: a null text has size 0; a null source is a source of its own, last
 in order; equal keys are ordered by doc_id, then by a hash of the text, and rows
 equal in all three fall on the same side of the cut; an empty table gives no rows;
-columns of the input are kept whatever their names.
+columns of the input come back inside one struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -65,57 +65,83 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], total_share: fl
     return level.withColumn("_lambda", first_free).select("source", "source_size", F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_w") * F.col("_lambda")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: float = 1.5, most: float = 2.0, seed: int = 17, buckets: int = BUCKETS) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> its columns with _size, _source_size, _target, _epochs (times taken)."""
-    keyed = (
-        docs.withColumn("_size", word_count(F.col("text")))
-        .withColumn("_tie", F.xxhash64(F.col("text"), F.lit(seed)))
-        .withColumn("_u", (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_tie")), 11) + F.lit(0.5)) / F.lit(float(2**53)))
-        .withColumn("_key", -F.log(F.col("_u")) / quality_weight(F.col("text")))
-        .withColumn("_bucket", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * F.lit(buckets)).cast("int"))
+def keyed(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
+    """docs(doc_id, text, source, ...) -> row (a struct of all its columns), doc_id, source, tie, key, bucket."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text, doc_id = F.col("row.text"), F.col("row.doc_id")
+    return (
+        rows.withColumns({"doc_id": doc_id, "source": F.col("row.source"), "tie": F.xxhash64(text, F.lit(seed))})
+        .withColumn("u", (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "tie"), 11) + F.lit(0.5)) / F.lit(float(2**53)))
+        .withColumn("key", -F.log("u") / quality_weight(text))
+        .withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(buckets)).cast("int"))
     )
-    base = cut(keyed.select("doc_id", "source", "_size", "_tie", "_key", "_bucket"))
-    sums = base.groupBy("source", "_bucket").agg(F.sum("_size").alias("_sum"))
-    sizes = base.groupBy("source").agg(F.sum("_size").alias("source_size"))
+
+
+def cuts(base: DataFrame, weights: tuple[float, ...], total_share: float, most: float) -> DataFrame:
+    """base(doc_id, source, size, tie, key, bucket) -> a row a source: source, source_size, target, whole, rest, and where what is taken beside whole epochs ends."""
+    sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
+    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = (
         source_targets(sizes, weights, total_share, most)
-        .withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(F.lit(0)).cast("int"))
-        .withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size")))
+        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(F.lit(0)).cast("int"))
+        .withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     )
     targets = cut(targets)
-    small = targets.count() <= BROADCAST_SOURCES
-    hint = F.broadcast if small else (lambda df: df)
+    hint = F.broadcast if targets.count() <= BROADCAST_SOURCES else (lambda df: df)
 
-    by_bucket = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(by_bucket), F.lit(0)))
-    t = targets.select(F.col("source").alias("_s"), F.col("_rest"))
+    by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("before", F.coalesce(F.sum("sum").over(by_bucket), F.lit(0)))
+    t = targets.select(F.col("source").alias("s"), "rest")
     ends = (
-        offsets.join(hint(t), F.col("source").eqNullSafe(F.col("_s")))
-        .where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_sum") > F.col("_rest")) & (F.col("_rest") > 0))
-        .select(F.col("_s").alias("_es"), F.col("_bucket").alias("_eb"), "_before", "_rest")
+        offsets.join(hint(t), F.col("source").eqNullSafe(F.col("s")))
+        .where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("sum") > F.col("rest")) & (F.col("rest") > 0))
+        .select("s", F.col("bucket").alias("end_bucket"), "before", "rest")
     )
-    rows = base.join(hint(ends), F.col("source").eqNullSafe(F.col("_es")) & (F.col("_bucket") == F.col("_eb")))
-    order = [F.col("_key"), F.col("doc_id").asc_nulls_first(), F.col("_tie")]
-    within = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = base.join(hint(ends), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("end_bucket")))
+    within = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "tie").rowsBetween(Window.unboundedPreceding, -1)
     # a document is taken if at least half of it fits what is left
-    taken = rows.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_size").over(within), F.lit(0))).where(F.col("_at") + F.col("_size") / 2 <= F.col("_rest"))
-    last = taken.groupBy("source").agg(F.max(F.struct("_key", F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("i"), "_tie")).alias("_last"))
-    cuts = (
-        targets.join(ends.select("_es", "_eb"), F.col("source").eqNullSafe(F.col("_es")), "left")
-        .join(last.select(F.col("source").alias("_ls"), "_last"), F.col("source").eqNullSafe(F.col("_ls")), "left")
-        .select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_whole", "_rest", "_eb", "_last")
+    taken = rows.withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))).where(F.col("at") + F.col("size") / 2 <= F.col("rest"))
+    last = taken.groupBy("source").agg(F.max(_place()).alias("last"))
+    out = (
+        targets.join(ends.select("s", "end_bucket"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        .join(last.select(F.col("source").alias("s"), "last"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        .withColumnRenamed("source", "cut_source")
     )
-    cuts = cut(cuts)
-    here = F.struct("_key", F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("i"), "_tie")
-    inside = F.when(F.col("_rest") <= 0, F.lit(False)).when(F.col("_eb").isNull(), F.lit(True)).when(F.col("_bucket") != F.col("_eb"), F.col("_bucket") < F.col("_eb")).otherwise(F.coalesce(here <= F.col("_last"), F.lit(False)))
-    return (
-        keyed.join(hint(cuts), F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("_epochs", (F.col("_whole") + inside.cast("int")).cast("int"))
-        .select(*[F.col(c) for c in docs.columns], "_size", "_source_size", "_target", "_epochs")
+    return cut(out)
+
+
+def _place() -> Column:
+    return F.struct("key", F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("i"), "tie")
+
+
+def _taken(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """rows(doc_id, source, tie, key, bucket, ...) with source_size, target and epochs."""
+    hint = F.broadcast if ends.count() <= BROADCAST_SOURCES else (lambda df: df)
+    inside = (
+        F.when(F.col("rest") <= 0, F.lit(False)).when(F.col("end_bucket").isNull(), F.lit(True))
+        .when(F.col("bucket") != F.col("end_bucket"), F.col("bucket") < F.col("end_bucket")).otherwise(F.coalesce(_place() <= F.col("last"), F.lit(False)))
     )
+    return rows.join(hint(ends), F.col("source").eqNullSafe(F.col("cut_source"))).withColumn("epochs", (F.col("whole") + inside.cast("int")).cast("int"))
+
+
+def _base(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
+    rows = keyed(docs.select("doc_id", "text", "source"), seed, buckets).withColumn("size", word_count(F.col("row.text")))
+    return cut(rows.select("doc_id", "source", "size", "tie", "key", "bucket"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: float = 1.5, most: float = 2.0, seed: int = 17, buckets: int = BUCKETS) -> DataFrame:
+    """docs(doc_id, text, source, ...) -> row (a struct of all its columns), source_size, target, epochs (times taken)."""
+    ends = cuts(_base(docs, seed, buckets), weights, total_share, most)
+    return _taken(keyed(docs, seed, buckets), ends).select("row", "source_size", "target", "epochs")
+
+
+def shares(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: float = 1.5, most: float = 2.0, seed: int = 17, buckets: int = BUCKETS) -> DataFrame:
+    """mix() without the texts, which are read once: doc_id, source, size, source_size, target, epochs."""
+    base = _base(docs, seed, buckets)
+    return _taken(base, cuts(base, weights, total_share, most)).select("doc_id", "source", "size", "source_size", "target", "epochs")
 
 
 def op10_mix_sources(spark, sf_dir):
     """Every document with its size, its source's size and target, and the words taken from it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_epochs")).alias("taken"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return shares(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))

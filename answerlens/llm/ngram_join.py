@@ -6,23 +6,27 @@ with too few shared shingles to reach the threshold with anything are out at onc
 Of each other document's shingles, sorted from rare to frequent, a prefix is kept
 that must meet the prefix of every document it can be linked with.  Documents that
 share a prefix shingle and lie in one size band, or in it and the next, form a
-tile.
+tile; of tiles with the same members one is kept.
 
 Equal sets are one node.  First every tile's leader is compared with the others of
-its tile, and in some more rounds, where a tile still holds more than one component,
-a few leaders drawn anew with the members of other components; so groups of near
-copies are connected by a number of comparisons in proportion to their size.  Then,
-in tiles that still hold more than one component, all pairs across components are
-compared; large tiles are cut into cells.  A pair
-is first bounded from above by its bitmap signatures: each bit of one that the
-other lacks is at least one shingle not shared.  What passes is decided by
-intersecting the sorted arrays.  So no pair that could add a connection is lost.
+its tile, so a group of near copies is connected by a number of comparisons in
+proportion to its size.  Tiles that then still hold more than one component are
+compared across components: what is not in the tile's largest component meets all
+of the tile, in cells of bounded size.  Inside a cell a pair is first bounded from
+above by bitmap signatures (each bit of one that the other lacks is at least one
+shingle not shared), then decided by intersecting the sorted arrays; a pair whose
+ends the cell has connected already is skipped.  So a cell gives fewer links than
+it has members, and no pair that could add a connection is lost.
+
+What is computed are the components: links between documents that are connected
+anyway are neither looked for nor counted.
 
 Defined cases: a document without words has an empty set and is linked with
 nothing; with fewer than five words its whole sequence is its one shingle; the
 number of shingles is that of distinct ones; repeated rows are linked as equal sets
 (unless empty); a null doc_id takes part and is never the component's id unless
-nothing else is there; columns other than doc_id and text do not matter.
+nothing else is there; an empty table gives no rows; columns other than doc_id and
+text do not matter.
 """
 
 from __future__ import annotations
@@ -36,16 +40,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlens.llm import blocks as B
-from answerlens.llm.common import cut, release
+from answerlens.llm.common import cut, drop, parts
 from answerlens.llm.graph import components
 
 WIDTH = 5
 PERCENT = 80
-BITS = 2048
-#: Rounds in which tiles that still hold more than one component compare all members with leaders, and leaders a round.
-ROUNDS, LEADERS = 3, 4
-#: Members of a tile that are compared in one cell.
-CELL = 1000
+#: Members of a tile on one side of a cell, and their shingles.
+CELL, CELL_SHINGLES = 500, 1_000_000
+#: Shingles that one task compares; a task takes many cells, since most are tiny.
+TASK_SHINGLES = 4_000_000
+#: Bits of a signature for each shingle of the largest set in a cell, and the bounds of its width.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 512, 16384
 _U = np.uint64
 
 
@@ -78,17 +83,11 @@ def need(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def bitmap(h: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=bool)
-    bits[(h % _U(BITS)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
-
-
-SETS = "doc_id long, n long, node long, tokens array<long>, bits binary, items binary"
+SETS = "doc_id long, n long, node long, tokens array<long>, items binary"
 
 
 def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs(doc_id, text) -> a row for each: n; and for those that may be linked, node (equal for equal sets), prefix tokens, bitmap, items."""
+    """docs(doc_id, text) -> a row for each: n; and for those that may be linked, node (equal for equal sets), prefix tokens, items."""
     blocks = B.pack(docs.select("doc_id", "text"))
     n_parts = B.n_ranges(blocks)
 
@@ -122,139 +121,163 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
             n = int(size[i])
             least = int(need(np.int64(n), percent))
             if n == 0 or shared[i] < least:
-                out.append((doc_id, n, None, None, None, None))
+                out.append((doc_id, n, None, None, None))
                 continue
             x, y = h[ends[i] - n : ends[i]], level[ends[i] - n : ends[i]]
             prefix = np.lexsort((x, y))[: n - least + 1]
             tokens = x[prefix[y[prefix] > 0]].view(np.int64)
             node = int(B.mix(np.array([(B.mix(x) * (x | _U(1))).sum() + _U(n)], dtype=np.uint64)).view(np.int64)[0])
-            out.append((doc_id, n, node, tokens, bitmap(x), x.tobytes()))
-        frame = pd.DataFrame(out, columns=["doc_id", "n", "node", "tokens", "bits", "items"])
+            out.append((doc_id, n, node, tokens, x.tobytes()))
+        frame = pd.DataFrame(out, columns=["doc_id", "n", "node", "tokens", "items"])
         return frame.astype({"doc_id": "Int64", "node": "Int64"})
 
     both = blocks.select("block", "payload").withColumns({"part": F.lit(None).cast("int"), "kind": F.lit(None).cast("int"), "totals": F.lit(None).cast("binary")})
     both = both.unionByName(replies.withColumn("payload", F.lit(None).cast("binary")))
-    return cut(both.groupBy("block").applyInPandas(read, SETS))
-
-
-def sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
-def bits_fit(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the bitmaps leave room for the threshold: x, y rows of bytes that broadcast."""
-    most = np.minimum(nx - np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64))
-    return 100 * most >= percent * (nx + ny - most)
-
-
-def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) -> those that are linked: first by bitmap, then by their items."""
-
-    def side(letter: str, *columns: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(letter), *[F.col(c).alias(f"{c}_{letter}") for c in columns])
-
-    @F.pandas_udf("boolean")
-    def room(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
-        def rows(s):
-            return np.frombuffer(b"".join(s), dtype=np.uint64).reshape(-1, BITS // 64)
+    out = cut(both.groupBy("block").applyInPandas(read, SETS))
+    drop(blocks)
+    return out
+
+
+def bitmaps(items: list[np.ndarray], width: int) -> np.ndarray:
+    """A row of 0 and 1 for each set: the bits that its shingles hash to."""
+    out = np.zeros((len(items), width), dtype=np.float32)
+    row = np.repeat(np.arange(len(items)), [len(x) for x in items])
+    out[row, (np.concatenate(items) % _U(width)).astype(np.int64)] = 1
+    return out
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted arrays are linked."""
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def connect(node: np.ndarray, component: np.ndarray, own: np.ndarray, rest: np.ndarray, left: np.ndarray, right: np.ndarray, items: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """One cell: links from its left members to its right ones that connect components, one of each two at least of the tile's own band; rest: those that meet all others, so that two of them would meet twice."""
+    li, ri = np.flatnonzero(left), np.flatnonzero(right)
+    if not len(li) or not len(ri):
+        return []
+    n = np.array([len(x) for x in items], dtype=np.int64)
+    width = int(min(max(LEAST_BITS, 1 << int(BITS_EACH * n.max() - 1).bit_length()), MOST_BITS))
+    label = np.unique(component, return_inverse=True)[1]
+    if (label == label[0]).all():
+        return []
+    x, y = (bitmaps([items[i] for i in side], width) for side in (li, ri))
+    ones_y, n_y = y.sum(axis=1).astype(np.int64), n[ri]
+    common = (x @ y.T).astype(np.int64)  # bits that both have; a bit of one alone is a shingle not shared
+    ones_x = x.sum(axis=1).astype(np.int64)
+    out = []
+    for k, i in enumerate(li):
+        most = np.minimum(n[i] - (ones_x[k] - common[k]), n_y - (ones_y - common[k]))
+        fit = (100 * most >= percent * (n[i] + n_y - most)) & (100 * np.minimum(n[i], n_y) >= percent * np.maximum(n[i], n_y))
+        fit &= (own[i] | own[ri]) & (~rest[ri] | (node[i] < node[ri]))
+        may = ri[fit]
+        may = may[label[may] != label[i]]
+        while len(may):
+            j, may = may[0], may[1:]
+            if linked(items[i], items[j], percent):
+                out.append((int(node[i]), int(node[j])))
+                label[label == label[j]] = label[i]
+                may = may[label[may] != label[i]]
+    return out
+
+
+def compare(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """members(cell, node, n, component, own, rest, left, right) -> pairs (a, b) that are linked, enough to connect what a cell's links connect."""
+    members = cut(members)
+    tasks = max(parts(members.sparkSession), -(-(members.agg(F.sum("n")).first()[0] or 0) // TASK_SHINGLES))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cell", "node"], kind="stable", ignore_index=True)
+        cell = pdf["cell"].to_numpy()
+        node, component = pdf["node"].to_numpy(), pdf["component"].to_numpy()
+        own, rest, left, right = (pdf[c].to_numpy(dtype=bool) for c in ("own", "rest", "left", "right"))
+        items = [np.frombuffer(b, dtype=np.uint64) for b in pdf["items"]]
+        out = []
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        for a, b in zip(starts, [*starts[1:], len(cell)], strict=True):
+            out += connect(node[a:b], component[a:b], own[a:b], rest[a:b], left[a:b], right[a:b], items[a:b], percent)
+        return pd.DataFrame({"a": np.array([x for x, _ in out], dtype=np.int64), "b": np.array([y for _, y in out], dtype=np.int64)})
 
-        return pd.Series(bits_fit(rows(x), rows(y), nx.to_numpy(), ny.to_numpy(), percent))
+    whole = members.join(nodes.select("node", "items"), "node").withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(tasks)).cast("int"))
+    out = cut(whole.groupBy("task").applyInPandas(run, "a long, b long"))
+    drop(members)
+    return out
 
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y, strict=True):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
-            out.append(100 * both >= percent * (len(a) + len(b) - both))
-        return pd.Series(out)
 
-    bounded = pairs.join(side("a", "bits", "n"), "a").join(side("b", "bits", "n"), "b").where(room("bits_a", "bits_b", "n_a", "n_b")).select("a", "b")
-    exact = cut(bounded).join(side("b", "items"), "b").join(side("a", "items"), "a").where(linked("items_a", "items_b"))
-    return cut(exact.select("a", "b"))
+def _tiles(rows: DataFrame) -> DataFrame:
+    """rows(token, band, own, node, n) -> the tiles with a leader and somebody else, one of those with the same members."""
+    seen = rows.groupBy("token", "band").agg(
+        F.count(F.lit(1)).alias("members"),
+        F.min(F.when(F.col("own"), F.struct("n", "node"))).alias("leader"),
+        F.bit_xor(F.xxhash64("node")).alias("h1"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"),
+    )
+    alike = seen.where("members > 1 AND leader IS NOT NULL").groupBy("band", "members", "h1", "h2")
+    return alike.agg(F.min(F.struct("token", "leader")).alias("one")).select("one.token", "band", F.col("one.leader.node").alias("leader"), F.col("one.leader.n").alias("leader_n"))
 
 
 def links(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """nodes(node, n, tokens, bits, items) -> pairs (a, b) that are linked, enough to connect all that any links connect."""
+    """nodes(node, n, tokens, items) -> pairs (a, b) that are linked, enough to connect all that any links connect."""
     step = math.log(100 / percent) * (1 - 1e-9)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
     rows = nodes.select(F.explode("tokens").alias("token"), "node", "n", band.alias("band"))
     rows = rows.select("token", "node", "n", F.explode(F.array(F.struct(F.col("band"), F.lit(True).alias("own")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("own")))).alias("tile"))
     rows = rows.select("token", "tile.band", "tile.own", "node", "n")
-    tiles = rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("members"), F.min(F.when(F.col("own"), F.struct("n", "node"))).alias("leader")).where("members > 1 AND leader IS NOT NULL")
-    star = rows.join(tiles.select("token", "band", F.col("leader.node").alias("a"), F.col("leader.n").alias("_n")), ["token", "band"])
-    pairs = star.where((F.col("a") != F.col("node")) & sizes_fit(F.col("n"), F.col("_n"), percent)).select("a", F.col("node").alias("b")).distinct()
-    found = _verify(pairs, nodes, percent)
-    label = components(found)
-
-    def still_mixed(rows: DataFrame) -> DataFrame:
-        """The rows of tiles that hold more than one component and a member of their own band."""
-        named = rows.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("token", "band").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.max("own").alias("_own")).where("_low <> _high AND _own")
-        return cut(named.join(mixed.select("token", "band"), ["token", "band"], "left_semi"))
-
-    named = still_mixed(rows)
-    for r in range(ROUNDS):
-        draws = [F.min(F.when(F.col("own"), F.struct(F.xxhash64("node", F.lit(r * LEADERS + i)).alias("h"), F.col("node"), F.col("n"), F.col("component")))).alias(f"l{i}") for i in range(LEADERS)]
-        leaders = named.groupBy("token", "band").agg(*draws).select("token", "band", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("leaders"))
-        star = named.join(leaders, ["token", "band"]).select("node", "n", "component", F.explode("leaders").alias("l"))
-        star = star.where((F.col("l.component") != F.col("component")) & sizes_fit(F.col("n"), F.col("l.n"), percent))
-        pairs = star.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-        more = _verify(pairs, nodes, percent)
-        if not more.limit(1).count():
-            break
-        found = cut(found.unionByName(more))
-        label = components(found)
-        named = still_mixed(named)
-
-    mixed = named.groupBy("token", "band").agg(F.count(F.lit(1)).alias("members"))
-    cells = F.ceil(F.col("members") / F.lit(CELL)).cast("int")
-    inside = named.join(mixed.select("token", "band", cells.alias("cells")), ["token", "band"]).join(nodes.select("node", "bits"), "node")
-    salt = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    kept = ["token", "band", "node", "n", "component", "bits"]
-    left = inside.where("own").select(*kept, F.lit(True).alias("left"), salt.alias("i"), every.alias("j"))
-    right = inside.select(*kept, F.lit(False).alias("left"), every.alias("i"), salt.alias("j"))
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One cell of a tile: pairs of different components whose sizes and bitmaps fit."""
-        def side(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-            bits = np.unpackbits(np.frombuffer(b"".join(rows["bits"]), dtype=np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.float32)
-            return rows["node"].to_numpy(), rows["n"].to_numpy(), rows["component"].to_numpy(), bits
-
-        a, b = side(pdf[pdf["left"]]), side(pdf[~pdf["left"]])
-        names, sizes = np.unique(b[2], return_counts=True)
-        found = [np.zeros((2, 0), dtype=np.int64)]
-        if len(names):
-            main = names[sizes.argmax()]  # members of the cell's largest component need no comparison with one another
-            for mine, other in ((a[2] != main, np.ones(len(b[2]), bool)), (a[2] == main, b[2] != main)):
-                if not mine.any() or not other.any():
-                    continue
-                (na, sa, ca, xa), (nb, sb, cb, xb) = [v[mine] for v in a], [v[other] for v in b]
-                common = (xa @ xb.T).astype(np.int64)  # bits that both have; what one has alone is not shared
-                most = np.minimum(sa[:, None] - xa.sum(axis=1).astype(np.int64)[:, None] + common, sb - xb.sum(axis=1).astype(np.int64) + common)
-                fit = (ca[:, None] != cb) & (100 * most >= percent * (sa[:, None] + sb - most)) & (np.minimum(sa[:, None], sb) * 100 >= np.maximum(sa[:, None], sb) * percent)
-                i, j = np.nonzero(fit)
-                found.append(np.stack([np.minimum(na[i], nb[j]), np.maximum(na[i], nb[j])]))
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
-
-    crossing = left.unionByName(right).groupBy("token", "band", "i", "j").applyInPandas(across, "a long, b long").distinct()
-    return cut(found.unionByName(_verify(crossing, nodes, percent)))
+    rows = cut(rows.join(_tiles(rows), ["token", "band"]))
+
+    # every leader with the others of its tiles, dealt out so that a leader of very many is no hot key
+    def lit(**flags: bool) -> list[Column]:
+        return [F.lit(v).alias(k) for k, v in flags.items()]
+
+    stars = cut(rows.where("node <> leader").select("leader", "leader_n", "node", "n").distinct())
+    leaders = stars.groupBy("leader", "leader_n").agg(_cells(F.count(F.lit(1)), F.sum("n")).alias("cells"))
+    place = F.xxhash64("leader", "salt").alias("cell")
+    arms = stars.join(leaders.drop("leader_n"), "leader").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    arms = arms.select(place, "node", "n", F.col("node").alias("component"), *lit(own=True, rest=False, left=False, right=True))
+    heads = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    heads = heads.select(place, F.col("leader").alias("node"), F.col("leader_n").alias("n"), F.col("leader").alias("component"), *lit(own=True, rest=False, left=True, right=False))
+    found = compare(arms.unionByName(heads), nodes, percent)
+    drop(stars)
+
+    # tiles that still hold more than one component: what is not in the largest meets all of the tile
+    named = rows.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    shares = named.groupBy("token", "band", "component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"))
+    mixed = shares.groupBy("token", "band").agg(F.sum("members").alias("members"), F.sum("n").alias("n"), F.max(F.struct("members", "n", "component")).alias("most"))
+    mixed = mixed.where("members > most.members").select(
+        "token", "band", F.col("most.component").alias("main"), _cells(F.col("members"), F.col("n")).alias("nj"), _cells(F.col("members") - F.col("most.members"), F.col("n") - F.col("most.n")).alias("ni")
+    )
+    every = cut(named.join(mixed, ["token", "band"]).withColumn("rest", F.col("component") != F.col("main")).select("token", "band", "node", "n", "component", "own", "rest", "ni", "nj"))
+    drop(rows)
+    salt = F.xxhash64("node", F.lit(5))
+    whole = F.col("ni") * F.col("nj") == 1
+    asks = every.where(F.col("rest") & ~whole).select("*", F.pmod(salt, F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), *lit(left=True, right=False))
+    told = every.where(~whole).select("*", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(salt, F.col("nj")).cast("int").alias("j"), *lit(left=False, right=True))
+    alone = every.where(whole).select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("rest").alias("left"), F.lit(True).alias("right"))
+    cells = alone.unionByName(asks).unionByName(told).select(F.xxhash64("token", "band", "i", "j").alias("cell"), "node", "n", "component", "own", "rest", "left", "right")
+    more = compare(cells, nodes, percent)
+    drop(every)
+    return found.unionByName(more)
+
+
+def _cells(members: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(members / F.lit(CELL), shingles / F.lit(CELL_SHINGLES))).cast("int")
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id."""
     every = sets(docs, width, percent)
-    release(docs.sparkSession)
     may = every.where("node IS NOT NULL")
-    nodes = cut(may.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"), F.first("items").alias("items")))
+    nodes = cut(may.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("items").alias("items")))
+    placed = cut(every.select("doc_id", "n", "node"))
+    drop(every)
     label = components(links(nodes, percent))
-    placed = may.select("doc_id", "n", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = placed.join(lowest, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = every.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    drop(nodes)
+    may = placed.where("node IS NOT NULL").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = may.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    together = may.join(lowest, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = placed.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return together.unionByName(alone)
 
 
 def op6_ngram_join(spark, sf_dir):

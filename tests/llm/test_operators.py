@@ -1,12 +1,15 @@
 """The corpus operators against plain versions, on small tables with the awkward cases."""
 
 import hashlib
+import json
 import random
 import zlib
+from pathlib import Path
 
 import brute
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,15 +127,34 @@ def test_bpe_automaton_equals_the_library(docs, rows):
     e = bpe_automaton.encoder(bpe_automaton.word_vocabulary())
     rng = random.Random(2)
     odd = "aAbeétÉ 's'tI' 12\n\t.,!?$<|endoftext|>ß中文é́ΣσςİIıﬁ①²½\x85\xa0\x1c👍👨‍👩‍👧ñ्हि"
-    for t in [t or "" for _, t in two(rows)] + ["".join(rng.choice(odd) for _ in range(rng.randint(0, 16))) for _ in range(1500)] + ["x <|endoftext|>y"]:
-        ids = lib.encode(t, add_special_tokens=False).ids
-        assert e.encode(t) == ids and e.text(t) == (" ".join(map(str, ids)), lib.decode(ids, skip_special_tokens=False))
+    texts = [t or "" for _, t in two(rows)] + ["".join(rng.choice(odd) for _ in range(rng.randint(0, 16))) for _ in range(1500)] + ["x <|endoftext|>y", "y" * 300_000]
+    plain = [t for t in texts if not bpe_automaton._ODD.search(t)]
+    for some in (texts, plain, plain[:1]):
+        want = [lib.encode(t, add_special_tokens=False).ids for t in some]
+        assert [e.encode(t) for t in some] == want
+        got = [x for chunk in e.batch(pa.array(some)) for x in zip(*(c.tolist() if isinstance(c, np.ndarray) else c.to_pylist() for c in chunk), strict=True)]
+        assert got == [(len(ids), " ".join(map(str, ids)), lib.decode(ids, skip_special_tokens=False)) for ids in want]
     got = {r["doc_id"]: r for r in bpe_automaton.digest_documents(docs).collect()}
     for i, t in two(rows):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_bpe_automaton_keeps_little_and_takes_one_kind_of_file(tmp_path, none, monkeypatch):
+    assert bpe_automaton.digest_documents(none).count() == 0
+    monkeypatch.setattr(bpe_automaton, "CACHE_BYTES", 5000)
+    kept = bpe_automaton.Recent()
+    for i in range(1000):
+        kept.keep(f"k{i}", i, i)
+    assert kept.size <= 5000 and len(kept) < 25 and "k999" not in kept
+    spec = json.loads(Path(bpe_automaton.word_vocabulary()).read_text())
+    spec["normalizer"] = {"type": "NFKC"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe_automaton.Encoder(str(other))
+
+
 def test_token_files_round_trip(docs, rows, none, tmp_path):
     from tokenizers import Tokenizer
 
@@ -167,7 +189,7 @@ def test_token_encoder_on_odd_text():
 def test_mixing_meets_targets(docs, rows, none):
     import re
 
-    out = mixing.mix(docs).collect()
+    out = mixing.shares(docs).collect()
     assert len(out) == len(rows) and mixing.mix(none).count() == 0
     sizes = {i: len([w for w in re.split(brute.WS, t or "") if w]) for i, t in two(rows)}
     names = ["a", "b", "c", None]
@@ -185,43 +207,48 @@ def test_mixing_meets_targets(docs, rows, none):
     longest = max(sizes.values())
     for s in names:
         mine = [r for r in out if r["source"] == s]
-        assert mine[0]["_target"] == pytest.approx(target[s]) and mine[0]["_source_size"] == total[s]
-        assert abs(sum(r["_size"] * r["_epochs"] for r in mine) - target[s]) <= longest / 2 + 1
-        assert len({r["_epochs"] for r in mine}) <= 2 or any(r["_size"] == 0 for r in mine)
-    assert sorted((r["doc_id"], r["_epochs"]) for r in mixing.mix(docs.repartition(5)).collect()) == sorted((r["doc_id"], r["_epochs"]) for r in out)
+        assert mine[0]["target"] == pytest.approx(target[s]) and mine[0]["source_size"] == total[s]
+        assert abs(sum(r["size"] * r["epochs"] for r in mine) - target[s]) <= longest / 2 + 1
+        assert len({r["epochs"] for r in mine}) <= 2 or any(r["size"] == 0 for r in mine)
+    clash = docs.repartition(5).withColumns({c: F.lit("x") for c in ("row", "_size", "_s", "key", "target", "bucket", "epochs", "rest", "a.b")})
+    again = mixing.mix(clash)
+    assert again.select("row.*").columns == clash.columns
+    assert sorted((r["row"]["doc_id"], r["epochs"]) for r in again.collect()) == sorted((r["doc_id"], r["epochs"]) for r in out)
 
 
 def test_sampling_follows_the_keys(spark):
     """Of one source, what is taken is a prefix in key order, computed here row by row."""
     data = [(i, "w " * (i % 9 + 1), "s" if i % 3 else "t") for i in range(300)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
-    out = mixing.mix(df, weights=(1.0,), buckets=7)
+    out = mixing.shares(df.withColumn("text", F.col("text")), weights=(1.0,), buckets=7).join(df.select("doc_id", "text"), "doc_id")
     seed = 17
     tie = F.xxhash64(F.col("text"), F.lit(seed))
     key = -F.log((F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), tie), 11) + 0.5) / float(2**53)) / mixing.quality_weight(F.col("text"))
     for s in "st":
         mine = out.where(F.col("source") == s).withColumn("k", key).orderBy("k", "doc_id").collect()
-        whole, rest = divmod(mine[0]["_target"], mine[0]["_source_size"])
+        whole, rest = divmod(mine[0]["target"], mine[0]["source_size"])
         at = 0
         for r in mine:
-            assert r["_epochs"] == whole + (at + r["_size"] / 2 <= rest)
-            at += r["_size"]
+            assert r["epochs"] == whole + (at + r["size"] / 2 <= rest)
+            at += r["size"]
 
 
 def test_language_id(spark, none):
     rng = random.Random(5)
     kinds = {"en": ["the", "and", "thing", "with", "other"], "fr": ["été", "que", "vous", "leur", "oiseau"], "de": ["und", "nicht", "schön", "über", "zwei"]}
-    data = [(i, " ".join(rng.choice(kinds[k]) for _ in range(rng.randint(3, 40))), k) for i, k in enumerate(list(kinds) * 60)]
+    data = [(i, " ".join(rng.choice(kinds[k]) for _ in range(60_000 if i == 5 else rng.randint(3, 40))), k) for i, k in enumerate(list(kinds) * 60)]
     extra = [(1000, None, "en"), (1001, "12 !! ..", "fr"), (1002, "", None), (1003, "жжж щщщ ыыы " * 9, "de"), (0, data[0][1], "en")]
     df = spark.createDataFrame(data + extra, "doc_id long, text string, lang string")
     models = language_id.learned(df.where("doc_id < 1000"))
-    out = {r["doc_id"]: r for r in language_id.classify(df, models).collect()}
-    right = [out[i]["_lang_pred"] == k for i, _, k in data]
-    assert sum(right) >= 0.98 * len(right) and not any(out[i]["_rejected"] for i, _, _ in data)
-    assert [out[i]["_lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3 and out[1003]["_rejected"]
+    clash = df.withColumns({c: F.lit(1) for c in ("row", "lang_pred", "rejected", "_lang_pred", "score", "a.b")})
+    assert language_id.classify(clash, models).select("row.*").columns == clash.columns
+    out = {r["row"]["doc_id"]: r for r in language_id.classify(clash, models).collect()}
+    right = [out[i]["lang_pred"] == k for i, _, k in data]
+    assert sum(right) >= 0.98 * len(right) and not any(out[i]["rejected"] for i, _, _ in data)
+    assert [out[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3 and out[1003]["rejected"]
     assert language_id.classify(none.select("doc_id", "text"), models).count() == 0
     empty = language_id.learned(df.limit(0))
-    assert {r["_lang_pred"] for r in language_id.classify(df.limit(5), empty).collect()} == {"und"}
+    assert {r["lang_pred"] for r in language_id.classify(df.limit(5), empty).collect()} == {"und"}
 
 
 def test_no_language_is_lost_in_training(spark):
@@ -234,7 +261,7 @@ def test_no_language_is_lost_in_training(spark):
     new = spark.createDataFrame([(i, text[k]()) for i, k in enumerate(["en", "xx"] * 10)], "doc_id long, text string")
     for rare in (held[:1], held):
         df = spark.createDataFrame([(i, text["en"](), "en") for i in range(60)] + [(i, text["xx"](), "xx") for i in rare], "doc_id long, text string, lang string")
-        out = {r["doc_id"]: (r["_lang_pred"], r["_rejected"]) for r in language_id.classify(new, language_id.train(df)).collect()}
+        out = {r["row"]["doc_id"]: (r["lang_pred"], r["rejected"]) for r in language_id.classify(new, language_id.train(df)).collect()}
         assert out == {i: (["en", "xx"][i % 2], False) for i in range(20)}
 
 
