@@ -4,6 +4,11 @@ Stages, in order: language ID drops what it rejects, exact dedup keeps one row o
 equal texts, the n-gram join keeps one document of each group of near copies, mixing
 repeats and selects documents to the sources' target weights, and BPE encoding
 turns the texts into token ids.  All but the last return the columns of documents.
+
+Defined cases: a null text or one without a letter is no known language and goes; of
+repeated rows one stays until mixing, which may take a document up to twice; a null
+doc_id or source is a value like any other; an empty table gives no rows; other
+columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -21,33 +26,37 @@ from answerlens.llm.mixing import mix
 from answerlens.llm.ngram_join import join
 
 
+def _row(docs: DataFrame) -> DataFrame:
+    """docs as one struct column, so that columns set beside it cannot clash with any of theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; models learn from the labelled documents of the input."""
     models = train(docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
-    return classify(docs, models, keep=docs.columns).where(~F.col("_rejected")).select(*docs.columns)
+    return classify(docs, models).where("NOT rejected").select("row.*")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text: the longest before normalisation, then the smallest id; of repeated rows one."""
     kept = dedup(docs.select("doc_id", "text"), earlier_half(docs)).where("kept")
     twice = kept.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
-    keys = kept.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
-    digest = sha256(normalised(F.col("text")))
-    rows = docs.withColumn("_digest", digest).join(keys, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
-    return (rows.dropDuplicates(["doc_id", "_digest"]) if twice else rows).select(*docs.columns)
+    keys = kept.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
+    rows = _row(docs).withColumn("doc_id", F.col("row.doc_id")).withColumn("digest", sha256(normalised(F.col("row.text"))))
+    rows = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+    return (rows.dropDuplicates(["doc_id", "digest"]) if twice else rows).select("row.*")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: the smallest id."""
     groups = join(docs.select("doc_id", "text"))
-    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return _row(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources at their target weights: a document appears once for each time it is taken."""
-    taken = mix(docs).where(F.col("_epochs") > 0)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*docs.columns)
+    return mix(docs).where("epochs > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
