@@ -91,17 +91,19 @@ def unpack_keys(b: bytes) -> np.ndarray:
 
 
 def pack_counts(a: np.ndarray) -> bytes:
-    """Non-negative integers, in as few bytes each as the largest needs."""
+    """Non-negative integers, in as few bytes each as the largest needs, byte by byte."""
     kind = np.min_scalar_type(int(a.max()) if len(a) else 0)
-    return bytes([kind.itemsize]) + to_bytes(a.astype(kind))
+    return bytes([kind.itemsize]) + to_bytes(a.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T)
 
 
 def unpack_counts(b: bytes) -> np.ndarray:
-    return from_bytes(b[1:], f"<u{b[0]}").astype(np.int64)
+    planes = from_bytes(b[1:], np.uint8).reshape(b[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{b[0]}").ravel().astype(np.int64)
 
 
-def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs(text, ...) -> block, n_bytes, payload: the rows as compressed Arrow, in blocks of about block_bytes of text."""
+def pack(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
+    """docs(text, ...) -> block, n_bytes, payload: the rows as compressed Arrow, in blocks of about block_bytes of text (BLOCK_BYTES if not given)."""
+    block_bytes = block_bytes or BLOCK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32

@@ -59,8 +59,12 @@ def drop(*frames: DataFrame) -> None:
     for df in frames:
         written = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
         if written.isDefined():
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(written.get())
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            remove(df.sparkSession, written.get())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_bucket(column: str, n: int) -> Column:

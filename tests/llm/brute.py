@@ -16,18 +16,15 @@ def tokens(text):
     return [w for w in re.split(WS, lower(text)) if w]
 
 
-def katz(rows, train, k=5):
-    """rows (doc_id, text) -> doc_id: (n_tokens, n_known, N, base, score), and the model for checks of its sums."""
-    docs = [(d, [None, *tokens(t), "\n"], tr) for (d, t), tr in zip(rows, train, strict=True)]
-    c1, c2 = Counter(), Counter()
-    for _, s, tr in docs:
-        if tr:
-            c1.update(s[1:])
-            c2.update(zip(s, s[1:]))
-    total, v = sum(c1.values()), len(c1)
-    ch = Counter()
-    for (h, _), c in c2.items():
-        ch[h] += c
+def katz(rows, train, order=3, k=5):
+    """rows (doc_id, text) -> doc_id: (n_tokens, n_known, N, base, score); the probability of a word after a history; the words; the histories."""
+    docs = [(d, (None, *tokens(t), "\n"), tr) for (d, t), tr in zip(rows, train, strict=True)]
+    count = {n: Counter(s[i : i + n] for _, s, tr in docs if tr for i in range(n == 1, len(s) - n + 1)) for n in range(1, order + 1)}
+    total, v = sum(count[1].values()), len(count[1])
+    followed = Counter()
+    for n in range(2, order + 1):
+        for g, c in count[n].items():
+            followed[g[:-1]] += c
 
     def disc(counts):
         n = Counter(counts.values())
@@ -41,23 +38,32 @@ def katz(rows, train, k=5):
                         d[r] = x
         return lambda c: c * d[c] if c <= k else c - 0.5
 
-    f1, f2 = disc(c1), disc(c2)
-    p1 = {w: f1(c) / total for w, c in c1.items()}
-    unk = 1 - sum(p1.values()) if total else 1.0
-    left, free = defaultdict(lambda: 1.0), defaultdict(lambda: 1.0)
-    for (h, w), c in c2.items():
-        left[h] -= f2(c) / ch[h]
-        free[h] -= p1[w]
+    f = {n: disc(count[n]) for n in count}
+    unknown = 1 - sum(f[1](c) / total for c in count[1].values()) if total else 1.0
+    after = defaultdict(list)
+    for n in range(2, order + 1):
+        for g in count[n]:
+            after[g[:-1]].append(g[-1])
+    weights = {}
 
     def p(h, w):
-        if (h, w) in c2:
-            return f2(c2[h, w]) / ch[h]
-        return (left[h] / free[h] if ch[h] else 1.0) * p1.get(w, unk)
+        if not h:
+            return f[1](count[1][w,]) / total if (w,) in count[1] else unknown
+        if (*h, w) in count[len(h) + 1]:
+            return f[len(h) + 1](count[len(h) + 1][*h, w]) / followed[h]
+        return weight(h) * p(h[1:], w)
+
+    def weight(h):
+        if h not in weights:
+            weights[h] = (1 - sum(p(h, w) for w in after[h])) / (1 - sum(p(h[1:], w) for w in after[h])) if followed[h] else 1.0
+        return weights[h]
 
     out = {}
     for d, s, _ in docs:
-        out[d] = (len(s) - 1, sum(w in c1 for w in s[1:]), total, sum(math.log10((c1[w] + 1) / (total + v + 1)) for w in s[1:]), sum(math.log10(p(h, w)) for h, w in zip(s, s[1:])))
-    return out, p, [*c1, object()], [*ch, "never seen"]
+        words = s[1:]
+        score = sum(math.log10(p(s[max(0, i + 2 - order) : i + 1], w)) for i, w in enumerate(words))
+        out[d] = (len(words), sum((w,) in count[1] for w in words), total, sum(math.log10((count[1][w,] + 1) / (total + v + 1)) for w in words), score)
+    return out, p, [*(w for (w,) in count[1]), object()], [*followed, ("never seen",), ("never seen", "bank")]
 
 
 def bucket(doc_id, n):

@@ -53,17 +53,23 @@ def two(rows):
     return [(i, t) for i, t, _ in rows]
 
 
-def test_katz_equals_brute_force_and_sums_to_one(docs, rows):
+@pytest.mark.parametrize(("order", "block_bytes"), [(3, 2000), (1, 2000), (4, 1 << 20)])
+def test_katz_equals_brute_force_and_sums_to_one(docs, rows, order, block_bytes, monkeypatch, tmp_path):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", block_bytes)
     train = [i % 5 != 0 for i, *_ in rows]
-    got = {r["doc_id"]: r for r in katz.score(docs, F.col("doc_id") % 5 != 0).collect()}
-    want, p, vocabulary, histories = brute.katz(two(rows), train)
+    got = {r["doc_id"]: r for r in katz.score(docs, F.col("doc_id") % 5 != 0, order, f"file://{tmp_path}/tables").collect()}
+    want, p, vocabulary, histories = brute.katz(two(rows), train, order)
     assert len(got) == len(rows)
     for d, (n, known, total, base, s) in want.items():
         r = got[d]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(s, rel=1e-9)
-    for h in histories:
-        assert sum(p(h, w) for w in vocabulary) == pytest.approx(1, abs=1e-9)
+    for h in histories[:300] + histories[-2:]:
+        if len(h) < order:
+            assert sum(p(h, w) for w in vocabulary) == pytest.approx(1, abs=1e-9)
+    stored = docs.sparkSession.read.parquet(f"{tmp_path}/tables").where("order = 1 AND keys IS NOT NULL").collect()
+    words = {k: c for r in stored for k, c in zip(blocks.unpack_keys(r["keys"]).tolist(), blocks.unpack_counts(r["totals"]).tolist(), strict=True)}
+    assert sum(words.values()) == want[0][2] + sum(train)  # every training document's begin is counted beside its tokens
 
 
 def test_katz_without_rows_or_training(none, docs):
