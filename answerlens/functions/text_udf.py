@@ -46,6 +46,7 @@ def chunks(text: Column, size: int = 512, overlap: int = 128) -> Column:
 
 
 _STOPS = "。！？!?…"
+_MARKS = re.compile("[。！？!?….`\n]")
 _CLOSERS = "\"'”’»)]}）】」』"
 _SHORT = frozenset("mr mrs ms dr prof st vs etc fig no approx inc ltd co e.g i.e cf".split())
 _MARK = re.compile(r"\s*\[(?:doc(?:ument)?\s*|chunk_|文档\s*)?\d+\]", re.IGNORECASE)
@@ -91,7 +92,8 @@ def sentence_spans(text: str, final: bool = True) -> list[tuple[str, int, int, b
         if b > a:
             out.append((text[a:b], a, b, closed))
 
-    while i < n:
+    while m := _MARKS.search(text, i):  # nothing happens between these
+        i = m.start()
         c = text[i]
         if c == "`" and (j := _code_end(text, i)) > i:
             i = j
@@ -145,10 +147,10 @@ def corrector(typos: dict[str, str]):
 
 # fixed values: factors to the base unit of each kind
 SCALES = {"": 1, "k": 1e3, "thousand": 1e3, "million": 1e6, "billion": 1e9, "千": 1e3, "万": 1e4, "亿": 1e8}
-SECONDS = {"second": 1, "sec": 1, "minute": 60, "min": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2592000, "year": 31536000, "秒": 1, "分钟": 60, "小时": 3600, "天": 86400, "日": 86400, "周": 604800, "个月": 2592000, "年": 31536000}
-METRES = {"mm": 1e-3, "cm": 1e-2, "m": 1, "km": 1e3, "meter": 1, "metre": 1, "kilometer": 1e3, "米": 1, "公里": 1e3, "厘米": 1e-2, "毫米": 1e-3}
-GRAMS = {"mg": 1e-3, "g": 1, "kg": 1e3, "gram": 1, "kilogram": 1e3, "ton": 1e6, "tonne": 1e6, "克": 1, "千克": 1e3, "公斤": 1e3, "吨": 1e6}
-CURRENCIES = {"$": "USD", "usd": "USD", "dollar": "USD", "€": "EUR", "eur": "EUR", "euro": "EUR", "£": "GBP", "gbp": "GBP", "pound": "GBP", "¥": "CNY", "cny": "CNY", "rmb": "CNY", "yuan": "CNY", "元": "CNY"}
+SECONDS = {"second": 1, "sec": 1, "minute": 60, "min": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2592000, "year": 31536000, "h": 3600, "s": 1, "秒": 1, "分钟": 60, "小时": 3600, "个小时": 3600, "天": 86400, "日": 86400, "工作日": 86400, "个工作日": 86400, "周": 604800, "星期": 604800, "个星期": 604800, "个月": 2592000, "年": 31536000}
+METRES = {"mm": 1e-3, "cm": 1e-2, "m": 1, "km": 1e3, "meter": 1, "metre": 1, "kilometer": 1e3, "inch": 0.0254, "inches": 0.0254, "foot": 0.3048, "feet": 0.3048, "米": 1, "公里": 1e3, "千米": 1e3, "厘米": 1e-2, "毫米": 1e-3, "英寸": 0.0254, "英尺": 0.3048}
+GRAMS = {"mg": 1e-3, "g": 1, "kg": 1e3, "gram": 1, "kilogram": 1e3, "ton": 1e6, "tonne": 1e6, "克": 1, "千克": 1e3, "公斤": 1e3, "斤": 500, "磅": 453.59237, "吨": 1e6}
+CURRENCIES = {"$": "USD", "usd": "USD", "dollar": "USD", "€": "EUR", "eur": "EUR", "euro": "EUR", "£": "GBP", "gbp": "GBP", "pound": "GBP", "¥": "CNY", "cny": "CNY", "rmb": "CNY", "yuan": "CNY", "元": "CNY", "块": "CNY", "人民币": "CNY", "美元": "USD", "美金": "USD", "欧元": "EUR", "日元": "JPY"}
 MONTHS = {m: i + 1 for i, m in enumerate("january february march april may june july august september october november december".split())}
 
 
@@ -156,7 +158,7 @@ def _of(table: dict) -> str:
     return "|".join(map(re.escape, sorted((k for k in table if k), key=len, reverse=True)))
 
 
-_N = r"(?<![\w.])[-+]?\d+(?:,\d{3})*(?:\.\d+)?"
+_N = r"(?<![A-Za-z0-9_.])[-+]?\d+(?:,\d{3})*(?:\.\d+)?"
 _PLURAL = r"s?(?![A-Za-z])"
 PATTERNS = [
     ("date", re.compile(r"(?P<y>(?:19|20)\d{2})[-/.年](?P<m>\d{1,2})[-/.月](?P<d>\d{1,2})日?")),
@@ -164,12 +166,12 @@ PATTERNS = [
     ("date", re.compile(r"(?P<m>\d{1,2})月(?P<d>\d{1,2})日")),
     ("money", re.compile(rf"(?P<n>{_N})\s*(?P<s>{_of(SCALES)})?\s*(?P<u>{_of({k: 0 for k in CURRENCIES if k not in '$€£¥'})}){_PLURAL}", re.IGNORECASE)),
     ("money", re.compile(rf"(?P<u>[$€£¥])\s*(?P<n>\d+(?:,\d{{3}})*(?:\.\d+)?)(?:\s*(?P<s>{_of(SCALES)})(?![A-Za-z]))?", re.IGNORECASE)),
-    ("percent", re.compile(rf"(?P<n>{_N})\s*(?:%|percent\b|个百分点)", re.IGNORECASE)),
+    ("percent", re.compile(rf"百分之\s*(?P<n>\d+(?:\.\d+)?)|(?P<n2>{_N})\s*(?:%|percent\b|个百分点)", re.IGNORECASE)),
     ("duration", re.compile(rf"(?P<n>{_N})[\s-]*(?P<u>{_of(SECONDS)}){_PLURAL}", re.IGNORECASE)),
     ("length", re.compile(rf"(?P<n>{_N})\s*(?P<u>{_of(METRES)}){_PLURAL}", re.IGNORECASE)),
     ("weight", re.compile(rf"(?P<n>{_N})\s*(?P<u>{_of(GRAMS)}){_PLURAL}", re.IGNORECASE)),
     ("count", re.compile(rf"(?P<n>{_N})\s*(?P<u>times|people|items|users|files|pages|次|个|人|件|条)")),
-    ("number", re.compile(rf"(?P<n>{_N})(?P<s>{_of({k: 0 for k in SCALES if k not in ('', 'k')})})?(?![\w%])", re.IGNORECASE)),
+    ("number", re.compile(rf"(?P<n>{_N})(?P<s>{_of({k: 0 for k in SCALES if k not in ('', 'k')})})?(?![A-Za-z0-9_%])", re.IGNORECASE)),
 ]
 FACTORS = {"duration": SECONDS, "length": METRES, "weight": GRAMS}
 BASE_UNIT = {"duration": "s", "length": "m", "weight": "g", "percent": "%", "date": "day"}
@@ -205,7 +207,7 @@ def find_claims(text: str) -> list[dict]:
                 except ValueError:
                     continue
             else:
-                value = float(got["n"].replace(",", "")) * SCALES[(got.get("s") or "").lower()]
+                value = float((got["n"] or got["n2"]).replace(",", "")) * SCALES[(got.get("s") or "").lower()]
                 if kind in FACTORS:
                     value *= FACTORS[kind][got["u"].lower()]
                 elif kind == "money":
@@ -227,10 +229,12 @@ def claims(text: Column) -> Column:
 #: concept -> (phrases that say no, phrases that say yes); a parameter.
 CONCEPTS = {
     "support": (("does not support", "not supported", "unsupported", "不支持"), ("supports", "supported", "支持")),
-    "refund": (("non-refundable", "no refund", "cannot be refunded", "不可退"), ("refundable", "full refund", "可退")),
+    "refund": (("non-refundable", "no refund", "cannot be refunded", "不可退"), ("refundable", "可退")),
+    "refund scope": (("partial refund", "partially refunded", "refunded in part", "部分退款"), ("full refund", "fully refunded", "refunded in full", "全额退款")),
     "cost": (("costs", "is charged", "收费"), ("free of charge", "for free", "免费")),
     "completion": (("not completed", "incomplete", "unfinished", "未完成"), ("completed", "finished", "已完成")),
-    "availability": (("unavailable", "not available", "不可用"), ("available", "可用")),
+    "availability": (("is limited", "are limited", "limited to", "limited number", "limited time", "限时", "限量", "有限制"), ("unlimited", "without limit", "no limit", "不限", "无限制")),
+    "access": (("unavailable", "not available", "不可用"), ("available", "可用")),
 }
 _NEGATION = re.compile(r"(?:\bnot|\bno|\bnever|n't|\bcannot|不|未|没有)\s*(?:\w+\s+)?$", re.IGNORECASE)
 

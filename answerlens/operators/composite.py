@@ -11,7 +11,9 @@ from pyspark.sql.functions import udtf
 from answerlens.functions.text import hashed_vector
 from answerlens.functions.text_udf import find_claims, sentence_spans
 from answerlens.operators import evaluate as E
-from answerlens.operators import trace
+from answerlens.operators import abtest, retrieve, trace
+from answerlens.operators.index import Index
+from answerlens.session import kept
 
 REFUSALS = ("cannot answer", "do not know", "no information")
 EXTRA: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
@@ -24,7 +26,7 @@ def register_metric(name: str, compute: Callable[[DataFrame, DataFrame], DataFra
 
 def metric_rows(answers: DataFrame, context: DataFrame, embedder=hashed_vector, refusals: tuple[str, ...] = REFUSALS) -> DataFrame:
     """answers(trace_id, query, answer, in_scope), context(trace_id, rank, chunk_id, text, score) -> trace_id, metric, value, error."""
-    spans = trace.spans(answers)
+    spans = kept(trace.spans(answers))
     joined = context.groupBy("trace_id").agg(F.array_join(F.collect_list("text"), "\n").alias("joined"))
     covered = answers.join(joined, "trace_id", "left").select("trace_id", E.coverage_ratio(F.col("answer"), F.coalesce("joined", F.lit(""))).alias("answer_coverage_ratio"))
     stats = E.retrieval_stats(context).withColumnsRenamed({"score_avg": "retrieval_score_avg", "score_std": "retrieval_score_std"})
@@ -52,7 +54,7 @@ def metric_rows(answers: DataFrame, context: DataFrame, embedder=hashed_vector,
 
 def evaluate(answers: DataFrame, context: DataFrame, rubric: DataFrame, embedder=hashed_vector) -> tuple[DataFrame, DataFrame]:
     """(judged metric rows, evaluations); answers also carry boundary_confidence."""
-    judged = E.judge(metric_rows(answers, context, embedder), rubric)
+    judged = kept(E.judge(metric_rows(answers, context, embedder), rubric))
     about = context.groupBy("trace_id").agg(F.count(F.lit(1)).alias("context_count"), F.avg("score").alias("mean_score"))
     about = answers.select("trace_id", "boundary_confidence").join(about, "trace_id", "left")
     return judged, E.gates(judged, E.overall(judged), about)
@@ -67,6 +69,22 @@ def compare(runs: DataFrame, context: DataFrame, rubric: DataFrame) -> DataFrame
     return out.select("query_id", "variant_name", "overall_score", F.coalesce("n", F.lit(0)).alias("context_count"), F.coalesce("drift_rate", F.lit(0.0)).alias("drift_rate"), F.length("answer").alias("answer_length"))
 
 
+def ab_run(queries: DataFrame, variants: DataFrame, chunks: DataFrame, index: Index, answers: DataFrame, rubric: DataFrame) -> DataFrame:
+    """G9 whole: J13 -> G1 -> G6, G8: queries(query_id, kb_id, query, vec) under variants(variant_name, Params' fields), supplied answers(query_id, answer) -> a row for each pair, as A14 and J14 take them.
+
+    Settings shape the plan, so retrieval is planned once a variant; variants are a handful, which the grid checks.
+    """
+    runs = abtest.grid(queries.select("query_id", "query"), variants.select("variant_name")).join(answers, "query_id")
+    runs = runs.withColumns({"trace_id": F.concat_ws(":", F.col("query_id").cast("string"), "variant_name"), "in_scope": F.lit(True), "boundary_confidence": F.lit(1.0)})
+    context = None
+    for v in variants.collect():
+        settings = {k: x for k, x in v.asDict().items() if k != "variant_name" and x is not None}
+        got = retrieve.retrieve(queries, chunks, index, retrieve.Params(**settings)).where("kept")
+        rows = got.select(F.concat_ws(":", F.col("query_id").cast("string"), F.lit(v["variant_name"])).alias("trace_id"), F.col("final_rank").alias("rank"), "chunk_id", F.col("compressed").alias("text"), "score")
+        context = rows if context is None else context.unionByName(rows)
+    return compare(kept(runs), kept(context), rubric)
+
+
 def regression(golden: DataFrame, results: DataFrame) -> DataFrame:
     """golden(id, expected struct) x results(id, in_domain, status, intent_type, answer) -> id, passed and what failed."""
     j = golden.join(results, "id", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlens.functions.text import keywords, tokens
+from answerlens.session import kept
 
 
 def tf_idf(docs: DataFrame, min_chars: int = 100, vocabulary: int | None = 1000) -> DataFrame:
@@ -41,12 +42,23 @@ def relations(docs: DataFrame, related: float = 0.4, duplicate: float = 0.8, voc
 
 
 def coverage(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """J15, by tokens: for each document the share of queries with a keyword in it and how many keywords it covers."""
-    q = queries.select("query_id", F.explode(F.array_distinct(keywords(F.col("query")))).alias("word"))
+    """For each document the share of queries with a keyword that occurs in it as a substring, and how many keywords do.
+
+    A keyword has no marks or blanks, so it occurs inside a token.  The distinct tokens
+    of all documents are cut into the substrings that are as long as some keyword and
+    joined with the keywords by equality, then with the documents by token.
+    """
+    q = kept(queries.select("query_id", F.explode(F.array_distinct(keywords(F.col("query")))).alias("word")))
     total = queries.count()
-    d = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    hit = d.join(q, "word")
-    return hit.groupBy("doc_id").agg(F.round(F.count_distinct("query_id") / F.lit(total), 6).alias("coverage"), F.count_distinct("word").alias("words"))
+    lengths = F.array(*[F.lit(r["n"]) for r in q.select(F.length("word").alias("n")).distinct().orderBy("n").collect()]).cast("array<int>")  # as many as words have lengths
+    held = kept(docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")))
+    fitting = F.filter(lengths, lambda n: n <= F.length("token"))
+    inside = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length("token") - n + 1), lambda i: F.substring("token", i, n))))
+    found = held.select("token").distinct().select("token", F.explode(F.array_distinct(inside)).alias("word")).join(q.select("word").distinct(), "word")
+    words = held.join(found, "token").select("doc_id", "word").distinct()
+    hit = words.join(q, "word").groupBy("doc_id").agg(F.count_distinct("query_id").alias("covered"), F.count_distinct("word").alias("words"))
+    every = docs.select("doc_id").join(hit, "doc_id", "left")
+    return every.select("doc_id", F.round(F.coalesce("covered", F.lit(0)) / F.lit(total), 6).alias("coverage"), F.coalesce("words", F.lit(0)).alias("words"))
 
 
 def merged(docs: DataFrame, pairs: DataFrame, most: int = 100) -> DataFrame:

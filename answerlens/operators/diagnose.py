@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerlens.functions.text import cosine, key_terms, long_tokens, preview
-from answerlens.operators.retrieve import top
+from answerlens.functions.text import key_terms, long_tokens, preview
+from answerlens.operators.retrieve import knn, top
+
+
+#: Domain patterns are a parameter table, broadcast to every word.
+MOST_PATTERNS = 1000
 
 
 def overlap(query: Column, text: Column) -> Column:
@@ -26,7 +30,9 @@ def mode_difference(fused: DataFrame, retrieved: DataFrame, queries: DataFrame,
 def keyword_gap(queries: DataFrame, vocabulary: DataFrame, patterns: DataFrame, shown: int = 10) -> DataFrame:
     """patterns(domain, pattern) that a query hits, and the vocabulary's words of the same domain that it lacks."""
     q = queries.select("query_id", "kb_id", F.explode(F.array_distinct(key_terms(F.col("query")))).alias("word"))
-    small = F.broadcast(patterns)  # a parameter table of a few rows
+    if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    small = F.broadcast(patterns)
     hit = q.join(small, F.regexp_like(F.col("word"), F.col("pattern"))).select("query_id", "kb_id", "domain").distinct()
     words = vocabulary.join(small, F.regexp_like(F.col("term"), F.col("pattern"))).select("kb_id", "domain", F.col("term").alias("word")).distinct()
     gap = hit.join(words, ["kb_id", "domain"]).join(q.select("query_id", "word"), ["query_id", "word"], "left_anti")
@@ -36,9 +42,9 @@ def keyword_gap(queries: DataFrame, vocabulary: DataFrame, patterns: DataFrame,
 def misses(queries: DataFrame, chunks: DataFrame, retrieved: DataFrame, threshold: float = 0.5, k: int = 10, limit: int | None = None) -> DataFrame:
     """Chunks not retrieved with a cosine just under the threshold, and why; queries are the flagged ones."""
     scan = chunks if limit is None else chunks.orderBy("chunk_id").limit(limit)
-    pairs = scan.select("chunk_id", "text", "vec").join(F.broadcast(queries.select("query_id", "query", F.col("vec").alias("qv"))))
-    s = F.round(cosine(F.col("qv"), F.col("vec")), 6)
-    near = pairs.withColumn("similarity", s).where((F.col("similarity") >= round(threshold - 0.05, 6)) & (F.col("similarity") < threshold)).join(retrieved.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    close = knn(queries, scan, None, round(threshold - 0.05, 6)).withColumnRenamed("vector_score", "similarity").where(F.col("similarity") < threshold)
+    near = close.join(retrieved.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    near = near.join(queries.select("query_id", "query"), "query_id").join(scan.select("chunk_id", "text"), "chunk_id")
     n = overlap(F.col("query"), F.col("text"))
     cause = F.when(n == 0, "embedding_mismatch").when(F.col("similarity") >= threshold - 0.02, "threshold_edge").when(n <= 1, "keyword_missing").otherwise("partial_match")
     return top(near.select("query_id", "chunk_id", "similarity", n.alias("overlap"), cause.alias("cause")), k, F.desc("similarity"), F.col("chunk_id"))

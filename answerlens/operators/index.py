@@ -4,34 +4,59 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerlens.functions.text import key_terms, tokens
+from answerlens.session import kept
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+#: Statistics of knowledge bases (about 50 bytes each) are broadcast up to so many.
+BROADCAST_BASES = 100_000
+
+
 @dataclass
 class Index:
-    """postings(kb_id, term, chunk_id, tf, dl), terms(kb_id, term, df, idf), corpus(kb_id, n, avgdl)."""
+    """postings(kb_id, term, chunk_id, tf, dl), terms(kb_id, term, df, idf, avgdl), corpus(kb_id, n, avgdl); each computed once."""
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
 
+def small(corpus: DataFrame) -> DataFrame:
+    """A table with a row a knowledge base, to be broadcast if there are not too many."""
+    return F.broadcast(corpus) if corpus.limit(BROADCAST_BASES + 1).count() <= BROADCAST_BASES else corpus
+
+
 def build_index(chunks: DataFrame, tokenizer=tokens) -> Index:
-    """A1: chunks(kb_id, chunk_id, text) -> statistics; chunks without a token count in n and the mean length."""
+    """A1: chunks(kb_id, chunk_id, text) -> statistics; chunks without a token count in n and the mean length.
+
+    Texts are read and split once; a chunk without a token leaves a row with a null term.
+    """
     split = chunks.select("kb_id", "chunk_id", tokenizer(F.col("text")).alias("t"))
-    sized = split.select("kb_id", "chunk_id", "t", F.size("t").cast("long").alias("dl"))
-    corpus = sized.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = sized.select("kb_id", "chunk_id", "dl", F.explode("t").alias("term")).groupBy("kb_id", "term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(corpus, "kb_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy("kb_id").agg((F.avg("raw") * EPSILON).alias("floor"))
-    terms = raw.join(mean, "kb_id").select("kb_id", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, terms, corpus)
+    each = split.select("kb_id", "chunk_id", F.size("t").cast("long").alias("dl"), F.explode_outer("t").alias("term"))
+    counted = kept(each.groupBy("kb_id", "term", "chunk_id", "dl").agg(F.count("term").alias("tf")))
+    corpus = kept(counted.groupBy("kb_id").agg(F.count_distinct("chunk_id").alias("n"), (F.sum("tf") / F.count_distinct("chunk_id")).alias("avgdl")))
+    postings = counted.where("term IS NOT NULL")
+    df = kept(postings.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("df")))
+    raw = df.join(small(corpus), "kb_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    floor = kept(raw.groupBy("kb_id").agg((F.avg("raw") * EPSILON).alias("floor")))
+    terms = raw.join(small(floor), "kb_id").select("kb_id", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")
+    return Index(postings, kept(terms), corpus)
+
+
+def save(index: Index, folder: str) -> None:
+    """A1: the three tables as Parquet; postings and terms in the order in which a search asks for them."""
+    for name in ("postings", "terms", "corpus"):
+        table = getattr(index, name)
+        (table if name == "corpus" else table.repartitionByRange("kb_id", "term").sortWithinPartitions("kb_id", "term")).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load(spark: SparkSession, folder: str) -> Index:
+    return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "corpus")))
 
 
 def vocabulary(chunks: DataFrame) -> DataFrame:

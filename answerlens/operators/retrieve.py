@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from answerlens.functions.text import cosine, key_terms, preview, tokens
 from answerlens.operators.index import Index, term_score
+from answerlens.session import kept
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ def bm25(queries: DataFrame, index: Index, k: int | None = 5) -> DataFrame:
     Query tokens join postings by term; AQE splits terms that most chunks have.
     """
     terms = queries.select("query_id", "kb_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "kb_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighed = terms.join(index.terms, ["kb_id", "term"]).join(F.broadcast(index.corpus) if index.corpus.limit(100_001).count() <= 100_000 else index.corpus, "kb_id")
+    weighed = terms.join(index.terms, ["kb_id", "term"])
     scored = weighed.join(index.postings, ["kb_id", "term"]).withColumn("s", F.col("qtf") * term_score())
     total = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), 6).alias("bm25_score")).where("bm25_score > 0")
     if k is not None:
@@ -85,35 +85,34 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int | None = 10, floor: float
     return scored if k is None else top(scored, k, F.desc("vector_score"), F.col("chunk_id"))
 
 
-def knn_blocks(queries: DataFrame, chunks: DataFrame, k: int | None = 10, floor: float = 0.0, block: int = 4096) -> DataFrame:
-    """J2 (b): a stated query set of any size, in blocks: each block of queries passes over all chunks with a local top k; all from the floor on where k is None."""
-    n = max(1, -(-queries.count() // block))
-    salted = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
-    found = None
-    spark = queries.sparkSession
-    for i in range(n):
-        rows = salted.where(F.col("part") == i).toPandas()  # at most about `block` vectors
-        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.stack(rows["vec"]) if len(rows) else np.zeros((0, 1))))
-
-        def run(pdfs: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            qn = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            for pdf in pdfs:
-                x = np.stack(pdf["vec"]).astype(np.float64)
-                xn = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                step = 256 if k is None else max(len(ids), 1)  # without k a frame can hold every pair
-                for low in range(0, len(ids), step):
-                    s = np.clip(qn[low : low + step] @ xn, 0, None).round(6)
-                    passing = s >= floor
-                    if k is not None:
-                        keep = min(k, s.shape[1])
-                        passing &= s >= np.partition(s, s.shape[1] - keep, axis=1)[:, [s.shape[1] - keep]]
-                    a, b = np.nonzero(passing)
-                    yield pd.DataFrame({"query_id": ids[low + a], "chunk_id": pdf["chunk_id"].to_numpy()[b], "vector_score": s[a, b]})
-
-        kind = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
-        part = chunks.select("chunk_id", "vec").mapInPandas(run, f"query_id {kind[0]}, chunk_id {kind[1]}, vector_score double")
-        found = part if found is None else found.unionByName(part)
+def knn_blocks(queries: DataFrame, chunks: DataFrame, k: int | None = 10, floor: float = 0.0, block: int = 4096, rows: int = 50_000) -> DataFrame:
+    """J2 (b): a stated query set of any size, in blocks: every block of queries meets every block of chunks in one task, which keeps its best k (all from the floor on where k is None)."""
+    nq, nv = max(1, -(-queries.count() // block)), max(1, -(-chunks.count() // rows))
+    q_kind, c_kind = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
+
+    def side(df: DataFrame, own: str, n: int, place: str, other: str, m: int) -> DataFrame:
+        ids = [F.col(c).alias(c) if c == own else F.lit(None).cast(kind).alias(c) for c, kind in (("query_id", q_kind), ("chunk_id", c_kind))]
+        return df.select(*ids, F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64(own), F.lit(n)).cast("int").alias(place), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["query_id"].notna()
+        a, b = pdf[asks], pdf[~asks]
+        out = [pd.DataFrame({"query_id": a["query_id"].iloc[:0], "chunk_id": b["chunk_id"].iloc[:0], "vector_score": np.zeros(0)})]
+        if len(a) and len(b):
+            q, x = (np.stack(side["vec"]) for side in (a, b))
+            q, x = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (q, x))
+            for low in range(0, len(q), 256):
+                s = np.clip(q[low : low + 256] @ x.T, 0, None).round(6)
+                passing = s >= floor
+                if k is not None:
+                    most = min(k, s.shape[1])
+                    passing &= s >= np.partition(s, s.shape[1] - most, axis=1)[:, [s.shape[1] - most]]
+                i, j = np.nonzero(passing)
+                out.append(pd.DataFrame({"query_id": a["query_id"].to_numpy()[low + i], "chunk_id": b["chunk_id"].to_numpy()[j], "vector_score": s[i, j]}))
+        return pd.concat(out)
+
+    both = side(queries, "query_id", nq, "i", "j", nv).unionByName(side(chunks, "chunk_id", nv, "j", "i", nq))
+    found = both.groupBy("i", "j").applyInPandas(meet, f"query_id {q_kind}, chunk_id {c_kind}, vector_score double")
     return found if k is None else top(found, k, F.desc("vector_score"), F.col("chunk_id"))
 
 
@@ -212,4 +211,4 @@ def retrieve(queries: DataFrame, chunks: DataFrame, index: Index, params: Params
     elif params.mode == "vector":
         b = b.limit(0)
         params = Params(**(asdict(params) | {"bm25_weight": 0.0, "vector_weight": 1.0}))
-    return stages(fuse(b, v, params=params), chunks, queries, params)
+    return stages(kept(fuse(b, v, params=params)), chunks, queries, params)

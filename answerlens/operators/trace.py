@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from answerlens.functions.text import citations, cosine, hashed_vector, sentence_key
 from answerlens.functions.text_udf import sentences
+from answerlens.session import kept
 
 FINE, COARSE = 1.0, 0.8
 LOW, SUMMARY, QUOTE = 0.35, 0.55, 0.75
@@ -76,11 +77,11 @@ def top_sources(similar: DataFrame, cited: DataFrame, k: int = 3) -> DataFrame:
 
 def trace(answers: DataFrame, context: DataFrame, embedder=hashed_vector) -> DataFrame:
     """answers(trace_id, answer), context(trace_id, rank, chunk_id, text) -> one row for each sentence."""
-    s = spans(answers)
+    s = kept(spans(answers))
     cited = s.select("trace_id", "idx", F.explode(F.array_distinct("cited")).alias("rank")).join(context.select("trace_id", "rank", "chunk_id"), ["trace_id", "rank"], "left")
     valid = cited.where("chunk_id IS NOT NULL").select("trace_id", "idx", "chunk_id")
     bad = cited.where("chunk_id IS NULL").groupBy("trace_id", "idx").agg(F.sort_array(F.collect_set("rank")).alias("invalid"))
-    similar = similarity(s, context, embedder)
+    similar = kept(similarity(s, context, embedder))
     best = similar.groupBy("trace_id", "idx").agg(F.max("score").alias("score"))
     known = embed(s, "sentence", embedder).select("sentence", F.col("vec").isNotNull().alias("verified"))
     rows = s.join(best, ["trace_id", "idx"], "left").join(valid.select("trace_id", "idx").distinct().withColumn("is_cited", F.lit(True)), ["trace_id", "idx"], "left").join(known, "sentence").join(bad, ["trace_id", "idx"], "left")

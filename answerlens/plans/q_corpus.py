@@ -219,8 +219,8 @@ ORACLES = {
         r AS (SELECT doc_id, term, tf * (ln((n + 1) / (df + 1)) + 1) AS w FROM tf JOIN df USING (term), nn), m AS (SELECT doc_id, sqrt(sum(w * w)) AS nm FROM r GROUP BY 1), w AS (SELECT doc_id, term, w / nm AS w FROM r JOIN m USING (doc_id)),
         p AS (SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.w * b.w), 6) AS s FROM w a JOIN w b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING s > 0.8)
         SELECT a, b, CASE WHEN s > 0.95 THEN 'duplicate' ELSE 'related' END AS relation, s AS similarity FROM p""",
-    "j15_coverage": f"""WITH q AS (SELECT DISTINCT item_id, unnest({KEY}) AS word FROM benchmark), q2 AS (SELECT * FROM q WHERE length(word) >= 2), d AS (SELECT DISTINCT doc_id, unnest({TOK.format('text')}) AS word FROM documents)
-        SELECT doc_id, round(count(DISTINCT item_id)::DOUBLE / (SELECT count(*) FROM benchmark), 6) AS coverage, count(DISTINCT word) AS words FROM d JOIN q2 USING (word) GROUP BY doc_id""",
+    "j15_coverage": f"""WITH q AS (SELECT DISTINCT item_id, unnest({KEY}) AS word FROM benchmark), q2 AS (SELECT * FROM q WHERE length(word) >= 2), w AS (SELECT DISTINCT word FROM q2), h AS (SELECT doc_id, word FROM documents JOIN w ON contains(lower(text), word))
+        SELECT d.doc_id, round(count(DISTINCT item_id)::DOUBLE / (SELECT count(*) FROM benchmark), 6) AS coverage, count(DISTINCT h.word) AS words FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN q2 ON q2.word = h.word GROUP BY d.doc_id""",
     "u3_merge": "WITH p AS (SELECT doc_id AS a, doc_id + 1 AS b FROM documents), l AS (SELECT DISTINCT a, b, line FROM p JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) x ON x.doc_id IN (a, b) WHERE trim(line, ' ') <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY line) AS r FROM l) SELECT a, b, md5(string_agg(line, chr(10) ORDER BY r)) AS digest FROM r WHERE r <= 100 GROUP BY a, b",
     "u4_distinct_pairs": "SELECT user_id AS doc_id, event_type AS question, floor(value)::BIGINT::VARCHAR AS answer, min(event_id) AS pos FROM events GROUP BY ALL",
     "u5_new_lines": """WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), a AS (SELECT doc_id, trim(line, ' ') AS line, pos FROM x WHERE trim(line, ' ') <> ''),

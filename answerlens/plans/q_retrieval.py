@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from answerlens.operators import index as I
 from answerlens.operators import retrieve as R
 from answerlens.operators import scope
-from answerlens.plans.q_text import TOK, t
+from answerlens.plans.q_text import KEY, TOK, t
+from answerlens.session import kept
 
 
 def chunks(spark, d, kb=None):
@@ -51,7 +52,7 @@ def _fused(spark, d):
     v = vectors(spark, d)
     q = asked(spark, d)
     qv = q.join(v.withColumnRenamed("chunk_id", "query_id"), "query_id").select("query_id", "vec")
-    return R.fuse(R.bm25(q, I.build_index(chunks(spark, d)), 10), R.knn(qv, v, 10, 0.1))
+    return kept(R.fuse(R.bm25(q, I.build_index(chunks(spark, d)), 10), R.knn(qv, v, 10, 0.1)))
 
 
 def j3_fusion(spark, d):
@@ -160,6 +161,7 @@ STAGED = FUSED + """,
     staged AS (SELECT *, coalesce(final_rank <= 5, false) AS kept FROM staged1)"""
 ORACLES = {
     "a1_bm25_stats": f"WITH {bm25_sql('source')} SELECT kb_id, term, df, round(idf, 6) AS idf FROM terms",
+    "a23_vocabulary": f"SELECT kb_id, count(DISTINCT term) AS terms FROM (SELECT source AS kb_id, unnest({KEY}) AS term FROM documents) GROUP BY kb_id",
     "a1_corpus": f"WITH {bm25_sql('source')} SELECT kb_id, n, round(avgdl, 6) AS avgdl FROM corpus",
     "j1_bm25_top5": f"WITH {BM25_ALL} SELECT query_id, chunk_id, bm25_score, round(bm25_score / max(bm25_score) OVER (PARTITION BY query_id), 6) AS bm25_norm, rank::INT AS rank FROM rk WHERE rank <= 5",
     "j2_knn_top10": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round({COS}, 6) AS vector_score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)

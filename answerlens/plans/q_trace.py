@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from answerlens.functions import text as X
@@ -11,18 +9,16 @@ from answerlens.functions import text_udf as U
 from answerlens.operators import contradict, diagnose, retrieve, trace
 from answerlens.operators import index as I
 from answerlens.plans.q_retrieval import COS, FUSED, _fused, asked, chunks, vectors
-from answerlens.plans.q_text import TOK, t
+from answerlens.plans.q_text import KEY, TOK, t
+from answerlens.session import shared_folder as folder
 from answerlens.streaming import live
 
 
-def folder(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="answerlens-")
-
-
 def answers(spark, d):
     """Assistant turns with the user turn before them as the one source."""
     c = t(spark, d, "conversations").withColumn("trace_id", F.col("conv_id") * 1000 + F.col("turn"))
-    a = c.where("role = 'assistant'").select("trace_id", F.concat(F.col("text"), F.lit(" It costs 5 dollars [1]. It took 3 days [7].")).alias("answer"))
+    said = F.format_string(" It costs %d dollars [%d]. It took %d days [%d].", 3 + F.pmod("conv_id", F.lit(7)), 1 + F.pmod("conv_id", F.lit(3)), 3 + F.pmod("turn", F.lit(4)), 7 + F.pmod("conv_id", F.lit(2)))
+    a = c.where("role = 'assistant'").select("trace_id", F.concat("text", said).alias("answer"))
     s = c.where("role = 'user'").select((F.col("trace_id") + 1).alias("trace_id"), F.lit(1).alias("rank"), F.concat(F.lit("c"), F.col("trace_id").cast("string")).alias("chunk_id"), F.concat(F.col("text"), F.lit(" It costs 9 dollars. It took 3 days.")).alias("text"))
     ids = a.select("trace_id").join(s.select("trace_id"), "trace_id")
     return a.join(ids, "trace_id"), s.join(ids, "trace_id")
@@ -200,8 +196,18 @@ def x6_metrics(spark, d):
 
 QUERIES = {f.__name__: f for f in (p2_chunks, p4_sentences, p9_typos, p13_claims, p14_polarity, p16_structure, p23_embedding, j7_similarity, j8_citations, a4_citation_coverage, a5_hallucination, a6_semantic, a13_drift, w1_rank_ratio, g6_trace, g7_contradictions, f8_what_if, u1_mode_difference, u2_keyword_gap, j16_misses, g4_diagnosis, g5_business, w5_running_ratio, x1_assembly, x2_verdicts, x4_threshold, x5_health, x6_metrics)}
 
+LOW = r"lower(text)"
+BEFORE = "substring(lower(text), greatest(1, strpos(lower(text), 'the') - 40), strpos(lower(text), 'the') - greatest(1, strpos(lower(text), 'the') - 40))"
 ORACLES = {
-    "j8_citations": "SELECT conv_id * 1000 + turn AS trace_id, '1' AS valid, '7' AS invalid, '' AS missing FROM conversations a WHERE role = 'assistant' AND EXISTS (SELECT 1 FROM conversations u WHERE u.role = 'user' AND u.conv_id * 1000 + u.turn + 1 = a.conv_id * 1000 + a.turn)",
+    "p9_typos": "SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE (length(text) - length(replace(text, 'teh', ''))) // 3 + (length(text) - length(replace(text, 'recieve', ''))) // 7 + (length(text) - length(replace(text, 'thier', ''))) // 5 + (length(text) - length(replace(text, 'onnt', ''))) // 4 END::INT AS n, md5(replace(replace(replace(replace(text, 'teh', 'the'), 'recieve', 'receive'), 'thier', 'their'), 'onnt', 'ont')) AS digest FROM documents",
+    "p14_polarity": rf"""SELECT doc_id, 'reference' AS concept, CASE WHEN contains({LOW}, 'not the') OR regexp_matches({BEFORE}, '((^|[^\p{{L}}\p{{N}}_])(not|no|never|cannot)|n''t|不|未|没有)\s*([\p{{L}}\p{{N}}_]+\s+)?$') THEN -1 ELSE 1 END::INT AS polarity, CASE WHEN contains({LOW}, 'not the') THEN 'not the' ELSE 'the' END AS phrase FROM documents WHERE contains({LOW}, 'the')""",
+    "u2_keyword_gap": f"""WITH p AS (SELECT * FROM (VALUES ('tion', '^th.*tion$'), ('end', '^en.*nd$')) x(domain, pattern)), q AS (SELECT DISTINCT item_id AS query_id, 'src' || (item_id % 20) AS kb_id, unnest({KEY}) AS word FROM benchmark),
+        h AS (SELECT DISTINCT query_id, kb_id, domain FROM q JOIN p ON regexp_matches(word, pattern)), v AS (SELECT DISTINCT source AS kb_id, unnest({KEY}) AS word FROM documents), w AS (SELECT DISTINCT kb_id, domain, word FROM v JOIN p ON regexp_matches(word, pattern)),
+        g AS (SELECT query_id, domain, word FROM h JOIN w USING (kb_id, domain) WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.query_id = h.query_id AND q.word = w.word) QUALIFY row_number() OVER (PARTITION BY query_id, domain ORDER BY word) <= 10)
+        SELECT query_id, domain, string_agg(word, ',' ORDER BY word) AS missing FROM g GROUP BY ALL""",
+    "x2_verdicts": """WITH e AS (SELECT user_id AS trace_id, event_id::INT AS idx, value / 100 AS score FROM events), r AS (SELECT a.trace_id, a.idx, a.score, (count_if(b.score < a.score) + 1) / count(b.score) AS ratio, count(b.score) AS n FROM e a JOIN e b ON b.trace_id = a.trace_id AND b.idx <= a.idx GROUP BY ALL)
+        SELECT trace_id, idx, CASE WHEN score IS NULL THEN 'no_source' WHEN score < 0.35 THEN 'drift' WHEN score >= 0.75 AND (n < 3 OR ratio >= 0.9) THEN 'direct_quote' WHEN score >= 0.55 AND (n < 3 OR ratio >= 0.75) THEN 'summary' ELSE 'low_confidence' END AS level FROM r""",
+    "j8_citations": "SELECT conv_id * 1000 + turn AS trace_id, CASE WHEN conv_id % 3 = 0 THEN '1' ELSE '' END AS valid, CASE WHEN conv_id % 3 = 0 THEN '' ELSE (1 + conv_id % 3) || ',' END || (7 + conv_id % 2) AS invalid, CASE WHEN conv_id % 3 = 0 THEN '' ELSE '1' END AS missing FROM conversations a WHERE role = 'assistant' AND EXISTS (SELECT 1 FROM conversations u WHERE u.role = 'user' AND u.conv_id * 1000 + u.turn + 1 = a.conv_id * 1000 + a.turn)",
     "a13_drift": """WITH r AS (SELECT user_id AS trace_id, count(*) AS n, count_if(event_type = 'error')::BIGINT AS drift, count_if(event_type = 'signup')::BIGINT AS unverified, count_if(event_type = 'view') AS hi FROM events GROUP BY 1)
         SELECT trace_id, n, drift, unverified, round(drift / n, 4) AS drift_rate, round(CASE WHEN n > unverified THEN drift / (n - unverified) ELSE 0 END, 4) AS verified_drift_rate, round(unverified / n, 4) AS unverified_rate, round(hi / n, 4) AS high_confidence_rate FROM r""",
     "w1_rank_ratio": "WITH r AS (SELECT user_id AS trace_id, event_id AS idx, CASE WHEN event_type <> 'error' THEN floor(value) END AS s FROM events) SELECT trace_id, idx, CASE WHEN s IS NOT NULL THEN round(rank() OVER (PARTITION BY trace_id, s IS NULL ORDER BY s) / count(*) OVER (PARTITION BY trace_id, s IS NULL), 6) END AS rank_ratio, count(s) OVER (PARTITION BY trace_id) AS scored FROM r",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "answerlens", master: str | None = None, shuffle: int = 8) -> SparkSession:
@@ -22,3 +23,22 @@ def build_session(app: str = "answerlens", master: str | None = None, shuffle: i
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; a local master gets a new one where none is set."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="answerlens-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Computed once, in the shared folder: for tables that several branches of a plan read."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

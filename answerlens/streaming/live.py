@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
 from uuid import uuid4
@@ -80,8 +81,9 @@ def running_verdicts(scored: DataFrame) -> DataFrame:
         out = []
         for idx, score in sorted((int(i), s) for pdf in pdfs for i, s in zip(pdf["idx"], pdf["score"], strict=True)):
             if score is not None and not pd.isna(score):
-                scores.append(float(score))
-                ratio = (sum(x < score for x in scores) + 1) / len(scores)
+                place = bisect_left(scores, float(score))  # how many are lower
+                scores.insert(place, float(score))
+                ratio = (place + 1) / len(scores)
             else:
                 ratio = 0.0
             out.append((key[0], idx, absolute(score, ratio, len(scores))))
@@ -100,8 +102,8 @@ def running_ratio(rows: DataFrame) -> DataFrame:
     return rows.withColumn("running_ratio", F.when(F.col("score").isNotNull(), (F.size(F.filter(seen, lambda x: x < F.col("score"))) + 1) / F.size(seen)))
 
 
-def ingest(files: DataFrame, chunk_path: str, posting_path: str, checkpoint: str, size: int = 512, overlap: int = 128):
-    """A stream of (kb_id, doc_id, text) -> chunks and postings appended; a batch that is run again replaces itself."""
+def ingest(files: DataFrame, chunk_path: str, posting_path: str, checkpoint: str, size: int = 512, overlap: int = 128, stats_path: str | None = None):
+    """A stream of (kb_id, doc_id, text) -> chunks and postings appended, A1's statistics of the bases in the batch refreshed in stats_path; a batch that is run again replaces itself."""
 
     def batch(df: DataFrame, number: int) -> None:
         each = df.select("kb_id", "doc_id", F.inline(chunk_column(clean_text(F.col("text")), size, overlap)))
@@ -109,6 +111,11 @@ def ingest(files: DataFrame, chunk_path: str, posting_path: str, checkpoint: str
         write = lambda d, p: d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(p)
         write(rows, chunk_path)
         write(rows.select("batch", "kb_id", "chunk_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("batch", "kb_id", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf")), posting_path)
+        if stats_path:
+            touched = rows.select("kb_id").distinct()
+            stored = rows.sparkSession.read.parquet(chunk_path).join(touched, "kb_id", "left_semi")
+            dl = F.size(tokens(F.col("text")))
+            stored.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.avg(dl).alias("avgdl")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(stats_path)
         rows.unpersist()
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

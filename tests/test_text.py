@@ -38,7 +38,7 @@ def test_chunks_keep_sizes_and_overlap():
     assert U.split_chunks("", 10, 2) == []
     assert U.split_chunks("a" * 25, 10, 2) == ["a" * 10, "a" * 10, "a" * 9, "a"]
     got = U.split_chunks("one two.\nthree four.\nfive six", 20, 8)
-    assert got[0] == "one two.\nthree four."[:20] or len(got[0]) <= 20
+    assert got == ["one two.\nthree four.", "five six"]  # the tail ends with its full stop
     assert "".join(got).count("five six") == 1
 
 
@@ -47,6 +47,14 @@ def test_chunks_keep_sizes_and_overlap():
     ("3 万 yuan", [("money:CNY", 30000.0)]),
     ("20% in 2 weeks", [("percent", 20.0), ("duration", 1209600.0)]),
     ("5 km or 300 g", [("length", 5000.0), ("weight", 300.0)]),
+    ("支持7天退款", [("duration", 604800.0)]),
+    ("价格100元", [("money:CNY", 100.0)]),
+    ("价格100美元或90欧元", [("money:USD", 100.0), ("money:EUR", 90.0)]),
+    ("费用为50%，即百分之20", [("percent", 50.0), ("percent", 20.0)]),
+    ("长度为3千米，重5斤", [("length", 3000.0), ("weight", 2500.0)]),
+    ("需要5个工作日", [("duration", 432000.0)]),
+    ("takes 5 h, 6 feet", [("duration", 18000.0), ("length", 1.8288)]),
+    ("abc12 x", []),
     ("3-5 days", []),
     ("version 2.1", []),
     ("[3]", []),
@@ -66,6 +74,39 @@ def test_polarity_and_negation():
     assert U.find_polarity("Plain words") == []
 
 
+@pytest.mark.parametrize("text,concept,want", [
+    ("A full refund is given", "refund scope", 1),
+    ("Only a partial refund is given", "refund scope", -1),
+    ("全额退款", "refund scope", 1),
+    ("部分退款", "refund scope", -1),
+    ("Storage is unlimited", "availability", 1),
+    ("Storage is limited to 5 GB", "availability", -1),
+    ("不限流量", "availability", 1),
+])
+def test_concepts(text, concept, want):
+    assert {c["concept"]: c["polarity"] for c in U.find_polarity(text)}[concept] == want
+
+
+def test_chunks_equal_a_loop():
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "\n".join("".join(rng.choice("ab .。") for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 6)))
+        out, held = [], ""
+        for line in text.split("\n"):
+            line = line.strip()
+            if line and not held and len(line) > 12:
+                out += [line[i : i + 12] for i in range(0, len(line), 8)]
+            elif line and held and len(held) + 1 + len(line) > 12:
+                out.append(held)
+                tail = held[-4:]
+                stop = tail.rfind("。") if tail.rfind("。") > 0 else tail.rfind(".")
+                tail = tail[stop + 1 :].strip() if stop > 0 else tail
+                held = tail + "\n" + line if tail else line
+            elif line:
+                held = held + "\n" + line if held else line
+        assert U.split_chunks(text, 12, 4) == out + ([held] if held else [])
+
+
 def test_typos_are_fixed_once_longest_first(spark):
     fix = U.corrector({"ab": "ba", "abc": "x", "ba": "zz"})
     row = spark.createDataFrame([("abc ab",), (None,)], "t string").select(fix(F.col("t")).alias("f")).collect()
