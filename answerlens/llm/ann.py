@@ -1,8 +1,11 @@
 """Nearest neighbours by inner product: a hierarchical k-means tree searched best bin first.
 
 Largest inner product is nearest in Euclidean distance once every vector gets one
-more component that fills its norm up to the largest norm.  The tree is fitted on a
-bounded sample of such vectors; every vector is put into the leaf it descends to.
+more component that fills its norm up to the largest norm.  The upper tree is fitted
+on a bounded sample of such vectors.  Where the table is larger than the sample, each
+of its leaves is split further in a task, from a sample of the leaf's own vectors, so
+the number of leaves grows with the table (up to MOST_LEAVES, since the tree is
+broadcast).  Every vector is put into the leaf it descends to.
 
 A query walks the tree through a priority queue of branches, nearest first, and so
 orders the leaves.  How many leaves it visits is calibrated: for a sample of the
@@ -14,11 +17,13 @@ meet in cells of bounded size (a large leaf is cut into several, so equal vector
 in any number are no hot group), each cell keeps the best k of each query, and
 those are merged.
 
-Defined cases: vectors that are null, zero, of another dimension than most or hold
-null or non-finite components take no part, as queries or candidates; the same for
-a null id; a query's own id is never its neighbour, on whatever row; ties go to the
-smaller id, repeated rows of another id are listed once; with fewer candidates than
-k all are returned; an empty table gives no rows.
+Defined cases: vectors that are null, zero or hold null or non-finite components take
+no part, as queries or candidates; the same for a null id; a vector with fewer
+components than the longest is taken to have zeros there; a query's own id is never its
+neighbour, on whatever row; where an id has several vectors, the first in order asks,
+and each may be found, listed once with its best score; ties go to the smaller id; with
+fewer candidates than k all are returned; an empty table gives no rows; columns other
+than the id and the vector do not matter.
 """
 
 from __future__ import annotations
@@ -32,13 +37,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerlens.llm.common import cut
+from answerlens.llm.common import cut, drop
 
 K = 20
 #: Vectors that the tree is fitted on, and queries that visits are calibrated on.
 SAMPLE, CALIBRATION = 20_000, 200
 BRANCHES, LEAF = 8, 150
 RECALL = 0.97
+#: Leaves at most (a centre has some 500 bytes and is broadcast), and sampled vectors for each leaf of a split one.
+MOST_LEAVES, SAMPLED_IN_LEAF = 50_000, 20
 #: Vectors and queries in a cell.
 CELL_VECTORS, CELL_QUERIES = 4000, 1000
 
@@ -69,10 +76,10 @@ class Tree:
             moving = moving[[bool(self.children[n]) for n in at[moving]]]
         return np.array(self.leaf)[at]
 
-    def order(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves of a best-bin-first walk."""
+    def order(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves of a best-bin-first walk: so many, and more until their sizes add up to least."""
         queue, out, n = [(0.0, 0, 0)], [], 0
-        while queue and len(out) < most:
+        while queue and (len(out) < most or (sizes is not None and sizes[out].sum() < least)):
             _, _, node = heapq.heappop(queue)
             while self.children[node]:  # down to the nearest leaf; the other branches wait
                 below = self.children[node]
@@ -138,8 +145,8 @@ def clean(rows: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataF
     good = rows.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("x"))
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))) & F.exists("x", lambda v: v != 0)
     good = good.where(fine)
-    common = good.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return good.where(F.size("x") == (common["d"] if common else -1))
+    longest = good.agg(F.max(F.size("x")).alias("d")).first()["d"] or 0
+    return good.withColumn("x", F.concat("x", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("x"))))
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -192,6 +199,43 @@ def brute_force(vectors: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
     return top(vectors.mapInPandas(run, FOUND), k)
 
 
+def grow(vectors: DataFrame, tree: Tree, n: int) -> Tree:
+    """The tree with its leaves split by tasks, until there are about n / LEAF of them or MOST_LEAVES."""
+    wanted = min(MOST_LEAVES, n // LEAF)
+    if wanted < 2 * tree.n_leaves:
+        return tree
+    placed = cut(place(vectors, tree))
+    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))  # one row a leaf of the upper tree
+    share = F.least(F.ceil(F.col("n") / F.lit(n / wanted)), F.lit(8 * -(-wanted // tree.n_leaves)))  # leaves that a leaf is split into
+    rates = sizes.select("leaf", (share * SAMPLED_IN_LEAF / F.col("n")).alias("rate"))
+    draw = F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1_000_000)) / F.lit(1e6)
+    drawn = placed.join(F.broadcast(rates), "leaf").where(draw < F.col("rate"))
+    top_norm = tree.top
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        below = fit_tree(extend(matrix(pdf["x"]), top_norm), top_norm, leaf=SAMPLED_IN_LEAF)
+        parent = np.full(len(below.leaf), -1)
+        for i, children in enumerate(below.children):
+            parent[children] = i
+        return pd.DataFrame({"leaf": pdf["leaf"].iloc[0], "node": np.arange(len(parent)), "parent": parent, "centre": list(below.centres)})
+
+    rows = drawn.select("leaf", "id", "x").groupBy("leaf").applyInPandas(split, "leaf int, node int, parent int, centre array<double>").toPandas()  # bounded by MOST_LEAVES
+    drop(placed)
+    centres, children = list(tree.centres), [list(c) for c in tree.children]
+    at = {leaf: i for i, leaf in enumerate(tree.leaf) if leaf >= 0}
+    for leaf, part in rows.sort_values(["leaf", "node"]).groupby("leaf"):
+        name = {0: at[leaf]}
+        for node, parent, centre in zip(part["node"], part["parent"], part["centre"], strict=True):
+            if parent >= 0:
+                name[node] = len(centres)
+                centres.append(np.asarray(centre))
+                children.append([])
+                children[name[parent]].append(name[node])
+    leaves = np.cumsum([not c for c in children]) - 1
+    return Tree(np.array(centres), children, [int(n) if not c else -1 for n, c in zip(leaves, children, strict=True)], tree.top)
+
+
 def place(vectors: DataFrame, tree: Tree) -> DataFrame:
     """vectors(id, x) with their leaf."""
     shared = vectors.sparkSession.sparkContext.broadcast(tree)  # bounded by SAMPLE / LEAF centres
@@ -204,44 +248,54 @@ def place(vectors: DataFrame, tree: Tree) -> DataFrame:
     return vectors.withColumn("leaf", leaf("x"))
 
 
-def visits(queries: DataFrame, tree: Tree, most: int) -> DataFrame:
-    """queries(id, x) -> a row for each of the first leaves of each query's walk."""
-    shared = queries.sparkSession.sparkContext.broadcast(tree)
+def visits(queries: DataFrame, tree: Tree, most: int, sizes: np.ndarray, least: int) -> DataFrame:
+    """queries(id, x) -> a row for each of the first leaves of each query's walk, which goes on until the leaves hold so many ids at least."""
+    shared = queries.sparkSession.sparkContext.broadcast((tree, sizes))
 
     @F.pandas_udf("array<int>")
     def walk(x: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.order(np.append(np.asarray(v, dtype=np.float64), 0.0), most) for v in x])
+        t, held = shared.value
+        return pd.Series([t.order(np.append(np.asarray(v, dtype=np.float64), 0.0), most, held, least) for v in x])
 
     return queries.select("id", "x", F.explode(walk("x")).alias("leaf"))
 
 
-def calibrate(placed: DataFrame, tree: Tree, sample: pd.DataFrame, k: int, recall: float) -> int:
-    """The smallest number of leaves whose visits hold the wanted share of the sample's exact neighbours."""
+def calibrate(placed: DataFrame, tree: Tree, sample: pd.DataFrame, k: int, recall: float) -> tuple[int, float]:
+    """The smallest number of leaves whose visits hold the wanted share of the sample's exact neighbours, and the share they hold."""
     if not len(sample):
-        return 1
+        return 1, 1.0
     near = brute_force(placed.select("id", "x"), sample, k).select("query_id", "vec_id")
     leaves = near.join(placed.select(F.col("id").alias("vec_id"), "leaf"), "vec_id").distinct().toPandas()  # CALIBRATION x k rows
     at = {}
     for i, v in zip(sample["id"], sample["x"], strict=True):
         at[i] = {leaf: n for n, leaf in enumerate(tree.order(np.append(np.asarray(v, dtype=np.float64), 0.0), tree.n_leaves))}
     steps = np.array([at[q][leaf] for q, leaf in zip(leaves["query_id"], leaves["leaf"], strict=True)])
-    return int(np.quantile(steps, recall, method="higher")) + 1 if len(steps) else 1
+    if not len(steps):
+        return 1, 1.0
+    most = int(np.quantile(steps, recall, method="higher")) + 1
+    return most, float((steps < most).mean())
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
-    """vectors(id, x) -> query_id, rank, vec_id, score for the rows that are queries (a condition on id)."""
+    """vectors(id, x) -> query_id, rank, vec_id, score for the rows that are queries (a condition on id); with the leaves visited, all leaves and the recall calibrated."""
     vectors = cut(vectors)
     about = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("t")).first()
     n, largest = about["n"], float(np.sqrt(about["t"] or 0.0))
     draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) / F.lit(1e6)
     fitted = vectors.where(draw < min(1.0, sample / max(n, 1))).orderBy("id").limit(2 * sample).toPandas()
     tree = fit_tree(extend(matrix(fitted["x"]), largest) if len(fitted) else np.zeros((0, 1)), largest)
+    tree = grow(vectors, tree, n)
     placed = cut(place(vectors, tree))
-    queries = placed.where(is_query)
+    drop(vectors)
+    queries = cut(placed.where(is_query).groupBy("id").agg(F.min("x").alias("x")))
     n_queries = queries.count()
     again = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) / F.lit(1e6)
-    tried = queries.where(again < min(1.0, CALIBRATION / max(n_queries, 1))).select("id", "x").dropDuplicates(["id"]).orderBy("id").limit(2 * CALIBRATION).toPandas()
-    asked = cut(visits(queries.select("id", "x").dropDuplicates(["id"]), tree, calibrate(placed, tree, tried, k, recall)))
+    tried = queries.where(again < min(1.0, CALIBRATION / max(n_queries, 1))).orderBy("id").limit(2 * CALIBRATION).toPandas()
+    visited, share = calibrate(placed, tree, tried, k, recall)
+    sizes = np.zeros(tree.n_leaves, dtype=np.int64)
+    for r in placed.groupBy("leaf").agg(F.count_distinct("id").alias("n")).collect():  # one row a leaf
+        sizes[r["leaf"]] = r["n"]
+    asked = cut(visits(queries, tree, visited, sizes, k + 1))
 
     def cells(rows: DataFrame, size: int, name: str) -> DataFrame:
         return rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
@@ -262,7 +316,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
         return best(q["id"].to_numpy(), matrix(q["x"]), v["id"].to_numpy(), matrix(v["x"]), k)
 
     found = have.unionByName(ask).groupBy("leaf", "i", "j").applyInPandas(cell, FOUND)
-    return top(found, k).select("query_id", "rank", "vec_id", "score")
+    about_it = [F.lit(visited).alias("leaves_visited"), F.lit(tree.n_leaves).alias("leaves"), F.lit(share).alias("calibrated_recall")]
+    return top(found, k).select("query_id", "rank", "vec_id", "score", *about_it)
 
 
 def op1_kmeans_tree(spark, sf_dir):

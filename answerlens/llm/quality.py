@@ -13,7 +13,9 @@ hash of the id); scoring reads every text whole.
 Defined cases: a null text counts as empty and gets a score like any other; labels
 that are null or contradict one another for one document are not learned from;
 with one class only, every score is that class's share; repeated rows get equal
-scores; columns other than doc_id and text are never inputs.
+scores, and where a labelled id has several texts the last in order is learned from; an
+empty table gives no rows; a long text is counted in pieces; columns other than doc_id
+and text are never inputs, whatever their names.
 """
 
 from __future__ import annotations
@@ -137,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rate = min(1.0, sample / max(1, clean.count()))
     place = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1_000_000)) / F.lit(1e6)
     chosen = clean.where(place < rate).select("doc_id", "y")  # about `sample` rows, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -207,6 +207,38 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInPandas(run, "shard int, position long, before long, doc_id long, n_tokens long, ids_crc32 long")
 
 
+def records(shards: DataFrame) -> DataFrame:
+    """write()'s rows -> a row for each record: shard, position."""
+    return shards.select("shard", F.explode(F.sequence(F.lit(0), F.col("n_records") - 1)).alias("position"))
+
+
+def read_at(wanted: DataFrame, folder: str) -> DataFrame:
+    """wanted(shard, position) in any order -> with doc_id and ids, each record found by the offset index, no other is read."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = _open(folder)
+        for pdf in pdfs:
+            out: list = [None] * len(pdf)
+            shards, positions = pdf["shard"].to_numpy(), pdf["position"].to_numpy()
+            for shard in np.unique(shards):
+                name = f"{base}/shard-{shard:06d}"
+                with store.open_input_file(name + ".idx") as index, store.open_input_file(name + ".rec") as data:
+                    for i in np.flatnonzero(shards == shard):
+                        (at,) = struct.unpack("<Q", index.read_at(8, 8 * int(positions[i])))
+                        (n,) = struct.unpack("<Q", data.read_at(8, at))
+                        doc_id, ids, _ = parse(data.read_at(n + 16, at))
+                        out[i] = (doc_id, ids.astype(np.int64))
+            yield pdf.assign(doc_id=pd.array([x for x, _ in out], dtype="Int64"), ids=[x for _, x in out])
+
+    return wanted.select("shard", "position").mapInPandas(run, "shard int, position long, doc_id long, ids array<long>")
+
+
+def shuffled(shards: DataFrame, folder: str, seed: int = 0) -> DataFrame:
+    """All records in an order drawn by the seed: place, doc_id, ids.  Only the records' numbers are shuffled."""
+    drawn = records(shards).withColumn("key", F.xxhash64("shard", "position", F.lit(seed)))
+    return read_at(drawn.repartitionByRange("key").sortWithinPartitions("key"), folder).select(F.monotonically_increasing_id().alias("place"), "doc_id", "ids")
+
+
 def round_trip(docs: DataFrame, folder: str | None = None, path: str | None = None) -> DataFrame:
     """Write all documents, read the files back: doc_id, start (tokens before it in the whole), n_tokens, ids_crc32."""
     spark = docs.sparkSession

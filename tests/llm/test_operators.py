@@ -182,6 +182,124 @@ def test_token_files_round_trip(docs, rows, none, tmp_path):
     assert token_files.round_trip(none, f"file://{tmp_path}/n").count() == 0
 
 
+def test_shuffled_reads_find_every_record_by_its_offset(docs, rows, tmp_path):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(token_files.byte_vocabulary())
+    folder = f"file://{tmp_path}/s"
+    shards = token_files.write(docs, folder, n_shards=3)
+    orders = []
+    for seed in (1, 2):
+        got = token_files.shuffled(shards, folder, seed).orderBy("place").collect()
+        assert {r["doc_id"]: r["ids"] for r in got} == {i: lib.encode(t or "", add_special_tokens=False).ids + [0] for i, t in two(rows)}
+        orders.append([r["doc_id"] for r in got])
+    assert orders[0] != orders[1] and orders[0] != sorted(orders[0])
+
+
+def plain_kneser_ney(words, order):
+    """words: {word: n} -> the probability of a character after a history, by counting strings."""
+    from collections import Counter, defaultdict
+
+    count = {n: Counter() for n in range(1, order + 1)}
+    left = defaultdict(set)
+    for w, times in words.items():
+        s = f" {w} "
+        for i in range(1, len(s)):
+            for n in range(1, order + 1):
+                if i - n + 1 >= 0:
+                    g = s[i - n + 1 : i + 1]
+                    if n == order or i - n + 1 == 0:
+                        count[n][g] += times
+                    else:
+                        left[g].add(s[i - n : i + 1])
+    for g, longer in left.items():
+        count[len(g)][g] += len(longer)
+    discount = {}
+    for n, c in count.items():
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount[n] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    total, kept = Counter(), Counter()
+    for n, c in count.items():
+        for g, v in c.items():
+            total[n, g[:-1]] += v
+            kept[n, g[:-1]] += max(v - discount[n], 0)
+    return count, discount, total, kept
+
+
+def test_character_counts_equal_a_plain_count():
+    words = {"abab": 3, "abc": 2, "cab": 1, "ba": 5, "b": 1, "été": 2}
+    alphabet = len(set(" ".join(words))) + 1
+    m = language_id.fit(pd.DataFrame([("x", w, n) for w, n in words.items()], columns=["lang", "word", "n"]))
+    count, discount, total, kept = plain_kneser_ney(words, language_id.ORDER)
+    assert m.alphabet == alphabet
+
+    def p(history, c):
+        q = (total[1, ""] - kept[1, ""]) / total[1, ""] / alphabet
+        for n in range(1, language_id.ORDER + 1):
+            h = history[len(history) - n + 1 :] if n > 1 else ""
+            if len(h) < n - 1:
+                break
+            if total[n, h]:
+                q = (q if n == 1 else q * (total[n, h] - kept[n, h]) / total[n, h]) + max(count[n][h + c] - discount[n], 0) / total[n, h]
+        return q
+
+    for word in ("abab", "bac", "cé", "zzz", "ababab"):
+        s = f" {word} "
+        want = -sum(np.log(p(s[:i], s[i])) for i in range(1, len(s)))
+        got, n = language_id.cross_entropies(m, [word])
+        assert got[0][0] == pytest.approx(want, rel=1e-4) and n[0] == len(word) + 1
+
+
+def test_language_decision_is_the_lowest_cross_entropy():
+    m = language_id.Models(["a", "b"], np.zeros(0, np.uint64), np.zeros((0, 2)), np.zeros((0, 2)), 1, np.array([1.0, 2.0]))
+    d = language_id.decide(m, np.array([[0.5, 0.6], [9.0, 1.0], [9.0, 9.0], [0.0, 0.0], [0.7, 0.7]]), np.array([100, 100, 100, 0, 4]))
+    assert list(d["lang_pred"]) == ["a", "b", "a", "und", "a"] and list(d["rejected"]) == [False, False, True, True, False]
+    assert d["score"].between(0, 1).all() and d["score"][4] == pytest.approx(0.5)
+
+
+def test_quality_features_equal_a_plain_count():
+    texts = [None, "", "Ab, c 12!\n", "word word other", "é" * 3, "x" * 200]
+    got = quality.features(pa.array(texts, pa.large_string()))
+    for t, row in zip(texts, got, strict=True):
+        b = (t or "").encode()
+        single, double = np.zeros(256), np.zeros((quality.N_CLASSES, quality.N_CLASSES))
+        for x in b:
+            single[x] += 1
+        for x, y in zip(b, b[1:], strict=False):
+            double[quality.CLASS[x], quality.CLASS[y]] += 1
+        w = b.split()
+        tail = [np.log1p(len(b)) / 10, 1 - len(set(w)) / max(len(w), 1), np.log1p(len(w)) - np.log1p(len(set(w)))]
+        assert row == pytest.approx(np.concatenate([np.sqrt(single / (len(b) + quality.SHORT)), np.sqrt(double.ravel() / (len(b) + quality.SHORT)), tail]), abs=1e-6)
+
+
+def test_pairwise_fit_minimises_the_logistic_loss():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3)).astype(np.float32)
+    y = (x @ [2.0, -1.0, 0.0] + rng.normal(size=400) > 0).astype(int)
+    w = quality.fit_pairs(x, y, pairs=4000, seed=5)
+    draw = np.random.default_rng(5)
+    up, down = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    d = (x[draw.choice(up, 4000)] - x[draw.choice(down, 4000)]).astype(np.float64)
+    scale = d.std(axis=0) + 1e-3
+    d /= scale
+    v = np.zeros(3)
+    for _ in range(20_000):  # plain gradient descent on the same loss
+        v -= 0.5 * (-(d * (1 / (1 + np.exp(d @ v)))[:, None]).mean(axis=0) + 1e-2 * v)
+    assert w * scale == pytest.approx(v, abs=2e-3) and w[0] > -w[1] > 0
+
+
+def test_quality_with_repeated_rows_and_clashing_names(spark):
+    data = [(i, "good words here " * 5 if i % 2 else "@@ ## " * 9) for i in range(40)] + [(3, "another text of three")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    scores = []
+    for n in (2, 5):
+        df = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("y", "_y", "score", "x", "quality", "a.b")}).repartition(n)
+        scores.append(sorted((r["doc_id"], r["score"]) for r in quality.score_documents(df, quality.learn(df, labels)).collect()))
+    assert scores[0] == scores[1] and len(scores[0]) == 41
+    long = spark.createDataFrame([(1, "good words here " * 700_000)], "doc_id long, text string")
+    assert 0 <= quality.score_documents(long, quality.learn(df, labels)).first()["score"] <= 1
+
+
 def test_token_encoder_on_odd_text():
     from tokenizers import Tokenizer
 
@@ -339,23 +457,30 @@ def test_quality_on_held_out_rows(spark, none):
     assert quality.learn(df, labels.limit(0)).constant == 0.5
 
 
-def test_nearest_neighbours(spark):
+@pytest.mark.parametrize("sample", [20_000, 300])
+def test_nearest_neighbours(spark, sample, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF", 150 if sample > 1000 else 10)
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(12, 16))
     x = (centres[rng.integers(0, 12, 900)] + 0.3 * rng.normal(size=(900, 16))).astype(np.float32)
     x[500:800] = x[500]  # many equal vectors
     data = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (920, [0.0] * 16), (940, [float("nan")] * 16), (960, [None] * 16), (980, [1.0]), (None, [1.0] * 16), (7, [float(v) for v in x[7]])]
     vectors = ann.clean(spark.createDataFrame(data, "vec_id long, embedding array<float>"))
-    assert vectors.count() == 901
-    out = ann.search(vectors, F.col("id") % 20 == 0).toPandas()
-    x64, ids, hit = x.astype(np.float64), np.arange(900), 0
+    assert vectors.count() == 902
+    out = ann.search(vectors, F.col("id") % 20 == 0, sample=sample).toPandas()
+    assert out["leaves"].iloc[0] > (4 if sample > 1000 else 40) and out["calibrated_recall"].iloc[0] >= 0.97
+    short = out[out["query_id"] == 980].sort_values("rank")
+    assert len(short) == 20 and np.array_equal(short["score"], x[short["vec_id"].to_numpy(), 0].astype(np.float64))
+    out = out[(out["query_id"] != 980)]
+    x64, ids, hit = np.vstack([x.astype(np.float64), [1.0] + [0.0] * 15]), np.array([*range(900), 980]), 0
+    row = {int(d): i for i, d in enumerate(ids)}
     for q, mine in out.groupby("query_id"):
         s = np.cumsum(x64 * x64[q], axis=1)[:, -1]
         s[q] = -np.inf
-        want = np.lexsort((ids, -s))[:20]
+        want = ids[np.lexsort((ids, -s))[:20]]
         mine = mine.sort_values("rank")
         assert list(mine["rank"]) == list(range(1, 21)) and q not in set(mine["vec_id"]) and mine["vec_id"].is_unique
-        assert np.array_equal(mine["score"].to_numpy(), s[mine["vec_id"].to_numpy()])
+        assert np.array_equal(mine["score"].to_numpy(), s[[row[d] for d in mine["vec_id"]]])
         assert list(zip(-mine["score"], mine["vec_id"], strict=True)) == sorted(zip(-mine["score"], mine["vec_id"], strict=True))
         hit += len(set(want) & set(mine["vec_id"]))
     assert out["query_id"].nunique() == 45 and hit >= 0.9 * 45 * 20
