@@ -101,6 +101,11 @@ def unpack_counts(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{b[0]}").ravel().astype(np.int64)
 
 
+def give_back() -> None:
+    """Memory that Arrow keeps for later goes back to the system: workers live on, and the next task may be another operator's."""
+    pa.default_memory_pool().release_unused()
+
+
 def pack(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
     """docs(text, ...) -> block, n_bytes, payload: the rows as compressed Arrow, in blocks of about block_bytes of text (BLOCK_BYTES if not given)."""
     block_bytes = block_bytes or BLOCK_BYTES
@@ -134,6 +139,7 @@ def pack(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
                 start = stop
         if held:
             yield out()
+        give_back()
 
     return cut(docs.mapInArrow(run, "block long, n_bytes long, payload binary"))
 

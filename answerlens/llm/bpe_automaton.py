@@ -40,10 +40,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from answerlens.llm.blocks import give_back
+
 #: About the bytes of words that one Python worker keeps.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 48 << 20
 #: Bytes of text whose distinct pieces are encoded together.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Transitions that one worker keeps, of about 100 bytes each.
 TRANSITIONS = 500_000
 #: Labels are smaller than this, so a state and a label make one number.
@@ -289,6 +291,7 @@ def _with(docs: DataFrame, path: str | None, schema: str, made: Callable[[np.nda
                 columns = [ids.slice(start, len(got[0])), *made(*got)]
                 start += len(got[0])
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *[x.split()[0] for x in schema.split(", ")]])
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + schema)
 

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from answerlens.llm.blocks import give_back
 from answerlens.llm.common import id_bucket
 
 ORDER = 4
@@ -44,7 +45,7 @@ SAMPLE_PER_LANGUAGE = 400
 #: Rows with letters that must remain for learning where a fifth of a language is held back.
 LEAST = 10
 #: Characters of a batch that are scored together.
-CHUNK = 1_000_000
+CHUNK = 500_000
 MADE = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -297,6 +298,7 @@ def classify(docs: DataFrame, models: Models) -> DataFrame:
                 columns = [batch.column(0).slice(start, stop - start), pa.array(d["lang_pred"], pa.string()), pa.array(d["score"], pa.float64()), pa.array(d["cross_entropy"], pa.float64()), pa.array(d["rejected"], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "lang_pred", "score", "cross_entropy", "rejected"])
                 start = stop
+            give_back()
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *MADE]))
 

@@ -51,6 +51,8 @@ CELL, CELL_SHINGLES = 500, 1_000_000
 TASK_SHINGLES = 4_000_000
 #: Bits of a signature for each shingle of the largest set in a cell, and the bounds of its width.
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 512, 16384
+#: Bytes of text in a block; half of what other operators take, since shingling needs some 40 bytes a byte.
+BLOCK_BYTES = 4 << 20
 _U = np.uint64
 
 
@@ -88,7 +90,7 @@ SETS = "doc_id long, n long, node long, tokens array<long>, items binary"
 
 def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) -> a row for each: n; and for those that may be linked, node (equal for equal sets), prefix tokens, items."""
-    blocks = B.pack(docs.select("doc_id", "text"))
+    blocks = B.pack(docs.select("doc_id", "text"), BLOCK_BYTES)
     n_parts = B.n_ranges(blocks)
 
     def ask(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,6 +99,7 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
                 h, _ = shingles(B.unpack(payload)["text"], width)
                 keys, times = np.unique(slot(h), return_counts=True)
                 yield pd.DataFrame(B.requests(block, 1, keys, times, n_parts), columns=["block", "part", "kind", "keys", "counts"])
+        B.give_back()
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         _, places, _, totals = B.add_up([B.unpack_keys(b) for b in pdf["keys"]], [B.unpack_counts(b) for b in pdf["counts"]])
@@ -128,6 +131,7 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
             tokens = x[prefix[y[prefix] > 0]].view(np.int64)
             node = int(B.mix(np.array([(B.mix(x) * (x | _U(1))).sum() + _U(n)], dtype=np.uint64)).view(np.int64)[0])
             out.append((doc_id, n, node, tokens, x.tobytes()))
+        B.give_back()
         frame = pd.DataFrame(out, columns=["doc_id", "n", "node", "tokens", "items"])
         return frame.astype({"doc_id": "Int64", "node": "Int64"})
 
