@@ -53,7 +53,7 @@ def test_chunks_keep_sizes_and_overlap():
     ("费用为50%，即百分之20", [("percent", 50.0), ("percent", 20.0)]),
     ("长度为3千米，重5斤", [("length", 3000.0), ("weight", 2500.0)]),
     ("需要5个工作日", [("duration", 432000.0)]),
-    ("takes 5 h, 6 feet", [("duration", 18000.0), ("length", 1.8288)]),
+    ("takes 5 h, 10 feet", [("duration", 18000.0), ("length", 3.048)]),
     ("abc12 x", []),
     ("3-5 days", []),
     ("version 2.1", []),
