@@ -18,6 +18,10 @@ side:
 The order is that of 64-bit hashes and not lexicographic, since only equal strings
 need to meet; the dictionary and the parse are never held in one place.
 
+Passages of a little over 50 words are often shorter than ``length``.  A first pass of
+the same kind over shorter strings (``passage`` bytes, about 50 words of four letters
+and a blank) counts what they cover in each document; nothing is removed for them.
+
 Defined cases: a null text has no bytes; a text shorter than ``length`` loses
 nothing; a text that repeats itself loses what repeats; repeated rows lose all they
 share if long enough; columns other than doc_id and text do not matter.
@@ -31,13 +35,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlens.llm import blocks as B
-from answerlens.llm.common import cut
+from answerlens.llm.common import cut, drop
 
 LENGTH = 400
+#: Bytes of the shorter strings that are counted and stay.
+PASSAGE = 250
 WINDOW = 8
 MEAN_PHRASE_BITS = 6
 _U = np.uint64
@@ -111,10 +117,15 @@ def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, spans array<struct<start,stop>> removed, kept (the bytes that are left)."""
-    blocks = B.pack(docs.select("doc_id", "text"))
-    n = B.n_ranges(blocks)
+STATE = B.REQUEST + ", totals binary"
+
+
+def _null(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
+def _passes(blocks: DataFrame, n: int, length: int) -> tuple[DataFrame, DataFrame]:
+    """Each block with all that tells which of its strings of the length repeat (see ``_covered``), and the checkpoint it reads."""
 
     def ask(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
@@ -168,23 +179,48 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         ends = [B.to_bytes(np.stack([s.first[m], s.last[m]])) for m in (whole, open_, speaks)]
         return pd.DataFrame([(*r, None) for r in rows] + [(block, -1, 4, *ends)], columns=["block", "part", "kind", "keys", "counts", "totals"])
 
+    text = blocks.select("block", "payload").withColumns({"part": _null("int"), "kind": _null("int"), "totals": _null("binary")})
+    first = blocks.select("block", "payload").mapInPandas(ask, B.REQUEST).groupBy("part").applyInPandas(answer, B.REPLY)
+    both = text.unionByName(first.withColumn("payload", _null("binary")))
+    step = cut(both.groupBy("block").applyInPandas(sort_out, STATE))
+    second = step.where("kind = 3").drop("totals").groupBy("part").applyInPandas(answer, B.REPLY)
+    keys = {"keys": _null("binary"), "counts": _null("binary")}
+    states = step.where("kind = 4").withColumn("payload", _null("binary"))
+    return text.withColumns(keys).unionByName(second.withColumns(keys | {"payload": _null("binary")})).unionByName(states), step
+
+
+def _covered(pdf: pd.DataFrame, length: int) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's rows, its bytes, where each text begins, and which bytes lie in a string of the length that repeats."""
+    t = B.unpack(pdf["payload"].dropna().iloc[0])
+    data, offsets = B.bytes_of(t["text"])
+    own = pdf[pdf["kind"] == 4].iloc[0]
+    whole, open_ = (B.from_bytes(own[c], np.int64).reshape(2, -1) for c in ("keys", "counts"))
+    at = spread(*open_)
+    if len(at):
+        flags = B.collect_replies(pdf, 3, "totals", B.unpack_counts) > 1
+        every = spread(*B.from_bytes(own["totals"], np.int64).reshape(2, -1))
+        keys = stretch_keys(data, at, at + length)
+        at = at[flags[np.searchsorted(np.unique(stretch_keys(data, every, every + length)), keys)]]
+    rise = np.zeros(len(data) + 1, dtype=np.int32)
+    np.add.at(rise, whole[0], 1)
+    np.add.at(rise, whole[1] + length, -1)
+    np.add.at(rise, at, 1)
+    np.add.at(rise, at + length, -1)
+    return t, data, offsets, np.cumsum(rise)[:-1] > 0
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_bytes, spans array<struct<start,stop>> removed, kept (the bytes that are left), n_shared (bytes in strings of passage bytes that start elsewhere too)."""
+    blocks = B.pack(docs.select("doc_id", "text"))
+    n = B.n_ranges(blocks)
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, offsets, shared = _covered(pdf, passage)
+        n_shared = np.diff(np.concatenate([[0], np.cumsum(shared)])[offsets])
+        return pd.DataFrame([(int(pdf["block"].iloc[0]), -1, 5, None, None, B.pack_counts(n_shared))], columns=["block", "part", "kind", "keys", "counts", "totals"])
+
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = B.unpack(pdf["payload"].dropna().iloc[0])
-        data, offsets = B.bytes_of(t["text"])
-        own = pdf[pdf["kind"] == 4].iloc[0]
-        whole, open_ = (B.from_bytes(own[c], np.int64).reshape(2, -1) for c in ("keys", "counts"))
-        at = spread(*open_)
-        if len(at):
-            flags = B.collect_replies(pdf, 3, "totals", B.unpack_counts) > 1
-            every = spread(*B.from_bytes(own["totals"], np.int64).reshape(2, -1))
-            keys = stretch_keys(data, at, at + length)
-            at = at[flags[np.searchsorted(np.unique(stretch_keys(data, every, every + length)), keys)]]
-        rise = np.zeros(len(data) + 1, dtype=np.int32)
-        np.add.at(rise, whole[0], 1)
-        np.add.at(rise, whole[1] + length, -1)
-        np.add.at(rise, at, 1)
-        np.add.at(rise, at + length, -1)
-        gone = np.cumsum(rise)[:-1] > 0
+        t, data, offsets, gone = _covered(pdf, length)
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
         starts = np.flatnonzero(gone & (edge[:-1] | ~np.concatenate([[False], gone[:-1]])))
@@ -193,24 +229,19 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         left = data[~gone]
         cuts = np.concatenate([[0], np.cumsum(~gone)])[offsets]
         spans = [[{"start": int(x - offsets[i]), "stop": int(y - offsets[i])} for x, y in zip(starts[a:b], stops[a:b], strict=True)] for i, (a, b) in enumerate(zip(which, which[1:], strict=False))]
-        return pd.DataFrame({"doc_id": pd.array(t["doc_id"].to_pylist(), dtype="Int64"), "n_bytes": np.diff(offsets), "spans": spans, "kept": [left[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]})
-
-    def null(kind: str):
-        return F.lit(None).cast(kind)
+        kept = [left[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        n_shared = B.unpack_counts(pdf.loc[pdf["kind"] == 5, "totals"].iloc[0])
+        return pd.DataFrame({"doc_id": pd.array(t["doc_id"].to_pylist(), dtype="Int64"), "n_bytes": np.diff(offsets), "spans": spans, "kept": kept, "n_shared": n_shared})
 
-    text = blocks.select("block", "payload").withColumns({"part": null("int"), "kind": null("int"), "totals": null("binary")})
-    first = blocks.select("block", "payload").mapInPandas(ask, B.REQUEST).groupBy("part").applyInPandas(answer, B.REPLY)
-    both = text.unionByName(first.withColumn("payload", null("binary")))
-    step = cut(both.groupBy("block").applyInPandas(sort_out, B.REQUEST + ", totals binary"))
-    del first, both
-    second = step.where("kind = 3").drop("totals").groupBy("part").applyInPandas(answer, B.REPLY)
-    keys = {"keys": null("binary"), "counts": null("binary")}
-    states = step.where("kind = 4").withColumn("payload", null("binary"))
-    every = text.withColumns(keys).unionByName(second.withColumns(keys | {"payload": null("binary")})).unionByName(states)
-    return every.groupBy("block").applyInPandas(finish, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    every, step = _passes(blocks, n, passage)
+    shared = cut(every.groupBy("block").applyInPandas(count, STATE))
+    drop(step)
+    every, _ = _passes(blocks, n, length)
+    every = every.unionByName(shared.withColumn("payload", _null("binary")))
+    return every.groupBy("block").applyInPandas(finish, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary, n_shared long")
 
 
 def op4_repeated_text(spark, sf_dir):
     """Every document with what repeated strings of 400 bytes take from it."""
     out = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared")

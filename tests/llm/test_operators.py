@@ -97,9 +97,10 @@ def test_ngram_join_of_a_large_group(spark):
 
 
 def test_repeated_text_equals_brute_force(docs, rows):
-    for length in (40, 400):
-        got = {r["doc_id"]: (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["spans"]), bytes(r["kept"])) for r in repeated_text.repeats(docs, length).collect()}
-        assert got == {d: x for d, *x in ((d, n, g, s, k) for d, n, g, s, k in brute.repeated(two(rows), length)) for x in [tuple(x)]}
+    for length, passage in ((40, 25), (400, 250)):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["spans"]), bytes(r["kept"]), r["n_shared"]) for r in repeated_text.repeats(docs, length, passage).collect()}
+        shared = {d: removed for d, _, removed, _, _ in brute.repeated(two(rows), passage)}
+        assert got == {d: (*rest, shared[d]) for d, *rest in brute.repeated(two(rows), length)}
 
 
 def test_exact_dedup(docs, rows):
