@@ -66,12 +66,6 @@ def p17_section_pairs(spark, d):
 
 
 def p18_render(spark, d):
-    qa = t(spark, d, "events").where("user_id < 50").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("question"), F.col("event_type").alias("answer"))
-    return C.render(docs(spark, d), qa).select("doc_id", "variant", F.md5("content").alias("digest"))
-
-
-def p18_render_all(spark, d):
-    """P18 with the questions of every document."""
     qa = t(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("question"), F.col("event_type").alias("answer"))
     return C.render(docs(spark, d), qa).select("doc_id", "variant", F.md5("content").alias("digest"))
 
@@ -91,12 +85,7 @@ def a15_suggestions(spark, d):
 
 
 def a15_remaining(spark, d):
-    f = feedback(spark, d).where("trace_id < 200")
-    return R.remaining(f, R.suggestions(f, least=5)).select("trace_id", "feedback_type", "key")
-
-
-def a15_remaining_all(spark, d):
-    """A15 over all feedback; a suggestion needs a twenty-fifth of it."""
+    """A suggestion needs a twenty-fifth of all feedback."""
     f = feedback(spark, d)
     return R.remaining(f, R.suggestions(f, least=f.count() // 25)).select("trace_id", "feedback_type", "key")
 
@@ -209,7 +198,8 @@ def j12_scenario(spark, d):
     return H.scenario(q, k)
 
 
-QUERIES = {f.__name__: f for f in (j10_relations, j10_relations_default, j15_coverage, u3_merge, u3_merge_duplicates, u4_distinct_pairs, u5_new_lines, g10_issues, p17_section_pairs, p18_render, p18_render_all, g11_feedback_pairs, a15_suggestions, a15_remaining, a15_remaining_all, a16_effectiveness, a16_recent, a17_histogram, a18_effectiveness, t6_top_keywords, j4_rules, a21_requests, a21_total, w4_moving_mean, f6_history, a20_statistics, s13_retention, f7_lines, a19_inventory, s4_replace, s5_scan, s6_page, s15_create_drop, j12_scenario)}
+QUERIES = {f.__name__: f for f in (j10_relations, j10_relations_default, j15_coverage, u3_merge, u3_merge_duplicates, u4_distinct_pairs, u5_new_lines, g10_issues, p17_section_pairs, p18_render, g11_feedback_pairs, a15_suggestions, a15_remaining, a16_effectiveness, a16_recent, a17_histogram, a18_effectiveness, t6_top_keywords, j4_rules, a21_requests, a21_total, w4_moving_mean, f6_history, a20_statistics, s13_retention, f7_lines, a19_inventory, s4_replace, s5_scan, s6_page, s15_create_drop, j12_scenario)}
+QUERIES |= {"p18_render_all": p18_render, "a15_remaining_all": a15_remaining}  # the names under which the whole tables were first read
 
 FB = """f AS (SELECT event_id AS trace_id, CASE event_type WHEN 'view' THEN 'recall_missing' WHEN 'click' THEN 'intent_wrong' ELSE event_type END AS feedback_type, 'kb' || (user_id % 7) AS kb_id, CASE WHEN event_id % 2 = 0 THEN 'i' || (user_id % 5) END AS ic, 'question of ' || user_id AS query, event_type AS action, ts FROM events),
     k AS (SELECT *, CASE WHEN feedback_type = 'recall_missing' THEN kb_id ELSE coalesce(ic, 'other') END AS key FROM f)"""
@@ -233,10 +223,10 @@ ORACLES = {
         SELECT o_orderkey, 0 AS pos, 'What does ' || o_orderpriority || ' cover?' AS question, 'status: ' || o_orderstatus || '; ' || o_orderpriority AS answer FROM orders
         UNION ALL SELECT o_orderkey, 1, 'What is status?', o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 2, 'What does ' || o_orderpriority || ' say about status?', 'status: ' || o_orderstatus FROM orders
         UNION ALL SELECT o_orderkey, 3, 'Does ' || o_orderpriority || ' include ' || o_orderpriority || '?', 'Yes: ' || o_orderpriority FROM orders)""",
-    "p18_render": "WITH q AS (SELECT user_id AS doc_id, string_agg('Q: ' || event_type || chr(10) || 'A: ' || event_type, chr(10) ORDER BY event_id) AS qa FROM events WHERE user_id < 50 GROUP BY 1), b AS (SELECT d.doc_id, coalesce(qa, '') AS qa, text FROM documents d LEFT JOIN q USING (doc_id)) SELECT doc_id, 'opt' AS variant, md5(qa) AS digest FROM b UNION ALL SELECT doc_id, 'suggestion', md5(qa || chr(10) || chr(10) || text) FROM b",
+    "p18_render": "WITH q AS (SELECT user_id AS doc_id, string_agg('Q: ' || event_type || chr(10) || 'A: ' || event_type, chr(10) ORDER BY event_id) AS qa FROM events GROUP BY 1), b AS (SELECT d.doc_id, coalesce(qa, '') AS qa, text FROM documents d LEFT JOIN q USING (doc_id)) SELECT doc_id, 'opt' AS variant, md5(qa) AS digest FROM b UNION ALL SELECT doc_id, 'suggestion', md5(qa || chr(10) || chr(10) || text) FROM b",
     "g11_feedback_pairs": f"WITH {FB} SELECT kb_id AS doc_id, query AS question, CASE feedback_type WHEN 'recall_missing' THEN 'Covered under: ' || query WHEN 'intent_wrong' THEN 'Meant: ' || coalesce(ic, 'unknown') ELSE 'Under review' END AS answer, min(trace_id) AS pos FROM f GROUP BY ALL",
     "a15_suggestions": f"WITH {FB}, r AS (SELECT *, row_number() OVER (PARTITION BY feedback_type, key ORDER BY ts, trace_id) AS r FROM k) SELECT feedback_type, key, count(*) AS n, CASE feedback_type WHEN 'recall_missing' THEN 'boost' WHEN 'intent_wrong' THEN 'intent' ELSE 'review' END AS rule_type, arg_min(action, r) AS action, string_agg(substring(query, 1, 50), '|' ORDER BY r) FILTER (r <= 5) AS queries FROM r GROUP BY feedback_type, key HAVING count(*) >= 3",
-    "a15_remaining": f"WITH {FB}, z AS (SELECT * FROM k WHERE trace_id < 200) SELECT trace_id, feedback_type, key FROM z QUALIFY count(*) OVER (PARTITION BY feedback_type, key) < 5",
+    "a15_remaining": f"WITH {FB} SELECT trace_id, feedback_type, key FROM k QUALIFY count(*) OVER (PARTITION BY feedback_type, key) < (SELECT count(*) // 25 FROM events)",
     "a16_effectiveness": "WITH a AS (SELECT user_id AS rule_id, count(*) AS used, count_if(event_type <> 'error') AS effective, round(avg(CASE WHEN event_type <> 'view' THEN value / 100 END), 9) AS mean_score FROM events GROUP BY 1), j AS (SELECT doc_id AS rule_id, coalesce(used, 0) AS used, coalesce(effective, 0)::BIGINT AS effective, mean_score, round(CASE WHEN used > 0 THEN effective::DOUBLE / used ELSE 0 END, 4) AS rate FROM documents LEFT JOIN a ON a.rule_id = doc_id) SELECT *, (used - effective)::BIGINT AS ineffective, CASE WHEN used = 0 THEN 'unused' WHEN rate >= 0.7 THEN 'effective' WHEN rate >= 0.4 THEN 'partial' ELSE 'ineffective' END AS status FROM j",
     "a16_recent": "SELECT user_id AS rule_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC))::INT AS rank FROM events QUALIFY rank <= 20",
     "a17_histogram": "SELECT event_type AS feedback_type, intent_type, count(*) AS n, grouping_id(event_type, intent_type) AS level FROM (SELECT event_type, 'i' || (user_id % 3) AS intent_type FROM events) GROUP BY GROUPING SETS ((event_type), (intent_type), ())",
@@ -259,6 +249,5 @@ ORACLES = {
     "j12_scenario": "WITH k AS (SELECT source AS kb_id, min(lang) AS s FROM documents GROUP BY 1) SELECT 'src' || (user_id % 30) AS kb_id, event_id AS query_id, coalesce(CASE WHEN event_type = 'view' THEN 'asked' END, s) AS scenario_id FROM events LEFT JOIN k ON k.kb_id = 'src' || (user_id % 30)",
 }
 ORACLES["j10_relations_default"] = ORACLES["j10_relations"].replace("HAVING s > 0.8)", "HAVING s > 0.4)").replace("s > 0.95 THEN", "s > 0.8 THEN")
-ORACLES["p18_render_all"] = ORACLES["p18_render"].replace(" WHERE user_id < 50", "")
-ORACLES["a15_remaining_all"] = f"WITH {FB} SELECT trace_id, feedback_type, key FROM k QUALIFY count(*) OVER (PARTITION BY feedback_type, key) < (SELECT count(*) // 25 FROM events)"
 ORACLES["u3_merge_duplicates"] = ORACLES["u3_merge"].replace("SELECT doc_id AS a, doc_id + 1 AS b FROM documents", f"SELECT a, b FROM ({ORACLES['j10_relations_default']}) WHERE relation = 'duplicate'")
+ORACLES |= {f"{name}_all": ORACLES[name] for name in ("p18_render", "a15_remaining")}

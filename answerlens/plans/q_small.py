@@ -9,7 +9,7 @@ from answerlens.functions import text as X
 from answerlens.operators import contradict, history, retrieve, trace
 from answerlens.plans.q_retrieval import COS, vectors
 from answerlens.plans.q_text import t
-from answerlens.plans.q_trace import answers
+from answerlens.plans.q_trace import CONFLICTS, answers
 
 
 def c1_cosine(spark, d):
@@ -124,5 +124,7 @@ ORACLES = {
     "t1_top5": f"SELECT user_id AS query_id, event_id AS chunk_id, value AS score, ({TOP})::INT AS rank FROM events QUALIFY rank <= 5",
     "t2_nearest": f"SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, (row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 6) DESC, b.vec_id))::INT AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 3",
     "t3_rerank": f"SELECT user_id AS query_id, event_id AS chunk_id, value AS score, ({TOP})::INT AS rank FROM events WHERE value >= 10 QUALIFY rank <= 5",
+    "j5_numeric": f"{CONFLICTS} SELECT trace_id, kind, answer_value, source_value, delta, severity FROM conflict",
+    "t5_worst": f"{CONFLICTS} SELECT trace_id, place, kind, severity FROM conflict WHERE place = 1",
     "t7_capped": f"SELECT query_id, string_agg(event_id::VARCHAR, ',' ORDER BY r) AS shown FROM (SELECT user_id AS query_id, event_id, {TOP} AS r FROM events) WHERE r <= 10 GROUP BY 1",
 }

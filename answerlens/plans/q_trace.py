@@ -188,14 +188,25 @@ def x5_health(spark, d):
     return live.health(e)
 
 
+def x5_shares(spark, d):
+    e = _stream(spark, d, "events").select(F.pmod("user_id", F.lit(9)).alias("service"), "ts", F.col("value").alias("duration"), (F.col("event_type") == "error").alias("error"))
+    return live.run_once(live.shares(e, "1 day"), folder(spark), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 def x6_metrics(spark, d):
     e = _stream(spark, d, "events").select("ts", F.col("event_type").alias("endpoint"), F.col("value").alias("duration"), (F.pmod("user_id", F.lit(9)) == 0).alias("error"))
     out = live.run_once(live.metrics(e, "1 hour"), folder(spark), "complete")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-QUERIES = {f.__name__: f for f in (p2_chunks, p4_sentences, p9_typos, p13_claims, p14_polarity, p16_structure, p23_embedding, j7_similarity, j8_citations, a4_citation_coverage, a5_hallucination, a6_semantic, a13_drift, w1_rank_ratio, g6_trace, g7_contradictions, f8_what_if, u1_mode_difference, u2_keyword_gap, j16_misses, g4_diagnosis, g5_business, w5_running_ratio, x1_assembly, x2_verdicts, x4_threshold, x5_health, x6_metrics)}
+QUERIES = {f.__name__: f for f in (p2_chunks, p4_sentences, p9_typos, p13_claims, p14_polarity, p16_structure, p23_embedding, j7_similarity, j8_citations, a4_citation_coverage, a5_hallucination, a6_semantic, a13_drift, w1_rank_ratio, g6_trace, g7_contradictions, f8_what_if, u1_mode_difference, u2_keyword_gap, j16_misses, g4_diagnosis, g5_business, w5_running_ratio, x1_assembly, x2_verdicts, x4_threshold, x5_health, x5_shares, x6_metrics)}
 
+#: The claims of answers() that its sources contradict: money by more than a fifth of 9, days by more than a fifth of their own number.
+CONFLICTS = """SELECT *, (row_number() OVER (PARTITION BY trace_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, relative DESC))::INT AS place FROM (
+        SELECT *, CASE WHEN relative >= 0.5 THEN 'high' WHEN relative >= 0.2 THEN 'medium' ELSE 'low' END AS severity FROM (
+        SELECT trace_id, 'money' AS kind, v || ' dollars' AS answer_value, '9 dollars' AS source_value, abs(v - 9)::DOUBLE AS delta, abs(v - 9) / 9 AS relative FROM (SELECT a.conv_id * 1000 + a.turn AS trace_id, 3 + a.conv_id % 7 AS v FROM pair a)
+        UNION ALL SELECT trace_id, 'duration', v || ' days', '3 days', (v - 3) * 86400.0::DOUBLE, (v - 3) / v FROM (SELECT a.conv_id * 1000 + a.turn AS trace_id, 3 + a.turn % 4 AS v FROM pair a)) WHERE relative > 0.2)"""
+CONFLICTS = f"WITH pair AS (SELECT a.conv_id, a.turn FROM conversations a JOIN conversations u ON u.role = 'user' AND u.conv_id * 1000 + u.turn + 1 = a.conv_id * 1000 + a.turn WHERE a.role = 'assistant'), conflict AS ({CONFLICTS})"
 LOW = r"lower(text)"
 BEFORE = "substring(lower(text), greatest(1, strpos(lower(text), 'the') - 40), strpos(lower(text), 'the') - greatest(1, strpos(lower(text), 'the') - 40))"
 ORACLES = {
@@ -223,6 +234,8 @@ ORACLES = {
         SELECT query_id, chunk_id, similarity, overlap, CASE WHEN overlap = 0 THEN 'embedding_mismatch' WHEN similarity >= 0.2::DOUBLE - 0.02::DOUBLE THEN 'threshold_edge' WHEN overlap <= 1 THEN 'keyword_missing' ELSE 'partial_match' END AS cause FROM s WHERE similarity >= 0.15 AND similarity < 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) <= 10""",
     "g5_business": "WITH q AS (SELECT DISTINCT user_id AS query_id FROM events), m AS (SELECT user_id AS query_id, round(avg(value / 100), 6) AS mean_score FROM events WHERE event_type = 'view' GROUP BY 1) SELECT query_id, mean_score, CASE WHEN mean_score IS NULL OR mean_score < 0.2 THEN 'critical' WHEN mean_score < 0.4 THEN 'warning' WHEN mean_score < 0.6 THEN 'caution' ELSE 'healthy' END AS status FROM q LEFT JOIN m USING (query_id)",
     "w5_running_ratio": "WITH r AS (SELECT vec_id // 10 AS trace_id, vec_id AS idx, round(embedding[1]::DOUBLE, 4) AS s FROM embeddings) SELECT a.trace_id, a.idx, round((count_if(b.s < a.s) + 1) / count(*), 6) AS running_ratio FROM r a JOIN r b ON a.trace_id = b.trace_id AND b.idx <= a.idx GROUP BY ALL",
+    "g7_contradictions": f"{CONFLICTS} SELECT trace_id, place, kind, answer_value, source_value, severity FROM conflict",
+    "x5_shares": "SELECT date_trunc('day', ts) AS start, user_id % 9 AS service, count(*) AS n, count_if(event_type = 'error')::BIGINT AS failed, count_if(value > 30)::BIGINT AS slow, round(count_if(event_type = 'error' OR value > 30) / count(*), 6) AS bad_share, count(*) >= 10 AND count_if(event_type = 'error' OR value > 30) >= count(*) * 0.5 AS down FROM events GROUP BY ALL",
     "x4_threshold": "SELECT feedback_type, key, unnest(range(1, n // 3 + 1))::INT AS number FROM (SELECT event_type AS feedback_type, user_id::VARCHAR AS key, count(*) AS n FROM events GROUP BY ALL)",
     "x6_metrics": "SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS end, event_type AS endpoint, count(*) AS n, count_if(user_id % 9 = 0)::BIGINT AS errors, round(sum(value), 6) AS total, max(value) AS longest FROM events GROUP BY ALL",
 }

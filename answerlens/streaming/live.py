@@ -185,6 +185,17 @@ def health(calls: DataFrame, make: Callable[[], Breaker] = Breaker) -> DataFrame
     return ordered.mapInPandas(run, "service string, call_id long, state string")
 
 
+def shares(calls: DataFrame, width: str = "1 minute", slow: float = 30.0, least: int = 10, share: float = 0.5, late: str = "10 minutes") -> DataFrame:
+    """X5 by time window: calls(service, ts, duration, error) -> how many calls failed or were slow, and whether so many that the service counts as down.
+
+    Counts are added up before the shuffle, so a service with most of the calls is no hot group.
+    """
+    calls = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    g = calls.groupBy(F.window("ts", width).alias("w"), "service").agg(F.count(F.lit(1)).alias("n"), F.count_if("error").alias("failed"), F.count_if(F.col("duration") > slow).alias("slow"), F.count_if(F.col("error") | (F.col("duration") > slow)).alias("bad"))
+    down = (F.col("n") >= least) & (F.col("bad") >= F.col("n") * share)
+    return g.select(F.col("w.start").alias("start"), "service", "n", "failed", "slow", F.round(F.col("bad") / F.col("n"), 6).alias("bad_share"), down.alias("down"))
+
+
 def metrics(calls: DataFrame, width: str = "1 minute", step: str | None = None, late: str = "10 minutes") -> DataFrame:
     """calls(ts, endpoint, duration, error) by window, tumbling or sliding; the watermark bounds the state."""
     w = F.window("ts", width, step) if step else F.window("ts", width)
