@@ -169,6 +169,10 @@ ORACLES = {
     "j3_fusion": FUSED + " SELECT query_id, chunk_id, bm25_score::DOUBLE AS bm25_score, vector_score::DOUBLE AS vector_score, score::DOUBLE AS score, in_bm25, in_vector, handover FROM fused",
     "g1_retrieve": STAGED + " SELECT query_id, chunk_id, score, final_rank::INT AS final_rank, length(compressed)::INT AS n_chars FROM staged WHERE kept",
     "g2_funnel": STAGED + " SELECT query_id, chunk_id, CASE WHEN NOT passed_threshold THEN 'threshold' WHEN NOT passed_compression THEN 'compression' WHEN NOT kept THEN 'top_k' ELSE 'kept' END AS stage, CASE WHEN NOT passed_threshold THEN round(0.5::DOUBLE - score, 6) END AS gap FROM staged",
+    "g3_reasons": STAGED + f""", why AS (SELECT query_id, chunk_id, bm25_score AS b, vector_score AS v, score, q.text, lower(d.text) AS body, lower(d.source) AS file FROM staged JOIN benchmark q ON q.item_id = query_id JOIN documents d ON d.doc_id = chunk_id WHERE kept),
+        r AS (SELECT query_id, chunk_id, list_filter([CASE WHEN len(list_filter({TOK.format('text')}, lambda x: length(x) > 1 AND contains(body, x))) > 0 THEN 'keyword_match' END, CASE WHEN b > 0 THEN 'bm25_score' END, CASE WHEN v > 0 THEN 'semantic_similarity' END, CASE WHEN b > 0 AND v > 0 THEN 'score_contribution' END,
+            CASE WHEN len(list_filter({KEY}, lambda x: contains(file, x))) > 0 THEN 'metadata_match' END, CASE WHEN score >= 0.5 THEN 'score_threshold' END], lambda x: x IS NOT NULL) AS r FROM why)
+        SELECT query_id, chunk_id, CASE WHEN len(r) = 0 THEN 'unknown' ELSE array_to_string(r, ',') END AS reasons FROM r""",
     "g2_counts": STAGED + " SELECT query_id, count(*) AS merged, count_if(passed_threshold)::BIGINT AS after_threshold, count_if(passed_compression)::BIGINT AS after_compression, count_if(kept)::BIGINT AS kept, count_if(NOT kept)::BIGINT AS dropped FROM staged GROUP BY query_id",
     "f1_threshold": FUSED + " SELECT query_id, count(*) AS passed FROM fused WHERE score >= 0.5 GROUP BY query_id",
     "w2_compress": "WITH r AS (SELECT doc_id // 5 AS query_id, 'the reason of and' AS query, doc_id AS chunk_id, doc_id % 5 + 1 AS rank, text FROM documents), " + compress_sql("r") + " SELECT query_id, chunk_id, md5(compressed) AS digest FROM cm",
