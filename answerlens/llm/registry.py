@@ -9,6 +9,7 @@ from answerlens.llm.katz import op2_katz
 from answerlens.llm.language_id import op9_language_id
 from answerlens.llm.mixing import op10_mix_sources
 from answerlens.llm.ngram_join import op6_ngram_join
+from answerlens.llm.phrases import OP12_SQL, op12_phrases
 from answerlens.llm.quality import op3_quality
 from answerlens.llm.repeated_text import op4_repeated_text
 from answerlens.llm.token_files import op8_token_files
@@ -24,7 +25,9 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
+    "op12_phrases": op12_phrases,
 }
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": OP7_SQL,
+    "op12_phrases": OP12_SQL,
 }
