@@ -163,7 +163,7 @@ def read_shard(t: pa.Table) -> Shard:
         hashes[at:to] = B.Hasher(data[base : stops[to - 1]])(starts[at:to] - base, stops[at:to] - base)
         at = to
     salts = np.array([B.Hasher(np.frombuffer(x.encode(), np.uint8))(np.array([0]), np.array([len(x.encode())]))[0] for x in names] or [0], dtype=_U)
-    hashes = B.mix(hashes ^ salts[of_doc[docs]]) if len(docs) else hashes
+    hashes = B.mix(hashes * _STEP + salts[of_doc[docs]]) if len(docs) else hashes
     keys, number = np.unique(hashes, return_inverse=True)
     piece = np.cumsum(ends)[starts] if len(starts) else starts
     last = np.ones(len(starts), dtype=bool)
