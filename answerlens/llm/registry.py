@@ -7,6 +7,7 @@ from answerlens.llm.bpe_automaton import op5_bpe_automaton
 from answerlens.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from answerlens.llm.katz import op2_katz
 from answerlens.llm.language_id import op9_language_id
+from answerlens.llm.merkle import OP13_SQL, op13_merkle
 from answerlens.llm.mixing import op10_mix_sources
 from answerlens.llm.ngram_join import op6_ngram_join
 from answerlens.llm.phrases import OP12_SQL, op12_phrases
@@ -26,8 +27,10 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
     "op12_phrases": op12_phrases,
+    "op13_merkle": op13_merkle,
 }
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": OP7_SQL,
     "op12_phrases": OP12_SQL,
+    "op13_merkle": OP13_SQL,
 }
