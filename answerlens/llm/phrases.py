@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from answerlens.llm import blocks as B
-from answerlens.llm.common import cut, parts
+from answerlens.llm.common import cut
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 4 << 20
@@ -280,12 +280,12 @@ def scored(phrases: DataFrame) -> DataFrame:
 
 
 def best(phrases: DataFrame, top: int = TOP) -> DataFrame:
-    """Each language's first rows; ranked in slices of a language first, so that no task orders all of one."""
+    """Each language's first rows; ranked in slices and slices of slices first, so that no task gets more than 32 times top rows from them."""
     by = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    slices = max(8, parts(phrases.sparkSession))
-    some = phrases.withColumn("slice", F.pmod("key", F.lit(slices)))
-    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slice").orderBy(*by))).where(F.col("rank") <= top)
-    return some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("rank") <= top)
+    for slices in (1024, 32, 1):
+        rank = F.row_number().over(Window.partitionBy("lang", F.pmod("key", F.lit(slices))).orderBy(*by))
+        phrases = phrases.withColumn("rank", rank).where(F.col("rank") <= top)
+    return phrases
 
 
 def op12_phrases(spark, sf_dir):

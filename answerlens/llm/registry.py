@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from answerlens.llm.ann import op1_kmeans_tree
 from answerlens.llm.bpe_automaton import op5_bpe_automaton
+from answerlens.llm.caps import OP11_SQL, op11_spherical_caps
 from answerlens.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from answerlens.llm.katz import op2_katz
 from answerlens.llm.language_id import op9_language_id
@@ -26,11 +27,13 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
+    "op11_spherical_caps": op11_spherical_caps,
     "op12_phrases": op12_phrases,
     "op13_merkle": op13_merkle,
 }
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": OP7_SQL,
+    "op11_spherical_caps": OP11_SQL,
     "op12_phrases": OP12_SQL,
     "op13_merkle": OP13_SQL,
 }
