@@ -28,7 +28,7 @@ A sketch misses a pair at 0.93 with a probability below 10^-10.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
@@ -209,6 +209,26 @@ def _dealt(hits: DataFrame) -> DataFrame:
     return dealt.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other")).drop("n_parts", "other")
 
 
+def _each_cell(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType) -> DataFrame:
+    """work on every cell of two rows or more; cells are many and most are small, so a batch's cells share its overhead."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for pdf in pdfs:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            new = np.ones(len(pdf) + 1, dtype=bool)
+            new[1:-1] = np.any([pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1] for c in CELLS], axis=0)
+            bounds = np.flatnonzero(new)
+            some = [x for a, b in zip(bounds[:-2], bounds[1:-1], strict=True) if b - a > 1 and len(x := work(pdf.iloc[a:b]))]
+            if some:
+                yield pd.concat(some)
+            held = pdf.iloc[bounds[-2] :]
+        if held is not None and len(held) > 1:
+            yield work(held)
+
+    return rows.repartition(*CELLS).sortWithinPartitions(*CELLS).mapInPandas(run, schema)
+
+
 def _meeting(part: np.ndarray) -> np.ndarray:
     """Which pairs of a cell are its own: all, or those of different parts if there are two."""
     n = len(part)
@@ -225,12 +245,12 @@ def _screened(hits: DataFrame, limit: int) -> DataFrame:
     def screen(pdf: pd.DataFrame) -> pd.DataFrame:
         s = pdf[["s0", "s1"]].to_numpy(np.int64).view(np.uint64)
         part = pdf["part"].to_numpy()
-        if len(s) < 2 or (pdf["p"].iloc[0] != pdf["q"].iloc[0] and part.min() == part.max()):
+        if pdf["p"].iloc[0] != pdf["q"].iloc[0] and part.min() == part.max():
             return pdf.iloc[:0][schema.names]
         apart = np.bitwise_count(s[:, None, 0] ^ s[None, :, 0]).astype(np.int16) + np.bitwise_count(s[:, None, 1] ^ s[None, :, 1])
         return pdf[((apart <= limit) & _meeting(part)).any(axis=1)][schema.names]
 
-    return cells.groupBy(*CELLS).applyInPandas(screen, schema)
+    return _each_cell(cells, screen, schema)
 
 
 def _verified(screened: DataFrame, nodes: DataFrame, plans: dict[int, Plan], threshold: float) -> DataFrame:
@@ -239,7 +259,11 @@ def _verified(screened: DataFrame, nodes: DataFrame, plans: dict[int, Plan], thr
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         plan, direction = plans[int(pdf["dim"].iloc[0])], int(pdf["direction"].iloc[0])
-        own = _meeting(pdf["part"].to_numpy())
+        part = pdf["part"].to_numpy()
+        none = pd.DataFrame({"node": [], "other": [], "n_links": []}, dtype=np.int64)
+        if pdf["p"].iloc[0] != pdf["q"].iloc[0] and part.min() == part.max():
+            return none
+        own = _meeting(part)
         vectors = np.stack([np.asarray(x, dtype=kind) for x in pdf["embedding"]])
         unit = _unit(vectors)
         cos = unit @ unit.T
@@ -248,7 +272,7 @@ def _verified(screened: DataFrame, nodes: DataFrame, plans: dict[int, Plan], thr
             linked[i, j] = _cosine(vectors[i], vectors[j]) >= threshold
         some = np.flatnonzero(linked.any(axis=1))
         if not len(some):
-            return pd.DataFrame({"node": [], "other": [], "n_links": []}, dtype=np.int64)
+            return none
         linked = linked[np.ix_(some, some)]
         rows, found = decode(unit[some], plan)  # a pair counts here if no earlier direction has both
         rows, found = rows[found < direction], found[found < direction]
@@ -268,7 +292,7 @@ def _verified(screened: DataFrame, nodes: DataFrame, plans: dict[int, Plan], thr
         return pd.DataFrame({"node": node, "other": node[label], "n_links": n_links})[n_links > 0]
 
     full = screened.join(nodes.select("node", "embedding", "weight"), "node")
-    return full.groupBy(*CELLS).applyInPandas(verify, "node long, other long, n_links long")
+    return _each_cell(full, verify, T._parse_datatype_string("node long, other long, n_links long"))
 
 
 def link(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
