@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from answerlens.llm.common import cut, drop, id_bucket, parts, remove, same, shared_dir
+from answerlens.llm.common import cut, drop, id_bucket, parts, same, shared_dir
 
 RUN = 16
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -101,13 +101,13 @@ def build(placed: DataFrame) -> Manifest:
     runs.write.parquet(f"{folder}/leaf_runs")
     runs = spark.read.parquet(f"{folder}/leaf_runs")
     most = runs.agg(F.max("n")).first()[0] or 0
-    tops = _grow(runs.select("tree", "n", "pos", "hash", "level"), most, f"{folder}/sources", "false")
+    tops = _grow(runs.select("tree", "n", "pos", "hash", "level"), most, f"{folder}/sources")
     subroots = cut(place(tops.where(f"n <= power({RUN}, level)").select(F.lit(TOP).alias("tree"), F.col("tree").alias("of"), "hash"), "of"))
     roots = _runs(subroots).withColumn("level", (F.col("n") > 1).cast("int")).withColumn("children", _children("run"))
     roots = roots.withColumn("hash", _join_hash(F.col("children"))).where("n > 1").select("tree", "n", "pos", "hash", "level", "children")
     roots.write.parquet(f"{folder}/root_runs")
     roots = spark.read.parquet(f"{folder}/root_runs")
-    high = _grow(roots, subroots.agg(F.max("n")).first()[0] or 0, f"{folder}/tops", "true")
+    high = _grow(roots, subroots.agg(F.max("n")).first()[0] or 0, f"{folder}/tops")
     links = subroots.select(F.col("of").alias("tree"), F.when(F.col("n") > 1, _id(F.lit(TOP), F.lit(1), F.expr(f"pos div {RUN}"))).alias("up"), F.expr(f"int(pos % {RUN})").alias("slot"))
 
     def linked(rows: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def build(placed: DataFrame) -> Manifest:
     return Manifest(spark, folder)
 
 
-def _grow(nodes: DataFrame, most: int, folder: str, top: str) -> DataFrame:
+def _grow(nodes: DataFrame, most: int, folder: str) -> DataFrame:
     """nodes(tree, n, pos, hash, level) of level 1 (0 where a tree has one leaf) -> these and all levels above, with their children; most: the largest n."""
     spark = nodes.sparkSession
     if "children" not in nodes.columns:
@@ -143,25 +143,38 @@ def _grow(nodes: DataFrame, most: int, folder: str, top: str) -> DataFrame:
 
 CLIMB = """
 WITH RECURSIVE climb AS (
-  SELECT up, slot, hash, false AS top, CAST(NULL AS string) AS subroot, '' AS siblings, run,
-         transform(run, (x, i) -> CASE WHEN size(run) = 1 AND NOT is_run THEN coalesce(x.other, x.hash)
-           ELSE sha2(concat(array_join(transform(slice(run, 1, i), y -> y.hash), ''), coalesce(x.other, x.hash), array_join(transform(slice(run, i + 2, {run}), y -> y.hash), '')), 256) END) AS folded
-  FROM {runs}
+  SELECT id, up, slot, hash, false AS top, CAST(NULL AS string) AS subroot, X'' AS siblings, array_distinct(folded) AS folds FROM {runs}
   UNION ALL
-  SELECT p.up, p.slot, p.hash, p.top, CASE WHEN p.top AND NOT c.top THEN c.hash ELSE c.subroot END,
-         concat(c.siblings, array_join(slice(p.children, 1, c.slot), ''), array_join(slice(p.children, c.slot + 2, {run}), '')), c.run,
-         transform(c.folded, f -> sha2(concat(array_join(slice(p.children, 1, c.slot), ''), f, array_join(slice(p.children, c.slot + 2, {run}), '')), 256))
+  SELECT /*+ MERGE(p) */ c.id, p.up, p.slot, p.hash, p.top, CASE WHEN p.top AND NOT c.top THEN c.hash ELSE c.subroot END,
+         concat(c.siblings, unhex(array_join(slice(p.children, 1, c.slot), '')), unhex(array_join(slice(p.children, c.slot + 2, {run}), ''))),
+         transform(c.folds, f -> sha2(concat(array_join(slice(p.children, 1, c.slot), ''), f, array_join(slice(p.children, c.slot + 2, {run}), '')), 256))
   FROM climb c JOIN {nodes} p ON p.id = c.up
 )
-SELECT hash AS root, coalesce(subroot, hash) AS subroot, siblings, run, folded FROM climb WHERE up IS NULL
+SELECT id, hash AS root, coalesce(subroot, hash) AS subroot, siblings, folds FROM climb WHERE up IS NULL
 """
 
 
+def _first_folds() -> Column:
+    """Of each leaf in a run, the run's hash with the leaf as it is now; of a leaf that is a source by itself, the leaf."""
+    hashes = _children("run")
+
+    def fold(x: Column, i: Column) -> Column:
+        now = F.coalesce(x["other"], x["hash"])
+        whole = F.concat(F.array_join(F.slice(hashes, F.lit(1), i), ""), now, F.array_join(F.slice(hashes, i + 2, F.lit(RUN)), ""))
+        return F.when(F.startswith("id", F.lit("0/")), now).otherwise(F.sha2(whole.cast("binary"), 256))
+
+    return F.transform("run", fold)
+
+
 def prove(manifest: Manifest) -> DataFrame:
-    """Every leaf's way to the root: doc_id, leaf, subroot, root, siblings (level by level, in one text), folded_root."""
+    """Every leaf's way to the root: doc_id, leaf, subroot, root, siblings (level by level, in one text), folded_root.
+
+    Hashes of one run that are equal, as those of all leaves that were not changed, are folded once.
+    """
     spark = manifest.runs.sparkSession
     names = {"runs": f"runs_{uuid4().hex}", "nodes": f"nodes_{uuid4().hex}"}
-    manifest.runs.withColumn("is_run", ~F.startswith("id", F.lit("0/"))).createOrReplaceTempView(names["runs"])
+    runs = manifest.runs.withColumn("folded", _first_folds())
+    runs.createOrReplaceTempView(names["runs"])
     manifest.nodes.createOrReplaceTempView(names["nodes"])
     limit = spark.conf.get(ROW_LIMIT)
     spark.conf.set(ROW_LIMIT, "-1")  # of rows in all, read when the query runs
@@ -171,9 +184,11 @@ def prove(manifest: Manifest) -> DataFrame:
         spark.conf.set(ROW_LIMIT, limit)
         for name in names.values():
             spark.catalog.dropTempView(name)
-    each = climbed.select("root", "subroot", "siblings", "run", "folded", F.posexplode("run").alias("i", "x"))
+    each = climbed.hint("merge").join(runs.select("id", "run", "folded"), "id").withColumn("above", F.lower(F.hex("siblings")))
+    each = each.select("root", "subroot", "above", "run", "folds", "folded", F.posexplode("run").alias("i", "x"))
     others = F.array_join(F.transform(F.filter("run", lambda y, j: j != F.col("i")), lambda y: y["hash"]), "")
-    return each.select("x.doc_id", F.col("x.hash").alias("leaf"), "subroot", "root", F.concat(others, "siblings").alias("siblings"), F.get("folded", "i").alias("folded_root"))
+    folded = F.get("folds", F.array_position(F.array_distinct("folded"), F.get("folded", "i")).cast("int") - 1)
+    return each.select("x.doc_id", F.col("x.hash").alias("leaf"), "subroot", "root", F.concat(others, "above").alias("siblings"), folded.alias("folded_root"))
 
 
 def op13_merkle(spark, sf_dir):
@@ -183,9 +198,7 @@ def op13_merkle(spark, sf_dir):
     found = cut(leaves(docs, id_bucket("doc_id", 5) == 0, {"text": lowered}))
     manifest = build(place(found, "doc_id", "hash"))
     drop(found)
-    proofs = prove(manifest)
-    remove(spark, manifest.folder)
-    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256"), "folded_root", same(F.col("folded_root"), F.col("root")).alias("verified"))
+    return prove(manifest).select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256"), "folded_root", same(F.col("folded_root"), F.col("root")).alias("verified"))
 
 
 OP13_SQL = r"""
