@@ -15,25 +15,31 @@ CLAIM = "array<struct<kind:string,value:double,raw:string,start:int,end:int,unit
 
 
 def split_chunks(text: str, size: int = 512, overlap: int = 128) -> list[str]:
-    """Lines packed greedily up to size; a new chunk starts with the tail of the last one, cut after a full stop."""
+    """Lines packed greedily up to size; after a chunk longer than overlap the next starts with its tail, cut after the last full stop.
+
+    Room is counted with one character for each line's end, but for the first line after
+    a chunk that left no tail.  A line that is too long for an empty chunk is cut into
+    overlapping pieces; one that follows a chunk stays whole.
+    """
     out: list[str] = []
-    buffer = ""
+    buffer, used = "", 0
     for line in (x.strip() for x in text.split("\n")):
         if not line:
             continue
-        joined = f"{buffer}\n{line}" if buffer else line
-        if len(joined) <= size:
-            buffer = joined
+        if used + len(line) <= size:
+            buffer = f"{buffer}\n{line}" if buffer else line
+            used += len(line) + 1
         elif buffer:
             out.append(buffer)
-            tail = buffer[-overlap:] if overlap else ""
-            stop = max(tail.rfind("。"), -1)
-            stop = stop if stop > 0 else tail.rfind(".")
-            tail = tail[stop + 1 :].strip() if stop > 0 else tail
-            buffer = f"{tail}\n{line}" if tail else line
+            if 0 < overlap < len(buffer):
+                tail = buffer[-overlap:]
+                stop = tail.rfind("。") if "。" in tail else tail.rfind(".")
+                buffer = f"{tail[stop + 1 :] if stop > 0 else tail}\n{line}"
+                used = len(buffer)
+            else:
+                buffer, used = line, len(line)
         else:
-            step = max(1, size - overlap)
-            out += [line[i : i + size] for i in range(0, len(line), step)]
+            out += [line[i : i + size] for i in range(0, len(line), max(1, size - overlap))]
     return out + [buffer] if buffer else out
 
 
@@ -146,10 +152,11 @@ def corrector(typos: dict[str, str]):
 
 
 # fixed values: factors to the base unit of each kind
-SCALES = {"": 1, "k": 1e3, "thousand": 1e3, "million": 1e6, "billion": 1e9, "千": 1e3, "万": 1e4, "亿": 1e8}
-SECONDS = {"second": 1, "sec": 1, "minute": 60, "min": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2592000, "year": 31536000, "h": 3600, "s": 1, "秒": 1, "分钟": 60, "小时": 3600, "个小时": 3600, "天": 86400, "日": 86400, "工作日": 86400, "个工作日": 86400, "周": 604800, "星期": 604800, "个星期": 604800, "个月": 2592000, "年": 31536000}
+SCALES = {"": 1, "k": 1e3, "thousand": 1e3, "million": 1e6, "billion": 1e9, "百": 1e2, "千": 1e3, "万": 1e4, "亿": 1e8}
+SECONDS = {"second": 1, "sec": 1, "minute": 60, "min": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2592000, "year": 31536000, "h": 3600, "s": 1, "秒": 1, "分钟": 60, "小时": 3600, "个小时": 3600, "天": 86400, "日": 86400, "工作日": 86400, "个工作日": 86400, "weekday": 86400, "周": 604800, "星期": 604800, "个星期": 604800, "个月": 2592000, "月": 2592000, "年": 31536000}
 METRES = {"mm": 1e-3, "cm": 1e-2, "m": 1, "km": 1e3, "meter": 1, "metre": 1, "kilometer": 1e3, "inch": 0.0254, "inches": 0.0254, "foot": 0.3048, "feet": 0.3048, "米": 1, "公里": 1e3, "千米": 1e3, "厘米": 1e-2, "毫米": 1e-3, "英寸": 0.0254, "英尺": 0.3048}
-GRAMS = {"mg": 1e-3, "g": 1, "kg": 1e3, "gram": 1, "kilogram": 1e3, "ton": 1e6, "tonne": 1e6, "克": 1, "千克": 1e3, "公斤": 1e3, "斤": 500, "磅": 453.59237, "吨": 1e6}
+GRAMS = {"mg": 1e-3, "g": 1, "kg": 1e3, "gram": 1, "kilogram": 1e3, "t": 1e6, "ton": 1e6, "tonne": 1e6, "lb": 453.592, "毫克": 1e-3, "克": 1, "千克": 1e3, "公斤": 1e3, "斤": 500, "磅": 453.592, "吨": 1e6}
+COUNTERS = ("times", "people", "items", "users", "files", "pages", "个", "件", "次", "份", "条", "项", "人", "名", "台", "套", "页", "张", "只", "位", "款", "种", "遍", "轮", "笔", "单")
 CURRENCIES = {"$": "USD", "usd": "USD", "dollar": "USD", "€": "EUR", "eur": "EUR", "euro": "EUR", "£": "GBP", "gbp": "GBP", "pound": "GBP", "¥": "CNY", "cny": "CNY", "rmb": "CNY", "yuan": "CNY", "元": "CNY", "块": "CNY", "人民币": "CNY", "美元": "USD", "美金": "USD", "欧元": "EUR", "日元": "JPY"}
 MONTHS = {m: i + 1 for i, m in enumerate("january february march april may june july august september october november december".split())}
 
@@ -170,7 +177,7 @@ PATTERNS = [
     ("duration", re.compile(rf"(?P<n>{_N})[\s-]*(?P<u>{_of(SECONDS)}){_PLURAL}", re.IGNORECASE)),
     ("length", re.compile(rf"(?P<n>{_N})\s*(?P<u>{_of(METRES)}){_PLURAL}", re.IGNORECASE)),
     ("weight", re.compile(rf"(?P<n>{_N})\s*(?P<u>{_of(GRAMS)}){_PLURAL}", re.IGNORECASE)),
-    ("count", re.compile(rf"(?P<n>{_N})\s*(?P<u>times|people|items|users|files|pages|次|个|人|件|条)")),
+    ("count", re.compile(rf"(?P<n>{_N})\s*(?P<u>{'|'.join(COUNTERS)})")),
     ("number", re.compile(rf"(?P<n>{_N})(?P<s>{_of({k: 0 for k in SCALES if k not in ('', 'k')})})?(?![A-Za-z0-9_%])", re.IGNORECASE)),
 ]
 FACTORS = {"duration": SECONDS, "length": METRES, "weight": GRAMS}

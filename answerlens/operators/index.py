@@ -1,62 +1,249 @@
-"""BM25 statistics of knowledge bases."""
+"""BM25 indexes of knowledge bases: stored in segments, added to batch by batch, searched by blocks.
+
+An index is a folder.  Every batch of chunks is one segment, cut into shards of bounded
+size; a shard holds one row for each base and term in it (the places of the chunks, the
+counts, and ``peak``, the largest share of a term's weight that any of them can give)
+and one row without a term for its chunks (ids and lengths).  Beside the postings a
+segment has its deltas: chunks and tokens by base, chunks by base and term.  Adding a
+batch writes these and nothing else, so its work is that of the batch; statistics are
+sums of deltas, and inverse frequencies follow from the sums when they are read first.
+
+A manifest names the segments that count.  A batch is published by a new version of it,
+so a write that fails leaves the last version as it was, and a batch that is written
+again takes its own place.  ``compact`` sums the deltas of many segments into one.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from hashlib import sha256
+from uuid import uuid4
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from answerlens.functions.text import key_terms, tokens
-from answerlens.session import kept
+from answerlens.session import shared_folder
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-
-
 #: Statistics of knowledge bases (about 50 bytes each) are broadcast up to so many.
 BROADCAST_BASES = 100_000
+#: Chunks and tokens in a shard at most; a longer chunk is a shard of its own.
+SHARD_CHUNKS = 4096
+SHARD_TOKENS = 2_000_000
+#: Segments whose deltas are read before they are summed into one.
+MOST_DELTAS = 8
+
+
+def small(corpus: DataFrame) -> DataFrame:
+    """A table with a row a knowledge base, to be broadcast if there are not too many."""
+    return F.broadcast(corpus) if corpus.limit(BROADCAST_BASES + 1).count() <= BROADCAST_BASES else corpus
+
+
+def _shard(rows: pa.Table, shard: int, schema: pa.Schema) -> pa.RecordBatch:
+    """The rows of one shard: those of its terms by base, and of each base one with the chunks."""
+    base = rows["kb_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+    lists = rows["t"].combine_chunks()
+    terms = lists.flatten().dictionary_encode()
+    offsets = lists.offsets.to_numpy()
+    kb, length, code = base.indices.to_numpy(), np.diff(offsets), terms.indices.to_numpy().astype(np.int64)
+    n, n_terms, n_bases = len(kb), len(terms.dictionary), len(base.dictionary)
+    order = np.argsort(kb, kind="stable")
+    first = np.searchsorted(kb[order], np.arange(n_bases + 1))
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n) - first[kb[order]]
+    means = np.maximum(np.bincount(kb, weights=length, minlength=n_bases) / np.maximum(np.diff(first), 1), 1.0)
+    owner = np.repeat(np.arange(n), length)
+    key, tf = np.unique((kb[owner] * n_terms + code) * n + place[owner], return_counts=True)
+    lists_of, places = key // n, key % n
+    at = np.flatnonzero(np.diff(lists_of, prepend=-1))
+    pair = lists_of[at]
+    of_base = lists_of // n_terms
+    dl = length[order][first[of_base] + places]
+    share = tf / (tf + K1 * (1 - B + B * dl / means[of_base]))
+    peaks = np.maximum.reduceat(share, at) if len(at) else np.zeros(0)
+    bounds = np.append(at, len(places)).astype(np.int32)
+    k, m = len(at), n_bases
+    ids = rows["chunk_id"].combine_chunks().take(pa.array(order))
+    empty = np.zeros(k, dtype=np.int32)
+    columns = {
+        "kb_id": base.dictionary.take(pa.array(np.concatenate([np.arange(m), pair // n_terms]).astype(np.int64))),
+        "shard": pa.array(np.full(m + k, shard)),
+        "term": pa.concat_arrays([pa.nulls(m, pa.string()), terms.dictionary.cast(pa.string()).take(pa.array(pair % n_terms))]),
+        "n": pa.array(np.concatenate([np.diff(first), np.diff(bounds)]).astype(np.int32)),
+        "peak": pa.array(np.concatenate([np.zeros(m), peaks])),
+        "mean": pa.array(means[np.concatenate([np.arange(m), pair // n_terms])]),
+        "places": pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(m, dtype=np.int32), bounds])), pa.array(places.astype(np.int32))),
+        "tfs": pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(m, dtype=np.int32), bounds])), pa.array(tf.astype(np.int32))),
+        "chunk_ids": pa.ListArray.from_arrays(pa.array(np.concatenate([first, empty + n]).astype(np.int32)), ids),
+        "dls": pa.ListArray.from_arrays(pa.array(np.concatenate([first, empty + n]).astype(np.int32)), pa.array(length[order].astype(np.int32))),
+    }
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+
+def _shards(split: DataFrame, segment: int) -> DataFrame:
+    """split(kb_id, chunk_id, t) -> the rows of the segment's shards."""
+    kb, chunk = split.schema["kb_id"].dataType, split.schema["chunk_id"].dataType
+    inner = T._parse_datatype_string("shard long, term string, n int, peak double, mean double, places array<int>, tfs array<int>")
+    schema = T.StructType([T.StructField("kb_id", kb), *inner.fields, T.StructField("chunk_ids", T.ArrayType(chunk)), T.StructField("dls", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (segment << 44) + (TaskContext.get().partitionId() << 20)
+        held: list[pa.RecordBatch] = []
+        out: pa.Schema | None = None
+        room_rows, room_tokens = SHARD_CHUNKS, SHARD_TOKENS
+        for batch in batches:
+            if out is None:
+                kinds = {"kb_id": batch.schema.field("kb_id").type, "shard": pa.int64(), "term": pa.string(), "n": pa.int32(), "peak": pa.float64(), "mean": pa.float64(), "places": pa.list_(pa.int32()), "tfs": pa.list_(pa.int32()), "chunk_ids": pa.list_(batch.schema.field("chunk_id").type), "dls": pa.list_(pa.int32())}
+                out = pa.schema(list(kinds.items()))
+            ends = np.cumsum(np.diff(batch["t"].offsets.to_numpy()))
+            start = 0
+            while start < batch.num_rows:
+                before = ends[start - 1] if start else 0
+                stop = min(start + room_rows, int(np.searchsorted(ends, before + room_tokens, side="right")))
+                stop = max(stop, start + (not held))
+                if stop > start:
+                    held.append(batch.slice(start, stop - start))
+                    room_rows, room_tokens = room_rows - (stop - start), room_tokens - int(ends[stop - 1] - before)
+                if stop < batch.num_rows or room_rows <= 0:
+                    yield _shard(pa.Table.from_batches(held), number, out)
+                    number, held, room_rows, room_tokens = number + 1, [], SHARD_CHUNKS, SHARD_TOKENS
+                start = stop
+        if held:
+            yield _shard(pa.Table.from_batches(held), number, out)
+
+    return split.mapInArrow(run, schema)
 
 
 @dataclass
 class Index:
-    """postings(kb_id, term, chunk_id, tf, dl), terms(kb_id, term, df, idf, avgdl), corpus(kb_id, n, avgdl); each computed once."""
+    """A version of a stored index: blocks (see above) and the deltas that count."""
 
-    postings: DataFrame
-    terms: DataFrame
-    corpus: DataFrame
+    blocks: DataFrame
+    by_base: DataFrame
+    by_term: DataFrame
 
+    @cached_property
+    def corpus(self) -> DataFrame:
+        """A1: kb_id, n, avgdl; chunks without a token count in both."""
+        return self.by_base.groupBy("kb_id").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("avgdl"))
 
-def small(corpus: DataFrame) -> DataFrame:
-    """A table with a row a knowledge base, to be broadcast if there are not too many."""
-    return F.broadcast(corpus) if corpus.limit(BROADCAST_BASES + 1).count() <= BROADCAST_BASES else corpus
+    @cached_property
+    def terms(self) -> DataFrame:
+        """A1: kb_id, term, df, idf, avgdl; a negative idf becomes a share of its base's mean."""
+        df = self.by_term.groupBy("kb_id", "term").agg(F.sum("df").alias("df"))
+        raw = df.join(small(self.corpus.withColumnRenamed("kb_id", "_kb")), F.col("kb_id").eqNullSafe(F.col("_kb"))).drop("_kb")
+        raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        floor = raw.groupBy(F.col("kb_id").alias("_kb")).agg((F.avg("raw") * EPSILON).alias("floor"))
+        return raw.join(small(floor), F.col("kb_id").eqNullSafe(F.col("_kb"))).select("kb_id", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """kb_id, term, chunk_id, tf, dl: a row for each term of a chunk."""
+        each = self.blocks.where("term IS NOT NULL").select("kb_id", "shard", "term", F.inline(F.arrays_zip("places", "tfs"))).withColumnsRenamed({"places": "place", "tfs": "tf"})
+        who = self.blocks.where("term IS NULL").select(F.col("kb_id").alias("_kb"), F.col("shard").alias("_shard"), F.posexplode(F.arrays_zip("chunk_ids", "dls")).alias("_place", "x"))
+        joined = each.join(who, F.col("kb_id").eqNullSafe(F.col("_kb")) & (F.col("shard") == F.col("_shard")) & (F.col("place") == F.col("_place")))
+        return joined.select("kb_id", "term", F.col("x.chunk_ids").alias("chunk_id"), "tf", F.col("x.dls").cast("long").alias("dl"))
+
+
+class Store:
+    """An index in a folder that driver and executors share."""
+
+    def __init__(self, spark: SparkSession, folder: str, tokenizer=tokens):
+        self.spark, self.folder, self.tokenizer = spark, folder, tokenizer
+
+    def _now(self) -> tuple[int, dict[int, str], list[str]]:
+        """The newest whole version: its number, the folders of its segments, and those of the deltas to sum."""
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        path = fs.Path(f"{self.folder}/manifest")
+        disk = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [x.getPath() for x in (disk.listStatus(path) if disk.exists(path) else [])]
+        whole = [int(p.getName()) for p in found if p.getName().isdigit() and disk.exists(fs.Path(p, "_SUCCESS"))]
+        if not whole:
+            return 0, {}, []
+        rows = self.spark.read.schema("segment long, name string").json(f"{self.folder}/manifest/{max(whole)}").collect()  # a row for each segment and delta
+        return max(whole), {r["segment"]: r["name"] for r in rows if r["segment"] is not None}, [r["name"] for r in rows if r["segment"] is None]
 
+    def _publish(self, version: int, segments: dict[int, str], deltas: list[str]) -> None:
+        rows = [*segments.items(), *((None, name) for name in deltas)]
+        self.spark.createDataFrame(rows, "segment long, name string").coalesce(1).write.mode("overwrite").json(f"{self.folder}/manifest/{version + 1}")
 
-def build_index(chunks: DataFrame, tokenizer=tokens) -> Index:
-    """A1: chunks(kb_id, chunk_id, text) -> statistics; chunks without a token count in n and the mean length.
+    def append(self, chunks: DataFrame, segment: int) -> None:
+        """A1: chunks(kb_id, chunk_id, text) as a segment; one of the same number gives way."""
+        split = chunks.select("kb_id", "chunk_id", self.tokenizer(F.col("text")).alias("t"))
+        rows = _shards(split, segment).repartition("kb_id", "term", F.shiftright("shard", 6)).sortWithinPartitions("kb_id", "term", "shard")
+        self._add(rows, segment)
 
-    Texts are read and split once; a chunk without a token leaves a row with a null term.
-    """
-    split = chunks.select("kb_id", "chunk_id", tokenizer(F.col("text")).alias("t"))
-    each = split.select("kb_id", "chunk_id", F.size("t").cast("long").alias("dl"), F.explode_outer("t").alias("term"))
-    counted = kept(each.groupBy("kb_id", "term", "chunk_id", "dl").agg(F.count("term").alias("tf")))
-    corpus = kept(counted.groupBy("kb_id").agg(F.count_distinct("chunk_id").alias("n"), (F.sum("tf") / F.count_distinct("chunk_id")).alias("avgdl")))
-    postings = counted.where("term IS NOT NULL")
-    df = kept(postings.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("df")))
-    raw = df.join(small(corpus), "kb_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = kept(raw.groupBy("kb_id").agg((F.avg("raw") * EPSILON).alias("floor")))
-    terms = raw.join(small(floor), "kb_id").select("kb_id", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")
-    return Index(postings, kept(terms), corpus)
+    def _add(self, rows: DataFrame, segment: int) -> None:
+        name = f"{segment}-{uuid4().hex[:8]}"  # what an earlier version reads is not written over
+        rows.write.parquet(f"{self.folder}/blocks/{name}")
+        rows = self.spark.read.parquet(f"{self.folder}/blocks/{name}")
+        total = F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)
+        rows.where("term IS NULL").groupBy("kb_id").agg(F.sum("n").alias("n"), F.sum(total).alias("length")).write.parquet(f"{self.folder}/by_base/{name}")
+        rows.where("term IS NOT NULL").groupBy("kb_id", "term").agg(F.sum("n").alias("df")).write.parquet(f"{self.folder}/by_term/{name}")
+        version, segments, deltas = self._now()
+        old = segments.get(segment)
+        summed = old is not None and old not in deltas  # its deltas went into a sum: take all segments' own again
+        segments = segments | {segment: name}
+        deltas = list(segments.values()) if summed else [*(d for d in deltas if d != old), name]
+        self._publish(version, segments, deltas)
+        if len(deltas) > MOST_DELTAS:
+            self.compact()
+
+    def compact(self) -> None:
+        """A1: one sum in the place of all deltas; the segments' own stay for a batch that is written again."""
+        version, segments, _ = self._now()
+        index, name = self.index(), f"sum-{uuid4().hex[:8]}"
+        index.by_base.groupBy("kb_id").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).write.parquet(f"{self.folder}/by_base/{name}")
+        index.by_term.groupBy("kb_id", "term").agg(F.sum("df").alias("df")).write.parquet(f"{self.folder}/by_term/{name}")
+        self._publish(version, segments, [name])
+
+    def exists(self) -> bool:
+        return self._now()[0] > 0
+
+    def index(self) -> Index:
+        """The newest version; later batches don't change what it names."""
+        _, segments, deltas = self._now()
+        read = lambda table, names: self.spark.read.parquet(*[f"{self.folder}/{table}/{name}" for name in names])
+        return Index(read("blocks", segments.values()), read("by_base", deltas), read("by_term", deltas))
+
+
+def build_index(chunks: DataFrame, tokenizer=tokens, folder: str | None = None) -> Index:
+    """A1: chunks(kb_id, chunk_id, text) -> an index of one segment, in a folder of its own unless one is given."""
+    spark = chunks.sparkSession
+    store = Store(spark, folder or f"{shared_folder(spark)}/index-{uuid4().hex}", tokenizer)
+    store.append(chunks, 0)
+    return store.index()
 
 
 def save(index: Index, folder: str) -> None:
-    """A1: the three tables as Parquet; postings and terms in the order in which a search asks for them."""
-    for name in ("postings", "terms", "corpus"):
-        table = getattr(index, name)
-        (table if name == "corpus" else table.repartitionByRange("kb_id", "term").sortWithinPartitions("kb_id", "term")).write.mode("overwrite").parquet(f"{folder}/{name}")
+    """A1: all blocks of an index as the one segment of another folder."""
+    Store(index.blocks.sparkSession, folder)._add(index.blocks, 0)
 
 
 def load(spark: SparkSession, folder: str) -> Index:
-    return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "corpus")))
+    return Store(spark, folder).index()
+
+
+def stored_index(chunks: DataFrame, what: str) -> Index:
+    """The index of chunks that are read from files, built once for these files; ``what`` names how chunks were made of them."""
+    spark = chunks.sparkSession
+    conf = spark._jsc.hadoopConfiguration()
+    seen = [what]
+    for name in sorted(chunks.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        seen.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    store = Store(spark, f"{shared_folder(spark)}/index-{sha256(chr(10).join(seen).encode()).hexdigest()}")
+    if not store.exists():
+        store.append(chunks, 0)
+    return store.index()
 
 
 def vocabulary(chunks: DataFrame) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from answerlens.functions.text import cosine, key_terms, preview, tokens
+from answerlens.operators.blocks import QueryBlock, shards_of
 from answerlens.operators.index import Index, term_score
 from answerlens.session import kept
 
@@ -61,20 +66,61 @@ def top(df: DataFrame, k: int | Column, *order: Column, by: str | list[str] = "q
 
 
 def bm25(queries: DataFrame, index: Index, k: int | None = 5) -> DataFrame:
-    """J1 + W3 + T1: queries(query_id, kb_id, query) -> query_id, chunk_id, bm25_score, bm25_norm, rank.
+    """J1 + W3 + T1: queries(query_id, kb_id, query) -> query_id, chunk_id, bm25_score, bm25_norm, rank (without k: all scores, no rank).
 
-    Query tokens join postings by term; AQE splits terms that most chunks have.
+    The first k come from blocks (``search``).  All scores come from a join of query
+    tokens with postings by term; AQE splits terms that most chunks have.
     """
     terms = queries.select("query_id", "kb_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "kb_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighed = terms.join(index.terms, ["kb_id", "term"])
-    scored = weighed.join(index.postings, ["kb_id", "term"]).withColumn("s", F.col("qtf") * term_score())
-    total = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), 6).alias("bm25_score")).where("bm25_score > 0")
     if k is not None:
-        total = top(total, k, F.desc("bm25_score"), F.col("chunk_id"))
+        total = top(search(terms, index, k), k, F.desc("bm25_score"), F.col("chunk_id"))
+    else:
+        weighed = terms.join(index.terms, ["kb_id", "term"])
+        scored = weighed.join(index.postings, ["kb_id", "term"]).withColumn("s", F.col("qtf") * term_score())
+        total = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), 6).alias("bm25_score")).where("bm25_score > 0")
     best = F.max("bm25_score").over(Window.partitionBy("query_id"))
     return total.withColumn("bm25_norm", F.round(F.col("bm25_score") / best, 6))
 
 
+#: Query terms that one pass over the blocks takes along (about 100 bytes each).
+PASS_TERMS = 200_000
+
+
+def search(terms: DataFrame, index: Index, k: int) -> DataFrame:
+    """J1 + T1: terms(query_id, kb_id, term, qtf) -> query_id, chunk_id, bm25_score: of each shard the best k that can still be among all shards' k.
+
+    A stated query set against all blocks of its terms, PASS_TERMS of them at a time.
+    """
+    weighed = terms.join(index.terms.withColumnRenamed("kb_id", "_kb"), F.col("kb_id").eqNullSafe(F.col("_kb")) & (terms["term"] == index.terms["term"]))
+    weighed = kept(weighed.select("query_id", "kb_id", terms["term"], (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl"))
+    n = max(1, -(-weighed.count() // PASS_TERMS))
+    passes = [weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+    return reduce(DataFrame.unionByName, [_search_pass(asked.collect(), asked, index, k) for asked in passes])  # about PASS_TERMS rows each
+
+
+def _search_pass(rows: list, asked: DataFrame, index: Index, k: int) -> DataFrame:
+    """One pass: each task takes its shards one after the other and passes by what cannot reach the k-th best score so far."""
+    spark = asked.sparkSession
+    q_kind, c_kind = asked.schema["query_id"].dataType, index.blocks.schema["chunk_ids"].dataType.elementType
+    shared = spark.sparkContext.broadcast(QueryBlock(rows, k))
+    of = asked.select(F.col("kb_id").alias("_kb"), F.col("term").alias("_term")).distinct()
+    bases = of.select("_kb").distinct()
+    some = index.blocks.where("term IS NOT NULL").join(F.broadcast(of), F.col("kb_id").eqNullSafe(F.col("_kb")) & (F.col("term") == F.col("_term")), "left_semi")
+    who = index.blocks.where("term IS NULL").join(F.broadcast(bases), F.col("kb_id").eqNullSafe(F.col("_kb")), "left_semi")
+    schema = T.StructType([T.StructField("query_id", q_kind), T.StructField("chunk_id", c_kind), T.StructField("bm25_score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        state = block.start()
+        for shard in shards_of(batches):
+            found = block.best_of(shard, state)
+            if found:
+                ids, places, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([block.query_ids.take(pa.array(ids)), shard[0]["chunk_ids"][0].values.take(pa.array(places)), pa.array(scores)], names=schema.names)
+
+    return some.unionByName(who).repartition("shard", "kb_id").sortWithinPartitions("shard", "kb_id", F.col("term").asc_nulls_first()).mapInArrow(run, schema)
+
+
 def knn(queries: DataFrame, chunks: DataFrame, k: int | None = 10, floor: float = 0.0) -> DataFrame:
     """J2 (a) + F2 + T2: exact cosine, clipped at 0, for few queries: queries(query_id, vec), chunks(chunk_id, vec)."""
     q = queries.select("query_id", F.col("vec").alias("qv"))

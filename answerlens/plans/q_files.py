@@ -11,7 +11,7 @@ from answerlens.operators import abtest, composite, corpus, lexicon
 from answerlens.operators import evaluate as E
 from answerlens.operators import index as I
 from answerlens.plans.q_retrieval import asked, chunks, vectors
-from answerlens.plans.q_text import TOK, t
+from answerlens.plans.q_text import CLEAN, TOK, chunk_sql, t
 from answerlens.session import shared_folder
 from answerlens.sources import files
 from answerlens.streaming import live
@@ -134,12 +134,13 @@ def g9_ab_run(spark, d):
 
 
 def x3_ingestion(spark, d):
-    """Documents as a stream of files: chunks, postings, and the statistics of the bases that were touched."""
-    docs = spark.readStream.schema(t(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    stream = docs.select(F.col("source").alias("kb_id"), "doc_id", "text").where("kb_id IS NOT NULL")
+    """Documents as a stream of files, a file a batch: chunked, indexed segment by segment; the statistics of every base at the end."""
+    docs = spark.readStream.schema(t(spark, d, "documents").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/documents.parque[t]")  # a file or a folder of files
+    stream = docs.select(F.col("source").alias("kb_id"), "doc_id", "text")
     folder = place(spark, "x3")
-    live.ingest(stream, f"{folder}/chunks", f"{folder}/postings", f"{folder}/state", size=1 << 30, overlap=0, stats_path=f"{folder}/stats").awaitTermination()
-    return spark.read.parquet(f"{folder}/stats").select("kb_id", "n", F.round("avgdl", 6).alias("avgdl"))
+    live.ingest(stream, f"{folder}/chunks", f"{folder}/index", f"{folder}/state").awaitTermination()
+    terms = I.load(spark, f"{folder}/index").terms
+    return terms.groupBy("kb_id").agg(F.round(F.max("avgdl"), 6).alias("avgdl"), F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"), F.round(F.max("idf"), 6).alias("rarest"))
 
 
 QUERIES = {f.__name__: f for f in (s1_documents, s2_admission, s7_traces, s8_feedback, s8_rules, s9_dictionary, s11_log_lines, a22_log_summary, s12_reports, s14_optimised, j17_cross_questions, g9_ab_run, x3_ingestion)}
@@ -163,5 +164,11 @@ ORACLES = {
     "s14_optimised": "WITH q AS (SELECT doc_id, text, 'Q: What is ' || substring(text, 1, 20) || chr(10) || 'A: ' || substring(text, 1, 50) AS qa FROM documents) SELECT doc_id, 'opt' AS variant, md5(qa) AS digest FROM q UNION ALL SELECT doc_id, 'suggestion', md5(qa || chr(10) || chr(10) || text) FROM q",
     "j17_cross_questions": """WITH s AS (SELECT doc_id, string_split(text, chr(10))[1] AS t, coalesce(string_split(text, chr(10))[2], '') || '; ' || lang AS p FROM documents)
         SELECT a.doc_id AS a, b.doc_id AS b, md5('How do ' || a.t || ' and ' || b.t || ' relate?') AS question, md5(a.t || ': ' || a.p || chr(10) || b.t || ': ' || b.p) AS answer FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""",
-    "x3_ingestion": f"WITH c AS (SELECT source AS kb_id, len({TOK.format('text')}) AS dl FROM documents WHERE source IS NOT NULL AND regexp_matches(text, '[^ \\t\\n\\r]')) SELECT kb_id, count(*) AS n, round(avg(dl), 6) AS avgdl FROM c GROUP BY kb_id",
+    "x3_ingestion": f"""WITH RECURSIVE {chunk_sql("doc_id, source AS kb_id, " + CLEAN + " AS text", "kb_id")},
+        tok AS (SELECT kb_id, doc_id, chunk_index, unnest({TOK.format("chunk")}) AS term FROM chunks), tf AS (SELECT DISTINCT * FROM tok),
+        corpus AS (SELECT kb_id, count(*) AS n, avg(len({TOK.format("chunk")})) AS avgdl FROM chunks GROUP BY kb_id),
+        df AS (SELECT kb_id, term, count(*) AS df FROM tf GROUP BY ALL),
+        raw AS (SELECT d.*, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df d JOIN corpus c ON c.kb_id IS NOT DISTINCT FROM d.kb_id)
+        SELECT kb_id, round(max(avgdl), 6) AS avgdl, count(*) AS terms, sum(df)::BIGINT AS postings, round(max(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END), 6) AS rarest
+        FROM (SELECT *, avg(raw) OVER (PARTITION BY kb_id) AS mean FROM raw) GROUP BY kb_id""",
 }

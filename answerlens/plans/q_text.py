@@ -13,6 +13,31 @@ STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '[\x00-\x08\x0B-\x1F\x7F]', '', 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g')"
 
 
+def chunk_sql(row: str, more: str = "", size: int = 512, overlap: int = 128) -> str:
+    """P2 as recursive CTEs that end with chunks(doc_id, more, chunk_index, chunk); row: doc_id, text and more of a document."""
+    also = f", {more}" if more else ""
+    tail = f"substr(buffer, greatest(length(buffer) - {overlap} + 1, 1))"
+    last = f"(CASE WHEN contains({tail}, '。') THEN length({tail}) - strpos(reverse({tail}), '。') ELSE length({tail}) - strpos(reverse({tail}), '.') END)"
+    cut = f"(CASE WHEN (contains({tail}, '。') OR contains({tail}, '.')) AND {last} > 0 THEN substr({tail}, {last} + 2) ELSE {tail} END)"
+    return rf"""doc AS (SELECT {row} FROM documents),
+    split AS (SELECT doc_id{also}, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM doc),
+    lines AS (SELECT doc_id{also}, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM split WHERE regexp_matches(line, '\S')),
+    pack AS (
+        SELECT doc_id{also}, 0::BIGINT AS i, '' AS buffer, 0::BIGINT AS used, []::VARCHAR[] AS done FROM doc
+        UNION ALL
+        SELECT p.doc_id{also.replace(", ", ", p.")}, p.i + 1,
+            CASE WHEN used + length(line) <= {size} THEN CASE WHEN buffer = '' THEN line ELSE buffer || chr(10) || line END
+                 WHEN buffer = '' THEN '' WHEN length(buffer) > {overlap} THEN {cut} || chr(10) || line ELSE line END,
+            CASE WHEN used + length(line) <= {size} THEN used + length(line) + 1
+                 WHEN buffer = '' THEN used WHEN length(buffer) > {overlap} THEN length({cut}) + 1 + length(line) ELSE length(line) END,
+            CASE WHEN used + length(line) <= {size} THEN [] WHEN buffer <> '' THEN [buffer]
+                 ELSE list_transform(range(0, length(line), {size - overlap}), lambda x: substr(line, x + 1, {size})) END
+        FROM pack p JOIN lines l ON l.doc_id = p.doc_id AND l.i = p.i + 1),
+    every AS (SELECT doc_id{also}, i, unnest(done) AS chunk, generate_subscripts(done, 1) AS j FROM pack
+        UNION ALL SELECT doc_id{also}, i + 1, buffer, 1 FROM (SELECT * FROM pack QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1) WHERE buffer <> ''),
+    chunks AS (SELECT doc_id{also}, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INT AS chunk_index, chunk FROM every)"""
+
+
 def t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

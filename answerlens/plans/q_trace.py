@@ -9,7 +9,7 @@ from answerlens.functions import text_udf as U
 from answerlens.operators import contradict, diagnose, retrieve, trace
 from answerlens.operators import index as I
 from answerlens.plans.q_retrieval import COS, FUSED, _fused, asked, chunks, vectors
-from answerlens.plans.q_text import KEY, TOK, t
+from answerlens.plans.q_text import KEY, TOK, chunk_sql, t
 from answerlens.session import shared_folder as folder
 from answerlens.streaming import live
 
@@ -210,6 +210,7 @@ CONFLICTS = f"WITH pair AS (SELECT a.conv_id, a.turn FROM conversations a JOIN c
 LOW = r"lower(text)"
 BEFORE = "substring(lower(text), greatest(1, strpos(lower(text), 'the') - 40), strpos(lower(text), 'the') - greatest(1, strpos(lower(text), 'the') - 40))"
 ORACLES = {
+    "p2_chunks": f"WITH RECURSIVE {chunk_sql('doc_id, text')} SELECT doc_id, chunk_index, length(chunk)::INT AS char_count, md5(chunk) AS digest FROM chunks",
     "p9_typos": "SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE (length(text) - length(replace(text, 'teh', ''))) // 3 + (length(text) - length(replace(text, 'recieve', ''))) // 7 + (length(text) - length(replace(text, 'thier', ''))) // 5 + (length(text) - length(replace(text, 'onnt', ''))) // 4 END::INT AS n, md5(replace(replace(replace(replace(text, 'teh', 'the'), 'recieve', 'receive'), 'thier', 'their'), 'onnt', 'ont')) AS digest FROM documents",
     "p14_polarity": rf"""SELECT doc_id, 'reference' AS concept, CASE WHEN contains({LOW}, 'not the') OR regexp_matches({BEFORE}, '((^|[^\p{{L}}\p{{N}}_])(not|no|never|cannot)|n''t|不|未|没有)\s*([\p{{L}}\p{{N}}_]+\s+)?$') THEN -1 ELSE 1 END::INT AS polarity, CASE WHEN contains({LOW}, 'not the') THEN 'not the' ELSE 'the' END AS phrase FROM documents WHERE contains({LOW}, 'the')""",
     "u2_keyword_gap": f"""WITH p AS (SELECT * FROM (VALUES ('tion', '^th.*tion$'), ('end', '^en.*nd$')) x(domain, pattern)), q AS (SELECT DISTINCT item_id AS query_id, 'src' || (item_id % 20) AS kb_id, unnest({KEY}) AS word FROM benchmark),

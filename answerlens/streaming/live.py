@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from answerlens.functions.text import clean_text, tokens
+from answerlens.functions.text import clean_text
 from answerlens.functions.text_udf import chunks as chunk_column
 from answerlens.functions.text_udf import sentence_spans
+from answerlens.operators.index import Store
 
 SENTENCE = "trace_id long, idx int, sentence string, start int, end int, closed boolean"
 
@@ -102,21 +103,21 @@ def running_ratio(rows: DataFrame) -> DataFrame:
     return rows.withColumn("running_ratio", F.when(F.col("score").isNotNull(), (F.size(F.filter(seen, lambda x: x < F.col("score"))) + 1) / F.size(seen)))
 
 
-def ingest(files: DataFrame, chunk_path: str, posting_path: str, checkpoint: str, size: int = 512, overlap: int = 128, stats_path: str | None = None):
-    """A stream of (kb_id, doc_id, text) -> chunks and postings appended, A1's statistics of the bases in the batch refreshed in stats_path; a batch that is run again replaces itself."""
+def ingest(files: DataFrame, chunk_path: str, index_path: str, checkpoint: str, size: int = 512, overlap: int = 128):
+    """A stream of (kb_id, doc_id, text) -> its chunks, and the index of all chunks so far, with A1's statistics.
+
+    A batch adds its chunks and one segment of the index, so its work does not grow with
+    what is stored; a batch that is run again takes its own place in both.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
         each = df.select("kb_id", "doc_id", F.inline(chunk_column(clean_text(F.col("text")), size, overlap)))
-        rows = each.withColumn("batch", F.lit(number)).withColumn("chunk_id", F.sha2(F.concat_ws("\x1f", "kb_id", "doc_id", "chunk_index", "text"), 256)).persist()
-        write = lambda d, p: d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(p)
-        write(rows, chunk_path)
-        write(rows.select("batch", "kb_id", "chunk_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("batch", "kb_id", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf")), posting_path)
-        if stats_path:
-            touched = rows.select("kb_id").distinct()
-            stored = rows.sparkSession.read.parquet(chunk_path).join(touched, "kb_id", "left_semi")
-            dl = F.size(tokens(F.col("text")))
-            stored.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.avg(dl).alias("avgdl")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(stats_path)
-        rows.unpersist()
+        key = F.sha2(F.concat_ws("\x1f", F.to_json(F.struct("kb_id", "doc_id", "chunk_index")), "text"), 256)
+        rows = each.withColumn("batch", F.lit(number)).withColumn("chunk_id", key)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(chunk_path)
+        if spark.read.parquet(chunk_path).where(F.col("batch") == number).limit(1).count():
+            Store(spark, index_path).append(spark.read.parquet(chunk_path).where(F.col("batch") == number), number)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

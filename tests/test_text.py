@@ -38,7 +38,7 @@ def test_chunks_keep_sizes_and_overlap():
     assert U.split_chunks("", 10, 2) == []
     assert U.split_chunks("a" * 25, 10, 2) == ["a" * 10, "a" * 10, "a" * 9, "a"]
     got = U.split_chunks("one two.\nthree four.\nfive six", 20, 8)
-    assert got == ["one two.\nthree four.", "five six"]  # the tail ends with its full stop
+    assert got == ["one two.\nthree four.", "\nfive six"]  # the tail ends with its full stop: nothing of it is left, but the line end is
     assert "".join(got).count("five six") == 1
 
 
@@ -87,24 +87,57 @@ def test_concepts(text, concept, want):
     assert {c["concept"]: c["polarity"] for c in U.find_polarity(text)}[concept] == want
 
 
-def test_chunks_equal_a_loop():
+def _chunks_by_rule(text, size, overlap):
+    """Chunks as lists of lines, by the rules of packing: each state is what was put down since the last chunk."""
+    chunks, lines, room = [], [], size
+    for line in filter(None, map(str.strip, text.split("\n"))):
+        if len(line) <= room:
+            lines.append(line)
+            room -= len(line) + 1
+            continue
+        if not lines:
+            pieces = range(0, len(line), size - overlap)
+            chunks.extend(line[p : p + size] for p in pieces)
+            continue
+        whole = "\n".join(lines)
+        chunks.append(whole)
+        if overlap and len(whole) > overlap:
+            end = whole[len(whole) - overlap :]
+            for mark in "。.":
+                if mark in end:
+                    left, _, right = end.rpartition(mark)
+                    end = right if left else end
+                    break
+            lines = [end, line]
+            room = size - len(end) - 1 - len(line)
+        else:
+            lines = [line]
+            room = size - len(line)
+    if lines:
+        chunks.append("\n".join(lines))
+    return chunks
+
+
+def test_chunks_follow_the_rules():
     rng = random.Random(3)
-    for _ in range(200):
+    for _ in range(2000):
         text = "\n".join("".join(rng.choice("ab .。") for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 6)))
-        out, held = [], ""
-        for line in text.split("\n"):
-            line = line.strip()
-            if line and not held and len(line) > 12:
-                out += [line[i : i + 12] for i in range(0, len(line), 8)]
-            elif line and held and len(held) + 1 + len(line) > 12:
-                out.append(held)
-                tail = held[-4:]
-                stop = tail.rfind("。") if tail.rfind("。") > 0 else tail.rfind(".")
-                tail = tail[stop + 1 :].strip() if stop > 0 else tail
-                held = tail + "\n" + line if tail else line
-            elif line:
-                held = held + "\n" + line if held else line
-        assert U.split_chunks(text, 12, 4) == out + ([held] if held else [])
+        assert U.split_chunks(text, 12, 4) == _chunks_by_rule(text, 12, 4)
+        assert U.split_chunks(text, 12, 0) == _chunks_by_rule(text, 12, 0)
+
+
+def test_a_short_chunk_is_not_repeated_and_tails_are_kept_as_they_are():
+    assert U.split_chunks("abc\n" + "x" * 600) == ["abc", "x" * 600]
+    long = "a" * 400
+    assert U.split_chunks(f"{long}. tail\n" + "b" * 300) == [f"{long}. tail", " tail\n" + "b" * 300]
+    assert U.split_chunks("。" + "a" * 127 + "\n" + "b" * 500)[1] == "b" * 500
+    assert U.split_chunks("ab。" + "c.d" * 42 + "\n" + "b" * 500)[1] == "c.d" * 42 + "\n" + "b" * 500
+
+
+@pytest.mark.parametrize(("text", "kind", "value"), [("重5毫克", "weight", 0.005), ("10 lbs", "weight", 4535.92), ("3 t", "weight", 3e6), ("5百元", "money", 500.0), ("共3份", "count", 3.0), ("3项", "count", 3.0), ("2笔", "count", 2.0), ("3 weekdays", "duration", 259200.0), ("6月", "duration", 15552000.0)])
+def test_units_and_counters(text, kind, value):
+    (claim,) = U.find_claims(text)
+    assert claim["kind"] == kind and claim["value"] == pytest.approx(value)
 
 
 def test_typos_are_fixed_once_longest_first(spark):
