@@ -7,7 +7,8 @@ as the best ones of the remaining stretches could still lift the sum to the cap'
 height, so that all directions above it are found without trying each.  Vectors that
 share a direction (and the label) meet in its bucket.  Height, lists and the number of
 such codes follow from the number of vectors and are calibrated on synthetic pairs
-exactly at the threshold, not on the data.
+exactly at the threshold, not on the data: all of them must meet, and half as many codes
+are added.
 
 Equal vectors are one node with a weight.  A bucket is compared in cells of bounded
 size: a large one is split into parts, each two of which make a cell.  Cells compare
@@ -43,7 +44,9 @@ from answerlens.llm.common import cut, drop
 from answerlens.llm.graph import components
 
 THRESHOLD = 0.93
-RECALL = 0.995
+RECALL = 1.0
+#: Codes beyond those that the calibration needs, as a factor.
+MARGIN = 1.5
 #: Vectors that a bucket should get; of so many at most it is one cell, else it is split into parts of half as many.
 IN_BUCKET = 256
 CELL = 512
@@ -108,7 +111,7 @@ def _height(dim: int, share: float) -> float:
     return float(x[np.searchsorted(-above, -share)])
 
 
-def met(plan: Plan, threshold: float, pairs: int = 2000) -> Iterator[float]:
+def met(plan: Plan, threshold: float, pairs: int = 4000) -> Iterator[float]:
     """The share of random pairs exactly at the threshold that meet by the first code, the first two, ..."""
     rng = np.random.default_rng(7)
     a, z = rng.standard_normal((2, pairs, plan.dim))
@@ -126,7 +129,7 @@ def met(plan: Plan, threshold: float, pairs: int = 2000) -> Iterator[float]:
 
 @lru_cache(maxsize=64)
 def make_plan(dim: int, n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Plan:
-    """For n vectors that may all meet: caps that hold IN_BUCKET of them, and as many codes as the recall needs."""
+    """For n vectors that may all meet: caps that hold IN_BUCKET of them, and as many codes as the recall needs, with a margin."""
     share = min(MOST_SHARE, IN_BUCKET / max(n, 1))
     while True:
         size = max(4, round(PER_CODE / share))
@@ -135,7 +138,7 @@ def make_plan(dim: int, n: int, threshold: float = THRESHOLD, recall: float = RE
         plan = Plan(dim, MOST_CODES, words, stretches, _height(dim, share))
         for codes, share_met in enumerate(met(plan, threshold), 1):
             if share_met >= recall:
-                return replace(plan, codes=codes)
+                return replace(plan, codes=math.ceil(codes * MARGIN))
         share *= 2
         if share > 1:  # one bucket for all
             return Plan(dim, 1, 2, 1, -2.0)
