@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from answerlens.functions.text import keywords, tokens
 from answerlens.session import kept
@@ -41,23 +47,60 @@ def relations(docs: DataFrame, related: float = 0.4, duplicate: float = 0.8, voc
     return scored.withColumn("relation", F.when(F.col("similarity") > duplicate, "duplicate").otherwise("related"))
 
 
+#: Pairs of query and keyword that tasks take along (about 40 bytes each).
+BROADCAST_KEYWORDS = 1_000_000
+
+
 def coverage(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """For each document the share of queries with a keyword that occurs in it as a substring, and how many keywords do.
 
-    A keyword has no marks or blanks, so it occurs inside a token.  The distinct tokens
-    of all documents are cut into the substrings that are as long as some keyword and
-    joined with the keywords by equality, then with the documents by token.
+    All distinct keywords make one Aho-Corasick automaton, which reads each text once;
+    nothing is shuffled.  A row is a document; a null text has no keywords.  Of more
+    keywords than tasks can take along, the tokens' substrings are joined instead.
     """
-    q = kept(queries.select("query_id", F.explode(F.array_distinct(keywords(F.col("query")))).alias("word")))
+    pairs = kept(queries.select("query_id", F.explode(F.array_distinct(keywords(F.col("query")))).alias("word")))
     total = queries.count()
+    if pairs.count() > BROADCAST_KEYWORDS:
+        return _coverage_by_join(pairs, total, docs)
+    rows = pairs.select("query_id", "word").collect()  # counted above
+    shared = docs.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], [r["word"] for r in rows]))
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("covered", T.LongType()), T.StructField("words", T.LongType())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asks, words = shared.value
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        query = np.unique(np.array(asks, dtype=object).astype(str), return_inverse=True)[1] if asks else np.zeros(0, dtype=np.int64)
+        of_word = np.array([number[w] for w in words], dtype=np.int64)
+        order = np.argsort(of_word, kind="stable")
+        queries_of = np.split(query[order], np.cumsum(np.bincount(of_word, minlength=len(number)))[:-1]) if number else []
+        machine = ahocorasick.Automaton()
+        for word, i in number.items():
+            machine.add_word(word, i)
+        machine.make_automaton()
+        for batch in batches:
+            counts = np.zeros((2, batch.num_rows), dtype=np.int64)
+            for i, text in enumerate(batch["text"]):
+                found = {v for _, v in machine.iter(text.as_py() or "")} if number else ()
+                if found:
+                    counts[:, i] = len(np.unique(np.concatenate([queries_of[v] for v in found]))), len(found)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts[0]), pa.array(counts[1])], names=schema.names)
+
+    found = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(scan, schema)
+    return found.select("doc_id", F.round(F.col("covered") / F.lit(total), 6).alias("coverage"), "words")
+
+
+def _coverage_by_join(q: DataFrame, total: int, docs: DataFrame) -> DataFrame:
+    """The distinct tokens of all documents are cut into the substrings that are as long as some keyword and joined with the keywords, then with the documents by token."""
+    row = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    row = kept(row)
     lengths = F.array(*[F.lit(r["n"]) for r in q.select(F.length("word").alias("n")).distinct().orderBy("n").collect()]).cast("array<int>")  # as many as words have lengths
-    held = kept(docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")))
+    held = row.select("_row", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     fitting = F.filter(lengths, lambda n: n <= F.length("token"))
     inside = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length("token") - n + 1), lambda i: F.substring("token", i, n))))
     found = held.select("token").distinct().select("token", F.explode(F.array_distinct(inside)).alias("word")).join(q.select("word").distinct(), "word")
-    words = held.join(found, "token").select("doc_id", "word").distinct()
-    hit = words.join(q, "word").groupBy("doc_id").agg(F.count_distinct("query_id").alias("covered"), F.count_distinct("word").alias("words"))
-    every = docs.select("doc_id").join(hit, "doc_id", "left")
+    words = held.join(found, "token").select("_row", "word").distinct()
+    hit = words.join(q, "word").groupBy("_row").agg(F.count_distinct("query_id").alias("covered"), F.count_distinct("word").alias("words"))
+    every = row.select("doc_id", "_row").join(hit, "_row", "left")
     return every.select("doc_id", F.round(F.coalesce("covered", F.lit(0)) / F.lit(total), 6).alias("coverage"), F.coalesce("words", F.lit(0)).alias("words"))
 
 

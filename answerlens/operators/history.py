@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerlens.functions.text import level_rank
+from answerlens.operators.ordered import in_blocks, numbered
 
 
 def search(logs: DataFrame, kb: str | None = None, start=None, end=None, text: str | None = None, page: int = 1, size: int = 20) -> DataFrame:
@@ -43,9 +44,8 @@ def requests_total(calls: DataFrame) -> DataFrame:
 
 
 def moving_mean(calls: DataFrame, n: int = 1000, by: str = "endpoint") -> DataFrame:
-    """Mean of the last n durations of an endpoint."""
-    w = Window.partitionBy(by).orderBy("ts", "event_id").rowsBetween(-(n - 1), 0)
-    return calls.withColumn("moving", F.round(F.avg("duration").over(w), 9))
+    """Mean of the last n durations of an endpoint; an endpoint with all calls is spread over all tasks."""
+    return in_blocks(calls, [by], ["ts", "event_id"], n - 1, {"moving": F.avg("duration")}).withColumn("moving", F.round("moving", 9))
 
 
 def lines(logs: DataFrame, level: str, last: int) -> DataFrame:
@@ -86,6 +86,22 @@ def page(chunks: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     return chunks.orderBy("chunk_id").offset(offset).limit(limit)
 
 
+def pages(chunks: DataFrame, size: int = 100, by: str = "kb_id") -> DataFrame:
+    """Every chunk with its page, from 0, and the total of its base; the pages of all bases at once."""
+    return numbered(chunks, [by], ["chunk_id"]).withColumn("page", F.expr(f"pos div {size}")).withColumnRenamed("n", "total").drop("pos")
+
+
+def store_for_lookup(chunks: DataFrame, path: str, row_group: int = 1 << 20) -> None:
+    """Chunks in the order of base and id, in small row groups with Bloom filters over the ids."""
+    ordered = chunks.repartitionByRange("kb_id", "chunk_id").sortWithinPartitions("kb_id", "chunk_id")
+    ordered.write.option("parquet.block.size", row_group).option("parquet.bloom.filter.enabled#chunk_id", "true").option("parquet.bloom.filter.expected.ndv#chunk_id", 100_000).parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, ids: list) -> DataFrame:
+    """The chunks with these ids (few: a filter that Parquet answers from the range and the Bloom filter of each row group)."""
+    return spark.read.parquet(path).where(F.col("chunk_id").isin(ids))
+
+
 def create(kbs: DataFrame, new: DataFrame) -> DataFrame:
     """Names must be new; others are ignored."""
     return kbs.unionByName(new.join(kbs, "kb_id", "left_anti"))

@@ -37,6 +37,8 @@ BROADCAST_BASES = 100_000
 #: Chunks and tokens in a shard at most; a longer chunk is a shard of its own.
 SHARD_CHUNKS = 4096
 SHARD_TOKENS = 2_000_000
+#: Files of fewer bytes for each core are dealt out before they are split, as they may be too few for all cores.
+SPREAD_BYTES = 32 << 20
 #: Segments whose deltas are read before they are summed into one.
 MOST_DELTAS = 8
 
@@ -123,11 +125,13 @@ def _shards(split: DataFrame, segment: int) -> DataFrame:
 
 @dataclass
 class Index:
-    """A version of a stored index: blocks (see above) and the deltas that count."""
+    """A version of a stored index: blocks (see above) and the deltas that count; ``folder`` keeps what is derived from them."""
 
     blocks: DataFrame
     by_base: DataFrame
     by_term: DataFrame
+    folder: str
+    sums: bool = False  # whether the deltas are sums already
 
     @cached_property
     def corpus(self) -> DataFrame:
@@ -136,12 +140,16 @@ class Index:
 
     @cached_property
     def terms(self) -> DataFrame:
-        """A1: kb_id, term, df, idf, avgdl; a negative idf becomes a share of its base's mean."""
-        df = self.by_term.groupBy("kb_id", "term").agg(F.sum("df").alias("df"))
-        raw = df.join(small(self.corpus.withColumnRenamed("kb_id", "_kb")), F.col("kb_id").eqNullSafe(F.col("_kb"))).drop("_kb")
-        raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        floor = raw.groupBy(F.col("kb_id").alias("_kb")).agg((F.avg("raw") * EPSILON).alias("floor"))
-        return raw.join(small(floor), F.col("kb_id").eqNullSafe(F.col("_kb"))).select("kb_id", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")
+        """A1: kb_id, term, df, idf, avgdl; a negative idf becomes a share of its base's mean.  Computed once for a version."""
+        spark = self.blocks.sparkSession
+        if not _written(spark, f"{self.folder}/terms"):
+            df = self.by_term if self.sums else self.by_term.groupBy("kb_id", "term").agg(F.sum("df").alias("df"))
+            raw = df.join(small(self.corpus.withColumnRenamed("kb_id", "_kb")), F.col("kb_id").eqNullSafe(F.col("_kb"))).drop("_kb")
+            raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+            floor = raw.groupBy(F.col("kb_id").alias("_kb")).agg((F.avg("raw") * EPSILON).alias("floor"))
+            rows = raw.join(small(floor), F.col("kb_id").eqNullSafe(F.col("_kb"))).select("kb_id", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")
+            rows.write.mode("overwrite").parquet(f"{self.folder}/terms")
+        return spark.read.parquet(f"{self.folder}/terms")
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -152,6 +160,11 @@ class Index:
         return joined.select("kb_id", "term", F.col("x.chunk_ids").alias("chunk_id"), "tf", F.col("x.dls").cast("long").alias("dl"))
 
 
+def _written(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 class Store:
     """An index in a folder that driver and executors share."""
 
@@ -174,8 +187,10 @@ class Store:
         rows = [*segments.items(), *((None, name) for name in deltas)]
         self.spark.createDataFrame(rows, "segment long, name string").coalesce(1).write.mode("overwrite").json(f"{self.folder}/manifest/{version + 1}")
 
-    def append(self, chunks: DataFrame, segment: int) -> None:
-        """A1: chunks(kb_id, chunk_id, text) as a segment; one of the same number gives way."""
+    def append(self, chunks: DataFrame, segment: int, spread: bool = False) -> None:
+        """A1: chunks(kb_id, chunk_id, text) as a segment; one of the same number gives way.  spread deals chunks of a few large files out to all cores first."""
+        if spread:
+            chunks = chunks.repartition(self.spark.sparkContext.defaultParallelism, "chunk_id")
         split = chunks.select("kb_id", "chunk_id", self.tokenizer(F.col("text")).alias("t"))
         rows = _shards(split, segment).repartition("kb_id", "term", F.shiftright("shard", 6)).sortWithinPartitions("kb_id", "term", "shard")
         self._add(rows, segment)
@@ -209,9 +224,9 @@ class Store:
 
     def index(self) -> Index:
         """The newest version; later batches don't change what it names."""
-        _, segments, deltas = self._now()
+        version, segments, deltas = self._now()
         read = lambda table, names: self.spark.read.parquet(*[f"{self.folder}/{table}/{name}" for name in names])
-        return Index(read("blocks", segments.values()), read("by_base", deltas), read("by_term", deltas))
+        return Index(read("blocks", segments.values()), read("by_base", deltas), read("by_term", deltas), f"{self.folder}/derived/{version}", len(deltas) == 1)
 
 
 def build_index(chunks: DataFrame, tokenizer=tokens, folder: str | None = None) -> Index:
@@ -235,14 +250,15 @@ def stored_index(chunks: DataFrame, what: str) -> Index:
     """The index of chunks that are read from files, built once for these files; ``what`` names how chunks were made of them."""
     spark = chunks.sparkSession
     conf = spark._jsc.hadoopConfiguration()
-    seen = [what]
+    seen, size = [what], 0
     for name in sorted(chunks.inputFiles()):
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         status = path.getFileSystem(conf).getFileStatus(path)
         seen.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+        size += status.getLen()
     store = Store(spark, f"{shared_folder(spark)}/index-{sha256(chr(10).join(seen).encode()).hexdigest()}")
     if not store.exists():
-        store.append(chunks, 0)
+        store.append(chunks, 0, spread=size < SPREAD_BYTES * spark.sparkContext.defaultParallelism)
     return store.index()
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from answerlens.operators import corpus as C
 from answerlens.operators import history as H
 from answerlens.operators import rules as R
 from answerlens.plans.q_text import KEY, TOK, t
+from answerlens.session import shared_folder
 
 
 def docs(spark, d):
@@ -186,6 +189,18 @@ def s6_page(spark, d):
     return H.page(kb_chunks(spark, d).where("file_name = 'en'"), 100, 100).select("chunk_id")
 
 
+def s6_pages(spark, d):
+    """All pages of all bases, with totals."""
+    return H.pages(kb_chunks(spark, d), 100).select("kb_id", "chunk_id", "page", "total")
+
+
+def s6_lookup(spark, d):
+    """Chunks found by id in a table stored for that."""
+    folder = f"{shared_folder(spark)}/s6-{uuid4().hex}"
+    H.store_for_lookup(kb_chunks(spark, d), folder)
+    return H.lookup(spark, folder, [7, 100, 205, -1]).select("kb_id", "chunk_id", "file_name")
+
+
 def s15_create_drop(spark, d):
     kbs = t(spark, d, "documents").select(F.col("source").alias("kb_id")).distinct()
     new = t(spark, d, "region").select(F.col("r_name").alias("kb_id")).unionByName(spark.createDataFrame([("src1",), ("src2",)], "kb_id string"))
@@ -198,7 +213,7 @@ def j12_scenario(spark, d):
     return H.scenario(q, k)
 
 
-QUERIES = {f.__name__: f for f in (j10_relations, j10_relations_default, j15_coverage, u3_merge, u3_merge_duplicates, u4_distinct_pairs, u5_new_lines, g10_issues, p17_section_pairs, p18_render, g11_feedback_pairs, a15_suggestions, a15_remaining, a16_effectiveness, a16_recent, a17_histogram, a18_effectiveness, t6_top_keywords, j4_rules, a21_requests, a21_total, w4_moving_mean, f6_history, a20_statistics, s13_retention, f7_lines, a19_inventory, s4_replace, s5_scan, s6_page, s15_create_drop, j12_scenario)}
+QUERIES = {f.__name__: f for f in (j10_relations, j10_relations_default, j15_coverage, u3_merge, u3_merge_duplicates, u4_distinct_pairs, u5_new_lines, g10_issues, p17_section_pairs, p18_render, g11_feedback_pairs, a15_suggestions, a15_remaining, a16_effectiveness, a16_recent, a17_histogram, a18_effectiveness, t6_top_keywords, j4_rules, a21_requests, a21_total, w4_moving_mean, f6_history, a20_statistics, s13_retention, f7_lines, a19_inventory, s4_replace, s5_scan, s6_page, s6_pages, s6_lookup, s15_create_drop, j12_scenario)}
 QUERIES |= {"p18_render_all": p18_render, "a15_remaining_all": a15_remaining}  # the names under which the whole tables were first read
 
 FB = """f AS (SELECT event_id AS trace_id, CASE event_type WHEN 'view' THEN 'recall_missing' WHEN 'click' THEN 'intent_wrong' ELSE event_type END AS feedback_type, 'kb' || (user_id % 7) AS kb_id, CASE WHEN event_id % 2 = 0 THEN 'i' || (user_id % 5) END AS ic, 'question of ' || user_id AS query, event_type AS action, ts FROM events),
@@ -244,6 +259,8 @@ ORACLES = {
     "a19_inventory": "WITH k AS (SELECT DISTINCT source AS kb_id FROM documents UNION ALL SELECT r_name FROM region) SELECT kb_id, count(DISTINCT lang) AS files, count(doc_id) AS chunks FROM k LEFT JOIN documents ON source = kb_id GROUP BY kb_id",
     "s4_replace": "SELECT source AS kb_id, lang AS file_id, doc_id AS chunk_id FROM documents WHERE NOT (source = 'src1' AND lang = 'en') UNION ALL SELECT 'src1', 'en', vec_id + 1000000 FROM embeddings",
     "s5_scan": "SELECT doc_id AS chunk_id, length(text)::INT AS n FROM documents WHERE source = 'src3'",
+    "s6_pages": "SELECT source AS kb_id, doc_id AS chunk_id, (row_number() OVER w - 1) // 100 AS page, count(*) OVER (PARTITION BY source) AS total FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)",
+    "s6_lookup": "SELECT source AS kb_id, doc_id AS chunk_id, lang AS file_name FROM documents WHERE doc_id IN (7, 100, 205, -1)",
     "s6_page": "SELECT doc_id AS chunk_id FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 100 OFFSET 100",
     "s15_create_drop": "SELECT DISTINCT source AS kb_id FROM documents WHERE source <> 'src2' UNION SELECT r_name FROM region",
     "j12_scenario": "WITH k AS (SELECT source AS kb_id, min(lang) AS s FROM documents GROUP BY 1) SELECT 'src' || (user_id % 30) AS kb_id, event_id AS query_id, coalesce(CASE WHEN event_type = 'view' THEN 'asked' END, s) AS scenario_id FROM events LEFT JOIN k ON k.kb_id = 'src' || (user_id % 30)",

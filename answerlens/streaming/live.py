@@ -16,6 +16,7 @@ from answerlens.functions.text import clean_text
 from answerlens.functions.text_udf import chunks as chunk_column
 from answerlens.functions.text_udf import sentence_spans
 from answerlens.operators.index import Store
+from answerlens.operators.ordered import lower_before
 
 SENTENCE = "trace_id long, idx int, sentence string, start int, end int, closed boolean"
 
@@ -95,12 +96,9 @@ def running_verdicts(scored: DataFrame) -> DataFrame:
 
 
 def running_ratio(rows: DataFrame) -> DataFrame:
-    """W5, in batch: each sentence's place among the scores up to it."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("trace_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.collect_list("score").over(w)
-    return rows.withColumn("running_ratio", F.when(F.col("score").isNotNull(), (F.size(F.filter(seen, lambda x: x < F.col("score"))) + 1) / F.size(seen)))
+    """W5, in batch: each sentence's place among the scores up to it, counted by merging."""
+    counted = lower_before(rows, "trace_id", "idx", "score")
+    return counted.withColumn("running_ratio", F.when(F.col("score").isNotNull(), (F.col("lower") + 1) / F.col("seen"))).drop("lower", "seen")
 
 
 def ingest(files: DataFrame, chunk_path: str, index_path: str, checkpoint: str, size: int = 512, overlap: int = 128):

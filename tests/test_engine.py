@@ -49,6 +49,27 @@ def test_coverage_counts_substrings_and_keeps_every_document(spark):
     assert got == {1: (0.333333, 1), 2: (0.333333, 1), 3: (0.0, 0), 4: (0.0, 0)}
 
 
+def test_coverage_by_automaton_by_join_and_by_contains_agree(spark, monkeypatch):
+    import random
+
+    from answerlens.operators import corpus
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(2, 4)))
+    q = spark.createDataFrame([(i, " ".join(word() for _ in range(3))) for i in range(12)], "query_id long, query string")
+    d = spark.createDataFrame([(i % 25, " ".join(word() + word() for _ in range(rng.randint(0, 5)))) for i in range(30)] + [(None, "ABC abc")], "doc_id long, text string")
+    both = []
+    for bound in (corpus.BROADCAST_KEYWORDS, 0):
+        monkeypatch.setattr(corpus, "BROADCAST_KEYWORDS", bound)
+        both.append(sorted(map(tuple, corpus.coverage(q, d).collect()), key=str))
+    words = {r["query_id"]: set(r["query"].split()) for r in q.collect()}
+    want = []
+    for r in d.collect():
+        hit = [q for q, w in words.items() if any(x in r["text"].lower() for x in w)]
+        want.append((r["doc_id"], round(len(hit) / 12, 6), len({x for w in words.values() for x in w if x in r["text"].lower()})))
+    assert both[0] == both[1] == sorted(want, key=str)
+
+
 def test_knn_blocks_equal_few_queries(spark):
     v = spark.range(300).select("id", F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 3)).alias("vec"))
     q, c = v.where("id % 7 = 0").withColumnRenamed("id", "query_id"), v.withColumnRenamed("id", "chunk_id")
