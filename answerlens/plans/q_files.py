@@ -43,18 +43,18 @@ def s2_admission(spark, d):
 
 def s7_traces(spark, d):
     """Traces written as JSON, read, saved by day and read again."""
-    e = t(spark, d, "events").select(F.col("event_id").cast("string").alias("trace_id"), F.col("event_type").alias("query"), F.lit("success").alias("status"), F.col("value").alias("duration"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"), F.pmod("user_id", F.lit(8)).alias("part"))
+    e = t(spark, d, "events").select(F.col("event_id").cast("string").alias("trace_id"), F.col("event_type").alias("query"), F.lit("success").alias("status"), F.col("value").alias("duration"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
     folder, saved = place(spark, "s7"), place(spark, "s7-saved")
-    _array_files(e.drop("part"), F.pmod(F.col("trace_id").cast("long"), F.lit(8)), folder)
-    files.save_traces(files.traces(spark, folder).where("_corrupt_record IS NULL"), saved)
+    e.write.json(folder)
+    files.save_traces(files.traces(spark, folder, lines=True).where("_corrupt_record IS NULL"), saved)
     return spark.read.parquet(saved).groupBy(F.col("dt").cast("date").alias("dt"), "query").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("duration"), 6).alias("longest"))
 
 
 def s8_feedback(spark, d):
     e = t(spark, d, "events").select(F.col("event_id").cast("string").alias("trace_id"), F.col("event_type").alias("feedback_type"), F.create_map(F.lit("kind"), F.col("event_type")).alias("suggested_action"), F.pmod("user_id", F.lit(5)).cast("int").alias("answer_rating"))
     folder = place(spark, "s8")
-    _array_files(e, F.pmod(F.col("trace_id").cast("long"), F.lit(8)), folder)
-    return files.feedback(spark, folder).groupBy("feedback_type", F.col("suggested_action")["kind"].alias("action"), "answer_rating").agg(F.count(F.lit(1)).alias("n"))
+    e.write.json(folder)
+    return files.feedback(spark, folder, lines=True).groupBy("feedback_type", F.col("suggested_action")["kind"].alias("action"), "answer_rating").agg(F.count(F.lit(1)).alias("n"))
 
 
 def s8_rules(spark, d):

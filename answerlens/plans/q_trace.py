@@ -174,13 +174,13 @@ def x1_assembly(spark, d):
 
 
 def x2_verdicts(spark, d):
-    e = _stream(spark, d, "events").select(F.col("user_id").alias("trace_id"), F.col("event_id").cast("int").alias("idx"), (F.col("value") / 100).alias("score"))
-    return live.run_once(live.running_verdicts(e), folder(spark))
+    e = _stream(spark, d, "events").select(F.col("user_id").alias("trace_id"), F.col("event_id").cast("int").alias("idx"), (F.col("value") / 100).alias("score"), F.col("ts").cast("timestamp").alias("ts"))
+    return live.run_once(live.running_verdicts(e, "ts"), folder(spark))
 
 
 def x4_threshold(spark, d):
-    e = _stream(spark, d, "events").select(F.col("event_type").alias("feedback_type"), F.col("user_id").cast("string").alias("key"))
-    return live.run_once(live.feedback_threshold(e), folder(spark))
+    e = _stream(spark, d, "events").select(F.col("event_type").alias("feedback_type"), F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return live.run_once(live.feedback_threshold(e, ts="ts"), folder(spark))
 
 
 def x5_health(spark, d):

@@ -52,9 +52,9 @@ def documents(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("tx
     return accepted.mapInPandas(run, "path string, content string, char_count long, line_count long, decode_error string")
 
 
-def traces(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON a trace; a broken file is a row with _corrupt_record."""
-    return spark.read.schema(TRACE).option("multiLine", "true").option("mode", "PERMISSIVE").json(folder)
+def traces(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Files with one JSON trace or an array of them, or, in large files that many tasks read, a trace a line; what is broken is a row with _corrupt_record."""
+    return spark.read.schema(TRACE).option("multiLine", not lines).option("mode", "PERMISSIVE").json(folder)
 
 
 def save_traces(rows: DataFrame, folder: str) -> None:
@@ -62,9 +62,9 @@ def save_traces(rows: DataFrame, folder: str) -> None:
     rows.drop("_corrupt_record").withColumn("dt", F.to_date("created_at")).write.mode("append").partitionBy("dt").parquet(folder)
 
 
-def feedback(spark: SparkSession, folder: str) -> DataFrame:
-    """S8"""
-    return spark.read.schema(FEEDBACK).option("multiLine", "true").json(folder)
+def feedback(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Arrays in files, or a feedback a line."""
+    return spark.read.schema(FEEDBACK).option("multiLine", not lines).json(folder)
 
 
 def rules(spark: SparkSession, folder: str) -> DataFrame:

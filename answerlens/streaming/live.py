@@ -75,24 +75,59 @@ def absolute(score: float | None, ratio: float, n: int) -> str:
     return "summary" if score >= 0.55 and (n < 3 or ratio >= 0.75) else "low_confidence"
 
 
-def running_verdicts(scored: DataFrame) -> DataFrame:
-    """A stream of (trace_id, idx, score) -> the grade with the scores seen so far; a later batch verdict may differ."""
+#: A trace without new sentences, and a feedback key without feedback, leave the state after so many milliseconds of the rows' own time.
+TRACE_IDLE = 24 * 3_600_000
+KEY_IDLE = 90 * 24 * 3_600_000
+
+
+def _timed(rows: DataFrame, ts: str | None) -> tuple[DataFrame, str]:
+    """rows with a watermark on their time, and what ends a state: that time, or nothing where rows have none."""
+    if ts is None:
+        return rows, GroupStateTimeout.NoTimeout
+    return rows.withWatermark(ts, "10 minutes"), GroupStateTimeout.EventTimeTimeout
+
+
+def _expire(state: GroupState, pdfs: list[pd.DataFrame], ts: str | None, idle: int) -> None:
+    """The state goes when the watermark is past its newest row by idle."""
+    if ts is not None and pdfs:
+        newest = max(int(p[ts].max().timestamp() * 1000) for p in pdfs)
+        state.setTimeoutTimestamp(max(newest + idle, state.getCurrentWatermarkMs() + 1))
+
+
+def running_verdicts(scored: DataFrame, ts: str | None = None, idle: int = TRACE_IDLE) -> DataFrame:
+    """A stream of (trace_id, idx, score) -> the grade with the scores seen so far; a later batch verdict may differ.
+
+    The state counts scores by their first four digits, so it holds no more than their
+    distinct values (20,001 for cosines), however long an answer is.  With a time column
+    ts, the state goes when the trace has been idle.
+    """
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        scores = list(state.get[0]) if state.exists else []
+        none = pd.DataFrame({"trace_id": [], "idx": [], "level": []})
+        if state.hasTimedOut:
+            state.remove()
+            yield none
+            return
+        pdfs = list(pdfs)
+        values, counts = (list(x) for x in state.get) if state.exists else ([], [])
         out = []
         for idx, score in sorted((int(i), s) for pdf in pdfs for i, s in zip(pdf["idx"], pdf["score"], strict=True)):
+            ratio = 0.0
             if score is not None and not pd.isna(score):
-                place = bisect_left(scores, float(score))  # how many are lower
-                scores.insert(place, float(score))
-                ratio = (place + 1) / len(scores)
-            else:
-                ratio = 0.0
-            out.append((key[0], idx, absolute(score, ratio, len(scores))))
-        state.update((scores,))
-        yield pd.DataFrame(out, columns=["trace_id", "idx", "level"])
-
-    return scored.groupBy("trace_id").applyInPandasWithState(run, "trace_id long, idx int, level string", "scores array<double>", "append", GroupStateTimeout.NoTimeout)
+                value = round(float(score) * 10_000)
+                place = bisect_left(values, value)
+                if place == len(values) or values[place] != value:
+                    values.insert(place, value)
+                    counts.insert(place, 0)
+                counts[place] += 1
+                ratio = (sum(counts[:place]) + 1) / sum(counts)
+            out.append((key[0], idx, absolute(score, ratio, sum(counts))))
+        state.update((values, counts))
+        _expire(state, pdfs, ts, idle)
+        yield pd.DataFrame(out, columns=none.columns)
+
+    scored, timeout = _timed(scored, ts)
+    return scored.groupBy("trace_id").applyInPandasWithState(run, "trace_id long, idx int, level string", "scores array<int>, counts array<int>", "append", timeout)
 
 
 def running_ratio(rows: DataFrame) -> DataFrame:
@@ -120,17 +155,24 @@ def ingest(files: DataFrame, chunk_path: str, index_path: str, checkpoint: str,
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def feedback_threshold(feedback: DataFrame, least: int = 3) -> DataFrame:
-    """A stream of (feedback_type, key) -> a suggestion each time a key's count reaches the threshold, which starts it anew."""
+def feedback_threshold(feedback: DataFrame, least: int = 3, ts: str | None = None, idle: int = KEY_IDLE) -> DataFrame:
+    """A stream of (feedback_type, key) -> a suggestion each time a key's count reaches the threshold, which starts it anew; with a time column ts, a key that was idle starts anew as well."""
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, made = state.get if state.exists else (0, 0)
-        n += sum(map(len, pdfs))
-        new = n // least
-        state.update((n % least, made + new))
+        new, made = 0, 0
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            pdfs = list(pdfs)
+            n, made = state.get if state.exists else (0, 0)
+            n += sum(map(len, pdfs))
+            new = n // least
+            state.update((n % least, made + new))
+            _expire(state, pdfs, ts, idle)
         yield pd.DataFrame([(*key, made + i + 1) for i in range(new)], columns=["feedback_type", "key", "number"])
 
-    return feedback.groupBy("feedback_type", "key").applyInPandasWithState(run, "feedback_type string, key string, number int", "n int, made int", "append", GroupStateTimeout.NoTimeout)
+    feedback, timeout = _timed(feedback, ts)
+    return feedback.groupBy("feedback_type", "key").applyInPandasWithState(run, "feedback_type string, key string, number int", "n int, made int", "append", timeout)
 
 
 class Breaker:
