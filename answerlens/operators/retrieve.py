@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from answerlens.functions.text import cosine, key_terms, preview, tokens
+from answerlens.functions.text import key_terms, preview, tokens
 from answerlens.operators.blocks import QueryBlock, shards_of
 from answerlens.operators.index import Index, term_score
 from answerlens.session import kept
@@ -121,14 +122,51 @@ def _search_pass(rows: list, asked: DataFrame, index: Index, k: int) -> DataFram
     return some.unionByName(who).repartition("shard", "kb_id").sortWithinPartitions("shard", "kb_id", F.col("term").asc_nulls_first()).mapInArrow(run, schema)
 
 
+#: Components of all queries' vectors (8 bytes each) that tasks take along; beyond, queries go in blocks as well.
+BROADCAST_COMPONENTS = 4_000_000
+
+
 def knn(queries: DataFrame, chunks: DataFrame, k: int | None = 10, floor: float = 0.0) -> DataFrame:
-    """J2 (a) + F2 + T2: exact cosine, clipped at 0, for few queries: queries(query_id, vec), chunks(chunk_id, vec)."""
-    q = queries.select("query_id", F.col("vec").alias("qv"))
-    pairs = chunks.select("chunk_id", "vec").join(F.broadcast(q)) if q.limit(1001).count() <= 1000 else None
-    if pairs is None:
-        return knn_blocks(queries, chunks, k, floor)
-    scored = pairs.select("query_id", "chunk_id", F.round(F.greatest(cosine(F.col("qv"), F.col("vec")), F.lit(0.0)), 6).alias("vector_score")).where(F.col("vector_score") >= floor)
-    return scored if k is None else top(scored, k, F.desc("vector_score"), F.col("chunk_id"))
+    """J2 + F2 + T2: exact cosine, clipped at 0: queries(query_id, vec), chunks(chunk_id, vec); both ways compute it alike."""
+    size = queries.agg(F.sum(F.size("vec"))).first()[0] or 0
+    return knn_blocks(queries, chunks, k, floor) if size > BROADCAST_COMPONENTS else _knn_along(queries, chunks, k, floor)
+
+
+def _units(vectors: list) -> np.ndarray:
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _best(scores: np.ndarray, k: int | None, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the scores from the floor on, of each row the best k with ties."""
+    passing = scores >= floor
+    if k is not None:
+        most = min(k, scores.shape[1])
+        passing &= scores >= np.partition(scores, scores.shape[1] - most, axis=1)[:, [scores.shape[1] - most]]
+    return np.nonzero(passing)
+
+
+def _knn_along(queries: DataFrame, chunks: DataFrame, k: int | None, floor: float) -> DataFrame:
+    """All queries meet each batch of chunks, whose best k they keep."""
+    rows = queries.select("query_id", "vec").collect()  # BROADCAST_COMPONENTS at most
+    shared = queries.sparkSession.sparkContext.broadcast([(r["query_id"], r["vec"]) for r in rows])
+    schema = T.StructType([queries.schema["query_id"], chunks.schema["chunk_id"], T.StructField("vector_score", T.DoubleType())])
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        ids = pa.array([q for q, _ in asked], kind)
+        units = _units([v for _, v in asked]) if asked else None
+        for batch in batches:
+            if asked and batch.num_rows:
+                x = _units(batch["vec"].to_numpy(zero_copy_only=False))
+                for low in range(0, len(units), 256):
+                    s = np.clip(units[low : low + 256] @ x.T, 0, None).round(6)
+                    i, j = _best(s, k, floor)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + low)), batch["chunk_id"].take(pa.array(j)), pa.array(s[i, j])], names=schema.names)
+
+    found = chunks.select("chunk_id", "vec").mapInArrow(run, schema)
+    return found if k is None else top(found, k, F.desc("vector_score"), F.col("chunk_id"))
 
 
 def knn_blocks(queries: DataFrame, chunks: DataFrame, k: int | None = 10, floor: float = 0.0, block: int = 4096, rows: int = 50_000) -> DataFrame:
@@ -138,22 +176,17 @@ def knn_blocks(queries: DataFrame, chunks: DataFrame, k: int | None = 10, floor:
 
     def side(df: DataFrame, own: str, n: int, place: str, other: str, m: int) -> DataFrame:
         ids = [F.col(c).alias(c) if c == own else F.lit(None).cast(kind).alias(c) for c, kind in (("query_id", q_kind), ("chunk_id", c_kind))]
-        return df.select(*ids, F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64(own), F.lit(n)).cast("int").alias(place), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+        return df.select(*ids, F.lit(own == "query_id").alias("asks"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64(own), F.lit(n)).cast("int").alias(place), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["query_id"].notna()
+        asks = pdf["asks"]
         a, b = pdf[asks], pdf[~asks]
         out = [pd.DataFrame({"query_id": a["query_id"].iloc[:0], "chunk_id": b["chunk_id"].iloc[:0], "vector_score": np.zeros(0)})]
         if len(a) and len(b):
-            q, x = (np.stack(side["vec"]) for side in (a, b))
-            q, x = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (q, x))
+            q, x = (_units(list(side["vec"])) for side in (a, b))
             for low in range(0, len(q), 256):
                 s = np.clip(q[low : low + 256] @ x.T, 0, None).round(6)
-                passing = s >= floor
-                if k is not None:
-                    most = min(k, s.shape[1])
-                    passing &= s >= np.partition(s, s.shape[1] - most, axis=1)[:, [s.shape[1] - most]]
-                i, j = np.nonzero(passing)
+                i, j = _best(s, k, floor)
                 out.append(pd.DataFrame({"query_id": a["query_id"].to_numpy()[low + i], "chunk_id": b["chunk_id"].to_numpy()[j], "vector_score": s[i, j]}))
         return pd.concat(out)
 
