@@ -123,6 +123,18 @@ def _shards(split: DataFrame, segment: int) -> DataFrame:
     return split.mapInArrow(run, schema)
 
 
+def term_blocks(split: DataFrame, segment: int) -> DataFrame:
+    """split(kb_id, chunk_id, t) -> a segment's rows, those of a term side by side."""
+    return _shards(split, segment).repartition("kb_id", "term", F.shiftright("shard", 6)).sortWithinPartitions("kb_id", "term", "shard")
+
+
+def statistics(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A segment's deltas: chunks and tokens by base, chunks by base and term."""
+    total = F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)
+    by_base = blocks.where("term IS NULL").groupBy("kb_id").agg(F.sum("n").alias("n"), F.sum(total).alias("length"))
+    return by_base, blocks.where("term IS NOT NULL").groupBy("kb_id", "term").agg(F.sum("n").alias("df"))
+
+
 @dataclass
 class Index:
     """A version of a stored index: blocks (see above) and the deltas that count; ``folder`` keeps what is derived from them."""
@@ -192,16 +204,15 @@ class Store:
         if spread:
             chunks = chunks.repartition(self.spark.sparkContext.defaultParallelism, "chunk_id")
         split = chunks.select("kb_id", "chunk_id", self.tokenizer(F.col("text")).alias("t"))
-        rows = _shards(split, segment).repartition("kb_id", "term", F.shiftright("shard", 6)).sortWithinPartitions("kb_id", "term", "shard")
-        self._add(rows, segment)
+        self._add(term_blocks(split, segment), segment)
 
     def _add(self, rows: DataFrame, segment: int) -> None:
         name = f"{segment}-{uuid4().hex[:8]}"  # what an earlier version reads is not written over
         rows.write.parquet(f"{self.folder}/blocks/{name}")
         rows = self.spark.read.parquet(f"{self.folder}/blocks/{name}")
-        total = F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)
-        rows.where("term IS NULL").groupBy("kb_id").agg(F.sum("n").alias("n"), F.sum(total).alias("length")).write.parquet(f"{self.folder}/by_base/{name}")
-        rows.where("term IS NOT NULL").groupBy("kb_id", "term").agg(F.sum("n").alias("df")).write.parquet(f"{self.folder}/by_term/{name}")
+        by_base, by_term = statistics(rows)
+        by_base.write.parquet(f"{self.folder}/by_base/{name}")
+        by_term.write.parquet(f"{self.folder}/by_term/{name}")
         version, segments, deltas = self._now()
         old = segments.get(segment)
         summed = old is not None and old not in deltas  # its deltas went into a sum: take all segments' own again

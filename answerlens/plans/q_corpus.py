@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlens.operators import corpus as C
 from answerlens.operators import history as H
 from answerlens.operators import rules as R
+from answerlens.operators.bases import Bases
 from answerlens.plans.q_text import KEY, TOK, t
 from answerlens.session import shared_folder
 
@@ -189,6 +191,39 @@ def s6_page(spark, d):
     return H.page(kb_chunks(spark, d).where("file_name = 'en'"), 100, 100).select("chunk_id")
 
 
+def _changed(spark, d) -> tuple[Bases, DataFrame]:
+    """All documents stored as bases by source and files by language, then one file replaced."""
+    bases = Bases(spark, f"{shared_folder(spark)}/s4-{uuid4().hex}")
+    bases.replace(kb_chunks(spark, d))
+    new = t(spark, d, "embeddings").select(F.lit("src1").alias("kb_id"), F.lit("en").alias("file_name"), F.lit("en").alias("file_id"), (F.col("vec_id") + 1000000).alias("chunk_id"), F.concat(F.lit("word"), F.col("label").cast("string")).alias("text"))
+    return bases, bases.replace(new)
+
+
+def s4_stored(spark, d):
+    return _changed(spark, d)[0].table("chunks").select("kb_id", "file_id", "chunk_id")
+
+
+def s4_deleted(spark, d):
+    return _changed(spark, d)[1]
+
+
+def s4_postings(spark, d):
+    """The index goes with the chunks: chunks and terms of each base after the change."""
+    terms = _changed(spark, d)[0].index().terms
+    return terms.groupBy("kb_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"))
+
+
+def s15_stored(spark, d):
+    """A base created, one dropped: what is left, and how many chunks it has."""
+    bases = Bases(spark, f"{shared_folder(spark)}/s15-{uuid4().hex}")
+    bases.replace(kb_chunks(spark, d))
+    names = t(spark, d, "nation")
+    bases.create(names.select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("kb_id")))
+    bases.drop(names.where("n_nationkey % 4 = 1").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("kb_id")))
+    n = bases.table("chunks").groupBy("kb_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return bases.manifest().select("kb_id").join(n, "kb_id", "left").fillna(0, ["chunks"])
+
+
 def s6_pages(spark, d):
     """All pages of all bases, with totals."""
     return H.pages(kb_chunks(spark, d), 100).select("kb_id", "chunk_id", "page", "total")
@@ -213,7 +248,7 @@ def j12_scenario(spark, d):
     return H.scenario(q, k)
 
 
-QUERIES = {f.__name__: f for f in (j10_relations, j10_relations_default, j15_coverage, u3_merge, u3_merge_duplicates, u4_distinct_pairs, u5_new_lines, g10_issues, p17_section_pairs, p18_render, g11_feedback_pairs, a15_suggestions, a15_remaining, a16_effectiveness, a16_recent, a17_histogram, a18_effectiveness, t6_top_keywords, j4_rules, a21_requests, a21_total, w4_moving_mean, f6_history, a20_statistics, s13_retention, f7_lines, a19_inventory, s4_replace, s5_scan, s6_page, s6_pages, s6_lookup, s15_create_drop, j12_scenario)}
+QUERIES = {f.__name__: f for f in (j10_relations, j10_relations_default, j15_coverage, u3_merge, u3_merge_duplicates, u4_distinct_pairs, u5_new_lines, g10_issues, p17_section_pairs, p18_render, g11_feedback_pairs, a15_suggestions, a15_remaining, a16_effectiveness, a16_recent, a17_histogram, a18_effectiveness, t6_top_keywords, j4_rules, a21_requests, a21_total, w4_moving_mean, f6_history, a20_statistics, s13_retention, f7_lines, a19_inventory, s4_replace, s5_scan, s4_stored, s4_deleted, s4_postings, s15_stored, s6_page, s6_pages, s6_lookup, s15_create_drop, j12_scenario)}
 QUERIES |= {"p18_render_all": p18_render, "a15_remaining_all": a15_remaining}  # the names under which the whole tables were first read
 
 FB = """f AS (SELECT event_id AS trace_id, CASE event_type WHEN 'view' THEN 'recall_missing' WHEN 'click' THEN 'intent_wrong' ELSE event_type END AS feedback_type, 'kb' || (user_id % 7) AS kb_id, CASE WHEN event_id % 2 = 0 THEN 'i' || (user_id % 5) END AS ic, 'question of ' || user_id AS query, event_type AS action, ts FROM events),
@@ -257,6 +292,11 @@ ORACLES = {
     "s13_retention": "SELECT ts::DATE AS dt, count(*) AS n FROM events WHERE ts::DATE >= DATE '2024-01-20' GROUP BY 1",
     "f7_lines": "WITH l AS (SELECT event_id AS line_no, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARNING' ELSE 'INFO' END AS level FROM events ORDER BY event_id DESC LIMIT 300) SELECT * FROM l WHERE level <> 'INFO'",
     "a19_inventory": "WITH k AS (SELECT DISTINCT source AS kb_id FROM documents UNION ALL SELECT r_name FROM region) SELECT kb_id, count(DISTINCT lang) AS files, count(doc_id) AS chunks FROM k LEFT JOIN documents ON source = kb_id GROUP BY kb_id",
+    "s4_stored": "SELECT source AS kb_id, lang AS file_id, doc_id AS chunk_id FROM documents WHERE NOT (source = 'src1' AND lang = 'en') UNION ALL SELECT 'src1', 'en', vec_id + 1000000 FROM embeddings",
+    "s4_deleted": "SELECT 'src1' AS kb_id, 'en' AS file_id, count(*) AS deleted FROM documents WHERE source = 'src1' AND lang = 'en'",
+    "s4_postings": f"""WITH c AS (SELECT source AS kb_id, doc_id AS id, text FROM documents WHERE NOT (source = 'src1' AND lang = 'en') UNION ALL SELECT 'src1', vec_id + 1000000, 'word' || label FROM embeddings),
+        p AS (SELECT DISTINCT kb_id, id, unnest({TOK.format("text")}) AS term FROM c) SELECT kb_id, count(DISTINCT term) AS terms, count(*) AS postings FROM p GROUP BY kb_id""",
+    "s15_stored": "WITH b AS (SELECT source AS kb_id FROM documents UNION SELECT 'src' || n_nationkey FROM nation) SELECT kb_id, (SELECT count(*) FROM documents WHERE source = kb_id) AS chunks FROM b WHERE kb_id NOT IN (SELECT 'src' || n_nationkey FROM nation WHERE n_nationkey % 4 = 1)",
     "s4_replace": "SELECT source AS kb_id, lang AS file_id, doc_id AS chunk_id FROM documents WHERE NOT (source = 'src1' AND lang = 'en') UNION ALL SELECT 'src1', 'en', vec_id + 1000000 FROM embeddings",
     "s5_scan": "SELECT doc_id AS chunk_id, length(text)::INT AS n FROM documents WHERE source = 'src3'",
     "s6_pages": "SELECT source AS kb_id, doc_id AS chunk_id, (row_number() OVER w - 1) // 100 AS page, count(*) OVER (PARTITION BY source) AS total FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)",

@@ -270,3 +270,36 @@ def test_metadata_filter_counts_types_and_years(spark):
 def test_duplicates_are_merged(spark):
     got, want = against_sql(spark, "u3_merge_duplicates")
     assert got == want and any(b > a + 1 for a, b, _ in got)
+
+
+def _stream_of_files(spark, folder, batches, schema):
+    """A stream that gets one file a batch, oldest first."""
+    import os
+
+    for i, rows in enumerate(batches):
+        (folder / f"{i}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        os.utime(folder / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+
+
+def test_verdicts_and_thresholds_forget_what_was_idle(spark, tmp_path):
+    (tmp_path / "v").mkdir()
+    row = lambda trace, idx, score, day: {"trace_id": trace, "idx": idx, "score": score, "ts": f"2024-01-{day:02d}T00:00:00"}
+    batches = [[row(1, i, 0.8, 1) for i in range(3)], [row(1, 3, 0.8, 1)], [row(2, 0, 0.8, 9)], [row(2, 1, None, 9)], [row(1, 4, 0.8, 9), row(2, 2, 0.8, 9)]]
+    stream = _stream_of_files(spark, tmp_path / "v", batches, "trace_id long, idx int, score double, ts timestamp")
+    got = {(r["trace_id"], r["idx"]): r["level"] for r in live.run_once(live.running_verdicts(stream, "ts"), str(tmp_path)).collect()}
+    assert got[1, 0] == got[1, 1] == "direct_quote" and got[1, 2] == got[1, 3] == "low_confidence"  # no score is lower than its like
+    assert got[1, 4] == "direct_quote" and got[2, 1] == "no_source"  # trace 1 was forgotten and starts anew
+    (tmp_path / "f").mkdir()
+    row = lambda day: {"feedback_type": "a", "key": "k", "ts": f"2024-{day}T00:00:00"}
+    other = {"feedback_type": "b", "key": "x", "ts": "2024-09-01T00:00:00"}
+    stream = _stream_of_files(spark, tmp_path / "f", [[row("01-01")] * 2, [other], [other], [row("09-01")] * 2, [row("09-01")]], "feedback_type string, key string, ts timestamp")
+    got = sorted((r["feedback_type"], r["number"]) for r in live.run_once(live.feedback_threshold(stream, ts="ts"), str(tmp_path)).collect())
+    assert got == [("a", 1)]
+
+
+def test_nearest_vectors_keep_queries_without_an_id_apart(spark):
+    q = spark.createDataFrame([(None, [1.0, 0.0]), (1, [0.0, 1.0])], "query_id long, vec array<double>")
+    c = spark.createDataFrame([(5, [1.0, 0.1]), (6, [0.0, 0.0])], "chunk_id long, vec array<double>")
+    along, blocks = (sorted(map(tuple, x.select("query_id", "chunk_id", "vector_score").collect()), key=str) for x in (retrieve.knn(q, c, 1, 0.05), retrieve.knn_blocks(q, c, 1, 0.05)))
+    assert along == blocks == [(1, 5, 0.099504), (None, 5, 0.995037)]
