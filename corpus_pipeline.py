@@ -48,12 +48,23 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: the smallest id."""
+    """One document of each group of linked ones: the smallest id; where an id has several texts, each is a document of its own."""
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return _without_near_copies_by_text(docs)
     groups = join(docs.select("doc_id", "text"))
     kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return _row(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
 
 
+def _without_near_copies_by_text(docs: DataFrame) -> DataFrame:
+    """The same by id and text: their 64-bit hash stands for a document, and of a group the smallest id (then hash) stays; of equal rows one."""
+    rows = _row(docs).withColumn("key", F.xxhash64("row.doc_id", "row.text")).dropDuplicates(["key"])
+    groups = join(rows.select(F.col("key").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("key"), "component_id")
+    named = groups.join(rows.select("key", F.col("row.doc_id").alias("id")), "key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "key"))["key"].alias("key"))
+    return rows.join(first.select("key"), "key", "left_semi").select("row.*")
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources at their target weights: a document appears once for each time it is taken."""
     return mix(docs).where("epochs > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select("row.*")
