@@ -62,3 +62,13 @@ def test_run_encodes_what_the_stages_leave(spark, table):
 
 def test_empty_table(spark, table):
     assert corpus_pipeline.run(spark, f"{table[0]}/empty").count() == 0
+
+
+def test_near_copies_go_also_where_an_id_has_several_texts(spark, table):
+    rng = random.Random(5)
+    one, other = prose(rng, 100), prose(rng, 100)
+    rows = [(1, one), (2, one + " tail"), (2, other), (3, other + " end"), (None, one + " last"), (4, prose(rng, 50)), (5, ""), (6, None)]
+    df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, key double")
+    left = corpus_pipeline.without_near_copies(spark, df, table[0])
+    assert left.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(1, one), (2, other), (4, rows[5][1]), (5, ""), (6, None)], key=str)
