@@ -94,7 +94,7 @@ class QueryBlock:
         for q, parts in of_query.items():
             lines = np.array([r for r, _ in parts])
             weights = np.array([w for _, w in parts])
-            most = weights * peaks[lines]
+            most = np.maximum(weights * peaks[lines], 0.0)  # a negative idf, where most terms are in most chunks, only takes away
             order = np.argsort(most, kind="stable")
             below = np.cumsum(most[order])
             least = best[q][0] - SLACK if len(best[q]) == self.k else 0.0

@@ -66,13 +66,28 @@ def test_block_search_equals_the_definition(spark, small_shards):
         assert all(abs(dict((c, s) for s, c in want[query])[c] - s) < 2e-6 for s, c in found)
 
 
+def test_scores_with_negative_frequencies_equal_the_definition(spark, small_shards):
+    """Where most terms are in most chunks, their mean inverse frequency is negative, and so is the floor."""
+    rng = random.Random(8)
+    rows_ = [("k", i, " ".join(["a", "b", "c"] * rng.randint(1, 3) + ["d"] * rng.randint(0, 1) + [f"u{i}"] * (i % 20 == 0) * rng.randint(1, 4))) for i in range(100)]
+    c = spark.createDataFrame(rows_, "kb_id string, chunk_id long, text string").coalesce(1)
+    q = spark.createDataFrame([(1, "k", "a b u0 u20 u40"), (2, "k", "a d"), (3, "k", "u60 a a a u80 u0 u20")], "query_id long, kb_id string, query string")
+    want = {}
+    for query, chunk, score in plain(q, c):
+        want.setdefault(query, []).append((-score, chunk))
+    got = {}
+    for r in retrieve.bm25(q, index.build_index(c), 2).collect():
+        got.setdefault(r["query_id"], []).append((-r["bm25_score"], r["chunk_id"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(pytest.approx(s, abs=2e-6), c) for s, c in sorted(v)[:2]] for k, v in want.items()}
+
+
 def test_most_postings_of_frequent_terms_stay_unread(spark, tmp_path):
     """One rare term decides; the frequent ones are looked up for the chunks that it brings up."""
     rows_ = [(f"the of and {'rare ' * 3 if i < 5 else ''}{'x ' * (i % 7)}",) for i in range(4000)]
     c = spark.createDataFrame(rows_, "text string").coalesce(1).select(F.lit("k").alias("kb_id"), F.monotonically_increasing_id().alias("chunk_id"), "text")
     ix = index.build_index(c)
     terms = spark.createDataFrame([(1, "k", t, 1.0) for t in ("the", "of", "and", "rare")], "query_id long, kb_id string, term string, qtf double")
-    weighed = terms.join(ix.terms, ["kb_id", "term"]).withColumn("weight", F.col("idf").cast("double") + F.when(F.col("term") == "rare", 0).otherwise(0.2))
+    weighed = terms.join(ix.terms, ["kb_id", "term"]).withColumn("weight", F.when(F.col("term") == "rare", 6.0).otherwise(0.2))
     table = pa.Table.from_pandas(ix.blocks.orderBy("shard", F.col("term").asc_nulls_first()).toPandas(), preserve_index=False)
     asked = set("the of and rare".split())
     shard = [table.slice(0, 1).to_batches()[0], table.filter(pa.array([t in asked for t in table["term"].to_pylist()])).combine_chunks().to_batches()[0]]
