@@ -271,32 +271,53 @@ def polarity(text: Column, concepts: dict = CONCEPTS) -> Column:
 
 
 STRUCTURE = "struct<title:string,sections:array<struct<number:string,title:string,items:array<string>,subsections:array<struct<number:string,title:string,items:array<string>>>>>>"
-_SECTION = re.compile(r"(\d+)[.、]\s*([^\d.].*)")
-_SUBSECTION = re.compile(r"(\d+\.\d+)[.、]?\s*(.+)")
-_BULLET = re.compile(r"[-*•·]\s*(.+)")
+_SECTION = re.compile(r"(\d+)\.?\s+(.+)")
+_SUBSECTION = re.compile(r"(\d+\.\d+)\.?\s+(.+)")
+_BULLET = re.compile(r"[-*•·]\s*(.*)")
 
 
 def structure_of(text: str) -> dict:
-    """Title, numbered sections with subsections, bullets as items."""
-    title, sections = None, []
-    sub = None
+    """Title, numbered sections with subsections, bullets as items.
+
+    The title is the first line that begins with neither a digit nor a bullet.  A blank
+    line, a section or a subsection gives what was gathered to the open subsection, or
+    else to the section in the place of its earlier items.  Plain lines count in a
+    section only, not in a subsection.  Bullets of a text without sections make one
+    named after the title.
+    """
+    title, sections, items, sub = None, [], [], None
+
+    def settle() -> None:
+        if sub is not None:
+            sections[-1]["subsections"].append({**sub, "items": items})
+        elif items:
+            sections[-1]["items"] = items
+
     for line in (x.strip() for x in text.split("\n")):
+        bullet = _BULLET.fullmatch(line)
         if not line:
-            sub = None
-            continue
-        if m := _SUBSECTION.fullmatch(line):
-            if not sections:
-                sections.append({"number": "", "title": "", "items": [], "subsections": []})
-            sub = {"number": m[1], "title": m[2], "items": []}
-            sections[-1]["subsections"].append(sub)
+            if sections and items:
+                settle()
+                sub, items = None, []
+        elif title is None and not bullet and not line[0].isdecimal():
+            title = line
         elif m := _SECTION.fullmatch(line):
+            if sections:
+                settle()
             sections.append({"number": m[1], "title": m[2], "items": [], "subsections": []})
-            sub = None
-        elif title is None and not _BULLET.fullmatch(line):
-            title = line
-        elif sections:
-            m = _BULLET.fullmatch(line)
-            (sub or sections[-1])["items"].append(m[1] if m else line)
+            sub, items = None, []
+        elif m := _SUBSECTION.fullmatch(line):
+            if sections and items:
+                settle()
+            sub, items = {"number": m[1], "title": m[2]}, []
+        elif bullet:
+            items.append(bullet[1])
+        elif sections and sub is None:
+            items.append(line)
+    if sections:
+        settle()
+    elif items:
+        sections.append({"number": "1", "title": title or "Overview", "items": items, "subsections": []})
     return {"title": title or "", "sections": sections}
 
 

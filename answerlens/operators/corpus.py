@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,20 +51,21 @@ def relations(docs: DataFrame, related: float = 0.4, duplicate: float = 0.8, voc
 BROADCAST_KEYWORDS = 1_000_000
 
 
-def coverage(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def coverage(queries: DataFrame, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """For each document the share of queries with a keyword that occurs in it as a substring, and how many keywords do.
 
     All distinct keywords make one Aho-Corasick automaton, which reads each text once;
     nothing is shuffled.  A row is a document; a null text has no keywords.  Of more
-    keywords than tasks can take along, the tokens' substrings are joined instead.
+    keywords than tasks can take along, the tokens' substrings are joined instead.  The
+    columns in keep come along.
     """
     pairs = kept(queries.select("query_id", F.explode(F.array_distinct(keywords(F.col("query")))).alias("word")))
     total = queries.count()
     if pairs.count() > BROADCAST_KEYWORDS:
-        return _coverage_by_join(pairs, total, docs)
+        return _coverage_by_join(pairs, total, docs, keep)
     rows = pairs.select("query_id", "word").collect()  # counted above
     shared = docs.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], [r["word"] for r in rows]))
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("covered", T.LongType()), T.StructField("words", T.LongType())])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("covered", T.LongType()), T.StructField("words", T.LongType()), *(docs.schema[c] for c in keep)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asks, words = shared.value
@@ -79,19 +80,19 @@ def coverage(queries: DataFrame, docs: DataFrame) -> DataFrame:
         machine.make_automaton()
         for batch in batches:
             counts = np.zeros((2, batch.num_rows), dtype=np.int64)
-            for i, text in enumerate(batch["text"]):
+            for i, text in enumerate(batch["_low"]):
                 found = {v for _, v in machine.iter(text.as_py() or "")} if number else ()
                 if found:
                     counts[:, i] = len(np.unique(np.concatenate([queries_of[v] for v in found]))), len(found)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts[0]), pa.array(counts[1])], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts[0]), pa.array(counts[1]), *(batch[c] for c in keep)], names=schema.names)
 
-    found = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(scan, schema)
-    return found.select("doc_id", F.round(F.col("covered") / F.lit(total), 6).alias("coverage"), "words")
+    found = docs.select("doc_id", F.lower("text").alias("_low"), *keep).mapInArrow(scan, schema)
+    return found.select("doc_id", F.round(F.col("covered") / F.lit(total), 6).alias("coverage"), "words", *keep)
 
 
-def _coverage_by_join(q: DataFrame, total: int, docs: DataFrame) -> DataFrame:
+def _coverage_by_join(q: DataFrame, total: int, docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """The distinct tokens of all documents are cut into the substrings that are as long as some keyword and joined with the keywords, then with the documents by token."""
-    row = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    row = docs.select(*dict.fromkeys(("doc_id", "text", *keep)), F.monotonically_increasing_id().alias("_row"))
     row = kept(row)
     lengths = F.array(*[F.lit(r["n"]) for r in q.select(F.length("word").alias("n")).distinct().orderBy("n").collect()]).cast("array<int>")  # as many as words have lengths
     held = row.select("_row", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
@@ -100,8 +101,8 @@ def _coverage_by_join(q: DataFrame, total: int, docs: DataFrame) -> DataFrame:
     found = held.select("token").distinct().select("token", F.explode(F.array_distinct(inside)).alias("word")).join(q.select("word").distinct(), "word")
     words = held.join(found, "token").select("_row", "word").distinct()
     hit = words.join(q, "word").groupBy("_row").agg(F.count_distinct("query_id").alias("covered"), F.count_distinct("word").alias("words"))
-    every = row.select("doc_id", "_row").join(hit, "_row", "left")
-    return every.select("doc_id", F.round(F.coalesce("covered", F.lit(0)) / F.lit(total), 6).alias("coverage"), F.coalesce("words", F.lit(0)).alias("words"))
+    every = row.select("doc_id", "_row", *keep).join(hit, "_row", "left")
+    return every.select("doc_id", F.round(F.coalesce("covered", F.lit(0)) / F.lit(total), 6).alias("coverage"), F.coalesce("words", F.lit(0)).alias("words"), *keep)
 
 
 def merged(docs: DataFrame, pairs: DataFrame, most: int = 100) -> DataFrame:
@@ -125,29 +126,38 @@ def new_lines(before: DataFrame, after: DataFrame, most: int = 5, width: int = 8
     return fresh.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("doc_id", "rank", F.substring("line", 1, width).alias("line"))
 
 
-def issues(docs: DataFrame, script: str = r"\p{L}", least: int = 50) -> DataFrame:
-    """One row for each issue of a document."""
-    n, own = F.length("text"), F.length(F.regexp_replace("text", f"[^{script}]", ""))
+def issues_of(text: Column, script: str = r"\p{L}", least: int = 50) -> Column:
+    """What is wrong with a text, as array<struct<issue,severity>>."""
+    n, own = F.length(text), F.length(F.regexp_replace(text, f"[^{script}]", ""))
     issue = lambda name, level, when: F.when(when, F.struct(F.lit(name).alias("issue"), F.lit(level).alias("severity")))
-    found = F.array_compact(F.array(
+    return F.array_compact(F.array(
         issue("too_short", "critical", n < 100),
         issue("too_long", "warning", n > 5000),
         issue("little_text", "warning", (own < least) & (own > 0)),
-        issue("page_marks", "medium", F.col("text").rlike(r"\[Page [0-9]+\]|\bPage [0-9]+ of [0-9]+\b")),
+        issue("page_marks", "medium", text.rlike(r"\[Page [0-9]+\]|\bPage [0-9]+ of [0-9]+\b")),
         issue("other_script", "critical", own == 0),
     ))
-    return docs.select("doc_id", F.inline(found))
 
 
-def section_pairs(sections: DataFrame) -> DataFrame:
-    """sections(doc_id, title, items) -> question, answer in order."""
+def issues(docs: DataFrame, script: str = r"\p{L}", least: int = 50) -> DataFrame:
+    """One row for each issue of a document."""
+    return docs.select("doc_id", F.inline(issues_of(F.col("text"), script, least)))
+
+
+def pairs_of(title: Column, items: Column) -> Column:
+    """The questions and answers of a section, as array<struct<question,answer>>."""
     split = lambda i: F.split(i, "[:：]", 2)
     item = lambda i: F.when(F.size(split(i)) == 2, F.array(
         F.struct(F.concat(F.lit("What is "), F.trim(split(i)[0]), F.lit("?")).alias("question"), F.trim(split(i)[1]).alias("answer")),
-        F.struct(F.concat(F.lit("What does "), F.col("title"), F.lit(" say about "), F.trim(split(i)[0]), F.lit("?")).alias("question"), i.alias("answer")),
-    )).otherwise(F.array(F.struct(F.concat(F.lit("Does "), F.col("title"), F.lit(" include "), i, F.lit("?")).alias("question"), F.concat(F.lit("Yes: "), i).alias("answer"))))
-    summary = F.array(F.struct(F.concat(F.lit("What does "), F.col("title"), F.lit(" cover?")).alias("question"), F.array_join("items", "; ").alias("answer")))
-    return sections.select("doc_id", F.posexplode(F.concat(summary, F.flatten(F.transform("items", item)))).alias("pos", "qa")).select("doc_id", "pos", "qa.question", "qa.answer")
+        F.struct(F.concat(F.lit("What does "), title, F.lit(" say about "), F.trim(split(i)[0]), F.lit("?")).alias("question"), i.alias("answer")),
+    )).otherwise(F.array(F.struct(F.concat(F.lit("Does "), title, F.lit(" include "), i, F.lit("?")).alias("question"), F.concat(F.lit("Yes: "), i).alias("answer"))))
+    summary = F.array(F.struct(F.concat(F.lit("What does "), title, F.lit(" cover?")).alias("question"), F.array_join(items, "; ").alias("answer")))
+    return F.concat(summary, F.flatten(F.transform(items, item)))
+
+
+def section_pairs(sections: DataFrame) -> DataFrame:
+    """sections(doc_id, title, items) -> question, answer in order."""
+    return sections.select("doc_id", F.posexplode(pairs_of(F.col("title"), F.col("items"))).alias("pos", "qa")).select("doc_id", "pos", "qa.question", "qa.answer")
 
 
 def feedback_pairs(feedback: DataFrame) -> DataFrame:
@@ -165,14 +175,77 @@ def render(docs: DataFrame, qa: DataFrame) -> DataFrame:
     return both.select("doc_id", F.inline(texts))
 
 
+def structure_pairs(s: Column, nested: bool = True) -> Column:
+    """P17 over P16's structure: of each section with all its items, then (nested) of each of its subsections; each pair once (U4)."""
+    below = lambda x: F.filter(x["subsections"], lambda y: F.size(y["items"]) > 0)
+    own = lambda x: F.concat(x["items"], F.flatten(F.transform(x["subsections"], lambda y: y["items"])))
+    groups = lambda x: F.concat(F.array(F.struct(x["title"].alias("title"), own(x).alias("items"))), F.transform(below(x), lambda y: F.struct(y["title"].alias("title"), y["items"].alias("items"))) if nested else F.array())
+    every = F.filter(F.flatten(F.transform(s["sections"], groups)), lambda g: F.size(g["items"]) > 0)
+    return F.array_distinct(F.flatten(F.transform(every, lambda g: pairs_of(g["title"], g["items"]))))
+
+
+def rendered(text: Column, s: Column, coverage: Column, summary: dict) -> Column:
+    """P18 whole, as array<struct<variant,content>>: "opt" (outline, then questions), "suggestion" (summary of the analysis, frequent keywords, questions, the original text) and "enriched" (the original text, questions, keywords with their counts).
+
+    summary has queries, intents [(name, count)] and keywords [(word, count)], the most frequent first.
+    """
+    bullets = lambda items: F.concat(F.lit(""), F.array_join(F.transform(items, lambda i: F.concat(F.lit("- "), i, F.lit("\n"))), ""))
+    sub = lambda y: F.concat(F.lit("### "), y["title"], F.lit("\n"), bullets(y["items"]))
+    section = lambda x: F.concat(F.lit("## "), x["title"], F.lit("\n"), bullets(x["items"]), F.array_join(F.transform(x["subsections"], sub), ""))
+    asked = lambda qa: F.array_join(F.transform(qa, lambda x, i: F.concat(F.lit("### Q"), (i + 1).cast("string"), F.lit(": "), x["question"], F.lit("\n"), x["answer"], F.lit("\n"))), "")
+    text = F.coalesce(text, F.lit(""))
+    counted = "".join(f"- {word}: {n}\n" for word, n in summary["keywords"])
+    first = "".join(f"- {word}: {n}\n" for word, n in summary["keywords"][:10])
+    intents = ", ".join(f"{name} ({n})" for name, n in summary["intents"][:3])
+    title = F.when(s["title"] != "", s["title"]).otherwise("Optimised document")
+    opt = F.concat(F.lit("# "), title, F.lit("\n"), F.array_join(F.transform(s["sections"], section), ""), F.lit("## Common questions\n"), asked(structure_pairs(s)))
+    head = F.concat(F.lit("# Suggestions\n- Coverage: "), F.round(coverage * 100, 1).cast("string"), F.lit(f"%\n- Queries: {summary['queries']}\n- Intents: {intents}\n## Frequent keywords\n{first}## Questions\n"))
+    suggestion = F.concat(head, asked(structure_pairs(s, nested=False)), F.lit("## Original\n"), text)
+    enriched = F.concat(text, F.lit("\n## Questions\n"), asked(structure_pairs(s)), F.lit(f"## Keywords\n{counted}"))
+    content = lambda name, c: F.struct(F.lit(name).alias("variant"), c.alias("content"))
+    return F.array(content("opt", opt), content("suggestion", suggestion), content("enriched", enriched))
+
+
 def cross_questions(summaries: DataFrame, pairs: DataFrame) -> DataFrame:
     """summaries(doc_id, title, points) of related pairs -> one question each."""
     s = lambda x: summaries.select(F.col("doc_id").alias(x), F.concat_ws(": ", "title", F.array_join(F.slice("points", 1, 10), "; ")).alias(f"s_{x}"), F.col("title").alias(f"t_{x}"))
     return pairs.select("a", "b").join(s("a"), "a").join(s("b"), "b").select("a", "b", F.format_string("How do %s and %s relate?", "t_a", "t_b").alias("question"), F.concat_ws("\n", "s_a", "s_b").alias("answer"))
 
 
-def full_analysis(docs: DataFrame, logs: DataFrame, feedback: DataFrame) -> dict[str, DataFrame]:
-    """Every table of the nightly report."""
+def full_analysis(docs: DataFrame, logs: DataFrame, feedback: DataFrame, folder: str, related: float = 0.4, duplicate: float = 0.8) -> dict[str, DataFrame]:
+    """Every table of the nightly report, written under folder and read back: docs(doc_id, text), logs(query_id, query, score, is_passing and, if there is one, intent).
+
+    One pass over the texts gives a document's coverage (J15), issues (G10) and rendered
+    texts (P18): the automaton's scan carries the text along and the rest are columns of
+    the same row, so nothing is shuffled.  The summary that the texts quote is bounded:
+    twenty keywords and three intents.  A table that was written before is replaced.
+    """
+    from answerlens.functions.text_udf import structure
     from answerlens.operators.rules import histogram, query_effectiveness, top_keywords
 
-    return {"coverage": coverage(logs, docs), "effectiveness": query_effectiveness(logs), "keywords": top_keywords(logs), "issues": issues(docs), "feedback": histogram(feedback), "relations": relations(docs)}
+    spark = docs.sparkSession
+
+    def stored(name: str, table: DataFrame) -> DataFrame:
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+
+    effectiveness = stored("effectiveness", query_effectiveness(logs))
+    words = stored("keywords", top_keywords(logs))
+    often = logs.where("intent IS NOT NULL").groupBy("intent").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "intent").limit(3).collect() if "intent" in logs.columns else []
+    summary = {
+        "queries": effectiveness.first()["queries"],
+        "intents": [(r["intent"], r["n"]) for r in often],
+        "keywords": [(r["word"], r["n"]) for r in words.orderBy(F.desc("n"), "word").collect()],
+    }
+    text, s = F.col("text"), F.col("s")
+    read = coverage(logs, docs.select("doc_id", "text"), keep=("text",)).withColumn("s", structure(text))
+    each = stored("documents", read.select("doc_id", "coverage", "words", issues_of(text).alias("issues"), rendered(text, s, F.col("coverage"), summary).alias("texts")))
+    return {
+        "coverage": each.select("doc_id", "coverage", "words"),
+        "effectiveness": effectiveness,
+        "keywords": words,
+        "issues": each.select("doc_id", F.inline("issues")),
+        "feedback": stored("feedback", histogram(feedback)),
+        "relations": stored("relations", relations(docs, related, duplicate)),
+        "texts": each.select("doc_id", F.inline("texts")),
+    }

@@ -209,7 +209,10 @@ CONFLICTS = """SELECT *, (row_number() OVER (PARTITION BY trace_id ORDER BY CASE
 CONFLICTS = f"WITH pair AS (SELECT a.conv_id, a.turn FROM conversations a JOIN conversations u ON u.role = 'user' AND u.conv_id * 1000 + u.turn + 1 = a.conv_id * 1000 + a.turn WHERE a.role = 'assistant'), conflict AS ({CONFLICTS})"
 LOW = r"lower(text)"
 BEFORE = "substring(lower(text), greatest(1, strpos(lower(text), 'the') - 40), strpos(lower(text), 'the') - greatest(1, strpos(lower(text), 'the') - 40))"
+LINES = r"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 ORACLES = {
+    "p16_structure": rf"""WITH l AS (SELECT doc_id, {LINES} AS lines FROM documents), k AS (SELECT doc_id, lines, len(list_filter(lines, lambda x: regexp_matches(x, '^[0-9]+\.?\s+\S'))) AS n FROM l)
+        SELECT doc_id, coalesce(list_filter(lines, lambda x: NOT regexp_matches(x, '^[0-9*•·-]'))[1], '') AS title, CASE WHEN n > 0 THEN n WHEN len(list_filter(lines, lambda x: regexp_matches(x, '^[*•·-]'))) > 0 THEN 1 ELSE 0 END::INT AS sections FROM k""",
     "p2_chunks": f"WITH RECURSIVE {chunk_sql('doc_id, text')} SELECT doc_id, chunk_index, length(chunk)::INT AS char_count, md5(chunk) AS digest FROM chunks",
     "p9_typos": "SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE (length(text) - length(replace(text, 'teh', ''))) // 3 + (length(text) - length(replace(text, 'recieve', ''))) // 7 + (length(text) - length(replace(text, 'thier', ''))) // 5 + (length(text) - length(replace(text, 'onnt', ''))) // 4 END::INT AS n, md5(replace(replace(replace(replace(text, 'teh', 'the'), 'recieve', 'receive'), 'thier', 'their'), 'onnt', 'ont')) AS digest FROM documents",
     "p14_polarity": rf"""SELECT doc_id, 'reference' AS concept, CASE WHEN contains({LOW}, 'not the') OR regexp_matches({BEFORE}, '((^|[^\p{{L}}\p{{N}}_])(not|no|never|cannot)|n''t|不|未|没有)\s*([\p{{L}}\p{{N}}_]+\s+)?$') THEN -1 ELSE 1 END::INT AS polarity, CASE WHEN contains({LOW}, 'not the') THEN 'not the' ELSE 'the' END AS phrase FROM documents WHERE contains({LOW}, 'the')""",

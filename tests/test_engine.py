@@ -61,7 +61,7 @@ def test_coverage_by_automaton_by_join_and_by_contains_agree(spark, monkeypatch)
     both = []
     for bound in (corpus.BROADCAST_KEYWORDS, 0):
         monkeypatch.setattr(corpus, "BROADCAST_KEYWORDS", bound)
-        both.append(sorted(map(tuple, corpus.coverage(q, d).collect()), key=str))
+        both.append(sorted(map(tuple, corpus.coverage(q, d, keep=("text",)).collect()), key=str))
     words = {r["query_id"]: set(r["query"].split()) for r in q.collect()}
     want = []
     for r in d.collect():
@@ -222,13 +222,37 @@ def against_sql(spark, name, folder="/root/testdata/sf0.001"):
 
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for x in ("benchmark", "documents", "events"):
+    for x in ("benchmark", "conversations", "documents", "events"):
         con.execute(f"CREATE VIEW {x} AS SELECT * FROM '{folder}/{x}.parquet'")
     got = entry.queries()[name](spark, folder)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     return sorted(map(tuple, got.collect())), sorted(want)
 
 
+def test_whole_analysis(spark):
+    got, want = against_sql(spark, "g12_analysis")
+    assert got == want and {r[0] for r in got} == {"coverage", "effectiveness", "keywords", "issues", "feedback", "relations", "texts"}
+
+
+def test_whole_analysis_of_odd_tables(spark, tmp_path):
+    """Null and empty texts, ids that are null or repeat, no logs and no documents; a second run replaces the first."""
+    from answerlens.operators import corpus
+
+    logs = spark.createDataFrame([(1, "price of tea", 0.5, True), (2, None, None, None)], "query_id long, query string, score double, is_passing boolean")
+    back = spark.createDataFrame([("x", None)], "feedback_type string, intent_type string")
+    docs = spark.createDataFrame([(1, "Tea\n1. Price\n- black: 3"), (1, ""), (None, None)], "doc_id long, text string")
+    for rows, asked in ((docs, logs), (docs.limit(0), logs.limit(0)), (docs, logs)):
+        tables = corpus.full_analysis(rows, asked, back, str(tmp_path / "g12"))
+        assert {name: t.count() for name, t in tables.items() if name in ("coverage", "texts")} == {"coverage": rows.count(), "texts": 3 * rows.count()}
+    assert sorted((r.doc_id, r.coverage, r.words) for r in tables["coverage"].collect() if r.doc_id) == [(1, 0.0, 0), (1, 0.5, 2)]
+    assert {r.issue for r in tables["issues"].where("doc_id = 1").collect()} == {"too_short", "little_text", "other_script"}
+    texts = {(r.doc_id, r.variant, r.content) for r in tables["texts"].collect()}
+    qa = "### Q1: What does Price cover?\nblack: 3\n### Q2: What is black?\n3\n### Q3: What does Price say about black?\nblack: 3\n"
+    assert (1, "opt", f"# Tea\n## Price\n- black: 3\n## Common questions\n{qa}") in texts
+    assert (1, "suggestion", f"# Suggestions\n- Coverage: 50.0%\n- Queries: 2\n- Intents: \n## Frequent keywords\n- price: 1\n- tea: 1\n## Questions\n{qa}## Original\nTea\n1. Price\n- black: 3") in texts
+    assert (None, "enriched", "\n## Questions\n## Keywords\n- price: 1\n- tea: 1\n") in texts
+
+
 def test_relations_at_the_defaults(spark):
     got, want = against_sql(spark, "j10_relations_default")
     assert [r[:2] + r[3:] if isinstance(r[2], float) else r[:3] for r in got] == [r[:2] + r[3:] if isinstance(r[2], float) else r[:3] for r in want]

@@ -152,6 +152,23 @@ def test_structure():
     assert s["sections"][0]["items"] == ["price: 5"] and s["sections"][0]["subsections"][0]["items"] == ["extra"]
 
 
+@pytest.mark.parametrize(("text", "title", "sections"), [
+    ("", "", []),
+    ("7 First\nGuide\nplain", "Guide", [("First", ["plain"], [])]),  # the title may come after a section
+    ("- a\n\n•b\nGuide", "Guide", [("Guide", ["a", "b"], [])]),  # bullets alone: one section, and a blank line changes nothing
+    ("- a", "", [("Overview", ["a"], [])]),
+    ("T\n1 A\n- x\n\n- y\n\n", "T", [("A", ["y"], [])]),  # later items of a section take the place of earlier ones
+    ("T\n1. A\n1.1 B\nplain\n- x\n\nplain\n", "T", [("A", ["plain"], [("B", ["x"])])]),  # a plain line is none of a subsection's items
+    ("T\n1.1 B\n- x\n2. C", "T", [("C", [], [])]),  # a subsection of no section is nothing
+    ("T\n1. A\n1.1 B\n1.2 C\n2. D", "T", [("A", [], [("C", [])]), ("D", [], [])]),
+    ("T\n1.A\n1.1\n2、B", "T", []),  # a number without a blank behind it is no heading
+])
+def test_structure_by_its_rules(text, title, sections):
+    s = U.structure_of(text)
+    assert s["title"] == title
+    assert [(x["title"], x["items"], [(y["title"], y["items"]) for y in x["subsections"]]) for x in s["sections"]] == sections
+
+
 def test_columns(spark):
     df = spark.createDataFrame([("a\r\n\r\n\r\n\r\nb  c\x00",)], "t string")
     r = df.select(X.clean_text(F.col("t")).alias("c"), X.citations(F.lit("x [1] [doc 2] [Document 3] [chunk_4] [y]")).alias("m"), X.tokens_cjk(F.lit("价格高 OK")).alias("k"), X.number(F.lit("1,234.5")).alias("n")).first()
