@@ -61,7 +61,10 @@ def test_coverage_by_automaton_by_join_and_by_contains_agree(spark, monkeypatch)
     both = []
     for bound in (corpus.BROADCAST_KEYWORDS, 0):
         monkeypatch.setattr(corpus, "BROADCAST_KEYWORDS", bound)
-        both.append(sorted(map(tuple, corpus.coverage(q, d, keep=("text",)).collect()), key=str))
+        both.append(sorted(map(tuple, corpus.coverage(q, d).collect()), key=str))
+        kept = corpus.coverage(q, d, keep=("text",))
+        assert sorted(map(tuple, kept.drop("text").collect()), key=str) == both[-1]
+        assert sorted((r.doc_id, r.text) for r in kept.where("doc_id IS NOT NULL").collect()) == sorted((r.doc_id, r.text) for r in d.where("doc_id IS NOT NULL").collect())
     words = {r["query_id"]: set(r["query"].split()) for r in q.collect()}
     want = []
     for r in d.collect():
