@@ -212,13 +212,14 @@ def cross_questions(summaries: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(s("a"), "a").join(s("b"), "b").select("a", "b", F.format_string("How do %s and %s relate?", "t_a", "t_b").alias("question"), F.concat_ws("\n", "s_a", "s_b").alias("answer"))
 
 
-def full_analysis(docs: DataFrame, logs: DataFrame, feedback: DataFrame, folder: str, related: float = 0.4, duplicate: float = 0.8) -> dict[str, DataFrame]:
+def full_analysis(docs: DataFrame, logs: DataFrame, feedback: DataFrame, folder: str, related: float | None = 0.4, duplicate: float = 0.8) -> dict[str, DataFrame]:
     """Every table of the nightly report, written under folder and read back: docs(doc_id, text), logs(query_id, query, score, is_passing and, if there is one, intent).
 
     One pass over the texts gives a document's coverage (J15), issues (G10) and rendered
     texts (P18): the automaton's scan carries the text along and the rest are columns of
     the same row, so nothing is shuffled.  The summary that the texts quote is bounded:
-    twenty keywords and three intents.  A table that was written before is replaced.
+    twenty keywords and three intents.  Relations are the one table that can be quadratic
+    (J10); with related None it is left out.  A table that was written before is replaced.
     """
     from answerlens.functions.text_udf import structure
     from answerlens.operators.rules import histogram, query_effectiveness, top_keywords
@@ -240,12 +241,12 @@ def full_analysis(docs: DataFrame, logs: DataFrame, feedback: DataFrame, folder:
     text, s = F.col("text"), F.col("s")
     read = coverage(logs, docs.select("doc_id", "text"), keep=("text",)).withColumn("s", structure(text))
     each = stored("documents", read.select("doc_id", "coverage", "words", issues_of(text).alias("issues"), rendered(text, s, F.col("coverage"), summary).alias("texts")))
-    return {
+    tables = {
         "coverage": each.select("doc_id", "coverage", "words"),
         "effectiveness": effectiveness,
         "keywords": words,
         "issues": each.select("doc_id", F.inline("issues")),
         "feedback": stored("feedback", histogram(feedback)),
-        "relations": stored("relations", relations(docs, related, duplicate)),
         "texts": each.select("doc_id", F.inline("texts")),
     }
+    return tables if related is None else tables | {"relations": stored("relations", relations(docs, related, duplicate))}
