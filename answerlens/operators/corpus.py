@@ -47,8 +47,8 @@ def relations(docs: DataFrame, related: float = 0.4, duplicate: float = 0.8, voc
     return scored.withColumn("relation", F.when(F.col("similarity") > duplicate, "duplicate").otherwise("related"))
 
 
-#: Pairs of query and keyword that tasks take along (about 40 bytes each).
-BROADCAST_KEYWORDS = 1_000_000
+#: Pairs of query and keyword that tasks take along: a number of four bytes each, and each distinct keyword once.
+BROADCAST_KEYWORDS = 8_000_000
 
 
 def coverage(queries: DataFrame, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -63,27 +63,32 @@ def coverage(queries: DataFrame, docs: DataFrame, keep: tuple[str, ...] = ()) ->
     total = queries.count()
     if pairs.count() > BROADCAST_KEYWORDS:
         return _coverage_by_join(pairs, total, docs, keep)
-    rows = pairs.select("query_id", "word").collect()  # counted above
-    shared = docs.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], [r["word"] for r in rows]))
+    rows = pairs.select("query_id", "word").toArrow()  # counted above
+    word, query = (rows[c].combine_chunks().dictionary_encode() for c in ("word", "query_id"))
+    of_word = word.indices.to_numpy()
+    order = np.argsort(of_word, kind="stable")
+    numbers = query.indices.fill_null(len(query.dictionary)).to_numpy().astype(np.int32)[order]  # a null id is a query as well
+    ends = np.cumsum(np.bincount(of_word, minlength=len(word.dictionary)))
+    shared = docs.sparkSession.sparkContext.broadcast((word.dictionary.to_pylist(), ends, numbers))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("covered", T.LongType()), T.StructField("words", T.LongType()), *(docs.schema[c] for c in keep)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asks, words = shared.value
-        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        query = np.unique(np.array(asks, dtype=object).astype(str), return_inverse=True)[1] if asks else np.zeros(0, dtype=np.int64)
-        of_word = np.array([number[w] for w in words], dtype=np.int64)
-        order = np.argsort(of_word, kind="stable")
-        queries_of = np.split(query[order], np.cumsum(np.bincount(of_word, minlength=len(number)))[:-1]) if number else []
+        words, ends, numbers = shared.value
+        queries_of = np.split(numbers, ends[:-1]) if words else []
         machine = ahocorasick.Automaton()
-        for word, i in number.items():
+        for i, word in enumerate(words):
             machine.add_word(word, i)
         machine.make_automaton()
+        seen = np.zeros(numbers.max(initial=-1) + 1, dtype=bool)
         for batch in batches:
             counts = np.zeros((2, batch.num_rows), dtype=np.int64)
             for i, text in enumerate(batch["_low"]):
-                found = {v for _, v in machine.iter(text.as_py() or "")} if number else ()
+                found = {v for _, v in machine.iter(text.as_py() or "")} if words else ()
                 if found:
-                    counts[:, i] = len(np.unique(np.concatenate([queries_of[v] for v in found]))), len(found)
+                    seen[:] = False
+                    for v in found:
+                        seen[queries_of[v]] = True
+                    counts[:, i] = np.count_nonzero(seen), len(found)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts[0]), pa.array(counts[1]), *(batch[c] for c in keep)], names=schema.names)
 
     found = docs.select("doc_id", F.lower("text").alias("_low"), *keep).mapInArrow(scan, schema)
