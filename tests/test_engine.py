@@ -330,3 +330,25 @@ def test_nearest_vectors_keep_queries_without_an_id_apart(spark):
     c = spark.createDataFrame([(5, [1.0, 0.1]), (6, [0.0, 0.0])], "chunk_id long, vec array<double>")
     along, blocks = (sorted(map(tuple, x.select("query_id", "chunk_id", "vector_score").collect()), key=str) for x in (retrieve.knn(q, c, 1, 0.05), retrieve.knn_blocks(q, c, 1, 0.05)))
     assert along == blocks == [(1, 5, 0.099504), (None, 5, 0.995037)]
+
+
+def test_relations_in_strips(spark, monkeypatch):
+    """Pairs come from products of strips of documents, and no join of terms makes a row for each term of each pair."""
+    from answerlens.operators import corpus
+
+    monkeypatch.setattr(corpus, "STRIP", 3)
+    monkeypatch.setattr(corpus, "STRIPS", 2)
+    monkeypatch.setattr(corpus, "BLOCK", 3)
+    monkeypatch.setattr(corpus, "COLUMNS", 5)
+    texts = [" ".join(f"w{(i * k) % (5 + i % 4)}" for k in range(40)) for i in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (99, None), (98, "short")], "doc_id long, text string")
+    out = corpus.relations(docs, 0.4, 0.8, vocabulary=None)
+    w = {}
+    for r in corpus.tf_idf(docs, vocabulary=None).where("doc_id IS NOT NULL").collect():
+        w.setdefault(r.doc_id, {})[r.term] = r.w
+    want = {(a, b): sum(x * w[b].get(t, 0) for t, x in w[a].items()) for a in w for b in w if a < b}
+    got = {(r.a, r.b): r for r in out.collect()}
+    assert set(got) == {p for p, s in want.items() if s > 0.4 + 1e-9} and len(got) > 100
+    assert all(abs(r.similarity - want[p]) < 1e-6 and r.relation == ("duplicate" if r.similarity > 0.8 else "related") for p, r in got.items())
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert corpus.relations(docs.limit(0)).count() == 0
