@@ -1,5 +1,6 @@
 """Operators over small tables, streams against batches, plans, and the registry."""
 
+import hashlib
 import json
 
 import pytest
@@ -352,3 +353,21 @@ def test_relations_in_strips(spark, monkeypatch):
     assert all(abs(r.similarity - want[p]) < 1e-6 and r.relation == ("duplicate" if r.similarity > 0.8 else "related") for p, r in got.items())
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     assert corpus.relations(docs.limit(0)).count() == 0
+
+
+def test_duplicates_are_merged_where_they_are_found(spark, monkeypatch):
+    """The lines of a pair are merged in the task that finds it: as relations and merged give it, without a join of pairs with lines."""
+    from answerlens.operators import corpus
+
+    monkeypatch.setattr(corpus, "STRIP", 3)
+    monkeypatch.setattr(corpus, "BLOCK", 3)
+    same = " ".join(f"word{k}" for k in range(20))
+    texts = [f"{same}\n \nline {i % 4}\nzebra\n\u00e9 {i}\n{same}\n" + "\n".join(f"{same} {k}" for k in range(60 * (i % 3))) for i in range(12)]
+    docs = spark.createDataFrame([*enumerate(texts), (3, "second row of three"), (None, texts[0]), (50, "short"), (51, None)], "doc_id long, text string")
+    pairs = corpus.relations(docs).where("relation = 'duplicate'").select("a", "b")
+    want = {(r.a, r.b, r.text) for r in corpus.merged(docs, pairs).collect()}
+    got = corpus.merged_duplicates(docs)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 20
+    assert {(r.a, r.b, r.digest) for r in corpus.merged_duplicates(docs, digest=True).collect()} == {(a, b, hashlib.md5(x.encode()).hexdigest()) for a, b, x in want}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Join") == 1  # the documents with their own lines
