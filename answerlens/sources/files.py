@@ -52,6 +52,46 @@ def documents(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("tx
     return accepted.mapInPandas(run, "path string, content string, char_count long, line_count long, decode_error string")
 
 
+def counts(spark: SparkSession, folder: str, by: str) -> DataFrame:
+    """S1's figures of texts of any length: by, char_count, line_count, decode_error.
+
+    A text is what the files below folder/by=... hold, one after the other.  Files are read
+    line by line, in as many tasks as they have ranges; no text is held whole.  A line end
+    is part of no longer character in any of the encodings, so an encoding fits a text if
+    it fits each of its lines.  A file's byte order mark, which Spark's reader leaves out,
+    counts as the characters that it is in UTF-8 or Latin-1; a text with one is taken for
+    neither GBK nor GB2312.  A folder whose files are all without a byte has no row.
+    """
+    read = spark.read.schema(f"value string, {by} string").text(folder, lineSep="\n")
+    lines = read.select(by, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            rows = []
+            for (key, path, size), part in pdf.groupby([by, "path", "size"], dropna=False):
+                data = [bytes(x) for x in part["line"]]
+                sizes: list = []
+                for e in ENCODINGS:
+                    try:
+                        sizes.append(sum(len(x.decode(e)) for x in data))
+                    except UnicodeDecodeError:
+                        sizes.append(None)
+                rows.append((key, path, size, len(data), sum(map(len, data)), sizes))
+            yield pd.DataFrame(rows, columns=[by, "path", "size", "lines", "bytes", "chars"])
+
+    each = lines.mapInPandas(run, f"{by} string, path string, size long, lines long, bytes long, chars array<long>")
+    fits = [F.when(F.count_if(F.col("chars")[i].isNull()) == 0, F.sum(F.col("chars")[i])).alias(f"c{i}") for i in range(len(ENCODINGS))]
+    # every line but a file's last has an end, and the last one has if the file is that much longer
+    files = each.groupBy(by, "path").agg(F.sum("lines").alias("lines"), (F.max("size") - F.sum("bytes")).alias("ends"), *fits)
+    marked = F.when(F.col("ends") > F.col("lines"), 1).otherwise(0)
+    mark = {"utf-8": marked, "latin-1": marked * 3}
+    files = files.select(by, (F.col("ends") - marked * 3).alias("ends"), *[(F.col(f"c{i}") + mark[e] if e in mark else F.when(marked == 0, F.col(f"c{i}"))).alias(f"c{i}") for i, e in enumerate(ENCODINGS)])
+    total = files.groupBy(by).agg(F.sum("ends").alias("ends"), *[F.when(F.count_if(F.col(f"c{i}").isNull()) == 0, F.sum(f"c{i}")).alias(f"c{i}") for i in range(len(ENCODINGS))])
+    chars = F.coalesce(*[F.col(f"c{i}") for i in range(len(ENCODINGS))])
+    error = F.when(chars.isNull(), F.lit("no encoding fits"))
+    return total.select(by, F.coalesce(chars + F.col("ends"), F.lit(0)).alias("char_count"), F.when(chars.isNotNull(), F.col("ends") + 1).otherwise(0).alias("line_count"), error.cast("string").alias("decode_error"))
+
+
 def traces(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
     """Files with one JSON trace or an array of them, or, in large files that many tasks read, a trace a line; what is broken is a row with _corrupt_record."""
     return spark.read.schema(TRACE).option("multiLine", not lines).option("mode", "PERMISSIVE").json(folder)

@@ -371,3 +371,20 @@ def test_duplicates_are_merged_where_they_are_found(spark, monkeypatch):
     assert {(r.a, r.b, r.digest) for r in corpus.merged_duplicates(docs, digest=True).collect()} == {(a, b, hashlib.md5(x.encode()).hexdigest()) for a, b, x in want}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[0].count("Join") == 1  # the documents with their own lines
+
+
+def test_sources_larger_than_an_upload(spark, tmp_path):
+    """S1 counts texts of more than ten megabytes, sources that are null or empty, and texts that end in line ends."""
+    rows = [(i, "\u00e9" * 40_000 + "\nx", "big") for i in range(200)] + [(1000, None, None), (1001, "a\n\n", None), (1002, "", ""), (1003, "\ufeffb\r\nc", "a/b=%1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.source: (r.char_count, r.line_count, r.fine) for r in entry.queries()["s1_documents"](spark, str(tmp_path)).collect()}
+    assert got == {"big": (200 * 40_003, 401, True), None: (5, 5, True), "": (1, 2, True), "a/b=%1": (6, 3, True)}
+
+
+def test_counts_find_the_encoding_of_a_text(spark, tmp_path):
+    for name, data in (("gbk", "\u4ef7\u683c\n\u4e00\n".encode("gbk")), ("utf", "\u4ef7".encode()), ("mixed", "a\n\u00e9\u00e9\u00e9".encode("latin-1"))):
+        (tmp_path / f"k={name}").mkdir()
+        (tmp_path / f"k={name}" / "x.txt").write_bytes(data)
+    got = {r.k: (r.char_count, r.line_count) for r in files.counts(spark, str(tmp_path), "k").collect()}
+    old = {r.path.split("k=")[1].split("/")[0]: (r.char_count, r.line_count) for r in files.documents(spark, str(tmp_path)).collect()}
+    assert got == old
