@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 TOKEN = r"[\p{L}\p{N}_]+"
 _TOKEN = re.compile(r"\w+")
@@ -149,22 +152,42 @@ def vector_profile(v: Column) -> Column:
     return F.struct(F.size(d).alias("dim"), F.slice(d, 1, 5).alias("first5"), F.array_min(d).alias("low"), F.array_max(d).alias("high"), mean.alias("mean"))
 
 
+#: Texts whose results are Python objects at the same time.
+SLICE = 64
+
+
+def by_slices(kind: str, f: Callable) -> Callable[[Column], Column]:
+    """A function of a text column: f of each text, as kind.
+
+    A batch has up to 10,000 texts, and their results as Python objects take many times
+    their size: a slice of them is turned into Arrow before the next is read.
+    """
+
+    def of(text: Column) -> Column:
+        arrow = to_arrow_type(T._parse_datatype_string(kind))
+
+        @F.arrow_udf(kind)
+        def run(texts: pa.Array) -> pa.Array:
+            parts = [pa.array([f(t) for t in texts.slice(i, SLICE).to_pylist()], arrow) for i in range(0, len(texts), SLICE)]
+            return pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+        return run(text)
+
+    return of
+
+
 def hashed_vector(text: Column, dim: int = 64) -> Column:
     """An offline embedding, hashed term frequencies of length 1; null for a null text.
 
     Counting n terms into slots with column expressions costs n x dim, so this one goes through Arrow.
     """
 
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
-        def one(t: str | None):
-            if t is None:
-                return None
-            slots = [zlib.crc32(w.encode()) % dim for w in _TOKEN.findall(t.lower())]
-            counts = np.bincount(slots, minlength=dim).astype(float) if slots else np.zeros(dim)
-            norm = np.sqrt((counts * counts).sum())
-            return counts / norm if norm else counts
-
-        return s.map(one)
+    def one(t: str | None) -> np.ndarray | None:
+        if t is None:
+            return None
+        slots = [zlib.crc32(w.encode()) % dim for w in _TOKEN.findall(t.lower())]
+        counts = np.bincount(slots, minlength=dim).astype(float) if slots else np.zeros(dim)
+        norm = np.sqrt((counts * counts).sum())
+        return counts / norm if norm else counts
 
-    return run(text)
+    return by_slices("array<double>", one)(text)

@@ -175,3 +175,26 @@ def test_columns(spark):
     assert (r.c, r.m, r.k, r.n) == ("a\n\nb c", [1, 2, 3, 4], ["价格", "格高", "ok"], 1234.5)
     v = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([1.0, 1.0], [1.0, 1.0])], "a array<double>, b array<double>").select(X.cosine(F.col("a"), F.col("b"))).collect()
     assert [round(x[0], 6) for x in v] == [0.0, 1.0]
+
+
+def test_results_of_a_batch_are_made_slice_by_slice(spark, monkeypatch, tmp_path):
+    """The Python objects of one slice are gone when the next is read; results don't depend on where slices end."""
+    monkeypatch.setattr(X, "SLICE", 3)
+    alive = str(tmp_path / "alive")
+
+    class Kept(list):
+        count = 0
+
+        def __init__(self, *x):
+            super().__init__(*x)
+            type(self).count += 1
+            with open(alive, "a") as f:
+                f.write(f"{type(self).count}\n")
+
+        def __del__(self):
+            type(self).count -= 1
+
+    rows = spark.range(0, 20, 1, 1).select("id", F.when(F.col("id") != 7, F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    got = rows.select("id", X.by_slices("array<string>", lambda t: None if t is None else Kept([t]))(F.col("text")).alias("x")).collect()
+    assert [(r.id, r.x) for r in got] == [(i, None if i == 7 else [f"t{i}"]) for i in range(20)]
+    assert max(map(int, open(alive).read().split())) <= 3 + 1
