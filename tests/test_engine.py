@@ -388,3 +388,14 @@ def test_counts_find_the_encoding_of_a_text(spark, tmp_path):
     got = {r.k: (r.char_count, r.line_count) for r in files.counts(spark, str(tmp_path), "k").collect()}
     old = {r.path.split("k=")[1].split("/")[0]: (r.char_count, r.line_count) for r in files.documents(spark, str(tmp_path)).collect()}
     assert got == old
+
+
+def test_coverage_takes_queries_of_the_same_keywords_once(spark, monkeypatch):
+    from answerlens.operators import corpus
+
+    monkeypatch.setattr(corpus, "BROADCAST_KEYWORDS", 70)
+    monkeypatch.setattr(corpus, "_coverage_by_join", None)  # not taken
+    q = spark.createDataFrame([*((i, "price tea") for i in range(50)), *((100 + i, f"rare{i:03d} word") for i in range(30)), (None, "tea price"), (200, None)], "query_id long, query string")
+    docs = spark.createDataFrame([(1, "Tea"), (2, "rare003 x"), (3, "price word"), (4, None), (5, "none")], "doc_id long, text string")
+    got = {r.doc_id: (r.coverage, r.words) for r in corpus.coverage(q, docs).collect()}
+    assert got == {1: (round(51 / 82, 6), 1), 2: (round(1 / 82, 6), 1), 3: (round(81 / 82, 6), 2), 4: (0.0, 0), 5: (0.0, 0)}
