@@ -124,8 +124,14 @@ def _shards(split: DataFrame, segment: int) -> DataFrame:
 
 
 def term_blocks(split: DataFrame, segment: int) -> DataFrame:
-    """split(kb_id, chunk_id, t) -> a segment's rows, those of a term side by side."""
-    return _shards(split, segment).repartition("kb_id", "term", F.shiftright("shard", 6)).sortWithinPartitions("kb_id", "term", "shard")
+    """split(kb_id, chunk_id, t) -> a segment's rows, shard by shard as the tasks make them: a search brings the rows it asks for together itself."""
+    return _shards(split, segment)
+
+
+def corpus_of(chunks: DataFrame, tokenizer=tokens) -> DataFrame:
+    """A1: kb_id, n, avgdl as ``Index.corpus`` has them, from one pass over chunks(kb_id, text) and without postings."""
+    each = chunks.select("kb_id", F.size(tokenizer(F.col("text"))).alias("dl"))
+    return each.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
 
 
 def statistics(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:

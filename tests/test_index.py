@@ -163,3 +163,13 @@ def test_queries_in_several_passes_give_the_same(spark, monkeypatch, small_shard
     one = rows(retrieve.bm25(q, ix))
     monkeypatch.setattr(retrieve, "PASS_TERMS", 15)
     assert rows(retrieve.bm25(q, ix)) == one
+
+
+def test_corpus_needs_no_postings(spark, small_shards):
+    c = corpus(spark, 100, 6)
+    assert rows(index.corpus_of(c)) == rows(index.build_index(c).corpus.withColumn("n", F.col("n").cast("long")))
+
+
+def test_blocks_are_made_without_a_shuffle(spark):
+    split = corpus(spark, 20, 7).select("kb_id", "chunk_id", index.tokens(F.col("text")).alias("t"))
+    assert "Exchange" not in index.term_blocks(split, 0)._jdf.queryExecution().executedPlan().toString()
