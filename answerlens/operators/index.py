@@ -53,16 +53,24 @@ def _shard(rows: pa.Table, shard: int, schema: pa.Schema) -> pa.RecordBatch:
     base = rows["kb_id"].combine_chunks().dictionary_encode(null_encoding="encode")
     lists = rows["t"].combine_chunks()
     terms = lists.flatten().dictionary_encode()
-    offsets = lists.offsets.to_numpy()
-    kb, length, code = base.indices.to_numpy(), np.diff(offsets), terms.indices.to_numpy().astype(np.int64)
+    length = np.diff(lists.offsets.to_numpy())
+    kb = base.indices.to_numpy()
     n, n_terms, n_bases = len(kb), len(terms.dictionary), len(base.dictionary)
     order = np.argsort(kb, kind="stable")
     first = np.searchsorted(kb[order], np.arange(n_bases + 1))
     place = np.empty(n, dtype=np.int64)
     place[order] = np.arange(n) - first[kb[order]]
     means = np.maximum(np.bincount(kb, weights=length, minlength=n_bases) / np.maximum(np.diff(first), 1), 1.0)
-    owner = np.repeat(np.arange(n), length)
-    key, tf = np.unique((kb[owner] * n_terms + code) * n + place[owner], return_counts=True)
+    key = np.repeat(kb.astype(np.int64) * n_terms, length)  # of each token in turn its base, term and place, in one array
+    key += terms.indices.to_numpy()
+    words, lists, terms = terms.dictionary, None, None
+    key *= n
+    key += np.repeat(place, length)
+    key.sort()
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    tf = np.diff(starts, append=len(key)).astype(np.int32)
+    key = key[starts]
+    starts = None
     lists_of, places = key // n, key % n
     at = np.flatnonzero(np.diff(lists_of, prepend=-1))
     pair = lists_of[at]
@@ -77,7 +85,7 @@ def _shard(rows: pa.Table, shard: int, schema: pa.Schema) -> pa.RecordBatch:
     columns = {
         "kb_id": base.dictionary.take(pa.array(np.concatenate([np.arange(m), pair // n_terms]).astype(np.int64))),
         "shard": pa.array(np.full(m + k, shard)),
-        "term": pa.concat_arrays([pa.nulls(m, pa.string()), terms.dictionary.cast(pa.string()).take(pa.array(pair % n_terms))]),
+        "term": pa.concat_arrays([pa.nulls(m, pa.string()), words.cast(pa.string()).take(pa.array(pair % n_terms))]),
         "n": pa.array(np.concatenate([np.diff(first), np.diff(bounds)]).astype(np.int32)),
         "peak": pa.array(np.concatenate([np.zeros(m), peaks])),
         "mean": pa.array(means[np.concatenate([np.arange(m), pair // n_terms])]),
@@ -116,6 +124,7 @@ def _shards(split: DataFrame, segment: int) -> DataFrame:
                 if stop < batch.num_rows or room_rows <= 0:
                     yield _shard(pa.Table.from_batches(held), number, out)
                     number, held, room_rows, room_tokens = number + 1, [], SHARD_CHUNKS, SHARD_TOKENS
+                    pa.default_memory_pool().release_unused()
                 start = stop
         if held:
             yield _shard(pa.Table.from_batches(held), number, out)

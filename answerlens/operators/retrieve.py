@@ -235,11 +235,22 @@ def compress(rows: DataFrame, params: Params = Params(), summary_words: tuple[st
     return out.withColumn("compressed", F.when(F.col("_whole"), F.col("text")).otherwise(F.col("compressed"))).where("compressed IS NOT NULL").drop("_bypass", "_p", "_whole")
 
 
+#: Ids of chunks (about 50 bytes each) that are sent to the tasks which read the chunks.
+BROADCAST_IDS = 200_000
+
+
+def only(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chunks of ids(chunk_id); where these are few, the others' texts are not shuffled."""
+    ids = kept(ids.select("chunk_id").distinct())
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return chunks.join(F.broadcast(ids) if few else ids, "chunk_id", "left_semi")
+
+
 def stages(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, params: Params = Params()) -> DataFrame:
     """G1 from fused candidates on: every candidate with the stages it passed, and its text where it was kept."""
     ranked = top(candidates, params.rerank_top_k if params.rerank_enabled else params.top_k, F.desc("score"), F.col("chunk_id"), rank="merged_rank")
     passed = ranked.withColumn("passed_threshold", F.col("score") >= params.similarity_threshold)
-    texts = chunks.select("chunk_id", "text")
+    texts = kept(only(chunks.select("chunk_id", "text"), passed.where("passed_threshold")))  # else pieces are looked for in all texts
     ahead = passed.where("passed_threshold").join(texts, "chunk_id").join(queries.select("query_id", "query"), "query_id").withColumnRenamed("merged_rank", "rank")
     packed = compress(ahead, params).select("query_id", "chunk_id", "compressed")
     out = passed.join(packed, ["query_id", "chunk_id"], "left").withColumn("passed_compression", F.col("compressed").isNotNull())

@@ -399,3 +399,10 @@ def test_coverage_takes_queries_of_the_same_keywords_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "Tea"), (2, "rare003 x"), (3, "price word"), (4, None), (5, "none")], "doc_id long, text string")
     got = {r.doc_id: (r.coverage, r.words) for r in corpus.coverage(q, docs).collect()}
     assert got == {1: (round(51 / 82, 6), 1), 2: (round(1 / 82, 6), 1), 3: (round(81 / 82, 6), 2), 4: (0.0, 0), 5: (0.0, 0)}
+
+
+def test_texts_of_a_few_chunks_are_not_shuffled(spark):
+    c = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "d")], "chunk_id long, text string")
+    got = retrieve.only(c, spark.createDataFrame([(2,), (2,), (None,), (9,)], "chunk_id long"))
+    assert sorted(r["text"] for r in got.collect()) == ["b", "d"]
+    assert "hashpartitioning(chunk_id" not in got._jdf.queryExecution().executedPlan().toString()
