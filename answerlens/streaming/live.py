@@ -155,24 +155,49 @@ def ingest(files: DataFrame, chunk_path: str, index_path: str, checkpoint: str,
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Keys of feedback share the states of so many buckets.
+BUCKETS = 1024
+
+
 def feedback_threshold(feedback: DataFrame, least: int = 3, ts: str | None = None, idle: int = KEY_IDLE) -> DataFrame:
-    """A stream of (feedback_type, key) -> a suggestion each time a key's count reaches the threshold, which starts it anew; with a time column ts, a key that was idle starts anew as well."""
+    """A stream of (feedback_type, key) -> a suggestion each time a key's count reaches the threshold, which starts it anew; with a time column ts, a key that was idle starts anew as well.
+
+    Most keys have a few rows, and a call for each would cost more than its rows do: the
+    keys of a bucket share a call and a state, which counts each of them by itself and
+    forgets those that are idle.
+    """
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new, made = 0, 0
-        if state.hasTimedOut:
+        held = {(t, k): [n, made, newest] for t, k, n, made, newest in zip(*state.get, strict=True)} if state.exists else {}
+        seen = set()
+        for pdf in () if state.hasTimedOut else pdfs:
+            times = pdf[ts].to_numpy().astype("datetime64[ms]").astype("int64") if ts is not None else [0] * len(pdf)
+            out = []
+            for t, k, at in zip(pdf["feedback_type"], pdf["key"], times, strict=True):
+                own = held.setdefault((t, k), [0, 0, 0])
+                own[0] += 1
+                own[2] = max(own[2], int(at))
+                if own[0] == least:
+                    own[0], own[1] = 0, own[1] + 1
+                    out.append((t, k, own[1]))
+                seen.add((t, k))
+            if out:
+                yield pd.DataFrame(out, columns=["feedback_type", "key", "number"])
+        if ts is not None:
+            held = {x: own for x, own in held.items() if x in seen or own[2] + idle >= state.getCurrentWatermarkMs()}
+        if held:
+            rows = [(t, k, *own) for (t, k), own in held.items()]
+            state.update(tuple(map(list, zip(*rows, strict=True))))
+            if ts is not None:
+                state.setTimeoutTimestamp(max(min(own[2] for own in held.values()) + idle, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-        else:
-            pdfs = list(pdfs)
-            n, made = state.get if state.exists else (0, 0)
-            n += sum(map(len, pdfs))
-            new = n // least
-            state.update((n % least, made + new))
-            _expire(state, pdfs, ts, idle)
-        yield pd.DataFrame([(*key, made + i + 1) for i in range(new)], columns=["feedback_type", "key", "number"])
 
     feedback, timeout = _timed(feedback, ts)
-    return feedback.groupBy("feedback_type", "key").applyInPandasWithState(run, "feedback_type string, key string, number int", "n int, made int", "append", timeout)
+    bucket = F.pmod(F.xxhash64("feedback_type", "key"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    each = feedback.select(bucket, "feedback_type", "key", *([ts] if ts is not None else []))
+    kept = "types array<string>, keys array<string>, n array<int>, made array<int>, newest array<long>"
+    return each.groupBy("bucket").applyInPandasWithState(run, "feedback_type string, key string, number int", kept, "append", timeout)
 
 
 class Breaker:

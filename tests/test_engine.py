@@ -406,3 +406,13 @@ def test_texts_of_a_few_chunks_are_not_shuffled(spark):
     got = retrieve.only(c, spark.createDataFrame([(2,), (2,), (None,), (9,)], "chunk_id long"))
     assert sorted(r["text"] for r in got.collect()) == ["b", "d"]
     assert "hashpartitioning(chunk_id" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_a_bucket_count_by_themselves(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "BUCKETS", 1)
+    (tmp_path / "f").mkdir()
+    row = lambda key, day: {"feedback_type": "a", "key": key, "ts": f"2024-{day}T00:00:00"}
+    batches = [[row("k", "01-01")] * 2 + [row("m", "01-01")] * 7, [row("m", "09-01")] * 2 + [row(None, "09-01")] * 3, [row("m", "09-01")], [row("k", "09-01")] * 2, [row("k", "09-01"), row("m", "09-01")]]
+    stream = _stream_of_files(spark, tmp_path / "f", batches, "feedback_type string, key string, ts timestamp")
+    got = sorted(((r["key"], r["number"]) for r in live.run_once(live.feedback_threshold(stream, ts="ts"), str(tmp_path)).collect()), key=str)
+    assert got == [("k", 1), ("m", 1), ("m", 2), ("m", 3), (None, 1)]
