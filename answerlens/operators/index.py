@@ -15,7 +15,8 @@ again takes its own place.  ``compact`` sums the deltas of many segments into on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from hashlib import sha256
@@ -39,7 +40,7 @@ SHARD_CHUNKS = 4096
 SHARD_TOKENS = 2_000_000
 #: Files of fewer bytes for each core are dealt out before they are split, as they may be too few for all cores.
 SPREAD_BYTES = 32 << 20
-#: Segments whose deltas are read before they are summed into one.
+#: Deltas of a level that are read before they are summed into one of the next.
 MOST_DELTAS = 8
 
 
@@ -187,11 +188,20 @@ class Index:
         return joined.select("kb_id", "term", F.col("x.chunk_ids").alias("chunk_id"), "tf", F.col("x.dls").cast("long").alias("dl"))
 
 
-def _written(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+def stored(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def _written(spark: SparkSession, folder: str) -> bool:
+    return stored(spark, f"{folder}/_SUCCESS")
+
+
+def _level(delta: str) -> int:
+    """0 for a segment's own delta, else how often its parts were summed."""
+    return int(delta[3 : delta.index("-")]) if delta.startswith("sum") else 0
+
+
 class Store:
     """An index in a folder that driver and executors share."""
 
@@ -211,8 +221,9 @@ class Store:
         return max(whole), {r["segment"]: r["name"] for r in rows if r["segment"] is not None}, [r["name"] for r in rows if r["segment"] is None]
 
     def _publish(self, version: int, segments: dict[int, str], deltas: list[str]) -> None:
-        rows = [*segments.items(), *((None, name) for name in deltas)]
-        self.spark.createDataFrame(rows, "segment long, name string").coalesce(1).write.mode("overwrite").json(f"{self.folder}/manifest/{version + 1}")
+        rows = [{"segment": s, "name": x} for s, x in [*segments.items(), *((None, name) for name in deltas)]]
+        written = F.from_json(F.lit(json.dumps(rows)), "array<struct<segment: long, name: string>>")
+        self.spark.range(0, 1, 1, 1).select(F.inline(written)).write.mode("overwrite").json(f"{self.folder}/manifest/{version + 1}")
 
     def append(self, chunks: DataFrame, segment: int, spread: bool = False) -> None:
         """A1: chunks(kb_id, chunk_id, text) as a segment; one of the same number gives way.  spread deals chunks of a few large files out to all cores first."""
@@ -234,16 +245,25 @@ class Store:
         segments = segments | {segment: name}
         deltas = list(segments.values()) if summed else [*(d for d in deltas if d != old), name]
         self._publish(version, segments, deltas)
-        if len(deltas) > MOST_DELTAS:
-            self.compact()
+        level = 0
+        while len(like := [d for d in self._now()[2] if _level(d) == level]) > MOST_DELTAS:
+            self._sum(like, level := level + 1)
 
     def compact(self) -> None:
         """A1: one sum in the place of all deltas; the segments' own stay for a batch that is written again."""
-        version, segments, _ = self._now()
-        index, name = self.index(), f"sum-{uuid4().hex[:8]}"
-        index.by_base.groupBy("kb_id").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).write.parquet(f"{self.folder}/by_base/{name}")
-        index.by_term.groupBy("kb_id", "term").agg(F.sum("df").alias("df")).write.parquet(f"{self.folder}/by_term/{name}")
-        self._publish(version, segments, [name])
+        deltas = self._now()[2]
+        self._sum(deltas, max(map(_level, deltas)) + 1)
+
+    def _sum(self, deltas: list[str], level: int) -> None:
+        """A sum in the place of these deltas: sums of like levels are summed again, so a delta is read once a level and not with every later sum."""
+        version, segments, every = self._now()
+        name = f"sum{level}-{uuid4().hex[:8]}"
+        self._read("by_base", deltas).groupBy("kb_id").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).write.parquet(f"{self.folder}/by_base/{name}")
+        self._read("by_term", deltas).groupBy("kb_id", "term").agg(F.sum("df").alias("df")).write.parquet(f"{self.folder}/by_term/{name}")
+        self._publish(version, segments, [*(d for d in every if d not in deltas), name])
+
+    def _read(self, table: str, names: Iterable[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.folder}/{table}/{name}" for name in names])
 
     def exists(self) -> bool:
         return self._now()[0] > 0
@@ -251,8 +271,7 @@ class Store:
     def index(self) -> Index:
         """The newest version; later batches don't change what it names."""
         version, segments, deltas = self._now()
-        read = lambda table, names: self.spark.read.parquet(*[f"{self.folder}/{table}/{name}" for name in names])
-        return Index(read("blocks", segments.values()), read("by_base", deltas), read("by_term", deltas), f"{self.folder}/derived/{version}", len(deltas) == 1)
+        return Index(self._read("blocks", segments.values()), self._read("by_base", deltas), self._read("by_term", deltas), f"{self.folder}/derived/{version}", len(deltas) == 1)
 
 
 def build_index(chunks: DataFrame, tokenizer=tokens, folder: str | None = None) -> Index:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from answerlens.functions.text import clean_text
 from answerlens.functions.text_udf import chunks as chunk_column
 from answerlens.functions.text_udf import sentence_spans
-from answerlens.operators.index import Store
+from answerlens.operators.index import Store, stored
 from answerlens.operators.ordered import lower_before
 
 SENTENCE = "trace_id long, idx int, sentence string, start int, end int, closed boolean"
@@ -145,12 +145,13 @@ def ingest(files: DataFrame, chunk_path: str, index_path: str, checkpoint: str,
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
+        df = df.repartition(spark.sparkContext.defaultParallelism)  # a file may have fewer parts than there are cores
         each = df.select("kb_id", "doc_id", F.inline(chunk_column(clean_text(F.col("text")), size, overlap)))
         key = F.sha2(F.concat_ws("\x1f", F.to_json(F.struct("kb_id", "doc_id", "chunk_index")), "text"), 256)
         rows = each.withColumn("batch", F.lit(number)).withColumn("chunk_id", key)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(chunk_path)
-        if spark.read.parquet(chunk_path).where(F.col("batch") == number).limit(1).count():
-            Store(spark, index_path).append(spark.read.parquet(chunk_path).where(F.col("batch") == number), number)
+        if stored(spark, f"{chunk_path}/batch={number}"):
+            Store(spark, index_path).append(spark.read.parquet(f"{chunk_path}/batch={number}"), number)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -173,3 +173,15 @@ def test_corpus_needs_no_postings(spark, small_shards):
 def test_blocks_are_made_without_a_shuffle(spark):
     split = corpus(spark, 20, 7).select("kb_id", "chunk_id", index.tokens(F.col("text")).alias("t"))
     assert "Exchange" not in index.term_blocks(split, 0)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_are_summed_by_level(spark, tmp_path, monkeypatch):
+    """A sum is read again only with sums of its own level."""
+    monkeypatch.setattr(index, "MOST_DELTAS", 1)
+    store = index.Store(spark, str(tmp_path / "i"))
+    levels = []
+    for s in range(4):
+        store.append(corpus(spark, 10, s, first=100 * s), s)
+        levels.append(sorted(map(index._level, store._now()[2])))
+    assert levels == [[0], [1], [0, 1], [2]]
+    assert sum(r["n"] for r in store.index().corpus.collect()) == 40
