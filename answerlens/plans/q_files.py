@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from answerlens.operators import abtest, composite, corpus, lexicon
 from answerlens.operators import evaluate as E
 from answerlens.operators import index as I
-from answerlens.plans.q_retrieval import asked, chunks, vectors
+from answerlens.plans.q_retrieval import asked, chunks, stored, vectors
 from answerlens.plans.q_text import CLEAN, TOK, chunk_sql, t
 from answerlens.session import shared_folder
 from answerlens.sources import files
@@ -131,7 +131,7 @@ def g9_ab_run(spark, d):
     every = chunks(spark, d)
     variants = spark.createDataFrame([("a", "hybrid", 0.6, 0.4, 0.5, 5), ("b", "bm25", 1.0, 0.0, 0.2, 5), ("c", "hybrid", 0.3, 0.7, 0.3, 3)], "variant_name string, mode string, bm25_weight double, vector_weight double, similarity_threshold double, top_k int")
     answers = q.select("query_id", F.concat(F.substring("query", 1, 200), F.lit(" It is so [1].")).alias("answer"))
-    runs = composite.ab_run(q, variants, every.join(v, "chunk_id", "left"), I.build_index(every), answers, E.rubric_table(spark))
+    runs = composite.ab_run(q, variants, every.join(v, "chunk_id", "left"), stored(spark, d), answers, E.rubric_table(spark))
     return abtest.by_variant(runs)
 
 
