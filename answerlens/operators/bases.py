@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerlens.functions.text import tokens
-from answerlens.operators.index import Index, statistics, term_blocks
+from answerlens.operators.index import Index, statistics, term_blocks, write_blocks
 from answerlens.session import kept
 
 MANIFEST = "kb_id string, change string"
@@ -67,7 +67,7 @@ class Bases:
         path = lambda name: f"{self.folder}/{name}/change={change}"
         after.repartitionByRange("kb_id", "chunk_id").sortWithinPartitions("kb_id", "chunk_id").write.parquet(path("chunks"))
         after = self.spark.read.parquet(path("chunks"))
-        term_blocks(after.select("kb_id", "chunk_id", self.tokenizer(F.col("text")).alias("t")), version).write.parquet(path("blocks"))
+        write_blocks(term_blocks(after.select("kb_id", "chunk_id", self.tokenizer(F.col("text")).alias("t")), version), path("blocks"))
         by_base, by_term = statistics(self.spark.read.parquet(path("blocks")))
         by_base.write.parquet(path("by_base"))
         by_term.write.parquet(path("by_term"))

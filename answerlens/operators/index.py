@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 from hashlib import sha256
 from uuid import uuid4
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerlens.functions.text import key_terms, tokens
-from answerlens.session import shared_folder
+from answerlens.session import arrow_rows, shared_folder
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Statistics of knowledge bases (about 50 bytes each) are broadcast up to so many.
@@ -38,6 +38,10 @@ BROADCAST_BASES = 100_000
 #: Chunks and tokens in a shard at most; a longer chunk is a shard of its own.
 SHARD_CHUNKS = 4096
 SHARD_TOKENS = 2_000_000
+#: Chunks that go to a task at a time; tokens that it numbers, and rows that it gives back, at a time. A task holds these and the numbers of a shard.
+BATCH_CHUNKS = 512
+PIECE_TOKENS = 1 << 16
+PART_ROWS = 1 << 15
 #: Files of fewer bytes for each core are dealt out before they are split, as they may be too few for all cores.
 SPREAD_BYTES = 32 << 20
 #: Deltas of a level that are read before they are summed into one of the next.
@@ -49,53 +53,107 @@ def small(corpus: DataFrame) -> DataFrame:
     return F.broadcast(corpus) if corpus.limit(BROADCAST_BASES + 1).count() <= BROADCAST_BASES else corpus
 
 
-def _shard(rows: pa.Table, shard: int, schema: pa.Schema) -> pa.RecordBatch:
-    """The rows of one shard: those of its terms by base, and of each base one with the chunks."""
-    base = rows["kb_id"].combine_chunks().dictionary_encode(null_encoding="encode")
-    lists = rows["t"].combine_chunks()
-    terms = lists.flatten().dictionary_encode()
-    length = np.diff(lists.offsets.to_numpy())
-    kb = base.indices.to_numpy()
-    n, n_terms, n_bases = len(kb), len(terms.dictionary), len(base.dictionary)
-    order = np.argsort(kb, kind="stable")
-    first = np.searchsorted(kb[order], np.arange(n_bases + 1))
-    place = np.empty(n, dtype=np.int64)
-    place[order] = np.arange(n) - first[kb[order]]
-    means = np.maximum(np.bincount(kb, weights=length, minlength=n_bases) / np.maximum(np.diff(first), 1), 1.0)
-    key = np.repeat(kb.astype(np.int64) * n_terms, length)  # of each token in turn its base, term and place, in one array
-    key += terms.indices.to_numpy()
-    words, lists, terms = terms.dictionary, None, None
-    key *= n
-    key += np.repeat(place, length)
-    key.sort()
-    starts = np.flatnonzero(np.diff(key, prepend=-1))
-    tf = np.diff(starts, append=len(key)).astype(np.int32)
-    key = key[starts]
-    starts = None
-    lists_of, places = key // n, key % n
-    at = np.flatnonzero(np.diff(lists_of, prepend=-1))
-    pair = lists_of[at]
-    of_base = lists_of // n_terms
-    dl = length[order][first[of_base] + places]
-    share = tf / (tf + K1 * (1 - B + B * dl / means[of_base]))
-    peaks = np.maximum.reduceat(share, at) if len(at) else np.zeros(0)
-    bounds = np.append(at, len(places)).astype(np.int32)
-    k, m = len(at), n_bases
-    ids = rows["chunk_id"].combine_chunks().take(pa.array(order))
-    empty = np.zeros(k, dtype=np.int32)
-    columns = {
-        "kb_id": base.dictionary.take(pa.array(np.concatenate([np.arange(m), pair // n_terms]).astype(np.int64))),
-        "shard": pa.array(np.full(m + k, shard)),
-        "term": pa.concat_arrays([pa.nulls(m, pa.string()), words.cast(pa.string()).take(pa.array(pair % n_terms))]),
-        "n": pa.array(np.concatenate([np.diff(first), np.diff(bounds)]).astype(np.int32)),
-        "peak": pa.array(np.concatenate([np.zeros(m), peaks])),
-        "mean": pa.array(means[np.concatenate([np.arange(m), pair // n_terms])]),
-        "places": pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(m, dtype=np.int32), bounds])), pa.array(places.astype(np.int32))),
-        "tfs": pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(m, dtype=np.int32), bounds])), pa.array(tf.astype(np.int32))),
-        "chunk_ids": pa.ListArray.from_arrays(pa.array(np.concatenate([first, empty + n]).astype(np.int32)), ids),
-        "dls": pa.ListArray.from_arrays(pa.array(np.concatenate([first, empty + n]).astype(np.int32)), pa.array(length[order].astype(np.int32))),
-    }
-    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
+def _own(column: pa.Array) -> pa.Array:
+    """A copy, as a slice keeps the whole batch that it was read with."""
+    return column.take(pa.array(np.arange(len(column))))
+
+
+@dataclass
+class _Held:
+    """What a shard keeps of its chunks: bases, ids and lengths; of each term of a chunk its number, the chunk's place in the shard and the count."""
+
+    kbs: list[pa.Array] = field(default_factory=list)
+    ids: list[pa.Array] = field(default_factory=list)
+    lengths: list[np.ndarray] = field(default_factory=list)
+    terms: list[pa.Array] = field(default_factory=list)
+    rows: list[np.ndarray] = field(default_factory=list)
+    tfs: list[np.ndarray] = field(default_factory=list)
+    n: int = 0
+    tokens: int = 0
+
+    def take(self, batch: pa.RecordBatch) -> None:
+        """Tokens become numbers piece by piece, and nothing refers to the batch afterwards."""
+        ends = np.cumsum(np.diff(batch["t"].offsets.to_numpy()))
+        start = 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE_TOKENS, side="right"))
+            stop = max(stop, start + 1)
+            self._piece(batch["t"].slice(start, stop - start))
+            start = stop
+        self.kbs.append(_own(batch["kb_id"]))
+        self.ids.append(_own(batch["chunk_id"]))
+
+    def _piece(self, lists: pa.ListArray) -> None:
+        n, length, terms = len(lists), np.diff(lists.offsets.to_numpy()), lists.flatten().dictionary_encode()
+        key = np.repeat(np.arange(n), length)  # of each token in turn its term and its chunk
+        key += terms.indices.to_numpy().astype(np.int64) * n
+        key.sort()
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        term, row = np.divmod(key[starts], n)
+        self.terms.append(pa.DictionaryArray.from_arrays(pa.array(term.astype(np.int32)), terms.dictionary))
+        self.rows.append((row + self.n).astype(np.int32))
+        self.tfs.append(np.diff(starts, append=len(key)).astype(np.int32))
+        self.lengths.append(length)
+        self.n, self.tokens = self.n + n, self.tokens + len(key)
+
+    def shard(self, shard: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """The rows of the shard: of each base one with the chunks, then those of its terms, in batches of at most PART_ROWS."""
+        base = pa.chunked_array(self.kbs).combine_chunks().dictionary_encode(null_encoding="encode")
+        kb, length = base.indices.to_numpy(), np.concatenate(self.lengths)
+        n, n_bases = self.n, len(base.dictionary)
+        order = np.argsort(kb, kind="stable")
+        first = np.searchsorted(kb[order], np.arange(n_bases + 1))
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n) - first[kb[order]]
+        means = np.maximum(np.bincount(kb, weights=length, minlength=n_bases) / np.maximum(np.diff(first), 1), 1.0)
+        terms = pa.chunked_array(self.terms).unify_dictionaries()
+        words, n_terms = terms.chunk(0).dictionary, len(terms.chunk(0).dictionary)
+        row, tf = np.concatenate(self.rows), np.concatenate(self.tfs)
+        key = kb.astype(np.int64)[row]  # of each term of a chunk its base, term and place
+        key *= n_terms
+        key += np.concatenate([x.indices.to_numpy() for x in terms.chunks])
+        key *= n
+        key += place[row]
+        ids = pa.chunked_array(self.ids).combine_chunks()
+        for pieces in (self.kbs, self.ids, self.lengths, self.terms, self.rows, self.tfs):  # what follows needs them no more
+            pieces.clear()
+        self.n = self.tokens = 0
+        terms = row = None
+        by_key = np.argsort(key)
+        key, tf = key[by_key], tf[by_key]
+        by_key = None
+        places = (key % n).astype(np.int32)
+        key //= n
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        pair, at = key[at], np.append(at, len(key))
+        key = None
+        length = length[order]
+
+        def rows(bases: np.ndarray, term: pa.Array, peak: np.ndarray, bounds: np.ndarray, chunks: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+            mine = slice(bounds[0], bounds[-1])
+            bounds, chunks = (pa.array((x - x[0]).astype(np.int32)) for x in (bounds, chunks))
+            columns = {
+                "kb_id": base.dictionary.take(pa.array(bases)),
+                "shard": pa.array(np.full(len(bases), shard)),
+                "term": term,
+                "n": pa.array(np.diff(bounds.to_numpy()) + np.diff(chunks.to_numpy())),
+                "peak": pa.array(peak),
+                "mean": pa.array(means[bases]),
+                "places": pa.ListArray.from_arrays(bounds, pa.array(places[mine])),
+                "tfs": pa.ListArray.from_arrays(bounds, pa.array(tf[mine])),
+                "chunk_ids": pa.ListArray.from_arrays(chunks, ids),
+                "dls": pa.ListArray.from_arrays(chunks, pa.array(length[: len(ids)].astype(np.int32))),
+            }
+            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+        none = np.zeros(n_bases + 1, dtype=np.int64)
+        yield rows(np.arange(n_bases), pa.nulls(n_bases, pa.string()), np.zeros(n_bases), none, first, ids.take(pa.array(order)))
+        for i in range(0, len(pair), PART_ROWS):
+            some, bounds = pair[i : i + PART_ROWS], at[i : i + PART_ROWS + 1]
+            bases, mine = some // n_terms, slice(bounds[0], bounds[-1])
+            of = np.repeat(bases, np.diff(bounds))
+            share = tf[mine] / (tf[mine] + K1 * (1 - B + B * length[first[of] + places[mine]] / means[of]))
+            yield rows(bases, words.take(pa.array(some % n_terms)).cast(pa.string()), np.maximum.reduceat(share, bounds[:-1] - bounds[0]), bounds, np.zeros(len(bounds), dtype=np.int64), ids.slice(0, 0))
 
 
 def _shards(split: DataFrame, segment: int) -> DataFrame:
@@ -106,9 +164,8 @@ def _shards(split: DataFrame, segment: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (segment << 44) + (TaskContext.get().partitionId() << 20)
-        held: list[pa.RecordBatch] = []
+        held = _Held()
         out: pa.Schema | None = None
-        room_rows, room_tokens = SHARD_CHUNKS, SHARD_TOKENS
         for batch in batches:
             if out is None:
                 kinds = {"kb_id": batch.schema.field("kb_id").type, "shard": pa.int64(), "term": pa.string(), "n": pa.int32(), "peak": pa.float64(), "mean": pa.float64(), "places": pa.list_(pa.int32()), "tfs": pa.list_(pa.int32()), "chunk_ids": pa.list_(batch.schema.field("chunk_id").type), "dls": pa.list_(pa.int32())}
@@ -117,18 +174,18 @@ def _shards(split: DataFrame, segment: int) -> DataFrame:
             start = 0
             while start < batch.num_rows:
                 before = ends[start - 1] if start else 0
-                stop = min(start + room_rows, int(np.searchsorted(ends, before + room_tokens, side="right")))
-                stop = max(stop, start + (not held))
+                stop = min(start + SHARD_CHUNKS - held.n, int(np.searchsorted(ends, before + SHARD_TOKENS - held.tokens, side="right")))
+                stop = max(stop, start + (not held.n))
                 if stop > start:
-                    held.append(batch.slice(start, stop - start))
-                    room_rows, room_tokens = room_rows - (stop - start), room_tokens - int(ends[stop - 1] - before)
-                if stop < batch.num_rows or room_rows <= 0:
-                    yield _shard(pa.Table.from_batches(held), number, out)
-                    number, held, room_rows, room_tokens = number + 1, [], SHARD_CHUNKS, SHARD_TOKENS
+                    held.take(batch.slice(start, stop - start))
+                if stop < batch.num_rows or held.n >= SHARD_CHUNKS:
+                    yield from held.shard(number, out)
+                    number += 1
                     pa.default_memory_pool().release_unused()
                 start = stop
-        if held:
-            yield _shard(pa.Table.from_batches(held), number, out)
+            batch = None  # before the next one is read
+        if held.n:
+            yield from held.shard(number, out)
 
     return split.mapInArrow(run, schema)
 
@@ -138,6 +195,12 @@ def term_blocks(split: DataFrame, segment: int) -> DataFrame:
     return _shards(split, segment)
 
 
+def write_blocks(rows: DataFrame, path: str) -> None:
+    """The rows of ``term_blocks`` as files; chunks go to the tasks by few, whose tokens are far larger than they are."""
+    with arrow_rows(rows.sparkSession, BATCH_CHUNKS):
+        rows.write.parquet(path)
+
+
 def corpus_of(chunks: DataFrame, tokenizer=tokens) -> DataFrame:
     """A1: kb_id, n, avgdl as ``Index.corpus`` has them, from one pass over chunks(kb_id, text) and without postings."""
     each = chunks.select("kb_id", F.size(tokenizer(F.col("text"))).alias("dl"))
@@ -234,7 +297,7 @@ class Store:
 
     def _add(self, rows: DataFrame, segment: int) -> None:
         name = f"{segment}-{uuid4().hex[:8]}"  # what an earlier version reads is not written over
-        rows.write.parquet(f"{self.folder}/blocks/{name}")
+        write_blocks(rows, f"{self.folder}/blocks/{name}")
         rows = self.spark.read.parquet(f"{self.folder}/blocks/{name}")
         by_base, by_term = statistics(rows)
         by_base.write.parquet(f"{self.folder}/by_base/{name}")

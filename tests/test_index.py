@@ -1,12 +1,15 @@
 """The stored index: batches against a rebuild, block search against a join, versions."""
 
 import random
+from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from answerlens.operators import blocks, index, retrieve
+from answerlens.session import arrow_rows
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -185,3 +188,65 @@ def test_sums_are_summed_by_level(spark, tmp_path, monkeypatch):
         levels.append(sorted(map(index._level, store._now()[2])))
     assert levels == [[0], [1], [0, 1], [2]]
     assert sum(r["n"] for r in store.index().corpus.collect()) == 40
+
+
+SPLIT = pa.schema([("kb_id", pa.string()), ("chunk_id", pa.int64()), ("t", pa.list_(pa.string()))])
+
+
+def test_few_chunks_at_a_time_go_to_the_tasks_of_an_index(spark, tmp_path, monkeypatch):
+    """Two batches are held in Python, and their tokens are large."""
+    monkeypatch.setattr(index, "BATCH_CHUNKS", 16)
+
+    @F.pandas_udf("array<string>")
+    def words(text: pd.Series) -> pd.Series:
+        if len(text) > 16:
+            raise ValueError(f"a batch of {len(text)}")
+        return text.fillna("").str.split()
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, c = spark.conf.get(key), corpus(spark, 200, 9).coalesce(1)
+    assert sum(r["n"] for r in index.build_index(c, words, str(tmp_path / "i")).corpus.collect()) == 200
+    assert spark.conf.get(key) == before
+    with arrow_rows(spark, 7), arrow_rows(spark, 50):
+        sizes = spark.range(0, 20, 1, 1).mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n long").collect()
+    assert [r["n"] for r in sizes] == [7, 7, 6]
+    with pytest.raises(ZeroDivisionError), arrow_rows(spark, 7):
+        raise ZeroDivisionError
+    assert spark.conf.get(key) == before
+
+
+def test_a_shard_keeps_numbers_and_no_batch():
+    batch = pa.RecordBatch.from_pylist([{"kb_id": "k", "chunk_id": i, "t": [f"a_rather_long_word_{j % 50}" for j in range(400)]} for i in range(500)], SPLIT)
+    before, size = pa.total_allocated_bytes(), batch.nbytes
+    held = index._Held()
+    held.take(batch.slice(0, 400))
+    del batch
+    kept = sum(x.nbytes for part in (held.kbs, held.ids, held.lengths, held.terms, held.rows, held.tfs) for x in part)
+    assert held.n == 400 and held.tokens == 160_000 and kept < size / 10
+    assert pa.total_allocated_bytes() - before < 0  # the batch is gone
+
+
+def test_a_shard_of_small_pieces_and_parts_equals_counts(monkeypatch):
+    """A chunk longer than a piece, chunks without tokens, bases that are null, lists cut between parts."""
+    monkeypatch.setattr(index, "PIECE_TOKENS", 30)
+    monkeypatch.setattr(index, "PART_ROWS", 7)
+    rng = random.Random(3)
+    chunks = [{"kb_id": rng.choice(["a", "b", None]), "chunk_id": i if i % 9 else None, "t": rng.choices(WORDS[:20], k=rng.choice([0, 3, 12, 80]))} for i in range(60)]
+    held = index._Held()
+    for i in range(0, 60, 25):
+        held.take(pa.RecordBatch.from_pylist(chunks[i : i + 25], SPLIT))
+    kinds = [("kb_id", pa.string()), ("shard", pa.int64()), ("term", pa.string()), ("n", pa.int32()), ("peak", pa.float64()), ("mean", pa.float64()), ("places", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("chunk_ids", pa.list_(pa.int64())), ("dls", pa.list_(pa.int32()))]
+    parts = list(held.shard(5, pa.schema(kinds)))
+    assert len(parts) > 3 and max(p.num_rows for p in parts) <= 7 and held.n == 0
+    got = pa.Table.from_batches(parts).to_pylist()
+    for kb in ("a", "b", None):
+        mine = [c for c in chunks if c["kb_id"] == kb]
+        head, *terms = [r for r in got if r["kb_id"] == kb]
+        assert head["term"] is None and head["n"] == len(mine) and head["chunk_ids"] == [c["chunk_id"] for c in mine] and head["dls"] == [len(c["t"]) for c in mine]
+        mean = sum(head["dls"]) / len(mine)
+        counts = [Counter(c["t"]) for c in mine]
+        assert sorted(r["term"] for r in terms) == sorted(set().union(*counts))
+        for r in terms:
+            want = [(i, c[r["term"]]) for i, c in enumerate(counts) if c[r["term"]]]
+            assert list(zip(r["places"], r["tfs"], strict=True)) == want and r["n"] == len(want) and r["shard"] == 5 and r["chunk_ids"] == r["dls"] == []
+            assert r["mean"] == pytest.approx(mean) and r["peak"] == pytest.approx(max(tf / (tf + 1.5 * (0.25 + 0.75 * head["dls"][i] / mean)) for i, tf in want))
