@@ -11,7 +11,10 @@ transition table.
 
 A pre-split word is encoded from left to right: every prefix of a word has exactly
 one accepted tokenization, so each position holds one state, and the transitions
-of the tokens that spell the next symbols lead on to later positions.
+of the tokens that spell the next symbols lead on to later positions.  The distinct words
+of a chunk take these steps together, as columns of numbers; a long word takes them alone.
+For columns, an arc is found without walking: the states form a tree by what they were
+copied from, so whether one lies above another is a question of intervals.
 
 Pre-splitting follows the vocabulary file of the "word" kind: special tokens are
 cut out of the raw text; then NFC, lower case; then contractions, runs of letters,
@@ -42,8 +45,14 @@ from pyspark.sql import functions as F
 
 from answerlens.llm.blocks import give_back
 
-#: About the bytes of words that one Python worker keeps.
+#: About the bytes of long words that one Python worker keeps.
 CACHE_BYTES = 48 << 20
+#: Words of more bytes are encoded one by one.
+LONG = 48
+#: Words that take a step together.
+TOGETHER = 1 << 14
+#: Arcs that a worker remembers for columns, eight bytes each, as a power of two.
+REMEMBERED = 20
 #: Bytes of text whose distinct pieces are encoded together.
 CHUNK = 4 << 20
 #: Transitions that one worker keeps, of about 100 bytes each.
@@ -86,6 +95,52 @@ class Automaton:
             self.target[a] = len(self.copied) - 1
             self.target[c] = after_b
             self.beside[c] = (a, time)
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        """The same as arrays: for labels what they were set beside, for states their interval in the tree of copies."""
+        top = max(self.target) + 1
+        self.targets, self.besides, self.born = (np.full(top, -1, dtype=np.int64) for _ in range(3))
+        labels = np.fromiter(self.target, np.int64, len(self.target))
+        self.targets[labels] = np.fromiter(self.target.values(), np.int64, len(labels))
+        self.besides[labels], self.born[labels] = np.array([self.beside[x] for x in self.target], dtype=np.int64).reshape(-1, 2).T
+        origin, lost, made = np.array(self.copied, dtype=np.int64).T
+        below = [1] * len(origin)
+        for state in range(len(origin) - 1, 0, -1):
+            below[origin[state]] += below[state]
+        first, free = [0] * len(origin), [1] * len(origin)
+        for state, copied in enumerate(origin[1:].tolist(), 1):
+            first[state] = free[copied]
+            free[copied] += below[state]
+            free[state] = first[state] + 1
+        self.first = np.array(first, dtype=np.int64)
+        # states that lost a label, by label and place in the tree; no state below one of them loses that label again
+        keys = lost * LABELS + self.first
+        order = np.argsort(keys)
+        self.lost, self.lost_end, self.made = keys[order], (keys + below)[order], made[order]
+        self.memory = np.full(1 << REMEMBERED, -1, dtype=np.int64)
+
+    def has(self, states: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Whether each state has its arc; a place of the memory holds the arc that was asked for last, twice its number, and the answer."""
+        keys = states * LABELS + labels
+        places = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - REMEMBERED)).view(np.int64)
+        known = self.memory[places]
+        if (new := np.flatnonzero(known >> 1 != keys)).size:
+            known[new] = 2 * keys[new] + self._look(states[new], labels[new])
+            self.memory[places[new]] = known[new]
+        return known & 1 == 1
+
+    def _look(self, states: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """_has() for columns: an arc is gone if a state above lost the label, or while there was none yet, what it was set beside."""
+        out, at, before, places = np.ones(len(states), dtype=bool), np.arange(len(states)), np.full(len(states), LABELS), self.first[states]
+        while at.size:
+            keys, born = labels * LABELS + places, self.born[labels]
+            k = np.searchsorted(self.lost, keys, side="right") - 1  # the root lost -1, so there is always one before
+            out[at[(self.lost[k] >= labels * LABELS) & (keys < self.lost_end[k]) & (born < self.made[k]) & (self.made[k] <= before)]] = False
+            labels = self.besides[labels]
+            rest = np.flatnonzero((labels >= 0) & out[at])
+            at, labels, places, before = at[rest], labels[rest], places[rest], born[rest]
+        return out
 
     def _has(self, state: int, label: int) -> bool:
         """Whether the state has the arc: the younger of the two is traced back, to what it was made from."""
@@ -110,6 +165,40 @@ class Automaton:
         return nxt
 
 
+class Trie:
+    """The spellings of labels in bytes; the arcs of all nodes share one array, each node's shifted to where they meet no other's."""
+
+    def __init__(self, spelled: dict[bytes, int], closing: dict[bytes, int]):
+        nodes: dict[bytes, int] = {b"": 0}
+        for word in (*spelled, *closing):
+            for k in range(1, len(word) + 1):
+                nodes.setdefault(word[:k], len(nodes))
+        arcs: dict[int, list[int]] = {}
+        for word in islice(nodes, 1, None):
+            arcs.setdefault(nodes[word[:-1]], []).append(word[-1])
+        self.shift = np.zeros(len(nodes), dtype=np.int64)
+        several, window, at = sorted((x for x in arcs if len(arcs[x]) > 1), key=lambda x: -len(arcs[x])), np.arange(1024)[:, None], 0
+        single = np.array([x for x in arcs if len(arcs[x]) == 1], dtype=np.int64)
+        taken = np.zeros(256 * len(several) + len(single) + 2048, dtype=bool)
+        for node in several:
+            while (clash := taken[at + window + np.array(arcs[node])].any(axis=1)).all():
+                at += len(window)
+            at += int(np.argmin(clash))
+            self.shift[node] = at
+            taken[at + np.array(arcs[node])] = True
+        free = np.flatnonzero(~taken[256:])[: len(single)] + 256  # what is left is for nodes of one arc
+        self.shift[single] = free - np.array([arcs[x][0] for x in single.tolist()], dtype=np.int64)
+        size = int(self.shift.max()) + 256
+        self.owner, self.child = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        for word, node in islice(nodes.items(), 1, None):
+            place = self.shift[nodes[word[:-1]]] + word[-1]
+            self.owner[place], self.child[place] = nodes[word[:-1]], node
+        self.label = np.full((2, len(nodes)), -1, dtype=np.int64)  # inside a word, and at its end
+        for row, found in enumerate((spelled, closing)):
+            for word, label in found.items():
+                self.label[row, nodes[word]] = label
+
+
 class Encoder:
     """A vocabulary file of the tokenizers library, of the kind with an end-of-word suffix."""
 
@@ -133,14 +222,24 @@ class Encoder:
         self.longest = max(map(len, self.vocab)) - len(self.end)
         self.prefixes = {t[:k] for t in self.vocab for k in range(1, len(t) + 1)}
         self.letters = _byte_letters()
-        self.words = Recent()
+        byte = {x: i for i, x in enumerate(self.letters)}
+        spelled: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
+        for t, i in self.vocab.items():
+            closing = t.endswith(self.end)
+            spelled[closing][bytes(map(byte.__getitem__, t.removesuffix(self.end)))] = i
+        self.trie = Trie(*spelled)
+        names = [self.names.get(i, "") for i in range(max(self.names) + 1)]
+        self.written = pa.array(map(str, range(len(names))), pa.large_string()), pa.array(names, pa.large_string())
+        self.kept = Recent()
 
     def word(self, word: str) -> list[int]:
-        """Token ids of one pre-split word."""
-        ids = self.words.get(word)
+        """Token ids of one pre-split word, or of a special token behind a space."""
+        if word[0] == " ":
+            return [self.special[word[1:]]]
+        ids = self.kept.get(word)
         if ids is None:
             ids = self._encode(word)
-            self.words.keep(word, ids, 8 * len(ids))
+            self.kept.keep(word, ids, 8 * len(ids))
         return ids
 
     def _encode(self, word: str) -> list[int]:
@@ -177,48 +276,113 @@ class Encoder:
                 dead.add(i)  # a position has one accepted state, so it need not be tried again
                 i, state, _, options = path.pop()
 
-    def _plain(self, text: str) -> list[int]:
+    def words(self, words: pa.Array) -> pa.Array:
+        """Token ids of each of many words, as lists."""
+        sizes = pc.binary_length(words).to_numpy()
+        alone = (sizes > LONG) | pc.starts_with(words, " ").to_numpy(zero_copy_only=False)
+        order = np.argsort(np.where(alone, LONG + 1, sizes), kind="stable")
+        short = int((~alone).sum())
+        letters = np.frombuffer(words.buffers()[2], dtype=np.uint8)
+        starts = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset :][order[:short]]
+        parts = [self._together(letters, starts[k : k + TOGETHER], sizes[order[k : min(k + TOGETHER, short)]]) for k in range(0, short, TOGETHER)]
+        if short < len(words):
+            rest = [self.word(w) for w in words.take(pa.array(order[short:])).to_pylist()]
+            parts.append((np.array([len(x) for x in rest], dtype=np.int64), np.array([i for x in rest for i in x], dtype=np.int64)))
+        upto = np.concatenate([[0], np.cumsum(np.concatenate([n for n, _ in parts]))]) if parts else np.zeros(1, dtype=np.int64)
+        ids = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, dtype=np.int64)
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        return pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), pa.array(ids)).take(pa.array(back))
+
+    def _together(self, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For words in ascending order of length: the number of ids of each, and all ids."""
+        trie, automaton, longest = self.trie, self.automaton, int(sizes[-1])
+        state, label, came = (np.full((longest + 1, len(sizes)), -1, dtype=np.int64) for _ in range(3))
+        state[0] = 0
+        for i in range(longest):
+            at = np.arange(np.searchsorted(sizes, i, side="right"), len(sizes))
+            node, j = np.zeros(len(at), dtype=np.int64), i
+            while at.size:  # one symbol further in all words that labels may still spell
+                places = trie.shift[node] + letters[starts[at] + j]
+                on = np.flatnonzero(trie.owner[places] == node)
+                at, node, j = at[on], trie.child[places[on]], j + 1
+                ended = sizes[at] == j
+                new = np.where(ended, trie.label[1, node], trie.label[0, node])
+                spelled = np.flatnonzero(new >= 0)
+                some, new = at[spelled], new[spelled]
+                taken = np.flatnonzero(automaton.has(state[i, some], new))
+                some, new = some[taken], new[taken]
+                state[j, some], label[j, some], came[j, some] = automaton.targets[new], new, i
+                on = np.flatnonzero(~ended)
+                at, node = at[on], node[on]
+        j, at, n, steps = sizes, np.arange(len(sizes)), np.zeros(len(sizes), dtype=np.int64), []
+        if (label[j, at] < 0).any():
+            raise ValueError("the vocabulary has no tokens for some word")
+        while at.size:
+            n[at] += 1
+            steps.append((at, label[j, at]))
+            j = came[j, at]
+            on = np.flatnonzero(j)
+            at, j = at[on], j[on]
+        ends, ids = np.cumsum(n), np.empty(int(n.sum()), dtype=np.int64)
+        for k, (at, new) in enumerate(steps):
+            ids[ends[at] - 1 - k] = new
+        return n, ids
+
+    def _plain(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text) if not text.isascii() else text
-        text = text.replace("Σ", "σ").lower()
-        return [i for w in self.pattern.findall(text) for i in self.word(w)]
-
-    def ids(self, piece: str) -> list[int]:
-        if piece.isascii():
-            core = piece.rstrip(_MARKS)
-            if core.isalpha():  # a word, or a word and a run of marks
-                return self.word(core.lower()) + (self.word(piece[len(core) :]) if len(core) < len(piece) else [])
+        return self.pattern.findall(text.replace("Σ", "σ").lower())
+
+    def split(self, piece: str) -> list[str]:
+        """The words of a piece; a special token stands behind a space."""
         if "<|" not in piece or not self.cut:
             return self._plain(piece)
-        out = []
-        for part in self.cut.split(piece):
-            if part:
-                out += [self.special[part]] if part in self.special else self._plain(part)
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """The labels of the arcs, joined by spaces, as the library decodes without a decoder."""
-        return " ".join(map(self.names.__getitem__, ids))
+        return [w for part in self.cut.split(piece) if part for w in ([" " + part] if part in self.special else self._plain(part))]
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, and where those of each begin; every distinct word is encoded once."""
+        core = pc.utf8_rtrim(pieces, _MARKS)
+        easy = pc.match_substring_regex(core, f"^{_LETTERS}$")  # a word, or a word and a run of marks
+        is_easy = easy.to_numpy(zero_copy_only=False)
+        core, whole = core.filter(easy), pieces.filter(easy)
+        marked = pc.not_equal(pc.binary_length(core), pc.binary_length(whole))
+        tails = pc.replace_substring_regex(whole.filter(marked), f"^{_LETTERS}", "")
+        others = [self.split(p) for p in pieces.filter(pc.invert(easy)).to_pylist()]
+        n = np.zeros(len(pieces), dtype=np.int64)
+        n[is_easy] = 1 + marked.to_numpy(zero_copy_only=False)
+        n[~is_easy] = [len(x) for x in others]
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        words = pc.dictionary_encode(pa.concat_arrays([pc.utf8_lower(core), tails, pa.array([w for x in others for w in x], pa.large_string())]))
+        found, order = words.indices.to_numpy(), np.empty(int(offsets[-1]), dtype=np.int64)
+        begin, last = offsets[:-1], np.flatnonzero(is_easy & (n == 2))
+        order[begin[is_easy]] = found[: len(core)]
+        order[begin[last] + 1] = found[len(core) : len(core) + len(tails)]
+        order[np.repeat(~is_easy, n)] = found[len(core) + len(tails) :]
+        ids = self.words(words.dictionary).take(pa.array(order))
+        return ids.flatten().to_numpy(), ids.offsets.to_numpy()[offsets] - ids.offsets[0].as_py()
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in _split(text) for i in self.ids(p)]
+        return [i for p in _split(text) for w in self.split(p) for i in self.word(w)]
 
     def texts(self, texts: pa.Array, odd: bool = False) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """For each text: the number of ids, the ids joined by spaces, the decoded text.  Every distinct piece is encoded once; odd: whether a text has what only str.split takes for white space."""
         pieces = pc.split_pattern_regex(texts, _WHITE.pattern) if odd else pc.utf8_split_whitespace(texts)
         flat = pc.dictionary_encode(pieces.flatten())
         at, offsets = flat.indices, pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
-        each = [self.ids(p) for p in flat.dictionary.to_pylist()]
-        n = np.array([len(x) for x in each], dtype=np.int64)[at.to_numpy()]
+        ids, begin = self.pieces(flat.dictionary)
+        n = np.diff(begin)[at.to_numpy()]
         if not n.all():  # a piece without a token leaves no gap
             gone = np.concatenate([[0], np.cumsum(n == 0)])
             at, n, offsets = at.filter(pa.array(n > 0)), n[n > 0], offsets - gone[offsets]
         upto = np.concatenate([[0], np.cumsum(n)])
 
-        def joined(strings: list[str]) -> pa.Array:
-            words = pa.array(strings, pa.large_string()).take(at)
-            return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), words), pa.scalar(" ", pa.large_string()))
+        def joined(strings: pa.Array) -> pa.Array:
+            """What is written for ids, joined in every distinct piece and then in every text."""
+            for where, taken in ((begin, pa.array(ids)), (offsets, at)):
+                strings = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(where, pa.int64()), strings.take(taken)), pa.scalar(" ", pa.large_string()))
+            return strings
 
-        return np.diff(upto[offsets]), joined([" ".join(map(str, x)) for x in each]), joined([self.decode(x) for x in each])
+        return np.diff(upto[offsets]), *map(joined, self.written)
 
     def batch(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array]]:
         """texts() for a column of any size, null as empty, a chunk after the other."""
@@ -234,7 +398,9 @@ class Encoder:
 
 _ODD = regex.compile("[\x1c-\x1f]")
 #: Marks that a word may end with; no special token ends with them, and none of them begins a contraction by itself.
-_MARKS = ".,;:!?)"
+_MARKS = '.,;:!?)]}"$%&#*+-=_~/'
+#: Letters that NFC leaves as they are and of which each has one lower-case letter.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 #: White space as the vocabulary's patterns know it, which is not str.split's.
 _WHITE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 

@@ -147,6 +147,27 @@ def test_bpe_automaton_equals_the_library(docs, rows):
         assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_bpe_automaton_encodes_the_words_of_a_chunk_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe_automaton.word_vocabulary())
+    e = bpe_automaton.Encoder(bpe_automaton.word_vocabulary())
+    rng, alone = random.Random(3), []
+    monkeypatch.setattr(bpe_automaton.Encoder, "_encode", lambda self, word, one=bpe_automaton.Encoder._encode: alone.append(word) or one(self, word))
+    words = ["".join(rng.choice("eéñtaionsrhld") for _ in range(rng.randint(1, 20))) + rng.choice(["", "", ".", "$$$", "'s", "<|endoftext|>", "—", "_"]) for _ in range(5000)]
+    long = [c * n for c, n in (("x", 48), ("x", 49), ("é", 24), ("é", 25))]  # words of up to 48 bytes go together
+    texts = ["", " ".join(words), None, " ".join(reversed(words)), " ".join(long), " \t"]
+    got = [x for n, ids, text in e.batch(pa.array(texts)) for x in zip(n.tolist(), ids.to_pylist(), text.to_pylist(), strict=True)]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got == [(len(ids), " ".join(map(str, ids)), lib.decode(ids, skip_special_tokens=False)) for ids in want]
+    assert sorted(alone) == ["x" * 49, "é" * 25]
+    assert [n.tolist() for n, *_ in e.batch(pa.array(["", None], pa.string()))] == [[0, 0]]
+    states, labels = (np.array([rng.randrange(n) for _ in range(3000)]) for n in (len(e.automaton.copied), len(e.automaton.target)))
+    states[:1000] = e.automaton.targets[labels[:1000]]
+    for _ in range(2):  # looked up, and remembered
+        assert e.automaton.has(states, labels).tolist() == [e.automaton._has(s, x) for s, x in zip(states.tolist(), labels.tolist(), strict=True)]
+
+
 def test_bpe_automaton_keeps_little_and_takes_one_kind_of_file(tmp_path, none, monkeypatch):
     assert bpe_automaton.digest_documents(none).count() == 0
     monkeypatch.setattr(bpe_automaton, "CACHE_BYTES", 5000)
