@@ -416,3 +416,16 @@ def test_keys_of_a_bucket_count_by_themselves(spark, tmp_path, monkeypatch):
     stream = _stream_of_files(spark, tmp_path / "f", batches, "feedback_type string, key string, ts timestamp")
     got = sorted(((r["key"], r["number"]) for r in live.run_once(live.feedback_threshold(stream, ts="ts"), str(tmp_path)).collect()), key=str)
     assert got == [("k", 1), ("m", 1), ("m", 2), ("m", 3), (None, 1)]
+
+
+def test_ab_run_scores_whole_passages(spark, monkeypatch):
+    """Answers repeat each passage to its end, however long it is."""
+    from answerlens.operators import composite
+
+    given = []
+    monkeypatch.setattr(composite, "ab_run", lambda q, v, c, i, answers, r: given.append(answers) or spark.createDataFrame([], "variant_name string, overall_score double, context_count int, drift_rate double"))
+    folder = "/root/testdata/sf0.001"
+    entry.queries()["g9_ab_run"](spark, folder)
+    want = {r.item_id: r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
+    assert {r.query_id: r.answer for r in given[0].collect()} == {i: f"{x} It is so [1]." for i, x in want.items()}
+    assert max(map(len, want.values())) > 200
