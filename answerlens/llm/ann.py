@@ -7,15 +7,19 @@ of its leaves is split further in a task, from a sample of the leaf's own vector
 the number of leaves grows with the table (up to MOST_LEAVES, since the tree is
 broadcast).  Every vector is put into the leaf it descends to.
 
-A query walks the tree through a priority queue of branches, nearest first, and so
-orders the leaves.  How many leaves it visits is calibrated: for a sample of the
-queries the exact neighbours are found by brute force over all vectors, and visits
-are widened until the wanted share of them lies in the leaves visited.
-
-Leaves are searched where they lie: a leaf's vectors and the queries that visit it
-meet in cells of bounded size (a large leaf is cut into several, so equal vectors
-in any number are no hot group), each cell keeps the best k of each query, and
-those are merged.
+A query takes the branches of the tree through a priority queue, nearest first, which
+orders the leaves; the leaves of one branch come by their own distance.  The order is
+computed for many queries together.  How many leaves a query visits is calibrated: for a
+sample of the queries the exact neighbours are found by brute force over all vectors, and
+visits are widened until the wanted share of them lies in the leaves visited.
+
+Leaves are searched where they lie: neighbouring leaves make a shelf, and a task gets the
+vectors of a shelf once and every query that visits it once, with a bit for each leaf.  So
+what is sent grows with the queries times the shelves (ten, until these are too long for a
+task) and not with the leaves visited.  A task gives a query's best k of its shelf in one
+row, and those are merged.  Products in single precision choose candidates, with a margin
+for their error; exact ones rank them.  Of equal vectors the k + 1 smallest ids can be
+found, the others are not compared; a leaf longer than a shelf is dealt to several.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take
 no part, as queries or candidates; the same for a null id; a vector with fewer
@@ -28,14 +32,16 @@ than the id and the vector do not matter.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from answerlens.llm.common import cut, drop
 
@@ -46,8 +52,10 @@ BRANCHES, LEAF = 8, 150
 RECALL = 0.97
 #: Leaves at most (a centre has some 500 bytes and is broadcast), and sampled vectors for each leaf of a split one.
 MOST_LEAVES, SAMPLED_IN_LEAF = 50_000, 20
-#: Vectors and queries in a cell.
-CELL_VECTORS, CELL_QUERIES = 4000, 1000
+#: Shelves, fewer for less than so many vectors each, more beyond so many.
+SHELVES, SHELF_LEAST, SHELF_MOST = 10, 2000, 400_000
+#: Queries and vectors of a product.
+BLOCK_QUERIES, BLOCK_VECTORS = 256, 8192
 
 
 @dataclass
@@ -76,22 +84,21 @@ class Tree:
             moving = moving[[bool(self.children[n]) for n in at[moving]]]
         return np.array(self.leaf)[at]
 
-    def order(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
-        """The first leaves of a best-bin-first walk: so many, and more until their sizes add up to least."""
-        queue, out, n = [(0.0, 0, 0)], [], 0
-        while queue and (len(out) < most or (sizes is not None and sizes[out].sum() < least)):
-            _, _, node = heapq.heappop(queue)
-            while self.children[node]:  # down to the nearest leaf; the other branches wait
-                below = self.children[node]
-                d = ((self.centres[below] - q) ** 2).sum(axis=1)
-                best = int(d.argmin())
-                for j, child in enumerate(below):
-                    if j != best:
-                        n += 1
-                        heapq.heappush(queue, (float(d[j]), n, child))
-                node = below[best]
-            out.append(self.leaf[node])
-        return out
+    def reach(self, q: np.ndarray) -> np.ndarray:
+        """For each query and leaf how far the queue has got when the leaf's turn comes: a branch waits for its own distance and for those of the branches it hangs from; the nearest child goes on without waiting."""
+        near = _distances(q, self.centres) + (q**2).sum(axis=1)[:, None]
+        wait = np.zeros_like(near)
+        todo = [0]
+        while todo:
+            node = todo.pop()
+            if below := self.children[node]:
+                wait[:, below] = np.maximum(near[:, below], wait[:, [node]])
+                first = np.array(below)[near[:, below].argmin(axis=1)]
+                wait[np.arange(len(q)), first] = wait[:, node]
+                todo += below
+        at = np.flatnonzero(np.array(self.leaf) >= 0)
+        at = at[np.argsort(np.array(self.leaf)[at])]
+        return wait[:, at] + 1e-6 * near[:, at]  # of one branch, the nearer leaf first
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -142,11 +149,13 @@ def extend(x: np.ndarray, top: float) -> np.ndarray:
 
 def clean(rows: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """rows -> (id, x array<double>) of those that take part."""
-    good = rows.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("x"))
+    single = rows.schema[vec].dataType == T.ArrayType(T.FloatType(), rows.schema[vec].dataType.containsNull)
+    kind = "float" if single else "double"  # as given, since double takes twice the room
+    good = rows.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).cast(f"array<{kind}>").alias("x"))
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))) & F.exists("x", lambda v: v != 0)
     good = good.where(fine)
     longest = good.agg(F.max(F.size("x")).alias("d")).first()["d"] or 0
-    return good.withColumn("x", F.concat("x", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("x"))))
+    return good.withColumn("x", F.concat("x", F.array_repeat(F.lit(0.0).cast(kind), F.lit(longest) - F.size("x"))))
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -249,15 +258,24 @@ def place(vectors: DataFrame, tree: Tree) -> DataFrame:
 
 
 def visits(queries: DataFrame, tree: Tree, most: int, sizes: np.ndarray, least: int) -> DataFrame:
-    """queries(id, x) -> a row for each of the first leaves of each query's walk, which goes on until the leaves hold so many ids at least."""
+    """queries(id, x) -> with a bit for each leaf among the query's first, which go on until the leaves hold so many ids at least."""
     shared = queries.sparkSession.sparkContext.broadcast((tree, sizes))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def walk(x: pd.Series) -> pd.Series:
         t, held = shared.value
-        return pd.Series([t.order(np.append(np.asarray(v, dtype=np.float64), 0.0), most, held, least) for v in x])
+        out = []
+        for low in range(0, len(x), BLOCK_QUERIES):
+            reach = t.reach(extend(matrix(x.iloc[low : low + BLOCK_QUERIES]), 0.0))
+            order = np.argsort(reach, axis=1, kind="stable")
+            before = np.cumsum(held[order], axis=1) - held[order]
+            go = (np.arange(t.n_leaves) < most) | (before < least)
+            flags = np.zeros(go.shape, dtype=bool)
+            np.put_along_axis(flags, order, go, axis=1)
+            out += [r.tobytes() for r in np.packbits(flags, axis=1)]
+        return pd.Series(out, dtype=object)
 
-    return queries.select("id", "x", F.explode(walk("x")).alias("leaf"))
+    return queries.withColumn("visits", walk("x"))
 
 
 def calibrate(placed: DataFrame, tree: Tree, sample: pd.DataFrame, k: int, recall: float) -> tuple[int, float]:
@@ -266,56 +284,150 @@ def calibrate(placed: DataFrame, tree: Tree, sample: pd.DataFrame, k: int, recal
         return 1, 1.0
     near = brute_force(placed.select("id", "x"), sample, k).select("query_id", "vec_id")
     leaves = near.join(placed.select(F.col("id").alias("vec_id"), "leaf"), "vec_id").distinct().toPandas()  # CALIBRATION x k rows
-    at = {}
-    for i, v in zip(sample["id"], sample["x"], strict=True):
-        at[i] = {leaf: n for n, leaf in enumerate(tree.order(np.append(np.asarray(v, dtype=np.float64), 0.0), tree.n_leaves))}
-    steps = np.array([at[q][leaf] for q, leaf in zip(leaves["query_id"], leaves["leaf"], strict=True)])
+    order = np.argsort(tree.reach(extend(matrix(sample["x"]), 0.0)), axis=1, kind="stable")
+    turn = np.argsort(order, axis=1)
+    row = {i: n for n, i in enumerate(sample["id"])}
+    steps = np.array([turn[row[q], leaf] for q, leaf in zip(leaves["query_id"], leaves["leaf"], strict=True)])
     if not len(steps):
         return 1, 1.0
     most = int(np.quantile(steps, recall, method="higher")) + 1
     return most, float((steps < most).mean())
 
 
+def shelve(rows: np.ndarray) -> pd.DataFrame:
+    """rows of each leaf -> shelf, its first leaf and how many leaves it has: leaves in order, until a shelf is full; a leaf longer than a shelf has several of its own."""
+    n = int(rows.sum())
+    wanted = max(1, min(SHELVES, n // SHELF_LEAST), -(-n // SHELF_MOST))
+    full = max(1, -(-n // wanted))
+    out: list[tuple[int, int]] = []
+    room = -1  # of the last shelf; none before the first one and after a leaf's own
+    for leaf, size in enumerate(rows.tolist()):
+        if size > full:
+            out += [(leaf, 1)] * -(-size // full)
+            room = -1
+        elif size > room:
+            out.append((leaf, 1))
+            room = full - size
+        else:
+            out[-1] = out[-1][0], out[-1][1] + 1
+            room -= size
+    return pd.DataFrame({"shelf": range(len(out)), "first": [x[0] for x in out], "leaves": [x[1] for x in out]}).astype("int32")
+
+
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of equal lengths as a matrix."""
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+class Shelf:
+    """The vectors of a shelf, leaf by leaf; of equal ones those with the k + 1 smallest ids, as no query finds more (one may be its own)."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: np.ndarray, k: int):
+        group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True)[1]
+        order = np.lexsort((ids, group, leaf))
+        group, at = group[order], ids[order]
+        new = np.concatenate([[True], (group[1:] != group[:-1])])
+        order, new = order[fresh := new | np.concatenate([[True], at[1:] != at[:-1]])], new[fresh]
+        place = np.arange(len(order))
+        order = order[place - np.maximum.accumulate(np.where(new, place, 0)) <= k]
+        self.ids, self.x, self.leaf, self.k = ids[order], x[order], leaf[order], k
+        self.repeats = len(np.unique(self.ids)) < len(self.ids)
+        norms = np.concatenate([np.sqrt((self.x[a : a + BLOCK_VECTORS].astype(np.float64) ** 2).sum(axis=1)) for a in range(0, len(order), BLOCK_VECTORS)])
+        self.kind = np.float32 if norms.max() <= 1e4 * np.median(norms) else np.float64  # else a margin for the longest takes in all the short ones
+        self.scaled = np.concatenate([(self.x[a : a + BLOCK_VECTORS] / norms.max()).astype(self.kind) for a in range(0, len(order), BLOCK_VECTORS)])
+        self.margin = 2 * (x.shape[1] + 8) * float(np.finfo(self.kind).eps)  # products of vectors no longer than one
+
+    def best(self, q_ids: np.ndarray, q: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best for each of a block's queries in the leaves it has seen: query's place, vector's id, score, the best first."""
+        unit = (q / np.sqrt((q**2).sum(axis=1))[:, None]).astype(self.kind)
+        columns = np.flatnonzero(seen.any(axis=0)[self.leaf])
+        least = np.full(len(q), -np.inf)
+        i, j, s = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=self.kind)
+        low, width = 0, 1024
+        while low < len(columns):
+            c = columns[low : low + width]
+            product = unit @ self.scaled[c].T
+            if not low and not self.repeats and len(c) >= self.k:
+                product[~seen[:, self.leaf[c]] | (q_ids[:, None] == self.ids[c])] = -np.inf
+                least = np.partition(product, len(c) - self.k, axis=1)[:, len(c) - self.k] - self.margin
+            a, b = np.nonzero(product >= least[:, None].astype(self.kind))
+            fine = seen[a, self.leaf[c[b]]] & (q_ids[a] != self.ids[c[b]])
+            a, b = a[fine], b[fine]
+            i, j, s = np.concatenate([i, a]), np.concatenate([j, c[b]]), np.concatenate([s, product[a, b]])
+            i, j, s = (v[by] for by in [np.lexsort((-s, i))] for v in (i, j, s))
+            kth = self._places(i, j) == self.k - 1
+            least[i[kth]] = s[kth] - self.margin
+            i, j, s = (v[good] for good in [s >= least[i]] for v in (i, j, s))
+            low, width = low + width, BLOCK_VECTORS
+        score = exact(q[i], self.x[j].astype(np.float64)) if len(i) else np.zeros(0)
+        i, j, score = (v[by] for by in [np.lexsort((self.ids[j], -score, i))] for v in (i, j, score))
+        place = self._places(i, j)
+        first = (place >= 0) & (place < self.k)
+        return i[first], self.ids[j[first]], score[first]
+
+    def _places(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which each row is among its query's distinct ids, from 0, where an id comes first; -1 where it comes again."""
+        first = ~pd.DataFrame({"i": i, "id": self.ids[j]}).duplicated().to_numpy() if self.repeats else np.ones(len(i), dtype=bool)
+        n = np.cumsum(first)
+        return np.where(first, n - 1 - (n - first)[np.searchsorted(i, i)], -1)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """vectors(id, x) -> query_id, rank, vec_id, score for the rows that are queries (a condition on id); with the leaves visited, all leaves and the recall calibrated."""
-    vectors = cut(vectors)
-    about = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("t")).first()
+    spark = vectors.sparkSession
+    about = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v)).alias("t")).first()
     n, largest = about["n"], float(np.sqrt(about["t"] or 0.0))
     draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) / F.lit(1e6)
     fitted = vectors.where(draw < min(1.0, sample / max(n, 1))).orderBy("id").limit(2 * sample).toPandas()
     tree = fit_tree(extend(matrix(fitted["x"]), largest) if len(fitted) else np.zeros((0, 1)), largest)
     tree = grow(vectors, tree, n)
     placed = cut(place(vectors, tree))
-    drop(vectors)
-    queries = cut(placed.where(is_query).groupBy("id").agg(F.min("x").alias("x")))
-    n_queries = queries.count()
+    asking = cut(placed.where(is_query).groupBy("id").agg(F.min("x").alias("x")))
+    n_queries = asking.count()
     again = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) / F.lit(1e6)
-    tried = queries.where(again < min(1.0, CALIBRATION / max(n_queries, 1))).orderBy("id").limit(2 * CALIBRATION).toPandas()
+    tried = asking.where(again < min(1.0, CALIBRATION / max(n_queries, 1))).orderBy("id").limit(2 * CALIBRATION).toPandas()
     visited, share = calibrate(placed, tree, tried, k, recall)
-    sizes = np.zeros(tree.n_leaves, dtype=np.int64)
-    for r in placed.groupBy("leaf").agg(F.count_distinct("id").alias("n")).collect():  # one row a leaf
-        sizes[r["leaf"]] = r["n"]
-    asked = cut(visits(queries, tree, visited, sizes, k + 1))
-
-    def cells(rows: DataFrame, size: int, name: str) -> DataFrame:
-        return rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
-
-    grid = F.broadcast(cut(cells(placed, CELL_VECTORS, "nv").join(cells(asked, CELL_QUERIES, "nq"), "leaf")))  # one row a leaf, so bounded by the tree
+    sizes, rows = np.zeros((2, tree.n_leaves), dtype=np.int64)
+    for r in placed.groupBy("leaf").agg(F.count_distinct("id").alias("n"), F.count(F.lit(1)).alias("rows")).collect():  # one row a leaf
+        sizes[r["leaf"]], rows[r["leaf"]] = r["n"], r["rows"]
+    queries = cut(visits(asking, tree, visited, sizes, k + 1))
+    drop(asking)
+
+    shelves = shelve(rows)
+    spread = F.broadcast(spark.createDataFrame(shelves, "shelf int, first int, leaves int"))
+    of_leaf = shelves.loc[shelves.index.repeat(shelves["leaves"])]
+    of_leaf = of_leaf.assign(leaf=of_leaf["first"] + of_leaf.groupby("shelf").cumcount()).groupby("leaf").agg(shelf=("shelf", "min"), first=("first", "min"), parts=("shelf", "size")).reset_index().astype("int32")
+    of_leaf = F.broadcast(spark.createDataFrame(of_leaf, "leaf int, shelf int, first int, parts int"))  # one row a leaf, so bounded by the tree
     salt = F.xxhash64("id", F.monotonically_increasing_id())
-
-    def every(name: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-
-    have = placed.join(grid, "leaf").select("leaf", "id", "x", F.lit(False).alias("asks"), F.pmod(salt, F.col("nv")).cast("int").alias("i"), every("nq").alias("j"))
-    ask = asked.join(grid, "leaf").select("leaf", "id", "x", F.lit(True).alias("asks"), F.pmod(salt, F.col("nq")).cast("int").alias("j"), every("nv").alias("i"))
-
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, v = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return best(q["id"].to_numpy(), matrix(q["x"]), v["id"].to_numpy(), matrix(v["x"]), k)
-
-    found = have.unionByName(ask).groupBy("leaf", "i", "j").applyInPandas(cell, FOUND)
+    nothing = F.lit(None).cast("binary")
+    have = placed.join(of_leaf, "leaf").select((F.col("shelf") + F.pmod(salt, F.col("parts"))).cast("int").alias("shelf"), "id", "x", (F.col("leaf") - F.col("first")).alias("at"), nothing.alias("visits"))
+    low, high = F.floor(F.col("first") / 8).cast("int"), F.floor((F.col("first") + F.col("leaves") - 1) / 8).cast("int")
+    part = F.substring("visits", low + 1, high - low + 1)
+    ask = queries.crossJoin(spread).select("shelf", "id", "x", (F.col("first") - 8 * low).alias("at"), part.alias("visits"))
+    kind = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_ids", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.DoubleType()))])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        asks = pc.is_valid(table["visits"])
+        mine, theirs = table.filter(asks), table.filter(pc.invert(asks))
+        del table
+        if not len(mine) or not len(theirs):
+            return
+        leaf = theirs["at"].to_numpy()
+        shelf = Shelf(theirs["id"].to_numpy(), _rows(theirs["x"]), leaf, k)
+        del theirs
+        q_ids, x, skip, n_leaves = mine["id"].to_numpy(), _rows(mine["x"]), mine["at"][0].as_py(), int(leaf.max()) + 1
+        bits = np.frombuffer(b"".join(mine["visits"].to_pylist()), dtype=np.uint8).reshape(len(mine), -1)
+        for a in range(0, len(mine), BLOCK_QUERIES):
+            seen = np.unpackbits(bits[a : a + BLOCK_QUERIES], axis=1)[:, skip : skip + n_leaves].view(bool)
+            i, ids, score = shelf.best(q_ids[a : a + BLOCK_QUERIES], x[a : a + BLOCK_QUERIES].astype(np.float64), seen)
+            held, count = np.unique(i, return_counts=True)
+            ends = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[a + held]), pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(score))], names=kind.names)
+
+    found = have.unionByName(ask).repartitionByRange(len(shelves) or 1, "shelf").groupBy("shelf").applyInArrow(meet, kind)
+    found = found.repartition("query_id").select("query_id", F.inline(F.arrays_zip(F.col("vec_ids").alias("vec_id"), F.col("scores").alias("score"))))
     about_it = [F.lit(visited).alias("leaves_visited"), F.lit(tree.n_leaves).alias("leaves"), F.lit(share).alias("calibrated_recall")]
     return top(found, k).select("query_id", "rank", "vec_id", "score", *about_it)
 

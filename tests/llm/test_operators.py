@@ -529,3 +529,35 @@ def test_blocks_hold_every_row_once(docs, rows):
     packed = blocks.pack(docs.select("doc_id", "text"), 2000).toPandas()
     assert sorted(i for p in packed["payload"] for i in blocks.unpack(p)["doc_id"].to_pylist()) == [i for i, *_ in rows]
     assert packed["block"].is_unique
+
+
+def test_queries_are_sent_once_a_shelf(spark, monkeypatch):
+    """No row for a leaf that a query visits; leaves longer than a shelf, repeated ids and equal vectors are found as brute force finds them."""
+    monkeypatch.setattr(ann, "LEAF", 10)
+    monkeypatch.setattr(ann, "SHELF_LEAST", 50)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(ann, "BLOCK_VECTORS", 40)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 6)) * rng.choice([1e-9, 1.0, 1e6], size=(700, 1))
+    x[300:500] = x[300]
+    ids = np.where(np.arange(700) < 650, np.arange(700), np.arange(700) - 640)  # 50 ids with two vectors
+    vectors = ann.clean(spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>"))
+    out = ann.search(vectors, F.col("id") % 20 == 0, recall=1.0)
+    assert "explode" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.toPandas()
+    assert got["leaves"].iloc[0] > 30 and got["calibrated_recall"].iloc[0] == 1.0
+    first = {int(i): min(list(map(tuple, x[ids == i]))) for i in np.unique(ids) if i % 20 == 0}
+    hit = 0
+    for q, v in first.items():
+        best = {}
+        for i, s in zip(ids.tolist(), ann.exact(np.array(v)[None], x).tolist(), strict=True):
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), s)
+        want = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:20]
+        mine = list(got[got["query_id"] == q].sort_values("rank")[["vec_id", "score"]].itertuples(index=False, name=None))
+        assert len(mine) == 20 and all(best[i] == s for i, s in mine) and mine == sorted(mine, key=lambda p: (-p[1], p[0]))
+        hit += len(set(want) & set(mine))
+    assert len(first) == got["query_id"].nunique() and hit >= 0.99 * 20 * len(first)
+    monkeypatch.setattr(ann, "SHELVES", 3)
+    shelves = ann.shelve(np.array([5, 5, 200, 0, 3, 100, 0, 40]))
+    assert list(zip(shelves["first"], shelves["leaves"], strict=True)) == [(0, 2), (2, 1), (2, 1), (3, 4), (7, 1)]
