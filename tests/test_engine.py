@@ -429,3 +429,36 @@ def test_ab_run_scores_whole_passages(spark, monkeypatch):
     want = {r.item_id: r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
     assert {r.query_id: r.answer for r in given[0].collect()} == {i: f"{x} It is so [1]." for i, x in want.items()}
     assert max(map(len, want.values())) > 200
+
+
+def test_strips_travel_packed(spark, monkeypatch):
+    """A strip goes to its tiles as compressed blocks, not as a row for each document; ids of several rows count as one document, and what the screen leaves out is not related."""
+    import math
+    import random
+    from collections import Counter
+
+    from answerlens.operators import corpus
+
+    monkeypatch.setattr(corpus, "STRIP", 30)
+    monkeypatch.setattr(corpus, "STRIPS", 3)
+    monkeypatch.setattr(corpus, "BLOCK", 8)
+    monkeypatch.setattr(corpus, "DIRECTIONS", 3)
+    rng = random.Random(4)
+    texts = [(i % 110, " ".join(f"{'abcd'[i % 4]}word{min(rng.randrange(20), rng.randrange(20))}" for _ in range(rng.choice([15, 60, 200])))) for i in range(130)]
+    docs = spark.createDataFrame([*texts, (None, texts[0][1]), (200, None), (201, "zebra " * 40), (202, "zebra " * 40)], "doc_id long, text string")
+    count = {}
+    for i, x in [*texts, (None, texts[0][1]), (201, "zebra " * 40), (202, "zebra " * 40)]:
+        if len(x) > 100:
+            count.setdefault(i, Counter()).update(x.split())
+    total = sum(count.values(), Counter())
+    known = sorted(total, key=lambda t: (-total[t], t))[:50]
+    n = sum(len(x) > 100 for _, x in texts) + 3
+    idf = {t: math.log((n + 1) / (sum(t in c for c in count.values()) + 1)) + 1 for t in known}
+    w = {i: {t: c[t] * idf[t] for t in known if t in c} for i, c in count.items() if i is not None}
+    norm = {i: math.sqrt(sum(x * x for x in c.values())) for i, c in w.items()}
+    cos = {(a, b): sum(x * w[b].get(t, 0) for t, x in w[a].items()) / norm[a] / norm[b] for a in w for b in w if a < b and norm[a] and norm[b]}
+    for least in (0.4, 0.8):
+        got = {(r.a, r.b): r.similarity for r in corpus.relations(docs, least, 0.95, vocabulary=50).collect()}
+        assert set(got) == {p for p, x in cos.items() if round(x, 6) > least} and all(abs(got[p] - cos[p]) < 1e-6 for p in got)
+        assert 100 < len(got) < len(cos)
+    assert 0 < corpus._tiles(docs, 50).where("strip >= 0").count() < len(w)  # before, three rows a document
