@@ -462,3 +462,16 @@ def test_strips_travel_packed(spark, monkeypatch):
         assert set(got) == {p for p, x in cos.items() if round(x, 6) > least} and all(abs(got[p] - cos[p]) < 1e-6 for p in got)
         assert 100 < len(got) < len(cos)
     assert 0 < corpus._tiles(docs, 50).where("strip >= 0").count() < len(w)  # before, three rows a document
+
+
+def test_equal_documents_are_merged_once(spark):
+    """Pairs of documents with the same lines share one merged text, and strips with their lines travel packed."""
+    from answerlens.operators import corpus
+
+    text = [f"{'stone river field ' * 8}\nline {i % 3} of stone" for i in range(30)]
+    docs = spark.createDataFrame([*enumerate(text)], "doc_id long, text string")
+    want = {(r.a, r.b, r.text) for r in corpus.merged(docs, corpus.relations(docs).where("relation = 'duplicate'").select("a", "b")).collect()}
+    assert {tuple(r) for r in corpus.merged_duplicates(docs).collect()} == want and len(want) == 435
+    lines = docs.select("doc_id", F.split("text", "\n").alias("lines"))
+    tiles = corpus._tiles(docs, 100, lines, 1)
+    assert "payload" in tiles.columns and tiles.where("strip >= 0").count() == 1  # before, a row for each document
