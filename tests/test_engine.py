@@ -475,3 +475,21 @@ def test_equal_documents_are_merged_once(spark):
     lines = docs.select("doc_id", F.split("text", "\n").alias("lines"))
     tiles = corpus._tiles(docs, 100, lines, 1)
     assert "payload" in tiles.columns and tiles.where("strip >= 0").count() == 1  # before, a row for each document
+
+
+def test_coverage_keeps_each_word_once(spark, monkeypatch):
+    """What is stored and sent for the queries has a word's text once, whatever number of queries have it; twenty million pairs are no join."""
+    from answerlens.operators import corpus
+
+    stored, kept = [], corpus.kept
+    monkeypatch.setattr(corpus, "kept", lambda df: stored.append(kept(df)) or stored[-1])
+    q = spark.createDataFrame([*((i, f"common words of query{i % 40}") for i in range(200)), (7, "another row"), (None, None)], "query_id long, query string")
+    docs = spark.createDataFrame([(1, "Common ground"), (2, "query39x"), (3, "another query7"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.coverage, r.words) for r in corpus.coverage(q, docs).collect()}
+    words = {i: {"common", "words", f"query{i % 40}"} | ({"another", "row"} if i == 7 else set()) for i in range(200)}
+    for r in docs.collect():
+        found = {w for x in words.values() for w in x if r.text and w in r.text.lower()}
+        assert got[r.doc_id] == (round(sum(bool(x & found) for x in words.values()) / 202, 6), len(found))
+    texts = [r for t in stored for r in t.collect() for x in r if isinstance(x, str)]
+    assert len(texts) == len({r.word for r in texts}) and all(f.dataType.simpleString() != "array<string>" for t in stored for f in t.schema)
+    assert corpus.BROADCAST_KEYWORDS >= 20_000_000  # as at 6 GB
