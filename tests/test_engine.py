@@ -493,3 +493,17 @@ def test_coverage_keeps_each_word_once(spark, monkeypatch):
     texts = [r for t in stored for r in t.collect() for x in r if isinstance(x, str)]
     assert len(texts) == len({r.word for r in texts}) and all(f.dataType.simpleString() != "array<string>" for t in stored for f in t.schema)
     assert corpus.BROADCAST_KEYWORDS >= 20_000_000  # as at 6 GB
+
+
+def test_stored_relations_are_small(spark, tmp_path):
+    """Relations come back as they were found, from a table with four bytes for a similarity."""
+    from answerlens.operators import corpus
+
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i * k) % (7 + i % 5)}" for k in range(40))) for i in range(40)], "doc_id long, text string")
+    logs = spark.createDataFrame([(1, "word1", 0.5, True)], "query_id long, query string, score double, is_passing boolean")
+    back = spark.createDataFrame([("x", "y")], "feedback_type string, intent_type string")
+    got = corpus.full_analysis(docs, logs, back, str(tmp_path / "g12"))["relations"]
+    assert got.columns == ["a", "b", "similarity", "relation"]
+    want = sorted(map(tuple, corpus.relations(docs).collect()))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+    assert dict(spark.read.parquet(str(tmp_path / "g12" / "relations")).dtypes)["millionths"] == "int"
